@@ -42,7 +42,7 @@ FUNCTIONS = [
        CASE WHEN p > 10 THEN 'severe' WHEN p > 5 THEN 'moderate' WHEN p IS NOT NULL THEN 'minor' END""",
     """risk_order(r STRING) RETURNS INT RETURN
        CASE r WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END""",
-    """month_period(y INT, m INT) RETURNS STRING RETURN format_string('%d-%02d', y, m)""",
+    """month_period(y INT, m INT) RETURNS STRING RETURN concat(CAST(y AS STRING), '-', lpad(CAST(m AS STRING), 2, '0'))""",
     """label_text(w STRING) RETURNS STRING RETURN upper(regexp_replace(w, '^([^_]*)_', '$1 '))""",
 ]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 
 def month_period(year: Column, month: Column) -> Column:
-    return F.format_string("%d-%02d", year, month)
+    return F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
 def year_of(period: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch.functions import gauges
 from millwatch.functions.numbers import hours_between
-from millwatch.operators.times import carry_forward, moment, running_count
+from millwatch.operators.paging import names_of_page
+from millwatch.operators.times import carry_forward, moment, running_sum
 from millwatch.schemas import ACTIVE_ALERT, ESCALATION_MINUTES, INGEST_LIMITS
 
 
@@ -35,7 +36,7 @@ def list_alerts(
     return shown
 
 
-def newest_alerts(alerts: DataFrame) -> list:
+def newest_alerts() -> list:
     """Sort order of alert lists."""
     return [F.col("triggered_at").desc(), F.col("alert_id").desc()]
 
@@ -47,31 +48,19 @@ def alerts_with_machine(alerts: DataFrame, machines: DataFrame) -> DataFrame:
     )
 
 
-def alerts_with_prediction(alerts: DataFrame, predictions: DataFrame, slot: str = "hour") -> DataFrame:
+def alerts_with_prediction(alerts: DataFrame, predictions: DataFrame) -> DataFrame:
     """Each alert with the prediction in force when it was triggered (at or before), or none.
 
-    Both kinds of rows go into one time line per machine, a prediction before an alert of the same
-    instant, and the last prediction is carried forward slot by slot.
+    Both sides shrink to one row per machine and instant, which puts a bound on every slot of the
+    pass; the alerts then look up the answer for their instant.
     """
-    shape = ["_alert", "_prediction"]
-    right = predictions.select(
-        "machine_id", F.col("timestamp").alias("_time"), F.lit(0).alias("_side"),
-        F.col("prediction_id").cast("string").alias("_id"),
-        F.lit(None).cast(_struct_of(alerts)).alias(shape[0]), F.struct(*predictions.columns).alias(shape[1]),
+    asked = alerts.select("machine_id", F.col("triggered_at").alias("_time")).distinct().withColumn("_asked", F.lit(True))
+    known = predictions.groupBy("machine_id", F.col("timestamp").alias("_time")).agg(
+        F.max_by(F.struct(*predictions.columns), "prediction_id").alias("prediction")
     )
-    left = alerts.select(
-        "machine_id", F.col("triggered_at").alias("_time"), F.lit(1).alias("_side"),
-        F.col("alert_id").cast("string").alias("_id"),
-        F.struct(*alerts.columns).alias(shape[0]), F.lit(None).cast(_struct_of(predictions)).alias(shape[1]),
-    )
-    line = carry_forward(
-        left.unionByName(right), "machine_id", "_time", ["_time", "_side", "_id"], shape[1], slot
-    )
-    return line.filter(F.col("_side") == 1).select("_alert.*", F.col("_prediction").alias("prediction"))
-
-
-def _struct_of(df: DataFrame):
-    return df.schema
+    line = carry_forward(asked.join(known, ["machine_id", "_time"], "full"), "machine_id", "_time", "prediction")
+    answers = line.filter("_asked").select("machine_id", F.col("_time").alias("triggered_at"), "prediction")
+    return alerts.join(answers, ["machine_id", "triggered_at"], "left")
 
 
 def mtbf(alerts: DataFrame) -> DataFrame:
@@ -106,7 +95,8 @@ def fleet_mtbf(alerts: DataFrame) -> DataFrame:
 def critical_banner(alerts: DataFrame, machines: DataFrame, shown: int = 2) -> DataFrame:
     """One row: how many critical alerts there are, the newest few, and how many are not shown."""
     critical = alerts.filter(F.col("severity") == "critical")
-    newest = alerts_with_machine(critical.orderBy(*newest_alerts(critical)).limit(shown), machines)
+    newest = critical.orderBy(*newest_alerts()).limit(shown)
+    newest = alerts_with_machine(newest, names_of_page(newest, machines, "machine_id"))
     total = critical.agg(F.count("*")).scalar()
     return (
         newest.agg(
@@ -179,26 +169,23 @@ def escalate(alerts: DataFrame, as_of: str, minutes: int = ESCALATION_MINUTES) -
     )
 
 
-def dedupe_alerts(candidates: DataFrame, responses: DataFrame, slot: str = "hour") -> DataFrame:
+def dedupe_alerts(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """One active alert per machine: a candidate opens only if none has since the last response.
 
-    The responses so far number the epochs of a machine; the first candidate of an epoch stays. A
-    response comes before a candidate of the same instant.
+    The instants with a response so far number the epochs of a machine; the first candidate of an
+    epoch stays. A response comes before a candidate of the same instant. Both sides shrink to one
+    row per machine and instant first.
     """
-    line = candidates.select(
-        "machine_id", F.col("triggered_at").alias("_time"), F.lit(False).alias("_answer"),
-        F.col("alert_id").cast("string").alias("_id"), F.struct(*candidates.columns).alias("_row"),
-    ).unionByName(
-        responses.select(
-            "machine_id", F.col("responded_at").alias("_time"), F.lit(True).alias("_answer"), F.lit("").alias("_id"),
-            F.lit(None).cast(_struct_of(candidates)).alias("_row"),
-        )
-    ).withColumn("_side", F.when(F.col("_answer"), 0).otherwise(1))
-    epochs = running_count(line, "machine_id", "_time", ["_time", "_side", "_id"], "_answer", "_epoch", slot)
+    first = candidates.groupBy("machine_id", F.col("triggered_at").alias("_time")).agg(
+        F.min_by(F.struct(*candidates.columns), F.col("alert_id").cast("string")).alias("_row")
+    )
+    answers = responses.select("machine_id", F.col("responded_at").alias("_time")).distinct().withColumn("_epoch", F.lit(1))
+    line = first.join(answers, ["machine_id", "_time"], "full").withColumn("_epoch", F.coalesce("_epoch", F.lit(0)))
     return (
-        epochs.filter(~F.col("_answer"))
+        running_sum(line, "machine_id", "_time", "_epoch")
+        .filter(F.col("_row").isNotNull())
         .groupBy("machine_id", "_epoch")
-        .agg(F.min_by("_row", F.struct("_time", "_id")).alias("_row"))
+        .agg(F.min_by("_row", "_time").alias("_row"))
         .select("_row.*")
     )
 

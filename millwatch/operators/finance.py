@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millwatch.functions.numbers import exact_mean, exact_sum, round_to
 from millwatch.functions.texts import month_period
@@ -13,18 +13,19 @@ SAVED_SHARE = 0.45
 EFFICIENCY = 0.95
 
 
-def with_period(cost: DataFrame, grain: str) -> DataFrame:
-    """Cost rows with their ``YYYY-MM`` or ``YYYY`` period."""
-    if grain == "year":
-        return cost.withColumn("period", F.col("year").cast("string"))
-    return cost.withColumn("period", month_period(F.col("year"), F.col("month")))
+def _grain(grain: str) -> list[str]:
+    return ["year"] if grain == "year" else ["year", "month"]
+
+
+def _period(grain: str) -> Column:
+    """``YYYY`` or ``YYYY-MM``, made after grouping by numbers."""
+    return F.col("year").cast("string") if grain == "year" else month_period(F.col("year"), F.col("month"))
 
 
 def expenses(cost: DataFrame, grain: str = "month") -> DataFrame:
     """Cost and number of cost rows per period; sort by ``period`` to show."""
-    return with_period(cost, grain).groupBy("period").agg(
-        F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count")
-    )
+    sums = cost.groupBy(*_grain(grain)).agg(F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count"))
+    return sums.select(_period(grain).alias("period"), "total_cost", "ticket_count")
 
 
 def expenses_all_grains(cost: DataFrame) -> DataFrame:
@@ -44,25 +45,30 @@ def expense_breakdown(cost: DataFrame, machines: DataFrame, grain: str = "month"
     """Cost per period and machine beside the total of the period.
 
     One row per machine rather than a list in the period row, which would have no bound. Periods
-    are summed from the machine rows, so the data is read and shuffled once.
+    are summed from the machine rows, so the data is read and shuffled once; there are at most
+    twelve of them a year, which is why they are broadcast.
     """
-    parts = with_period(cost, grain).groupBy("period", "machine_id").agg(
-        F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count")
+    keys = _grain(grain)
+    parts = cost.groupBy(*keys, "machine_id").agg(F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count"))
+    totals = parts.groupBy(*keys).agg(
+        F.sum("total_cost").alias("period_cost"), F.sum("ticket_count").alias("period_tickets")
     )
-    totals = parts.groupBy("period").agg(F.sum("total_cost").alias("period_cost"))
     names = machines.select("machine_id", F.col("name").alias("machine_name"))
-    return parts.join(names, "machine_id", "left").join(totals, "period").withColumn(
-        "machine_name", F.coalesce("machine_name", F.lit("Unknown"))
+    return parts.join(names, "machine_id", "left").join(F.broadcast(totals), keys).select(
+        _period(grain).alias("period"), "machine_id", F.coalesce("machine_name", F.lit("Unknown")).alias("machine_name"),
+        "total_cost", "ticket_count", "period_cost", "period_tickets",
     )
 
 
 def avg_repair_time(tickets: DataFrame, cost: DataFrame, grain: str = "month") -> DataFrame:
     """Mean repair hours over the tickets that have cost in a period, each ticket counted once."""
-    billed = with_period(cost, grain).select("period", "ticket_id").distinct()
+    keys = _grain(grain)
+    billed = cost.select(*keys, "ticket_id").distinct()
     hours = tickets.select("ticket_id", "time_taken_hours").filter(F.col("time_taken_hours").isNotNull())
-    return billed.join(hours, "ticket_id").groupBy("period").agg(
+    means = billed.join(hours, "ticket_id").groupBy(*keys).agg(
         F.count("*").alias("repaired_tickets"), exact_mean(F.col("time_taken_hours")).alias("avg_repair_time")
     )
+    return means.select(_period(grain).alias("period"), "repaired_tickets", "avg_repair_time")
 
 
 def merge_repair_times(parts: DataFrame, period: str = "period") -> DataFrame:

@@ -39,5 +39,10 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int =
     return rows.withColumns({"page": F.lit(page), "size": F.lit(size), "pages": pages})
 
 
+def names_of_page(page: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """The rows of ``names`` that a page needs; a page is small by its limit, so it is broadcast."""
+    return names.join(F.broadcast(page.select(key)), key, "left_semi")
+
+
 def page_number(skip: int, limit: int) -> int:
     return skip // limit + 1

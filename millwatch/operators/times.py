@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLOT = "hour"
+# Time slots, finest first. A task sees the rows of one key and minute, then the minutes of one key
+# and day, then the days of one key.
+LEVELS = ("minute", "day")
 
 
 def moment(as_of: str, df: DataFrame, like: str) -> Column:
@@ -14,48 +16,47 @@ def moment(as_of: str, df: DataFrame, like: str) -> Column:
     return F.lit(as_of).cast(df.schema[like].dataType)
 
 
-def carry_forward(
-    df: DataFrame, key: str, time: str, order: Sequence[str], value: str, slot: str = SLOT
-) -> DataFrame:
-    """Replace ``value`` by the last one that is not null, per key in time order.
-
-    The pass is made inside (key, slot of time); what a slot starts with comes from one row per
-    slot. A key with a large share of the rows is so spread over as many groups as it has slots.
-    ``order`` must begin with the time and be total within a key.
-    """
-    slotted = df.withColumn("_slot", F.date_trunc(slot, F.col(time)))
-    inside = Window.partitionBy(key, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    present = F.col(value).isNotNull()
-    starts = (
-        slotted.groupBy(key, "_slot")
-        .agg(F.max_by(value, F.when(present, F.struct(*order))).alias("_last"))
-        .withColumn("_start", F.last("_last", ignorenulls=True).over(before))
-        .drop("_last")
+def carry_forward(df: DataFrame, key: str, time: str, value: str, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """Replace ``value`` by the last one that is not null, per key in time order. One row per key and
+    time is expected."""
+    return _pass(
+        df, key, time, value, levels, 0,
+        over=lambda c: F.last(c, ignorenulls=True),
+        reduce=lambda c, t: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(t))),
+        combine=lambda inside, start: F.coalesce(inside, start),
     )
-    return (
-        slotted.withColumn(value, F.last(value, ignorenulls=True).over(inside))
-        .join(starts, [key, "_slot"], "left")
-        .withColumn(value, F.coalesce(value, "_start"))
-        .drop("_slot", "_start")
+
+
+def running_sum(df: DataFrame, key: str, time: str, value: str, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """Replace ``value`` by its sum so far, per key in time order. One row per key and time is expected."""
+    return _pass(
+        df, key, time, value, levels, 0,
+        over=F.sum,
+        reduce=lambda c, t: F.sum(c),
+        combine=lambda inside, start: F.coalesce(inside, F.lit(0)) + F.coalesce(start, F.lit(0)),
     )
 
 
-def running_count(
-    df: DataFrame, key: str, time: str, order: Sequence[str], flag: str, name: str, slot: str = SLOT
+def _pass(
+    df: DataFrame, key: str, time: str, value: str, levels: Sequence[str], through: int,
+    over: Callable, reduce: Callable, combine: Callable,
 ) -> DataFrame:
-    """Count of rows with ``flag`` so far, per key in time order, slot by slot as above."""
-    slotted = df.withColumn("_slot", F.date_trunc(slot, F.col(time)))
-    inside = Window.partitionBy(key, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        slotted.groupBy(key, "_slot").agg(F.count_if(F.col(flag)).alias("_flags"))
-        .withColumn("_start", F.coalesce(F.sum("_flags").over(before), F.lit(0)))
-        .drop("_flags")
-    )
+    """A running aggregate, made inside time slots and completed by what each slot starts with.
+
+    What a slot starts with is the same pass over one row per slot, in coarser slots, up to the slot
+    before. ``through`` is 0 to count a row itself and -1 to stop before it.
+    """
+    rows = (Window.unboundedPreceding, through)
+    if not levels:
+        return df.withColumn(value, over(value).over(Window.partitionBy(key).orderBy(time).rowsBetween(*rows)))
+    slot, start = f"_slot{len(levels)}", f"_start{len(levels)}"
+    slotted = df.withColumn(slot, F.date_trunc(levels[0], F.col(time)))
+    ends = slotted.groupBy(key, slot).agg(reduce(value, time).alias(value))
+    starts = _pass(ends, key, slot, value, levels[1:], -1, over, reduce, combine).withColumnRenamed(value, start)
+    inside = Window.partitionBy(key, slot).orderBy(time).rowsBetween(*rows)
     return (
-        slotted.withColumn(name, F.count_if(F.col(flag)).over(inside))
-        .join(starts, [key, "_slot"])
-        .withColumn(name, F.col(name) + F.col("_start"))
-        .drop("_slot", "_start")
+        slotted.withColumn(value, over(value).over(inside))
+        .join(starts, [key, slot])
+        .withColumn(value, combine(F.col(value), F.col(start)))
+        .drop(slot, start)
     )

@@ -375,7 +375,7 @@ def p13(d):
 
 @query("l1_page_offset", "SELECT alert_id, triggered_at, severity FROM fx_alerts ORDER BY triggered_at DESC, alert_id DESC LIMIT 100 OFFSET 200")
 def l1(d):
-    page = paging.page_offset(d.alerts(), alerts.newest_alerts(d.alerts()), 200, 100)
+    page = paging.page_offset(d.alerts(), alerts.newest_alerts(), 200, 100)
     return page.select("alert_id", "triggered_at", "severity")
 
 
@@ -403,7 +403,7 @@ def l2(d):
 
 @query("l3_newest_alerts", "SELECT alert_id, machine_id, triggered_at FROM fx_alerts ORDER BY triggered_at DESC, alert_id DESC LIMIT 5")
 def l3_alerts(d):
-    return paging.top_n(d.alerts(), alerts.newest_alerts(d.alerts()), 5).select("alert_id", "machine_id", "triggered_at")
+    return paging.top_n(d.alerts(), alerts.newest_alerts(), 5).select("alert_id", "machine_id", "triggered_at")
 
 
 @query("l3_newest_audit", "SELECT log_id, action, ts AS \"timestamp\" FROM fx_audit_logs ORDER BY ts DESC, log_id DESC LIMIT 10")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millwatch.operators import admin, alerts, assets, finance, production, scoring, tickets
+from millwatch.operators import admin, alerts, assets, finance, paging, production, scoring, tickets
 from millwatch.plans.registry import query
 
 # ---------------------------------------------------------------- joins
@@ -54,8 +54,8 @@ def j4(d):
 )
 def j4_page(d):
     """The page is cut before the names are looked up."""
-    page = d.audit_logs().orderBy(*admin.audit_order()).limit(50)
-    return admin.audit_trail(page, d.users()).select("log_id", "user_name", "timestamp")
+    page = paging.top_n(d.audit_logs(), admin.audit_order(), 50)
+    return admin.audit_trail(page, paging.names_of_page(page, d.users(), "user_id")).select("log_id", "user_name", "timestamp")
 
 
 @query(
@@ -254,7 +254,8 @@ def a2_grains(d):
 @query(
     "a3_expense_breakdown",
     f"""SELECT x.period, x.machine_id, coalesce(m.name, 'Unknown') AS machine_name, CAST(x.c AS DOUBLE) AS total_cost, x.n AS ticket_count,
-          CAST(sum(x.c) OVER (PARTITION BY x.period) AS DOUBLE) AS period_cost
+          CAST(sum(x.c) OVER (PARTITION BY x.period) AS DOUBLE) AS period_cost,
+          CAST(sum(x.n) OVER (PARTITION BY x.period) AS BIGINT) AS period_tickets
         FROM (SELECT {MONTH} AS period, machine_id, sum(amount) AS c, count(*) AS n FROM fx_cost_logs GROUP BY 1, 2) x
         LEFT JOIN fx_machines m ON m.machine_id = x.machine_id""",
 )

@@ -102,7 +102,7 @@ def t3_stream(d):
            ROWS UNBOUNDED PRECEDING) AS epoch FROM line)
        SELECT * FROM (SELECT md5(CAST(prediction_id AS VARCHAR) || '|alert') AS alert_id, machine_id, t AS triggered_at, severity FROM numbered
          WHERE side = 1 QUALIFY row_number() OVER (PARTITION BY machine_id, epoch ORDER BY t, md5(CAST(prediction_id AS VARCHAR) || '|alert')) = 1) x
-       WHERE date_trunc('milliseconds', triggered_at) + INTERVAL 1 MILLISECOND <= {MARK.format(time='t', rows='line')}""",
+       WHERE date_trunc('minute', triggered_at) + INTERVAL 1 MINUTE <= {MARK.format(time='t', rows='line')}""",
 )
 def t4_stream(d):
     runs.use_rocksdb(d.spark)

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from itertools import batched
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,12 +30,6 @@ def dedupe_events(alerts: DataFrame, key: str = "alert_id") -> DataFrame:
     return alerts.dropDuplicatesWithinWatermark([key])
 
 
-def _millis(moment: datetime) -> int:
-    """Event time in whole milliseconds, the grain of timers."""
-    zoned = moment if moment.tzinfo else moment.astimezone()
-    return int((zoned - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(milliseconds=1))
-
-
 class _Escalation(StatefulProcessor):
     """Per alert: when it is due, and the first answer."""
 
@@ -93,48 +87,49 @@ def stream_escalations(events: DataFrame, minutes: int = ESCALATION_MINUTES) ->
 
 
 class _OneActive(StatefulProcessor):
-    """Per machine: whether an alert is open, and rows that wait for the watermark by millisecond."""
+    """Per machine: whether an alert is open, and the rows of each minute the watermark has not passed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "is_open boolean")
         self.waiting = handle.getMapState(
-            "waiting", "millis bigint", "rows array<struct<micros:bigint,side:int,alert_id:string,severity:string>>"
+            "waiting", "minute bigint", "rows array<struct<micros:bigint,side:int,alert_id:string,severity:string>>"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        arrived: dict[int, list] = {}
-        for row in rows:
-            # A timer fires once the watermark is at or past it, so the whole millisecond is over then.
-            due = row.event_micros // 1000 + 1
-            arrived.setdefault(due, []).append((row.event_micros, row.side, row.alert_id, row.severity))
-        for due, new in arrived.items():
-            if self.waiting.containsKey((due,)):
-                new = [tuple(old) for old in self.waiting.getValue((due,))[0]] + new
-            else:
-                self.handle.registerTimer(due)
-            self.waiting.updateValue((due,), (new,))
+        for some in batched(rows, 10_000):
+            arrived: dict[int, list] = {}
+            for row in some:
+                end = (row.event_micros // 60_000_000 + 1) * 60_000
+                arrived.setdefault(end, []).append((row.event_micros, row.side, row.alert_id, row.severity))
+            for end, new in arrived.items():
+                if self.waiting.containsKey((end,)):
+                    new = [tuple(old) for old in self.waiting.getValue((end,))[0]] + new
+                else:
+                    self.handle.registerTimer(end)
+                self.waiting.updateValue((end,), (new,))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((due,)):
-            return
-        is_open = self.open.exists() and self.open.get()[0]
-        for micros, side, alert_id, severity in sorted(tuple(r) for r in self.waiting.getValue((due,))[0]):
+        """The minute is over: take its rows in order."""
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        before = self.open.get()
+        was_open = is_open = before is not None and before[0]
+        for micros, side, alert_id, severity in sorted(tuple(r) for r in self.waiting.getValue((end,))[0]):
             if side == 0:
                 is_open = False
             elif not is_open:
                 is_open = True
                 yield Row(alert_id=alert_id, machine_id=key[0], triggered_micros=micros, severity=severity)
-        self.open.update((is_open,))
-        self.waiting.removeKey((due,))
+        if is_open != was_open:
+            self.open.update((is_open,))
+        self.waiting.removeKey((end,))
 
 
 def stream_dedupe_alerts(events: DataFrame) -> DataFrame:
     """One active alert per machine over ``events(machine_id, side, alert_id, severity, event_time)``,
-    where side 0 is an answer and side 1 a candidate. Rows are taken in event-time order, each when
-    the watermark has passed it."""
+    where side 0 is an answer and side 1 a candidate. Rows are taken in event-time order, minute by
+    minute as the watermark passes."""
     opened = (
         events.withColumns(
             {

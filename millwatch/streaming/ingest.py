@@ -31,6 +31,7 @@ def ingest(
         checked = checked.withColumn(
             "problems", F.when(orphan, F.array_append("problems", F.lit("machine_id: not found"))).otherwise(F.col("problems"))
         )
+        checked = checked.drop("_known").persist()
         good = F.size("problems") == 0
         typed = [F.col(c).try_cast(spec.types[c]).alias(c) if c in spec.types else F.col(c) for c in FIELDS]
         stored = checked.filter(good).select(*typed).withColumn("date", F.to_date("timestamp"))
@@ -40,6 +41,7 @@ def ingest(
         threshold_alerts(checked.filter(good).select(*typed), known, limits).write.mode("overwrite").parquet(
             f"{out}/alerts/batch={batch_id}"
         )
+        checked.unpersist()
 
     return each_batch(raw, store, checkpoint, every)
 
