@@ -26,16 +26,15 @@ def local_session(cpus: int = 8, memory: str = "12g", name: str = "millwatch") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    setting = "spark.checkpoint.dir"
-    folder = spark.conf.get(setting, None) or spark.sparkContext.getConf().get(setting)
+    """The folder named by ``spark.checkpoint.dir``; only in local mode, where it is unset, an own one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{setting} must name a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="millwatch-")
-    spark.conf.set(setting, folder)
-    return folder
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="millwatch-"))
+    return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
