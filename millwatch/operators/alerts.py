@@ -51,16 +51,23 @@ def alerts_with_machine(alerts: DataFrame, machines: DataFrame) -> DataFrame:
 def alerts_with_prediction(alerts: DataFrame, predictions: DataFrame) -> DataFrame:
     """Each alert with the prediction in force when it was triggered (at or before), or none.
 
-    Both sides shrink to one row per machine and instant, which puts a bound on every slot of the
-    pass; the alerts then look up the answer for their instant.
+    The pass over time carries ids only, one row per machine and instant; the predictions are looked
+    up by their id at the end, where no key is hot.
     """
-    asked = alerts.select("machine_id", F.col("triggered_at").alias("_time")).distinct().withColumn("_asked", F.lit(True))
-    known = predictions.groupBy("machine_id", F.col("timestamp").alias("_time")).agg(
-        F.max_by(F.struct(*predictions.columns), "prediction_id").alias("prediction")
+    line = (
+        predictions.select("machine_id", F.col("timestamp").alias("_time"), F.col("prediction_id").alias("_id"), F.lit(False).alias("_asked"))
+        .unionByName(
+            alerts.select("machine_id", F.col("triggered_at").alias("_time")).distinct().withColumns(
+                {"_id": F.lit(None).cast(predictions.schema["prediction_id"].dataType), "_asked": F.lit(True)}
+            )
+        )
+        .groupBy("machine_id", "_time").agg(F.max("_id").alias("_id"), F.max("_asked").alias("_asked"))
+    )
+    in_force = carry_forward(line, "machine_id", "_time", "_id", "_asked").select(
+        "machine_id", F.col("_time").alias("triggered_at"), "_id"
     )
-    line = carry_forward(asked.join(known, ["machine_id", "_time"], "full"), "machine_id", "_time", "prediction")
-    answers = line.filter("_asked").select("machine_id", F.col("_time").alias("triggered_at"), "prediction")
-    return alerts.join(answers, ["machine_id", "triggered_at"], "left")
+    found = predictions.select(F.col("prediction_id").alias("_id"), F.struct(*predictions.columns).alias("prediction"))
+    return alerts.join(in_force, ["machine_id", "triggered_at"], "left").join(found, "_id", "left").drop("_id")
 
 
 def mtbf(alerts: DataFrame) -> DataFrame:
@@ -173,19 +180,25 @@ def dedupe_alerts(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """One active alert per machine: a candidate opens only if none has since the last response.
 
     The instants with a response so far number the epochs of a machine; the first candidate of an
-    epoch stays. A response comes before a candidate of the same instant. Both sides shrink to one
-    row per machine and instant first.
+    epoch stays. A response comes before a candidate of the same instant. The pass carries one row
+    per machine and instant; the candidates of the chosen instants are then looked up.
     """
-    first = candidates.groupBy("machine_id", F.col("triggered_at").alias("_time")).agg(
-        F.min_by(F.struct(*candidates.columns), F.col("alert_id").cast("string")).alias("_row")
+    line = (
+        candidates.select("machine_id", F.col("triggered_at").alias("_time"), F.lit(0).alias("_epoch"), F.lit(True).alias("_candidate"))
+        .unionByName(
+            responses.select("machine_id", F.col("responded_at").alias("_time"), F.lit(1).alias("_epoch"), F.lit(False).alias("_candidate"))
+        )
+        .groupBy("machine_id", "_time").agg(F.max("_epoch").alias("_epoch"), F.max("_candidate").alias("_candidate"))
+    )
+    opened = (
+        running_sum(line, "machine_id", "_time", "_epoch", "_candidate")
+        .groupBy("machine_id", "_epoch").agg(F.min("_time").alias("triggered_at"))
+        .select("machine_id", "triggered_at")
     )
-    answers = responses.select("machine_id", F.col("responded_at").alias("_time")).distinct().withColumn("_epoch", F.lit(1))
-    line = first.join(answers, ["machine_id", "_time"], "full").withColumn("_epoch", F.coalesce("_epoch", F.lit(0)))
     return (
-        running_sum(line, "machine_id", "_time", "_epoch")
-        .filter(F.col("_row").isNotNull())
-        .groupBy("machine_id", "_epoch")
-        .agg(F.min_by("_row", "_time").alias("_row"))
+        candidates.join(opened, ["machine_id", "triggered_at"], "left_semi")
+        .groupBy("machine_id", "triggered_at")
+        .agg(F.min_by(F.struct(*candidates.columns), F.col("alert_id").cast("string")).alias("_row"))
         .select("_row.*")
     )
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Time slots, finest first. A task sees the rows of one key and minute, then the minutes of one key
-# and day, then the days of one key.
-LEVELS = ("minute", "day")
+# Time slots, finest first: a task sees the instants of one key and hour, then the hours of one key.
+# A feed with more than some ten million instants per key and hour wants ("minute", "day").
+LEVELS = ("hour",)
 
 
 def moment(as_of: str, df: DataFrame, like: str) -> Column:
@@ -16,46 +16,53 @@ def moment(as_of: str, df: DataFrame, like: str) -> Column:
     return F.lit(as_of).cast(df.schema[like].dataType)
 
 
-def carry_forward(df: DataFrame, key: str, time: str, value: str, levels: Sequence[str] = LEVELS) -> DataFrame:
-    """Replace ``value`` by the last one that is not null, per key in time order. One row per key and
-    time is expected."""
+def carry_forward(
+    df: DataFrame, key: str, time: str, value: str, needed: str, levels: Sequence[str] = LEVELS
+) -> DataFrame:
+    """The ``needed`` rows, each with the last ``value`` up to it that is not null, per key.
+
+    One row per key and time is expected, which bounds a slot by its length.
+    """
     return _pass(
-        df, key, time, value, levels, 0,
-        over=lambda c: F.last(c, ignorenulls=True),
-        reduce=lambda c, t: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(t))),
-        combine=lambda inside, start: F.coalesce(inside, start),
+        df, key, time, value, needed, levels, 0,
+        over=lambda v: F.last(v, ignorenulls=True),
+        reduce=lambda v, t: F.max_by(v, F.when(F.col(v).isNotNull(), F.col(t))),
+        combine=F.coalesce,
     )
 
 
-def running_sum(df: DataFrame, key: str, time: str, value: str, levels: Sequence[str] = LEVELS) -> DataFrame:
-    """Replace ``value`` by its sum so far, per key in time order. One row per key and time is expected."""
+def running_sum(
+    df: DataFrame, key: str, time: str, value: str, needed: str, levels: Sequence[str] = LEVELS
+) -> DataFrame:
+    """The ``needed`` rows, each with the sum of ``value`` up to it, likewise."""
     return _pass(
-        df, key, time, value, levels, 0,
-        over=F.sum,
-        reduce=lambda c, t: F.sum(c),
+        df, key, time, value, needed, levels, 0,
+        over=F.sum, reduce=lambda v, t: F.sum(v),
         combine=lambda inside, start: F.coalesce(inside, F.lit(0)) + F.coalesce(start, F.lit(0)),
     )
 
 
-def _pass(
-    df: DataFrame, key: str, time: str, value: str, levels: Sequence[str], through: int,
-    over: Callable, reduce: Callable, combine: Callable,
-) -> DataFrame:
+def _pass(df, key, time, value, needed, levels, through, over, reduce, combine) -> DataFrame:
     """A running aggregate, made inside time slots and completed by what each slot starts with.
 
     What a slot starts with is the same pass over one row per slot, in coarser slots, up to the slot
-    before. ``through`` is 0 to count a row itself and -1 to stop before it.
+    before. ``through`` is 0 to count a row itself and -1 to stop before it. Both readers of ``df``
+    use the same columns, so that they share its last shuffle.
     """
     rows = (Window.unboundedPreceding, through)
     if not levels:
-        return df.withColumn(value, over(value).over(Window.partitionBy(key).orderBy(time).rowsBetween(*rows)))
-    slot, start = f"_slot{len(levels)}", f"_start{len(levels)}"
+        whole = Window.partitionBy(key).orderBy(time).rowsBetween(*rows)
+        return df.withColumn(value, over(value).over(whole)).filter(needed)
+    slot, start, wanted = (f"_{name}{len(levels)}" for name in ("slot", "start", "wanted"))
     slotted = df.withColumn(slot, F.date_trunc(levels[0], F.col(time)))
-    ends = slotted.groupBy(key, slot).agg(reduce(value, time).alias(value))
-    starts = _pass(ends, key, slot, value, levels[1:], -1, over, reduce, combine).withColumnRenamed(value, start)
+    ends = slotted.groupBy(key, slot).agg(reduce(value, time).alias(value), F.max(needed).alias(wanted))
+    starts = (
+        _pass(ends, key, slot, value, wanted, levels[1:], -1, over, reduce, combine)
+        .withColumnRenamed(value, start).drop(wanted)
+    )
     inside = Window.partitionBy(key, slot).orderBy(time).rowsBetween(*rows)
     return (
-        slotted.withColumn(value, over(value).over(inside))
+        slotted.withColumn(value, over(value).over(inside)).filter(needed)
         .join(starts, [key, slot])
         .withColumn(value, combine(F.col(value), F.col(start)))
         .drop(slot, start)

@@ -73,22 +73,32 @@ def test_dedupe_equals_a_sequential_loop(spark, ties):
 
 
 def test_passes_over_levels_agree(spark):
-    rows = [(m, t, i if i % 3 == 0 else None) for i, (m, t) in enumerate(sorted({(m, t) for _, m, t in skewed(5, 800, False)}))]
-    df = spark.createDataFrame(rows, "k long, at timestamp, v long")
-    one = lambda frame: sorted((r.k, r.at, r.v) for r in frame.collect())
+    instants = sorted({(m, t) for _, m, t in skewed(5, 800, False)})
+    rows = [(m, t, i if i % 3 == 0 else None, i % 5 < 2) for i, (m, t) in enumerate(instants)]
+    df = spark.createDataFrame(rows, "k long, at timestamp, v long, ask boolean")
     for name in (times.carry_forward, times.running_sum):
-        plain = one(name(df.withColumn("v", F.coalesce("v", F.lit(0))) if name is times.running_sum else df, "k", "at", "v", ()))
-        for levels in (("minute", "day"), ("hour",), ("second", "minute", "hour", "day")):
-            assert one(name(df.withColumn("v", F.coalesce("v", F.lit(0))) if name is times.running_sum else df, "k", "at", "v", levels)) == plain
+        given = df.fillna(0, ["v"]) if name is times.running_sum else df
+        want, last = {}, {}
+        for k, t, v, ask in rows:
+            if name is times.running_sum:
+                last[k] = last.get(k, 0) + (v or 0)
+            elif v is not None:
+                last[k] = v
+            if ask:
+                want[k, t] = last.get(k)
+        for levels in ((), ("hour",), ("minute", "day"), ("second", "minute", "hour", "day")):
+            got = {(r.k, r.at): r.v for r in name(given, "k", "at", "v", "ask", levels).collect()}
+            assert got == want
 
 
 def test_a_key_is_spread_over_its_slots(spark):
     """A hot machine's rows never meet in one window group."""
-    df = spark.createDataFrame([(0, START + timedelta(seconds=5 * i), i) for i in range(5000)], "k long, at timestamp, v long")
-    plan = times.carry_forward(df, "k", "at", "v")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window [") == 3
+    rows = [(0, START + timedelta(seconds=5 * i), i, True) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k long, at timestamp, v long, ask boolean")
+    plan = times.carry_forward(df, "k", "at", "v", "ask")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2
     per_slot = df.groupBy("k", F.date_trunc(times.LEVELS[0], "at")).count().agg(F.max("count")).first()[0]
-    assert per_slot == 12
+    assert per_slot == 720
 
 
 def test_changes_are_idempotent_and_sequential(spark):
