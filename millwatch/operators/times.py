@@ -21,7 +21,7 @@ def carry_forward(
 ) -> DataFrame:
     """The ``needed`` rows, each with the last ``value`` up to it that is not null, per key.
 
-    One row per key and time is expected, which bounds a slot by its length.
+    One row per key and time is expected, which bounds a slot by its length; other columns are not kept.
     """
     return _pass(
         df, key, time, value, needed, levels, 0,
@@ -47,14 +47,15 @@ def _pass(df, key, time, value, needed, levels, through, over, reduce, combine)
 
     What a slot starts with is the same pass over one row per slot, in coarser slots, up to the slot
     before. ``through`` is 0 to count a row itself and -1 to stop before it. Both readers of ``df``
-    use the same columns, so that they share its last shuffle.
+    take the same columns in the same order and the same rows, so that they share its last shuffle.
     """
     rows = (Window.unboundedPreceding, through)
     if not levels:
         whole = Window.partitionBy(key).orderBy(time).rowsBetween(*rows)
-        return df.withColumn(value, over(value).over(whole)).filter(needed)
+        return df.select(key, time, needed, value).withColumn(value, over(value).over(whole)).filter(needed)
     slot, start, wanted = (f"_{name}{len(levels)}" for name in ("slot", "start", "wanted"))
-    slotted = df.withColumn(slot, F.date_trunc(levels[0], F.col(time)))
+    slotted = df.select(key, time, needed, value).withColumn(slot, F.date_trunc(levels[0], F.col(time)))
+    slotted = slotted.filter(F.col(key).isNotNull() & F.col(slot).isNotNull())
     ends = slotted.groupBy(key, slot).agg(reduce(value, time).alias(value), F.max(needed).alias(wanted))
     starts = (
         _pass(ends, key, slot, value, wanted, levels[1:], -1, over, reduce, combine)
