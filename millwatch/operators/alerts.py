@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch.functions import gauges
 from millwatch.functions.numbers import hours_between
+from millwatch.operators.changes import SET, apply_changes
 from millwatch.operators.paging import names_of_page
 from millwatch.operators.times import carry_forward, moment, running_sum
 from millwatch.schemas import ACTIVE_ALERT, ESCALATION_MINUTES, INGEST_LIMITS
@@ -147,6 +148,13 @@ def alarmed_machines(alarms: DataFrame) -> DataFrame:
     )
 
 
+def apply_alarms(machines: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Machines after their alarms."""
+    change = alarmed_machines(alarms)
+    stated = F.array(*[F.lit(c) for c in change.columns if c != "machine_id"])
+    return apply_changes(machines, change.withColumns({"seq": F.lit(0), SET: stated}), "machine_id")
+
+
 def alarm_payload(alarms: DataFrame) -> DataFrame:
     return alarms.select("alert_id", "machine_id", "type", "severity", "status", "message", "triggered_at")
 

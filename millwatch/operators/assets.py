@@ -14,15 +14,26 @@ RISKY = ["high", "critical"]
 
 
 def latest(df: DataFrame, key: str, time: str, row_id: str) -> DataFrame:
-    """Newest row per key; ties go to the larger id. Partial results merge before the shuffle."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(time, row_id)).alias("_row")).select("_row.*")
+    """Newest row per key; ties go to the larger id. Partial results merge before the shuffle.
 
+    All columns travel, so select what is needed first.
+    """
+    rest = [c for c in df.columns if c != key]
+    newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(time, row_id)).alias("_row"))
+    return newest.select(*[F.col(f"_row.{c}").alias(c) if c != key else F.col(key) for c in df.columns])
 
-def latest_reading(readings: DataFrame) -> DataFrame:
+
+def latest_reading(readings: DataFrame, *columns: str) -> DataFrame:
+    """Newest reading per machine, with the given sensors or all."""
+    if columns:
+        readings = readings.select("reading_id", "machine_id", "timestamp", *columns)
     return latest(readings, "machine_id", "timestamp", "reading_id")
 
 
-def latest_prediction(predictions: DataFrame) -> DataFrame:
+def latest_prediction(predictions: DataFrame, *columns: str) -> DataFrame:
+    """Newest prediction per machine, with the given columns or all."""
+    if columns:
+        predictions = predictions.select("prediction_id", "machine_id", "timestamp", *columns)
     return latest(predictions, "machine_id", "timestamp", "prediction_id")
 
 
@@ -115,10 +126,10 @@ def active_alerts_of(machines: DataFrame, alerts: DataFrame) -> DataFrame:
 def fleet_snapshot(machines: DataFrame, readings: DataFrame, predictions: DataFrame) -> DataFrame:
     """Each machine with its newest reading and newest prediction."""
     sensors = [s for s in SENSORS if s in readings.columns]
-    reading = latest_reading(readings).select("machine_id", F.col("timestamp").alias("read_at"), *sensors)
-    prediction = latest_prediction(predictions).select(
-        "machine_id",
-        *[F.col(c).alias(f"predicted_{c}") for c in ("health_score", "risk_level", "rul_hours", "failure_type", "confidence")],
+    scores = ["health_score", "risk_level", "rul_hours", "failure_type", "confidence"]
+    reading = latest_reading(readings, *sensors).select("machine_id", F.col("timestamp").alias("read_at"), *sensors)
+    prediction = latest_prediction(predictions, *scores).select(
+        "machine_id", *[F.col(c).alias(f"predicted_{c}") for c in scores]
     )
     return machines.join(reading, "machine_id", "left").join(prediction, "machine_id", "left")
 

@@ -11,6 +11,7 @@ from millwatch.functions import health
 from millwatch.functions.numbers import round_to
 from millwatch.operators.assets import latest_reading
 from millwatch.operators.alerts import actionable
+from millwatch.operators.changes import SET, apply_changes
 from millwatch.operators.times import moment
 
 
@@ -36,7 +37,7 @@ def score_readings(readings: DataFrame) -> DataFrame:
 
 def score_fleet(readings: DataFrame, machines: DataFrame) -> DataFrame:
     """Newest reading of every machine that is not offline, scored; machines without one are left out."""
-    newest = latest_reading(readings)
+    newest = latest_reading(readings, "temperature", "vibration")
     running = machines.filter(F.col("status") != "offline").select("machine_id")
     return score_readings(newest.join(running, "machine_id", "left_semi"))
 
@@ -50,6 +51,23 @@ def machine_updates(predictions: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def apply_scores(machines: DataFrame, updates: DataFrame) -> DataFrame:
+    """Machines after a scoring run; those without an update stay as they are."""
+    columns = [c for c in updates.columns if c != "machine_id"]
+    change = updates.withColumns({"seq": F.lit(0), SET: F.array(*[F.lit(c) for c in columns])})
+    return apply_changes(machines, change, "machine_id")
+
+
+def scoring_run(readings: DataFrame, machines: DataFrame, alerts: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """The every-minute job: predictions, machines after them, and the alerts it opens."""
+    predictions = score_fleet(readings, machines)
+    return {
+        "predictions": predictions,
+        "machines": apply_scores(machines, machine_updates(predictions, as_of)),
+        "alerts": machines_needing_alert(alert_candidates(predictions), alerts),
+    }
+
+
 def alert_candidates(predictions: DataFrame) -> DataFrame:
     """A pending alert for each high or critical prediction."""
     return predictions.filter(F.col("risk_level").isin("high", "critical")).select(

@@ -41,6 +41,16 @@ def t1_machines(d):
     return alerts.alarmed_machines(alerts.threshold_alerts(d.readings(), d.machines()))
 
 
+@query(
+    "t1_machines",
+    f"""SELECT machine_id, CASE WHEN machine_id IN (SELECT machine_id FROM {HIGH_ALARMS} a) THEN 'critical' ELSE risk_level END AS risk_level,
+          CASE WHEN machine_id IN (SELECT machine_id FROM {HIGH_ALARMS} a) THEN 'warning' ELSE status END AS status FROM fx_machines""",
+)
+def t1_after(d):
+    alarms = alerts.threshold_alerts(d.readings(), d.machines(), HIGH_LIMITS)
+    return alerts.apply_alarms(d.machines(), alarms).select("machine_id", "risk_level", "status")
+
+
 def _iso(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%f')"
 
@@ -77,6 +87,18 @@ def t2_updates(d):
     return scoring.machine_updates(scoring.score_fleet(d.readings(), d.machines()), AS_OF)
 
 
+@query(
+    "t2_machines",
+    f"""SELECT m.machine_id, coalesce(f.health_score, m.health_score) AS health_score, coalesce(f.risk_level, m.risk_level) AS risk_level,
+          coalesce(f.rul_hours, m.rul_hours) AS rul_hours, CASE f.risk_level WHEN 'critical' THEN 'critical' WHEN 'low' THEN 'normal'
+            WHEN 'high' THEN 'warning' WHEN 'medium' THEN 'warning' ELSE m.status END AS status
+        FROM fx_machines m LEFT JOIN {FLEET} f ON f.machine_id = m.machine_id""",
+)
+def t2_machines(d):
+    after = scoring.scoring_run(d.readings(), d.machines(), d.alerts(), AS_OF)["machines"]
+    return after.select("machine_id", "health_score", "risk_level", "rul_hours", "status")
+
+
 CANDIDATE = """SELECT md5(CAST(prediction_id AS VARCHAR) || '|alert') AS alert_id, machine_id, ts AS triggered_at, risk_level AS severity,
   'pending' AS status, false AS auto_escalated"""
 

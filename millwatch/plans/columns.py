@@ -44,7 +44,7 @@ def f5(d):
        FROM fx_machines m LEFT JOIN fx_latest_prediction p ON m.machine_id = p.machine_id""",
 )
 def f6(d):
-    return scoring.with_default_prediction(d.machines(), assets.latest_prediction(d.predictions()))
+    return scoring.with_default_prediction(d.machines(), assets.latest_prediction(d.predictions(), *health.NO_READINGS))
 
 
 @query(

@@ -74,7 +74,7 @@ def j5(d):
        AND NOT EXISTS (SELECT 1 FROM fx_active a WHERE a.machine_id = p.machine_id AND a.status = 'pending')""",
 )
 def j6(d):
-    worse = assets.latest_prediction(d.predictions()).filter(F.col("risk_level").isin("high", "critical", "medium"))
+    worse = assets.latest_prediction(d.predictions(), "risk_level").filter(F.col("risk_level").isin("high", "critical", "medium"))
     pending = d.alerts().filter(F.col("status") == "pending")
     return scoring.machines_needing_alert(worse, pending).select("prediction_id", "machine_id", F.col("risk_level").alias("severity"))
 
@@ -171,7 +171,8 @@ def j11(d):
        LEFT JOIN fx_latest_prediction p ON p.machine_id = t.machine_id""",
 )
 def j12(d):
-    detail = tickets.task_detail(d.tickets(), d.machines(), assets.latest_prediction(d.predictions()))
+    newest = assets.latest_prediction(d.predictions(), "failure_type", "confidence", "rul_hours")
+    detail = tickets.task_detail(d.tickets(), d.machines(), newest)
     return detail.select("ticket_id", "status", "machine_name", "machine_health", "predicted_failure", "predicted_rul_hours")
 
 
