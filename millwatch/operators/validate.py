@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millwatch import schemas
 from millwatch.operators.times import moment
@@ -85,13 +85,14 @@ def reject_orphans(readings: DataFrame, machines: DataFrame) -> tuple[DataFrame,
     return readings.join(known, "machine_id", "left_semi"), readings.join(known, "machine_id", "left_anti")
 
 
-def with_defaults(readings: DataFrame, as_of: str, machine_id: str | None = None) -> DataFrame:
-    """Fill what a sender may leave out: machine from the address, time of arrival, and an id that is
-    a function of the content."""
+def with_defaults(readings: DataFrame, as_of: str | Column, machine_id: str | None = None) -> DataFrame:
+    """Fill what a sender may leave out: machine from the address column, time of arrival, and an id
+    that is a function of the content."""
     filled = readings
     if machine_id is not None:
         filled = filled.withColumn("machine_id", F.coalesce("machine_id", F.col(machine_id)))
-    filled = filled.withColumn("timestamp", F.coalesce("timestamp", moment(as_of, readings, "timestamp")))
+    arrival = moment(as_of, readings, "timestamp") if isinstance(as_of, str) else as_of
+    filled = filled.withColumn("timestamp", F.coalesce("timestamp", arrival.cast(readings.schema["timestamp"].dataType)))
     content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("machine_id", "timestamp", "temperature", "vibration")]
     return filled.withColumn("reading_id", F.coalesce(F.col("reading_id").cast("string"), F.md5(F.concat_ws("|", *content))))
 

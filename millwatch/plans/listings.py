@@ -217,7 +217,7 @@ def s7(d):
 
 @query(
     "s8_partitioned_readings",
-    """SELECT reading_id, machine_id, ts AS "timestamp", temperature, CAST(ts AS DATE) AS day FROM fx_readings""",
+    """SELECT reading_id, machine_id, ts AS "timestamp", temperature, strftime(ts, '%Y-%m-%d') AS day FROM fx_readings""",
 )
 def s8(d):
     """Write the readings under day folders, then read them back."""

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Result types that every engine has: long, double, string, boolean, zone-less timestamp."""
+    """Result types that every engine has: long, double, string (also for days), boolean, zone-less timestamp."""
     casts = {}
     for field in df.schema.fields:
         kind = field.dataType.typeName()
@@ -38,4 +38,6 @@ def plain(df: DataFrame) -> DataFrame:
             casts[field.name] = "double"
         elif kind == "timestamp":
             casts[field.name] = "timestamp_ntz"
+        elif kind == "date":
+            casts[field.name] = "string"
     return df.withColumns({name: F.col(name).cast(kind) for name, kind in casts.items()}) if casts else df

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millwatch.operators.alerts import threshold_alerts
-from millwatch.operators.validate import SPECS, parse_json, with_problems
+from millwatch.operators.validate import SPECS, parse_json, with_defaults, with_problems
 from millwatch.schemas import INGEST_LIMITS, SENSORS
 from millwatch.streaming.runs import each_batch
 
@@ -18,14 +20,19 @@ def ingest(
 ):
     """Store JSON readings of ``raw(value)`` that are valid and name a known machine.
 
+    A reading without time takes the ``arrived`` column of ``raw``; without that column it is
+    rejected, for the clock would give a repeated batch other results. An absent id is made from the
+    content.
+
     Each batch writes ``readings``, ``alerts`` and ``rejected`` under its own number, so that a
     repeated batch replaces itself.
     """
     known = machines.select(F.col("machine_id").cast("string").alias("machine_id"), "name")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spec = SPECS["sensor_readings"]
-        checked = with_problems(parse_json(batch, "value", spec, FIELDS), spec)
+        spec = replace(SPECS["sensor_readings"], required=["timestamp", *SPECS["sensor_readings"].required])
+        arrived = F.col("arrived") if "arrived" in batch.columns else F.lit(None)
+        checked = with_problems(with_defaults(parse_json(batch, "value", spec, FIELDS), arrived), spec)
         checked = checked.join(known.select("machine_id", F.lit(True).alias("_known")), "machine_id", "left")
         orphan = F.col("machine_id").isNotNull() & F.col("_known").isNull()
         checked = checked.withColumn(

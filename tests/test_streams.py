@@ -127,6 +127,18 @@ def test_ingestion_job(spark, tmp_path, machines):
     assert sorted(r.type for r in ingest.read_out(spark, out, "alerts").collect()) == ["CRITICAL_TEMP", "CRITICAL_VIBE"]
 
 
+def test_ingestion_fills_time_and_id(spark, tmp_path, machines):
+    feed = tmp_path / "in"
+    bare = {k: v for k, v in reading(1, "M1", 0).items() if k not in ("reading_id", "timestamp")}
+    put(feed, "a", [bare])
+    ingest.ingest(spark.readStream.text(str(feed)), machines, str(tmp_path / "o1"), str(tmp_path / "c1")).awaitTermination()
+    assert ingest.read_out(spark, str(tmp_path / "o1"), "rejected").first().problems == ["timestamp: missing"]
+    timed = spark.readStream.text(str(feed)).withColumn("arrived", F.lit("2024-01-03 08:00:00").cast("timestamp"))
+    ingest.ingest(timed, machines, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
+    stored = ingest.read_out(spark, str(tmp_path / "o2"), "readings").first()
+    assert str(stored.timestamp) == "2024-01-03 08:00:00" and len(stored.reading_id) == 32
+
+
 def test_event_log_is_idempotent_and_keeps_order(spark, tmp_path):
     log = str(tmp_path / "log")
     envelope = lambda kind, s, **payload: {"value": json.dumps({"type": kind, "timestamp": at(s), "payload": payload})}
