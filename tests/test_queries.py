@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as contract
 from compare import compare, connect
 from conftest import SF
+from millwatch.plans import catalog
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
