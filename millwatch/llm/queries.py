@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import exact, linkgraph, mixing
+from millwatch.llm import bpe, exact, linkgraph, mixing
 from millwatch.llm.tables import table
 from millwatch.session import ship_package
 
@@ -22,6 +23,7 @@ def _over(name: str, build: Callable[..., DataFrame], *more: str) -> Callable[[S
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": _over("documents", lambda docs: bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))),
     "op3_exact_dedup": _over("documents", exact.exact_groups),
     "op9_url_filter": _over("pages", linkgraph.judge_pages),
     "op10_mixing": _over("documents", mixing.mixed_sizes),
