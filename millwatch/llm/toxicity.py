@@ -22,8 +22,8 @@ from millwatch.llm.words import blocks, split, to_bytes
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 BUCKETS = 1 << 20
 GRAM = 5
-SAMPLE_ROWS = 10_000
-FEATURES = 1000
+SAMPLE_ROWS = 20_000
+FEATURES = 300
 FOLDS = 4
 ROUNDS = 80
 THRESHOLD = 0.5
@@ -120,27 +120,35 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = S
     return chain(x, folds, [np.array([r[c] for r in train_rows], np.float64) for c in names], chosen)
 
 
-def _one(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of one category; a constant if it has one value only."""
+def _one(x: np.ndarray, y: np.ndarray, before: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of one category; a constant if it has one value only.
+
+    Features count by how far their rates inside and outside the category differ, so that rare tell-tale ones are learned as
+    fast as common ones. The last ``before`` columns, earlier categories' logits, are taken as they are.
+    """
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
         return np.zeros(x.shape[1]), float(np.log(rate / (1 - rate)))
-    w, b = train(x, y[:, None], l2=1e-5, rounds=ROUNDS, rate=0.2)
-    return w[:, 0], float(b[0])
+    own = x.shape[1] - before
+    inside, outside = x[y == 1, :own].sum(axis=0) + 0.5, x[y == 0, :own].sum(axis=0) + 0.5
+    scale = np.ones(x.shape[1], np.float32)
+    scale[:own] = np.abs(np.log(inside / (y.sum() + 1)) - np.log(outside / (len(y) - y.sum() + 1)))
+    w, b = train(x * scale, y[:, None], l2=3e-4, rounds=ROUNDS)
+    return w[:, 0] * scale, float(b[0])
 
 
 def chain(x: np.ndarray, folds: np.ndarray, labels: list[np.ndarray], features: np.ndarray) -> Model:
     """Fit the categories in order; each gets the earlier ones' out-of-fold logits as further columns of x."""
     weights, biases = [], []
-    for y in labels:
-        w, b = _one(x, y)
+    for i, y in enumerate(labels):
+        w, b = _one(x, y, i)
         weights.append(w)
         biases.append(b)
         out = np.full(len(y), b)
         for fold in np.unique(folds):
             held = folds == fold
             if not held.all():
-                fw, fb = _one(x[~held], y[~held])
+                fw, fb = _one(x[~held], y[~held], i)
                 out[held] = x[held] @ fw + fb
         x = np.column_stack((x, np.clip(out, -10, 10).astype(np.float32)))
     return Model(features, weights, biases)
