@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import bpe, exact, langid, linkgraph, mixing, toxicity
+from millwatch.llm import bpe, exact, langid, linkgraph, lm, mixing, toxicity
 from millwatch.llm.tables import table
 from millwatch.session import ship_package
 
@@ -24,6 +24,7 @@ def _over(name: str, build: Callable[..., DataFrame], *more: str) -> Callable[[S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": _over("documents", lambda docs: bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))),
+    "op2_lm_score": _over("documents", lm.score_texts),
     "op3_exact_dedup": _over("documents", exact.exact_groups),
     "op5_toxicity": _over("documents", toxicity.toxicity, "labels"),
     "op7_language": _over("documents", langid.identify),
