@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import bpe, exact, langid, linkgraph, lm, mixing, toxicity
+from millwatch.llm import bpe, exact, langid, linkgraph, lm, mixing, toxicity, vptree
 from millwatch.llm.tables import table
 from millwatch.session import ship_package
 
@@ -26,9 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": _over("documents", lambda docs: bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))),
     "op2_lm_score": _over("documents", lm.score_texts),
     "op3_exact_dedup": _over("documents", exact.exact_groups),
+    "op4_nearest": _over("embeddings", vptree.nearest),
     "op5_toxicity": _over("documents", toxicity.toxicity, "labels"),
     "op7_language": _over("documents", langid.identify),
     "op9_url_filter": _over("pages", linkgraph.judge_pages),
     "op10_mixing": _over("documents", mixing.mixed_sizes),
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact.SQL, "op9_url_filter": linkgraph.sql()}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact.SQL, "op4_nearest": vptree.SQL, "op9_url_filter": linkgraph.sql()}
