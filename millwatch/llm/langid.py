@@ -66,7 +66,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in _small(texts):
             x = frequencies(texts[a:b])
             some = [np.flatnonzero(r) for r in x]
-            yield pdf.iloc[a:b][["lang"]].assign(places=some, shares=[r[s] for r, s in zip(x, some)])
+            yield pdf.iloc[a:b][["lang"]].assign(places=[s.astype(np.int32).tobytes() for s in some], shares=[r[s].tobytes() for r, s in zip(x, some)])
 
 
 def _small(texts: list[bytes]):
@@ -84,12 +84,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", l
         return None
     parts = docs.sparkSession.createDataFrame([(k, int(min(1, per_language / n) * (1 << 30)) + 1) for k, n in sizes.items()], "l string, below long")
     some = rows.join(F.broadcast(parts), F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("below"))
-    sample = some.select("text", "lang").mapInPandas(_features, "lang string, places array<int>, shares array<float>").collect()
+    sample = some.select("text", "lang").mapInPandas(_features, "lang string, places binary, shares binary").collect()
     languages = sorted(sizes)
     codes = codewords(len(languages))
     x = np.zeros((len(sample), BUCKETS), np.float32)
     for row, r in zip(x, sample):
-        row[r["places"]] = r["shares"]
+        row[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["shares"], np.float32)
     number = {lang: i for i, lang in enumerate(languages)}
     y = (codes[[number[r["lang"]] for r in sample]] > 0).astype(np.float32)
     w, b = train(x, y, l2=1e-5, rounds=150)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import bpe, exact, jaccard, langid, linkgraph, lm, mixing, toxicity, vptree
+from millwatch.llm import bpe, exact, jaccard, langid, linkgraph, lm, mixing, suffix, toxicity, vptree
 from millwatch.llm.tables import table
 from millwatch.session import ship_package
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": _over("documents", exact.exact_groups),
     "op4_nearest": _over("embeddings", vptree.nearest),
     "op5_toxicity": _over("documents", toxicity.toxicity, "labels"),
+    "op6_suffix_dedup": _over("documents", suffix.remove_repeats),
     "op7_language": _over("documents", langid.identify),
     "op8_jaccard_join": _over("documents", jaccard.similar_documents),
     "op9_url_filter": _over("pages", linkgraph.judge_pages),

@@ -80,7 +80,7 @@ def _rows(features: np.ndarray, names: list[str]):
             for a, b in blocks(texts):
                 text, bucket = present(texts[a:b], wanted)
                 cut = np.searchsorted(text, np.arange(1, b - a))
-                yield pdf.iloc[a:b][["fold", *names]].assign(features=np.split(np.searchsorted(features, bucket).astype(np.int32), cut))
+                yield pdf.iloc[a:b][["fold", *names]].assign(features=[f.tobytes() for f in np.split(np.searchsorted(features, bucket).astype(np.int32), cut)])
 
     return run
 
@@ -112,10 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = S
             top = seen.select("bucket", ((F.col(c) - expected) ** 2 / expected).alias("chi")).orderBy(F.desc("chi"), "bucket").limit(features)
             best |= {r["bucket"] for r in top.collect()}
     chosen = np.array(sorted(best), np.int64)
-    train_rows = sample.mapInPandas(_rows(chosen, names), "fold int, " + ", ".join(f"{c} int" for c in names) + ", features array<int>").collect()
+    train_rows = sample.mapInPandas(_rows(chosen, names), "fold int, " + ", ".join(f"{c} int" for c in names) + ", features binary").collect()
     x = np.zeros((len(train_rows), len(chosen)), np.float32)
     for row, r in zip(x, train_rows):
-        row[r["features"]] = 1
+        row[np.frombuffer(r["features"], np.int32)] = 1
     folds = np.array([r["fold"] for r in train_rows], np.int64)
     return chain(x, folds, [np.array([r[c] for r in train_rows], np.float64) for c in names], chosen)
 
