@@ -1,13 +1,27 @@
-"""From raw documents to a training mix: toxicity, exact copies, near copies, mixing, tokens."""
+"""From raw documents to a tokenised training mix.
+
+Toxic documents go, then exact copies, then near copies; what is left is drawn by the sources' target weights and encoded.
+Every stage works on all that the one before kept, takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import exact, mixing
+from millwatch.llm import bpe, exact, jaccard, mixing, toxicity
 from millwatch.llm.tables import stored, table
 from millwatch.session import ship_package
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on ``labels``, does not reject."""
+    ship_package(spark)
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
@@ -15,15 +29,29 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar shingle sets stays."""
+    ship_package(spark)
+    return jaccard.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it."""
     ship_package(spark)
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", drop_copies), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every drawn document: doc_id, n_tokens, ids."""
+    ship_package(spark)
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode),
+]
 
-#: Sampling trees, trained models and merge tables have no SQL form; the stages are tested against brute force.
+#: A trained model, sampling trees and merge tables have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -20,6 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from millwatch.llm.tables import packed_id, unpacked
 from millwatch.llm.words import blocks
 
 # The white space of the vocabulary's pattern, and the byte alphabet's own printable ranges.
@@ -183,18 +184,19 @@ def _batches(batches: Iterator[pd.DataFrame], path: str, row) -> Iterator[pd.Dat
     merges = loaded(path)
     for pdf in batches:
         texts = ["" if t is None else t for t in pdf["text"]]
-        for a, b in blocks(texts):
+        for a, b in blocks(texts, 8 << 20):
             out = [row(ids, decoded) for ids, decoded in merges.encode(texts[a:b])]
             yield pdf.iloc[a:b][["doc_id"]].assign(**{k: [o[k] for o in out] for k in out[0]})
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, ids (array of int), decoded (string). Null and empty texts have no ids."""
+    """One row per row of docs: doc_id, n_tokens, ids (array of int). Null and empty texts have no ids."""
 
     def run(batches):
-        return _batches(batches, path, lambda ids, decoded: {"ids": [int(i) for i in ids.split()], "decoded": decoded})
+        row = lambda ids, _: {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": np.fromstring(ids, np.int32, sep=" ")}
+        return _batches(batches, path, row)
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return unpacked(docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>"))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,8 +210,8 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         row = lambda ids, decoded: {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids_sha256": _digest(ids), "decoded_sha256": _digest(decoded)}
         return _batches(batches, path, row)
 
-    plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return plain.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    plain = docs.select(packed_id(docs, key), docs[text].alias("text"))
+    return unpacked(plain.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -221,4 +223,5 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             yield pdf[["doc_id"]].assign(decoded=[" ".join([texts[i] for i in row if i in texts]) for row in pdf["ids"]])
 
     empty = F.array().cast("array<int>")
-    return tokens.select(tokens[key].cast("long").alias("doc_id"), F.coalesce(tokens[ids], empty).alias("ids")).mapInPandas(run, "doc_id long, decoded string")
+    plain = tokens.select(packed_id(tokens, key), F.coalesce(tokens[ids], empty).alias("ids"))
+    return unpacked(plain.mapInPandas(run, "doc_id long, decoded string"))

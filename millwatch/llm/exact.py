@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millwatch.llm import golomb
-from millwatch.llm.tables import SPACES, keep_rows, pieces, stored
+from millwatch.llm.tables import SPACES, keep_rows, packed_id, pieces, stored, unpacked
 
 SENDER_ROWS = 200_000
 
@@ -24,7 +24,7 @@ def normal(text: Column) -> Column:
 
 
 def _send(owner_bits: int):
-    def send(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = np.unique(pdf["print"].to_numpy().astype(np.int64).view(np.uint64))
         owner = values >> np.uint64(64 - owner_bits) if owner_bits else np.zeros(len(values), np.uint64)
         cut = np.flatnonzero(np.diff(owner, prepend=np.uint64(1 << 63)))
@@ -51,7 +51,7 @@ def _suspects(rows: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
     bitmaps = bitmaps.sort_values("owner")  # the owners' ranges follow each other, as the sorted values do
     flags = [np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(bitmaps["bits"], bitmaps["n"])]
     shared = np.concatenate(flags).astype(bool) | (count > 1)
-    return pd.DataFrame({"doc_id": rows["doc_id"][shared[place]].astype("Int64")})
+    return pd.DataFrame({"doc_id": rows["doc_id"][shared[place]]})
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,11 +70,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     total = rows.count()
     senders, owner_bits = max(16, pieces(total, SENDER_ROWS)), (pieces(total, 4 * SENDER_ROWS, 8) - 1).bit_length()
-    held = rows.select(F.pmod(F.xxhash64("row"), F.lit(senders)).cast("int").alias("sender"), "doc_id", "print")
+    held = rows.select(F.pmod(F.xxhash64("row"), F.lit(senders)).cast("int").alias("sender"), packed_id(rows, "doc_id"), "print")
     lists = held.groupBy("sender").applyInPandas(_send(owner_bits), "sender int, owner int, n long, low int, unary binary, rest binary")
     bitmaps = lists.groupBy("owner").applyInPandas(_answer, "sender int, owner int, n long, bits binary")
     suspects = held.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_suspects, "doc_id long")
-    suspects = stored(suspects, "exact-suspects")
+    suspects = stored(unpacked(suspects), "exact-suspects")
     texts = keep_rows(plain, suspects)
     groups = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.filter("group_size > 1").select(
@@ -93,11 +93,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     groups = stored(exact_groups(docs, key, text), "exact-groups")
     gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(normal(docs[text]), 256)
-    out = docs.join(gone, docs[key].cast("long").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
+    out = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")
     repeated = groups.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not repeated.isEmpty():
-        columns = out.columns
-        out = out.withColumn("_sha", F.sha2(normal(docs[text]), 256)).dropDuplicates([key, "_sha"]).select(*[f"`{c}`" for c in columns])
+        whole = out.select(F.struct("*").alias("doc"))  # so that no column of docs can have another's name
+        once = whole.groupBy(F.col("doc")[key].alias("id"), F.sha2(normal(F.col("doc")[text]), 256).alias("sha")).agg(F.first("doc").alias("doc"))
+        out = once.select("doc.*")
     return out
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm.components import components
-from millwatch.llm.tables import keep_rows, pieces, stored
+from millwatch.llm.tables import keep_rows, packed_id, pieces, stored, unpacked
 from millwatch.llm.words import blocks, mix, split, to_bytes
 
 SHINGLE = 3
@@ -91,7 +91,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] =
             base = np.cumsum(groups) - groups
             n = size[who]
             place = np.repeat(first[:-1][who], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            value = mix(hashes[place] + np.uint64((seed * 2 + step) * int(_C[2]) % (1 << 64)))
+            value = mix(hashes[place] + np.uint64(seed * int(_C[2]) % (1 << 64)))
             group = ((value >> np.uint64(32)) * np.repeat(groups, n).astype(np.uint64)) >> np.uint64(32)
             key = np.repeat(base, n) + group.astype(np.int64)
             order = np.argsort(key, kind="stable")
@@ -235,8 +235,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     are linked. Shingles are compared by 64-bit hashes.
     """
     plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    rows = plain.mapInPandas(_index, "doc_id long, n_shingles long, d1 long, d2 long, buckets array<long>")
-    rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "jaccard-rows")
+    rows = docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(_index, "doc_id long, n_shingles long, d1 long, d2 long, buckets array<long>")
+    rows = stored(unpacked(rows).withColumn("node", F.monotonically_increasing_id()), "jaccard-rows")
     name = ["n_shingles", "d1", "d2"]
     classes = stored(rows.filter("n_shingles > 0").groupBy(*name).agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "jaccard-classes")
     own = keep_rows(rows.select("node", "n_shingles", "buckets"), classes, "node")
@@ -276,4 +276,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     component has any id."""
     found = similar_documents(docs, key, text)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stored(gone, "jaccard-gone"), docs[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = stored(gone, "jaccard-gone")
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm.grams import grams, letters, train
+from millwatch.llm.tables import packed_id, unpacked
 from millwatch.llm.words import blocks, to_bytes
 
 SIZES = (1, 2, 3, 4)
@@ -124,10 +125,10 @@ def predict(docs: DataFrame, model: Model | None, close: float = CLOSE, key: str
                     ambiguous=known & (score - second < close),
                 )
 
-    plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), F.coalesce(docs[text].rlike("\\p{L}"), F.lit(False)).alias("letters"))
+    plain = docs.select(packed_id(docs, key), docs[text].alias("text"), F.coalesce(docs[text].rlike("\\p{L}"), F.lit(False)).alias("letters"))
     if model is None:
-        return plain.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
-    return plain.mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+        return unpacked(plain).select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
+    return unpacked(plain.mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean"))
 
 
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:

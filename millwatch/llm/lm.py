@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millwatch.llm.tables import stored
+from millwatch.llm.tables import packed_id, stored, unpacked
 from millwatch.llm.words import Words, blocks, split, to_bytes
 
 CLASSES = 1000
@@ -259,7 +259,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     learn from, all counts are 0. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), held_out(docs[key].cast("long")).alias("held_out"))
+    plain = docs.select(packed_id(docs, key), docs[text].alias("text"), held_out(docs[key].cast("long")).alias("held_out"))
     train_texts = plain.filter(~F.col("held_out"))
     counts = count_words(train_texts)
     voc, least = vocabulary(counts, train_texts.count())
@@ -270,7 +270,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         scorer = Scorer(*shared.value)
         for pdf in batches:
             rows = to_bytes(pdf["text"])
-            for a, b in blocks(rows, 4 << 20):
+            for a, b in blocks(rows):
                 yield pdf.iloc[a:b][["doc_id", "held_out"]].assign(**scorer.texts(rows[a:b]))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<long>, times array<long>"
@@ -280,7 +280,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rest = rest.groupBy(F.col("row").alias("r")).agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
     out = parts.drop("words", "times").join(rest, F.col("row") == F.col("r"), "left")
     more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return out.select(
+    return unpacked(out).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(voc.tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )

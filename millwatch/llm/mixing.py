@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from millwatch.llm.tables import SPACES, pieces, stored
 
 BLOCK_WORDS = 65_536
-SHARD_WORDS = 8_000_000
+SHARD_WORDS = 2_000_000
 MOST_COPIES = 3
 BINS = 4096
 
@@ -176,7 +176,6 @@ def mixed_documents(docs: DataFrame, seed: int = 17, key: str = "doc_id", **opti
     """The mix itself: every drawn document as often as it is drawn, all columns as they came, shard by shard in random order."""
     _, draws = mix(docs, seed=seed, key=key, **options)
     times = draws.groupBy(F.col("doc_id").alias("_id"), F.col("pass").alias("_pass")).agg(F.min("shard").alias("_shard"))
-    columns = [f"`{c}`" for c in docs.columns]
-    out = docs.join(times, docs[key].cast("long").eqNullSafe(F.col("_id")))
-    out = out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_id", "_pass"))
-    return out.select(*columns)
+    whole = docs.select(docs[key].cast("long").alias("id"), F.struct("*").alias("doc"))  # no column of docs can have another's name
+    out = whole.join(times, whole["id"].eqNullSafe(times["_id"]))
+    return out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_id", "_pass")).select("doc.*")

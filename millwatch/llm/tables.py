@@ -11,6 +11,8 @@ from millwatch.session import new_folder
 
 #: Words are runs of bytes outside these; the same set is used in SQL and in numpy.
 SPACES = "\\x20\\x09-\\x0D"
+#: Stands for a null id on the way through pandas, whose integers have no null.
+NO_ID = -(1 << 63)
 #: Rows up to this number may be broadcast (16 bytes each); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -31,6 +33,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def packed_id(docs: DataFrame, key: str) -> Column:
+    """The id as a long without nulls, named doc_id."""
+    return F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """df with the nulls of doc_id back in place."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
 def pieces(total: float, each: float, least: int = 1) -> int:
     """How many parts of a target size a total makes."""
     return max(least, int(-(-total // each)) if total else 1)
@@ -44,4 +56,4 @@ def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     wanted = ids.select(F.col(key).alias("_wanted")).distinct()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    return docs.join(wanted, docs[key].eqNullSafe(F.col("_wanted")), "left_semi")
+    return docs.join(wanted, docs[key].eqNullSafe(wanted["_wanted"]), "left_semi")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm.grams import grams, letters, sigmoid, train
-from millwatch.llm.tables import stored
+from millwatch.llm.tables import packed_id, stored, unpacked
 from millwatch.llm.words import blocks, split, to_bytes
 
 #: In the order of the chain: name, and when a label row belongs to it.
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, categories=CATEGORIES, threshold: flo
             yield out.assign(toxic=(out[names[-1]] >= threshold) & (pdf["text"].fillna("") != ""))
 
     schema = "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean"
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInPandas(run, schema)
+    return unpacked(docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(run, schema))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
