@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from millwatch.functions import gauges, health, texts
 from millwatch.functions.numbers import exact_mean, exact_sum, round_to
+from millwatch.operators.access import active_users
 from millwatch.operators.alerts import actionable
 from millwatch.operators.tickets import with_open_ticket_count
 from millwatch.schemas import GAUGE_LIMITS, SENSORS
@@ -206,10 +207,11 @@ def uptime_rule(machines: DataFrame) -> DataFrame:
     return machines.agg(F.when(mean > 50, 94.7).otherwise(78.2).alias("overall_uptime_percent"))
 
 
-def operator_kpis(machines: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Per operator: machines, critical machines, active alerts and mean health, where no score counts 0."""
+def operator_kpis(machines: DataFrame, alerts: DataFrame, users: DataFrame) -> DataFrame:
+    """Per active operator: machines, critical machines, active alerts and mean health, where no score counts 0; zeros for an
+    operator without machines."""
     active = actionable(alerts).groupBy("machine_id").agg(F.count("*").alias("_active"))
-    return (
+    own = (
         machines.filter(F.col("assigned_operator_id").isNotNull())
         .join(active, "machine_id", "left")
         .groupBy(F.col("assigned_operator_id").alias("operator_id"))
@@ -220,3 +222,5 @@ def operator_kpis(machines: DataFrame, alerts: DataFrame) -> DataFrame:
             exact_mean(F.coalesce("health_score", F.lit(0.0))).alias("average_health"),
         )
     )
+    operators = active_users(users).filter(F.col("role") == "operator").select(F.col("user_id").alias("operator_id"))
+    return operators.join(own, "operator_id", "left").fillna(0, ["machines", "critical_machines", "active_alerts", "average_health"])

@@ -29,9 +29,11 @@ def expenses(cost: DataFrame, grain: str = "month") -> DataFrame:
 
 
 def expenses_all_grains(cost: DataFrame) -> DataFrame:
-    """Both grains in one pass over the data."""
-    rolled = cost.rollup("year", "month").agg(
-        F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count"), F.grouping_id().alias("_grain")
+    """Both grains in one pass over the data; only the months' sums are rolled up."""
+    months = cost.groupBy("year", "month").agg(F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count"))
+    rolled = months.rollup("year", "month").agg(
+        F.sum("total_cost").cast(months.schema["total_cost"].dataType).alias("total_cost"),
+        F.sum("ticket_count").alias("ticket_count"), F.grouping_id().alias("_grain"),
     )
     yearly = F.col("_grain") == 1
     return rolled.filter(F.col("_grain") < 3).select(

@@ -30,18 +30,17 @@ def page_after_pair(df: DataFrame, time: str, row_id: str, last_time, last_id, l
     return df.filter(later).orderBy(F.col(time).desc(), F.col(row_id).desc()).limit(limit)
 
 
-def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = 20) -> DataFrame:
-    """One page, each row with total, page, size and number of pages (0 when the size is 0)."""
-    rows = page_offset(df, order, (page - 1) * size, size)
-    total = df.agg(F.count("*")).scalar()
-    rows = rows.withColumn("total", total)
+def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The rows of one page; and one row with total, page, size and number of pages (0 when the size is 0), which is
+    there on an empty page too."""
     pages = F.ceil(F.col("total") / F.lit(float(size))) if size else F.lit(0).cast("bigint")
-    return rows.withColumns({"page": F.lit(page), "size": F.lit(size), "pages": pages})
+    summary = df.agg(F.count("*").alias("total")).withColumns({"page": F.lit(page), "size": F.lit(size), "pages": pages})
+    return page_offset(df, order, (page - 1) * size, size), summary
 
 
 def names_of_page(page: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """The rows of ``names`` that a page needs; a page is small by its limit, so it is broadcast."""
-    return names.join(F.broadcast(page.select(key)), key, "left_semi")
+    """The rows of ``names`` that a page needs. A page is small by its limit; whether it is broadcast is left to its size."""
+    return names.join(page.select(key), key, "left_semi")
 
 
 def page_number(skip: int, limit: int) -> int:

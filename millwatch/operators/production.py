@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from millwatch.operators.changes import SET, apply_changes
 from millwatch.operators.tickets import open_tickets
+from millwatch.session import stored
 
 
 def schedules_with_machine(schedules: DataFrame, machines: DataFrame) -> DataFrame:
@@ -24,35 +25,62 @@ def update_schedules(schedules: DataFrame, changes: DataFrame) -> DataFrame:
     return apply_changes(schedules, changes.withColumn(SET, stated), "schedule_id")
 
 
+def _named(moves: DataFrame, machines: DataFrame) -> DataFrame:
+    """Moves with the names of both machines, null where a machine is unknown."""
+    names = machines.select("machine_id", "name")
+    return (
+        moves.join(names.select(F.col("machine_id").alias("source"), F.col("name").alias("source_name")), "source", "left")
+        .join(names.select(F.col("machine_id").alias("target"), F.col("name").alias("target_name")), "target", "left")
+    )
+
+
+def _last_of_chain(moves: DataFrame) -> DataFrame:
+    """seq of every move, and as ``last`` the move that its load makes last.
+
+    Load that a move brings to its target goes on with the first later move whose source is that target. These links are
+    joined with themselves, so that their length doubles, until none gets longer; each round is written to the shared folder.
+    """
+    leaves = moves.select(F.col("source").alias("machine"), "seq", F.lit(0).alias("side"), F.col("seq").alias("leave"))
+    arrives = moves.select(F.col("target").alias("machine"), "seq", F.lit(1), F.lit(None).cast(moves.schema["seq"].dataType))
+    later = Window.partitionBy("machine").orderBy("seq", "side").rowsBetween(1, Window.unboundedFollowing)
+    linked = leaves.union(arrives).withColumn("next", F.first("leave", ignorenulls=True).over(later)).filter("side = 1")
+    links = stored(linked.select("seq", F.coalesce("next", "seq").alias("end")), "move-links")
+    while True:
+        further = links.select(F.col("seq").alias("end"), F.col("end").alias("_end"))
+        longer = stored(links.join(further, "end").select("seq", F.col("_end").alias("end"), (F.col("_end") != F.col("end")).alias("grew")), "move-links")
+        links = longer.select("seq", "end")
+        if longer.filter("grew").isEmpty():
+            break
+    ends = moves.select(F.col("seq").alias("end"), F.struct("target", "source_name").alias("last"))
+    return links.join(ends, "end").select("seq", "last")
+
+
 def reallocate(
     machines: DataFrame, schedules: DataFrame, tickets: DataFrame, moves: DataFrame
 ) -> dict[str, DataFrame]:
-    """Move load off machines: ``moves(move_id, seq, source, target, user_id, moved_at)``.
+    """Move load off machines: ``moves(move_id, seq, source, target, user_id, moved_at)``, in the order of ``seq``.
 
-    Moves with an unknown machine are rejected. A source goes into maintenance; its schedules, as
-    they stand before the batch, follow the first move of that source and are on track again; a
-    source without an open ticket gets one; each move leaves an audit row and a notice.
+    Moves with an unknown machine are rejected. A source goes into maintenance; the schedules that are on it at that
+    moment follow and are on track again, so one may be moved several times; a source without an open ticket gets one; each
+    move leaves an audit row and a notice.
     """
-    names = machines.select("machine_id", "name")
-    resolved = (
-        moves.join(names.select(F.col("machine_id").alias("source"), F.col("name").alias("source_name")), "source", "left")
-        .join(names.select(F.col("machine_id").alias("target"), F.col("name").alias("target_name")), "target", "left")
-    )
+    resolved = stored(_named(moves, machines), "moves")
     valid = resolved.filter(F.col("source_name").isNotNull() & F.col("target_name").isNotNull())
     rejected = resolved.filter(F.col("source_name").isNull() | F.col("target_name").isNull()).select(
         "move_id", "source", "target", F.lit("Machine not found").alias("reason")
     )
     first = valid.groupBy("source").agg(
-        F.min_by(F.struct("target", "source_name", "target_name", "user_id", "moved_at"), "seq").alias("_move")
+        F.min_by(F.struct("seq", "target", "source_name", "target_name", "user_id", "moved_at"), "seq").alias("_move")
     ).select(F.col("source").alias("machine_id"), "_move")
     moved = F.col("_move").isNotNull()
+    last = first.select("machine_id", F.col("_move.seq").alias("seq")).join(_last_of_chain(valid), "seq").select("machine_id", F.col("last").alias("_move"))
     new_machines = (
         machines.join(first, "machine_id", "left")
         .withColumn("status", F.when(moved, "maintenance").otherwise(F.col("status")))
         .drop("_move")
     )
     new_schedules = (
-        schedules.join(first, "machine_id", "left")
+        schedules.join(last, "machine_id", "left")
         .withColumns(
             {
                 "machine_id": F.when(moved, F.col("_move.target")).otherwise(F.col("machine_id")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millwatch.functions.numbers import exact_mean, hours_between
+from millwatch.functions.numbers import MICROS_PER_HOUR, exact_mean, micros_between
 from millwatch.operators.changes import SET, apply_changes, known_changes
 from millwatch.schemas import FINISHED_TICKET
 
@@ -82,11 +82,11 @@ def mttr(tickets: DataFrame, by: str | None = None) -> DataFrame:
     """Mean repair hours of tickets that report them, and mean hours from opening to closing."""
     done = tickets.filter(F.col("time_taken_hours").isNotNull())
     groups = done.groupBy(by) if by else done.groupBy()
-    open_hours = hours_between(F.col("created_at"), F.col("closed_at"))
+    open_micros = micros_between(F.col("created_at"), F.col("closed_at")).cast("decimal(38,0)")
     return groups.agg(
         F.count("*").alias("repaired_tickets"),
         exact_mean(F.col("time_taken_hours")).alias("mttr_hours"),
-        exact_mean(open_hours).alias("mean_hours_to_close"),
+        (F.sum(open_micros).cast("double") / F.lit(MICROS_PER_HOUR) / F.count(open_micros)).alias("mean_hours_to_close"),
     )
 
 

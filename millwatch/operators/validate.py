@@ -17,6 +17,12 @@ class Spec:
     required: list[str] = field(default_factory=list)
     types: dict[str, str] = field(default_factory=dict)
     domains: dict[str, list[str]] = field(default_factory=dict)
+    patterns: dict[str, str] = field(default_factory=dict)
+
+
+#: Forms of text columns for a Spec's ``patterns``. Ids are checked only where a caller asks: keys may be numbers.
+UUID_FORM = "^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
+EMAIL_FORM = "^[^@\\s]+@[^@\\s.]+(\\.[^@\\s.]+)+$"
 
 
 SPECS = {
@@ -41,7 +47,10 @@ SPECS = {
         types={"repair_cost": "decimal(18,2)", "time_taken_hours": "double", "escalated": "boolean"},
         domains={"status": schemas.TICKET_STATUSES},
     ),
-    "users": Spec(required=["name", "email", "role"], types={"is_active": "boolean"}, domains={"role": schemas.ROLES}),
+    "users": Spec(
+        required=["name", "email", "role"], types={"is_active": "boolean"}, domains={"role": schemas.ROLES},
+        patterns={"email": EMAIL_FORM},
+    ),
     "mechanics": Spec(domains={"login_status": schemas.MECHANIC_STATUSES}),
     "production_schedules": Spec(
         required=["machine_id", "product"], types={"units_planned": "int"}, domains={"status": schemas.SCHEDULE_STATUSES}
@@ -62,6 +71,9 @@ def with_problems(df: DataFrame, spec: Spec) -> DataFrame:
     for column, words in spec.domains.items():
         if column in df.columns:
             found.append(F.when(~F.col(column).isin(words), F.lit(f"{column}: not allowed")))
+    for column, form in spec.patterns.items():
+        if column in df.columns:
+            found.append(F.when(~F.col(column).cast("string").rlike(form), F.lit(f"{column}: not of its form")))
     return df.withColumn("problems", F.array_compact(F.array(*found)))
 
 
@@ -98,17 +110,22 @@ def with_defaults(readings: DataFrame, as_of: str | Column, machine_id: str | No
 
 
 def insert_if_absent(base: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """New rows by key, the first of the batch in ``order`` (which must be total) winning; and the rest.
+    """New rows by key, the first of the batch in ``order`` winning; and the rest, each incoming row once.
 
-    Incoming copies of a key merge before the shuffle.
+    A tie in ``order`` is settled by the other columns; of rows that are the same in all columns one is new and the others are
+    rest. Rows without a key are rest. Incoming copies of a key merge before the shuffle.
     """
-    first = incoming.groupBy(key).agg(F.min_by(F.struct(*incoming.columns), F.struct(*order)).alias("_row"))
+    columns = [*order, *[c for c in incoming.columns if c not in order]]
+    row = F.struct(*columns)
+    keyed = incoming.filter(F.col(key).isNotNull())
+    first = keyed.groupBy(key).agg(F.min(row).alias("_row"))
     fresh = first.join(base.select(key).distinct(), key, "left_anti")
-    winner = fresh.select(key, F.struct(*[F.col(f"_row.{c}").alias(c) for c in order]).alias("_winner"))
-    rest = incoming.join(winner, key, "left").filter(
-        F.col("_winner").isNull() | (F.struct(*order) != F.col("_winner"))
-    )
-    return fresh.select("_row.*"), rest.drop("_winner")
+    matched = keyed.join(fresh.select(key, F.col("_row").alias("_winner")), key, "left")
+    lost = matched.filter(~row.eqNullSafe(F.col("_winner"))).drop("_winner")
+    same = matched.filter(row.eqNullSafe(F.col("_winner"))).groupBy(*columns).agg(F.count("*").alias("_n")).filter("_n > 1")
+    copies = same.withColumn("_n", F.explode(F.sequence(F.lit(2), F.col("_n")))).drop("_n")
+    rest = lost.unionByName(copies).unionByName(incoming.filter(F.col(key).isNull()))
+    return fresh.select(*[F.col(f"_row.{c}").alias(c) for c in incoming.columns]), rest
 
 
 def normalize_ids(df: DataFrame, columns: list[str]) -> DataFrame:

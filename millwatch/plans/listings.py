@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from millwatch.functions import health
 from millwatch.operators import access, admin, alerts, assets, events, paging, production, tickets, validate
@@ -136,11 +136,11 @@ def s3_domain(d):
 
 @query(
     "s4_known_readings",
-    "SELECT reading_id, machine_id, ts AS \"timestamp\" FROM fx_readings WHERE machine_id IN (SELECT machine_id FROM fx_machines WHERE status <> 'offline')",
+    "SELECT reading_id, machine_id, ts AS \"timestamp\" FROM fx_readings WHERE machine_id IN (SELECT machine_id FROM fx_machines)",
 )
 def s4_known(d):
-    serving = d.machines().filter(F.col("status") != "offline")
-    return validate.reject_orphans(d.readings(), serving)[0].select("reading_id", "machine_id", "timestamp")
+    """Every machine counts, whatever its status; the test readings are all of known ones."""
+    return validate.reject_orphans(d.readings(), d.machines())[0].select("reading_id", "machine_id", "timestamp")
 
 
 @query("s4_orphan_schedules", "SELECT schedule_id, machine_id FROM fx_schedules WHERE machine_id NOT IN (SELECT machine_id FROM fx_machines)")
@@ -185,18 +185,31 @@ def s6_inserted(d):
         FROM ({INCOMING}) i GROUP BY email HAVING copies > 0""",
 )
 def s6_skipped(d):
-    lines = _incoming(d).groupBy("user_id", "email").agg(F.sum("_n").alias("_n"))
-    numbered = lines.withColumn("line", F.lit(0))
-    first, rest = validate.insert_if_absent(d.users(), numbered, "email", ["user_id", "line"])
-    copies = first.withColumn("_n", F.col("_n") - 1).unionByName(rest)
-    return copies.filter("_n > 0").select("email", F.col("_n").alias("copies"))
+    """Of order lines alone, without the line's number: copies that tie in the order are told apart by number."""
+    lines = _incoming(d).select("user_id", "email")
+    rest = validate.insert_if_absent(d.users(), lines, "email", ["user_id"])[1]
+    return rest.groupBy("email").agg(F.count("*").alias("copies"))
+
+
+@query(
+    "s6_null_keys",
+    f"""SELECT l_partkey AS user_id, l_orderkey AS order_id FROM lineitem WHERE l_linenumber = 1""",
+)
+def s6_null_keys(d):
+    """Rows without a key are never inserted; here the first line of each order has none."""
+    lines = d.stored("lineitem").selectExpr(
+        "l_partkey AS user_id", "l_orderkey AS order_id", "l_linenumber AS line",
+        "CASE WHEN l_linenumber > 1 THEN 'line.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) END AS email",
+    )
+    rest = validate.insert_if_absent(d.users(), lines, "email", ["order_id", "line"])[1]
+    return rest.filter("email IS NULL").select("user_id", "order_id")
 
 
 def _incoming(d):
     """One sign-up per order line under the address of its part number."""
     return d.stored("lineitem").selectExpr(
         "l_partkey AS user_id", SUPPLIER_MAIL.format(key="l_partkey", text="STRING") + " AS email",
-        "l_orderkey * 8 + l_linenumber AS line", "1 AS _n",
+        "l_orderkey * 8 + l_linenumber AS line",
     )
 
 
@@ -392,13 +405,23 @@ def l1_after(d):
 
 @query(
     "l2_paginate",
-    """SELECT ticket_id, created_at, status, (SELECT count(*) FROM fx_tickets) AS total, CAST(3 AS BIGINT) AS page, CAST(20 AS BIGINT) AS size,
-         CAST(ceil((SELECT count(*) FROM fx_tickets) / 20.0E0) AS BIGINT) AS pages
-       FROM fx_tickets ORDER BY created_at DESC, ticket_id DESC LIMIT 20 OFFSET 40""",
+    """SELECT ticket_id, created_at, status FROM fx_tickets ORDER BY created_at DESC, ticket_id DESC LIMIT 20 OFFSET 40""",
 )
 def l2(d):
-    page = paging.paginate(d.tickets().select("ticket_id", "created_at", "status"), tickets.ticket_order(), 3, 20)
-    return page
+    return paging.paginate(d.tickets().select("ticket_id", "created_at", "status"), tickets.ticket_order(), 3, 20)[0]
+
+
+@query(
+    "l2_summary",
+    """SELECT (SELECT count(*) FROM fx_tickets) AS total, page, size, CASE WHEN size = 0 THEN 0
+         ELSE CAST(ceil((SELECT count(*) FROM fx_tickets) / CAST(size AS DOUBLE)) AS BIGINT) END AS pages
+       FROM (VALUES (CAST(3 AS BIGINT), CAST(20 AS BIGINT)), (1, 0), (1000000, 20)) AS asked (page, size)""",
+)
+def l2_summary(d):
+    """An inner page, a size of 0, and a page behind the last: the envelope is there all the same."""
+    asked = [(3, 20), (1, 0), (1_000_000, 20)]
+    rows = [paging.paginate(d.tickets(), tickets.ticket_order(), page, size)[1] for page, size in asked]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query("l3_newest_alerts", "SELECT alert_id, machine_id, triggered_at FROM fx_alerts ORDER BY triggered_at DESC, alert_id DESC LIMIT 5")
@@ -413,16 +436,13 @@ def l3_audit(d):
 
 @query(
     "l4_risk_order",
-    """SELECT machine_id, risk_level, CAST(row_number() OVER (ORDER BY CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1
-         WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, machine_id) AS BIGINT) AS position FROM fx_risk
-       ORDER BY position LIMIT 50""",
+    """SELECT machine_id, risk_level, CAST(CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1
+         WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS BIGINT) AS risk_order FROM fx_risk""",
 )
 def l4(d):
-    """The worst fifty machines, numbered after the cut."""
+    """Every machine with its place in the order, worst first; sort by it to show."""
     risk = assets.risk_overview(d.machines(), d.tickets()).select("machine_id", "risk_level")
-    top = paging.top_n(risk, [health.risk_order(F.col("risk_level")), F.col("machine_id")], 50)
-    order = Window.orderBy(health.risk_order(F.col("risk_level")), "machine_id")
-    return top.withColumn("position", F.row_number().over(order))
+    return risk.withColumn("risk_order", health.risk_order(F.col("risk_level")))
 
 
 @query(

@@ -121,6 +121,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(views) + ",\n" + body[5:]
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return opening + ",\n".join(views) + ",\n" + body[len(opening):]
     return "WITH " + ",\n".join(views) + "\n" + body

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millwatch.plans.oracle import with_views
+from millwatch.session import ship_package
 from millwatch.sources.demo import Demo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +20,7 @@ def query(name: str, sql: str | None = None):
     def add(build: Callable[[Demo], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: plain(build(Demo(spark, folder)))
+        QUERIES[name] = lambda spark, folder: plain(build(_demo(spark, folder)))
         if sql:
             ORACLES[name] = with_views(sql)
         return build
@@ -27,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _demo(spark: SparkSession, folder: str) -> Demo:
+    ship_package(spark)
+    return Demo(spark, folder)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Result types that every engine has: long, double, string (also for days), boolean, zone-less timestamp."""
     casts = {}

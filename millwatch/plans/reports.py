@@ -71,12 +71,12 @@ def j5(d):
 @query(
     "j6_machines_needing_alert",
     """SELECT prediction_id, machine_id, risk_level AS severity FROM fx_latest_prediction p WHERE risk_level IN ('high', 'critical', 'medium')
-       AND NOT EXISTS (SELECT 1 FROM fx_active a WHERE a.machine_id = p.machine_id AND a.status = 'pending')""",
+       AND NOT EXISTS (SELECT 1 FROM fx_active a WHERE a.machine_id = p.machine_id)""",
 )
 def j6(d):
+    """Candidates are machines whose newest prediction is medium or worse; any pending or escalated alert holds one back."""
     worse = assets.latest_prediction(d.predictions(), "risk_level").filter(F.col("risk_level").isin("high", "critical", "medium"))
-    pending = d.alerts().filter(F.col("status") == "pending")
-    return scoring.machines_needing_alert(worse, pending).select("prediction_id", "machine_id", F.col("risk_level").alias("severity"))
+    return scoring.machines_needing_alert(worse, d.alerts()).select("prediction_id", "machine_id", F.col("risk_level").alias("severity"))
 
 
 @query(
@@ -320,13 +320,13 @@ def a8(d):
     return assets.by_risk(assets.risk_overview(d.machines(), d.tickets()))
 
 
-CLOSE_HOURS = "CAST((epoch_us(closed_at) - epoch_us(created_at)) / 3600000000.0E0 AS DECIMAL(18,6))"
+CLOSE_HOURS = "CAST(sum(epoch_us(closed_at) - epoch_us(created_at)) AS DOUBLE) / 3600000000.0E0"
 
 
 @query(
     "a9_mttr",
     f"""SELECT count(*) AS repaired_tickets, CAST(sum(time_taken_hours) AS DOUBLE) / count(*) AS mttr_hours,
-         CAST(sum({CLOSE_HOURS}) AS DOUBLE) / count(closed_at) AS mean_hours_to_close FROM fx_tickets WHERE time_taken_hours IS NOT NULL""",
+         {CLOSE_HOURS} / count(closed_at) AS mean_hours_to_close FROM fx_tickets WHERE time_taken_hours IS NOT NULL""",
 )
 def a9(d):
     return tickets.mttr(d.tickets())
@@ -335,7 +335,7 @@ def a9(d):
 @query(
     "a9_mttr_by_machine",
     f"""SELECT machine_id, count(*) AS repaired_tickets, CAST(sum(time_taken_hours) AS DOUBLE) / count(*) AS mttr_hours,
-         CASE WHEN count(closed_at) > 0 THEN CAST(sum({CLOSE_HOURS}) AS DOUBLE) / count(closed_at) END AS mean_hours_to_close
+         CASE WHEN count(closed_at) > 0 THEN {CLOSE_HOURS} / count(closed_at) END AS mean_hours_to_close
        FROM fx_tickets WHERE time_taken_hours IS NOT NULL GROUP BY machine_id""",
 )
 def a9_machine(d):
@@ -371,14 +371,16 @@ def a11(d):
 
 @query(
     "a12_operator_kpis",
-    """SELECT assigned_operator_id AS operator_id, count(*) AS machines, count(*) FILTER (WHERE status = 'critical') AS critical_machines,
+    """SELECT u.user_id AS operator_id, count(m.machine_id) AS machines, count(*) FILTER (WHERE m.status = 'critical') AS critical_machines,
          CAST(coalesce(sum(n), 0) AS BIGINT) AS active_alerts,
-         CAST(sum(CAST(coalesce(health_score, 0) AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS average_health
-       FROM fx_machines m LEFT JOIN (SELECT machine_id, count(*) AS n FROM fx_active GROUP BY machine_id) a ON a.machine_id = m.machine_id
-       WHERE assigned_operator_id IS NOT NULL GROUP BY assigned_operator_id""",
+         CASE WHEN count(m.machine_id) = 0 THEN 0.0E0 ELSE
+           CAST(sum(CAST(coalesce(health_score, 0) AS DECIMAL(18,6))) FILTER (WHERE m.machine_id IS NOT NULL) AS DOUBLE) / count(m.machine_id) END AS average_health
+       FROM fx_users u LEFT JOIN fx_machines m ON m.assigned_operator_id = u.user_id
+       LEFT JOIN (SELECT machine_id, count(*) AS n FROM fx_active GROUP BY machine_id) a ON a.machine_id = m.machine_id
+       WHERE u.role = 'operator' AND u.is_active GROUP BY u.user_id""",
 )
 def a12(d):
-    return assets.operator_kpis(d.machines(), d.alerts())
+    return assets.operator_kpis(d.machines(), d.alerts(), d.users())
 
 
 @query(

@@ -259,9 +259,14 @@ def m5(d):
 
 @query(
     "m5_schedules",
-    f"""WITH {MOVE} SELECT schedule_id, coalesce(target, machine_id) AS machine_id, CASE WHEN target IS NULL THEN status ELSE 'on_track' END AS status,
+    f"""WITH RECURSIVE {MOVE},
+  hop AS (SELECT a.move_id, min(b.move_id) AS next_id FROM mv a JOIN mv b ON b.source = a.target AND b.move_id > a.move_id GROUP BY a.move_id),
+  walk AS (SELECT schedule_id, move_id FROM fx_schedules JOIN first_mv ON source = machine_id
+    UNION ALL SELECT schedule_id, next_id FROM walk JOIN hop USING (move_id)),
+  ended AS (SELECT schedule_id, max(move_id) AS move_id FROM walk GROUP BY schedule_id)
+SELECT s.schedule_id, coalesce(target, machine_id) AS machine_id, CASE WHEN target IS NULL THEN status ELSE 'on_track' END AS status,
           CASE WHEN target IS NULL THEN delay_reason ELSE 'Reallocated from ' || source_name END AS delay_reason
-        FROM fx_schedules LEFT JOIN first_mv ON source = machine_id""",
+        FROM fx_schedules s LEFT JOIN ended e ON e.schedule_id = s.schedule_id LEFT JOIN mv ON mv.move_id = e.move_id""",
 )
 def m5_schedules(d):
     return _reallocated(d, "schedules").select("schedule_id", "machine_id", "status", "delay_reason")

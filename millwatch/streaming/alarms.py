@@ -30,15 +30,20 @@ def dedupe_events(alerts: DataFrame, key: str = "alert_id") -> DataFrame:
     return alerts.dropDuplicatesWithinWatermark([key])
 
 
+def late_rows(batch: DataFrame, watermark: str, time: str = "event_time") -> DataFrame:
+    """Rows of a batch older than the watermark that the query had when the batch came, which stateful operators drop."""
+    return batch.filter(F.col(time) < F.lit(watermark).cast(batch.schema[time].dataType))
+
+
 class _Escalation(StatefulProcessor):
     """Per alert: when it is due, and the first answer."""
 
-    def __init__(self, minutes: int):
-        self.minutes = minutes
+    def __init__(self, minutes: int, machine_type: str):
+        self.minutes, self.machine_type = minutes, machine_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.alert = handle.getValueState("alert", "machine_id bigint, opened bigint, due bigint, answered bigint")
+        self.alert = handle.getValueState("alert", f"machine_id {self.machine_type}, opened bigint, due bigint, answered bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         machine, opened, due, answered = self.alert.get() if self.alert.exists() else (None, None, None, None)
@@ -69,13 +74,18 @@ class _Escalation(StatefulProcessor):
 
 def stream_escalations(events: DataFrame, minutes: int = ESCALATION_MINUTES) -> DataFrame:
     """Escalations of ``events(alert_id, machine_id, kind, event_time)`` with kind ``opened`` or
-    ``answered``: an alert without an answer by its tick is escalated when the watermark gets there."""
+    ``answered``: an alert without an answer by its tick is escalated when the watermark gets there.
+
+    Ids keep the types they come with. An answer that is later than the watermark is dropped by Spark, so its alert stays
+    escalated; ``late_rows`` finds such rows in a batch.
+    """
+    alert_type, machine_type = (events.schema[c].dataType.simpleString() for c in ("alert_id", "machine_id"))
     found = (
         events.withColumn("event_micros", F.unix_micros("event_time"))
         .groupBy("alert_id")
         .transformWithState(
-            statefulProcessor=_Escalation(minutes),
-            outputStructType="alert_id bigint, machine_id bigint, triggered_micros bigint, escalated_micros bigint",
+            statefulProcessor=_Escalation(minutes, machine_type),
+            outputStructType=f"alert_id {alert_type}, machine_id {machine_type}, triggered_micros bigint, escalated_micros bigint",
             outputMode="append", timeMode="eventTime",
         )
     )
@@ -129,7 +139,13 @@ class _OneActive(StatefulProcessor):
 def stream_dedupe_alerts(events: DataFrame) -> DataFrame:
     """One active alert per machine over ``events(machine_id, side, alert_id, severity, event_time)``,
     where side 0 is an answer and side 1 a candidate. Rows are taken in event-time order, minute by
-    minute as the watermark passes."""
+    minute as the watermark passes.
+
+    The machine id keeps the type it comes with. Rows later than the watermark are dropped by Spark: a late answer leaves its
+    machine open until the next one, so store what ``late_rows`` finds beside the result. All rows of a machine and minute are
+    kept in one state row.
+    """
+    machine_type = events.schema["machine_id"].dataType.simpleString()
     opened = (
         events.withColumns(
             {
@@ -140,7 +156,7 @@ def stream_dedupe_alerts(events: DataFrame) -> DataFrame:
         .groupBy("machine_id")
         .transformWithState(
             statefulProcessor=_OneActive(),
-            outputStructType="alert_id string, machine_id bigint, triggered_micros bigint, severity string",
+            outputStructType=f"alert_id string, machine_id {machine_type}, triggered_micros bigint, severity string",
             outputMode="append", timeMode="eventTime",
         )
     )

@@ -73,16 +73,17 @@ def current_state(base: DataFrame, log: DataFrame, key: str) -> DataFrame:
 
 
 def current_alerts(base: DataFrame, log: DataFrame) -> DataFrame:
-    """Alerts after the log: new ids are added once, then updates apply."""
+    """Alerts after the log: new ids are added once, then updates apply; an escalation states ``auto_escalated`` by itself."""
     shape = StructType([StructField(f.name, f.dataType) for f in base.schema.fields])
     new = log.filter(F.col("type") == "alert_new").select(
         F.from_json("payload", shape).alias("_p"), _order().alias("_seq")
     ).select("_p.*", "_seq").filter(F.col("alert_id").isNotNull())
     added, _ = insert_if_absent(base, new, "alert_id", ["_seq"])
-    changed = log.filter(F.col("type") == "alert_escalated").withColumn(
-        "payload", F.regexp_replace("payload", r"\}$", ',"auto_escalated":true}')
+    everything = base.unionByName(added.drop("_seq"))
+    changed = _stated(log.filter(F.col("type") == "alert_escalated"), everything, "alert_id").withColumns(
+        {"auto_escalated": F.lit(True), SET: F.array_union(SET, F.array(F.lit("auto_escalated")))}
     )
-    return current_state(base.unionByName(added.drop("_seq")), changed, "alert_id")
+    return apply_changes(everything, changed, "alert_id")
 
 
 def compact(state: DataFrame, path: str) -> None:

@@ -183,10 +183,12 @@ def test_reallocate_one_machine(spark, fleet, shop):
 
 def test_pages(spark):
     rows = spark.range(45).withColumnRenamed("id", "n")
-    page = paging.paginate(rows, [F.col("n").desc()], 3, 20).collect()
-    assert [r.n for r in page] == [4, 3, 2, 1, 0]
-    assert (page[0].total, page[0].page, page[0].size, page[0].pages) == (45, 3, 20, 3)
-    assert paging.paginate(rows, [F.col("n")], 1, 0).count() == 0
+    page, summary = paging.paginate(rows, [F.col("n").desc()], 3, 20)
+    assert [r.n for r in page.collect()] == [4, 3, 2, 1, 0]
+    assert tuple(summary.first()) == (45, 3, 20, 3)
+    for number, size, pages in ((1, 0, 0), (1_000_000, 20, 3)):
+        page, summary = paging.paginate(rows, [F.col("n")], number, size)
+        assert page.count() == 0 and tuple(summary.first()) == (45, number, size, pages)
     assert [r.n for r in paging.page_after(rows, "n", 41, 2).collect()] == [42, 43]
     assert [r.n for r in paging.page_after(rows, "n", 2, 5, descending=True).collect()] == [1, 0]
     assert paging.page_number(100, 50) == 3

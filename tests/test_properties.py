@@ -6,8 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.functions import health
-from millwatch.operators import alerts, assets, changes, times, validate
+from millwatch.functions import health, numbers
+from millwatch.operators import alerts, assets, changes, production, scoring, tickets, times, validate
 
 START = datetime(2024, 1, 1)
 
@@ -130,6 +130,64 @@ def test_insert_if_absent_keeps_every_row_once(spark):
     assert {tuple(r) for r in rest.collect()} == {("a", 1), ("c", 3), ("d", 5), ("d", 6)}
 
 
+def test_insert_if_absent_with_null_keys_and_ties(spark):
+    base = spark.createDataFrame([("a",), (None,)], "mail string")
+    incoming = [(None, 1, "x"), (None, 2, "y"), ("c", 5, "p"), ("c", 5, "o"), ("c", 5, "o"), ("c", 5, "o"), ("a", 1, "z")]
+    fresh, rest = validate.insert_if_absent(base, spark.createDataFrame(incoming, "mail string, n int, t string"), "mail", ["n"])
+    assert [tuple(r) for r in fresh.collect()] == [("c", 5, "o")]
+    want = list(incoming)
+    want.remove(("c", 5, "o"))
+    assert sorted(map(str, (tuple(r) for r in rest.collect()))) == sorted(map(str, want))
+
+
+def test_sums_keep_small_and_large_values(spark):
+    sums = lambda values: spark.createDataFrame([(v,) for v in values], "v double").agg(numbers.exact_sum(F.col("v")).alias("s")).first().s
+    assert sums([1e-7] * 10) == 1e-6 and sums([1e12, 0.5]) == 1e12 + 0.5
+
+
+def test_mean_time_to_close_is_exact(spark):
+    opened = datetime(2024, 1, 1)
+    rows = [(i, 1.0, opened, opened + timedelta(microseconds=us)) for i, us in enumerate((1500, 1700))]
+    found = tickets.mttr(spark.createDataFrame(rows, "id int, time_taken_hours double, created_at timestamp, closed_at timestamp")).first()
+    assert found.mean_hours_to_close == 3200 / 3600000000.0 / 2
+
+
+def test_scoring_run_opens_alerts_only_where_none_is_open(spark):
+    at = datetime(2024, 1, 1)
+    readings = spark.createDataFrame([(i, f"M{i}", at, 120.0, 60.0) for i in range(4)], "reading_id int, machine_id string, timestamp timestamp, temperature double, vibration double")
+    machines = spark.createDataFrame(
+        [(f"M{i}", "normal", 0.0, "low", 0.0, at) for i in range(4)],
+        "machine_id string, status string, health_score double, risk_level string, rul_hours double, last_updated timestamp",
+    )
+    alerts = spark.createDataFrame(
+        [("A0", "M0", "pending", "low"), ("A1", "M1", "escalated", "medium"), ("A2", "M2", "acknowledged", "critical"), ("A3", "M2", "resolved", "critical")],
+        "alert_id string, machine_id string, status string, severity string",
+    )
+    opened = scoring.scoring_run(readings, machines, alerts, "2024-01-02 00:00:00")["alerts"]
+    assert sorted(r.machine_id for r in opened.collect()) == ["M2", "M3"]
+
+
+def test_moves_are_taken_in_order(spark):
+    rng = random.Random(21)
+    machines = [(f"M{i}", f"name {i}", "normal") for i in range(12)]
+    moves = [(f"V{s}", s, f"M{rng.randrange(14)}", f"M{rng.randrange(12)}", "u", datetime(2024, 1, 1)) for s in range(60)]
+    place = {f"S{i}": (f"M{rng.randrange(12)}", "delayed", None) for i in range(40)}
+    frame = spark.createDataFrame([(s, m, st, r) for s, (m, st, r) in place.items()], "schedule_id string, machine_id string, status string, delay_reason string")
+    out = production.reallocate(
+        spark.createDataFrame(machines, "machine_id string, name string, status string"), frame,
+        spark.createDataFrame([], "ticket_id string, machine_id string, status string"),
+        spark.createDataFrame(moves, "move_id string, seq int, source string, target string, user_id string, moved_at timestamp"),
+    )
+    names = {m: n for m, n, _ in machines}
+    for _, _, source, target, _, _ in moves:
+        if source in names and target in names:
+            for s, (machine, _, _) in place.items():
+                if machine == source:
+                    place[s] = (target, "on_track", f"Reallocated from {names[source]}")
+    got = {r.schedule_id: (r.machine_id, r.status, r.delay_reason) for r in out["schedules"].collect()}
+    assert got == place
+
+
 def test_newest_rows(spark):
     rows = list(skewed(7, 1200, True))
     df = spark.createDataFrame(rows, "reading_id long, machine_id long, timestamp timestamp")

@@ -58,42 +58,42 @@ def test_scores_of_closed_windows(spark, tmp_path):
         assert row.asDict() == want[key].asDict()
 
 
-LINE = "alert_id bigint, machine_id bigint, kind string, event_time timestamp"
-
-
-def test_escalations(spark, tmp_path):
+@pytest.mark.parametrize("kind, name", [("bigint", int), ("string", "A{}".format)])
+def test_escalations(spark, tmp_path, kind, name):
     feed = tmp_path / "in"
-    opened = lambda a, s: {"alert_id": a, "machine_id": 1, "kind": "opened", "event_time": at(s)}
-    answered = lambda a, s: {"alert_id": a, "machine_id": 1, "kind": "answered", "event_time": at(s)}
+    opened = lambda a, s: {"alert_id": name(a), "machine_id": name(1), "kind": "opened", "event_time": at(s)}
+    answered = lambda a, s: {"alert_id": name(a), "machine_id": name(1), "kind": "answered", "event_time": at(s)}
     runs.use_rocksdb(spark)
-    stream = lambda: alarms.stream_escalations(event_time(spark.readStream.schema(LINE).json(str(feed)), "event_time"))
+    line = f"alert_id {kind}, machine_id {kind}, kind string, event_time timestamp"
+    stream = lambda: alarms.stream_escalations(event_time(spark.readStream.schema(line).json(str(feed)), "event_time"))
     put(feed, "a", [opened(1, 0), opened(2, 1), answered(2, 200), answered(3, 10), opened(4, 100), opened(5, 110)])
     assert finish(spark, stream(), tmp_path) == []
     put(feed, "b", [opened(3, 5), answered(4, 421), answered(5, 420), opened(6, 5000)])
     got = {r.alert_id: (r.triggered_at, r.escalated_at) for r in finish(spark, stream(), tmp_path)}
     want = {1: (0, 300), 4: (100, 420)}
-    assert got == {a: (START + timedelta(seconds=t), START + timedelta(seconds=e)) for a, (t, e) in want.items()}
+    assert got == {name(a): (START + timedelta(seconds=t), START + timedelta(seconds=e)) for a, (t, e) in want.items()}
 
 
-def test_dedupe_stream_equals_batch_in_any_arrival_order(spark, tmp_path):
+@pytest.mark.parametrize("kind, name", [("bigint", int), ("string", "M{}".format)])
+def test_dedupe_stream_equals_batch_in_any_arrival_order(spark, tmp_path, kind, name):
     import random
 
     rng = random.Random(8)
     rows = []
     for i in range(400):
-        machine = 0 if rng.random() < 0.34 else rng.randrange(1, 6)
+        machine = name(0 if rng.random() < 0.34 else rng.randrange(1, 6))
         side = 0 if rng.random() < 0.3 else 1
         rows.append({"machine_id": machine, "side": side, "alert_id": f"A{i:04d}" if side else None, "severity": "high" if side else None, "event_time": at(i * 20 + rng.random())})
     feed = tmp_path / "in"
     runs.use_rocksdb(spark)
-    schema = "machine_id bigint, side int, alert_id string, severity string, event_time timestamp"
+    schema = f"machine_id {kind}, side int, alert_id string, severity string, event_time timestamp"
     stream = lambda: alarms.stream_dedupe_alerts(event_time(spark.readStream.schema(schema).json(str(feed)), "event_time"))
     for part in range(4):
         some = rows[part * 100 : part * 100 + 100]
         rng.shuffle(some)
         put(feed, f"p{part}", some)
         got = finish(spark, stream(), tmp_path)
-    put(feed, "end", [{"machine_id": 99, "side": 0, "alert_id": None, "severity": None, "event_time": at(400 * 20 + 3600)}])
+    put(feed, "end", [{"machine_id": name(99), "side": 0, "alert_id": None, "severity": None, "event_time": at(400 * 20 + 3600)}])
     got = {r.alert_id for r in finish(spark, stream(), tmp_path)}
     given = spark.createDataFrame([(r["machine_id"], r["side"], r["alert_id"], r["severity"], datetime.fromisoformat(r["event_time"])) for r in rows], schema)
     candidates = given.filter("side = 1").select("alert_id", "machine_id", F.col("event_time").alias("triggered_at"), "severity")
