@@ -38,6 +38,23 @@ def notices(events: DataFrame, kind: str, time: str, entity_id: str, message: st
     )
 
 
+def notices_by_kind(events: DataFrame, kinds: list[tuple[str, Column, str | None]], time: str, entity_id: str) -> DataFrame:
+    """Notices of several kinds from one pass over the events: (kind, which rows, column of an own message)."""
+    made = []
+    for kind, rows, message in kinds:
+        title, text, link = NOTICES[kind]
+        shown = F.coalesce(F.col(message), F.lit(text)) if message else F.lit(text)
+        made.append(F.when(rows, F.struct(
+            F.lit(kind).alias("type"), F.lit(title).alias("title"), shown.alias("message"), F.lit(link).alias("link"),
+        )))
+    found = events.select(entity_id, time, F.explode(F.array_compact(F.array(*made))).alias("_n"))
+    return found.select(
+        F.concat(F.col("_n.type"), F.lit(":"), F.col(entity_id).cast("string")).alias("notification_id"),
+        "_n.type", "_n.title", "_n.message", "_n.link", F.lit(False).alias("read"),
+        F.col(entity_id).cast("string").alias("entity_id"), F.col(time).alias("timestamp"),
+    )
+
+
 def notification_feed(*kinds: DataFrame) -> DataFrame:
     """All notices in one shape; sort with ``feed_order``."""
     feed = kinds[0]

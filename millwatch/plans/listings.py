@@ -473,12 +473,14 @@ def l4_matrix(d):
 def u1(d):
     shown, jobs = d.alerts(), d.tickets().withColumn("text", F.concat(F.lit("Ticket is "), "status"))
     status = F.col("status")
+    alert_kinds = [("alert_new", F.lit(True), None), ("alert_escalated", status == "escalated", None)]
+    ticket_kinds = [
+        ("ticket_assigned", status == "assigned", None), ("ticket_closed", status == "closed", None),
+        ("ticket_updated", ~status.isin("assigned", "closed"), "text"),
+    ]
     return events.notification_feed(
-        events.notices(shown, "alert_new", "triggered_at", "alert_id"),
-        events.notices(shown.filter(status == "escalated"), "alert_escalated", "triggered_at", "alert_id"),
-        events.notices(jobs.filter(status == "assigned"), "ticket_assigned", "created_at", "ticket_id"),
-        events.notices(jobs.filter(status == "closed"), "ticket_closed", "created_at", "ticket_id"),
-        events.notices(jobs.filter(~status.isin("assigned", "closed")), "ticket_updated", "created_at", "ticket_id", "text"),
+        events.notices_by_kind(shown, alert_kinds, "triggered_at", "alert_id"),
+        events.notices_by_kind(jobs, ticket_kinds, "created_at", "ticket_id"),
     )
 
 

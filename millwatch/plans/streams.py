@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from millwatch.operators import alerts, events, scoring
-from millwatch.plans.alarms import HIGH_ALARMS, HIGH_LIMITS
+from millwatch.plans.alarms import FLEET, HIGH_ALARMS, HIGH_LIMITS
 from millwatch.plans.registry import query
 from millwatch.session import new_folder
 from millwatch.sources.demo import READING_COLUMNS, STORED
 from millwatch.sources.feed import event_time
-from millwatch.streaming import alarms, runs, state
+from millwatch.streaming import alarms, newest, runs, state
 
 MARK = "(SELECT date_trunc('milliseconds', max({time})) - INTERVAL 10 MINUTE FROM {rows})"
 
@@ -58,6 +58,20 @@ def t2_stream(d):
     return results(d, alarms.stream_scores(reading_stream(d)).drop("model_version"))
 
 
+@query(
+    "t2_score_kept",
+    f"""SELECT prediction_id, machine_id, ts AS "timestamp", health_score, risk_level, rul_hours, failure_type, confidence FROM {FLEET} f""",
+)
+def t2_kept(d):
+    """The fleet scored from the table of newest readings that a stream keeps, without a look at the history."""
+    folder = new_folder(d.spark, "newest")
+    readings = event_files(d).selectExpr(*READING_COLUMNS)
+    newest.rebuild_newest(d.readings().limit(0).select(*readings.columns), f"{folder}/table")
+    newest.keep_newest(readings, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    kept = newest.newest_kept(d.spark, f"{folder}/table", readings.schema)
+    return scoring.score_fleet(kept, d.machines()).drop("model_version")
+
+
 def alert_stream(d) -> DataFrame:
     return event_time(
         event_files(d).selectExpr(*READING_COLUMNS).filter("temperature > 60").selectExpr(

@@ -6,11 +6,13 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millwatch.operators.alerts import threshold_alerts
+from millwatch.operators.alerts import alarm_payload, alarmed_machines, threshold_alerts
+from millwatch.operators.events import to_event_json
 from millwatch.operators.validate import SPECS, parse_json, with_defaults, with_problems
 from millwatch.schemas import INGEST_LIMITS, SENSORS
 from millwatch.streaming.runs import each_batch
 
+STORED_IDS = "reading_id string, date date, batch long"
 FIELDS = ["reading_id", "machine_id", "timestamp", *SENSORS]
 
 
@@ -24,8 +26,10 @@ def ingest(
     rejected, for the clock would give a repeated batch other results. An absent id is made from the
     content.
 
-    Each batch writes ``readings``, ``alerts`` and ``rejected`` under its own number, so that a
-    repeated batch replaces itself.
+    A reading whose id is stored for its day already, or comes twice in a batch, is ignored.
+
+    Each batch writes ``readings``, ``alerts``, ``rejected``, ``machine_changes`` (what the alarms set on their machines)
+    and ``events`` (one ``alert_new`` envelope per alarm) under its own number, so that a repeated batch replaces itself.
     """
     known = machines.select(F.col("machine_id").cast("string").alias("machine_id"), "name")
 
@@ -41,14 +45,21 @@ def ingest(
         checked = checked.drop("_known").persist()
         good = F.size("problems") == 0
         typed = [F.col(c).try_cast(spec.types[c]).alias(c) if c in spec.types else F.col(c) for c in FIELDS]
-        stored = checked.filter(good).select(*typed).withColumn("date", F.to_date("timestamp"))
-        readings = f"{out}/readings/batch={batch_id}"
-        stored.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date").parquet(readings)
-        checked.filter(~good).select("value", "problems").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
-        threshold_alerts(checked.filter(good).select(*typed), known, limits).write.mode("overwrite").parquet(
-            f"{out}/alerts/batch={batch_id}"
-        )
-        checked.unpersist()
+        fresh = checked.filter(good).select(*typed).withColumn("date", F.to_date("timestamp")).dropDuplicates(["date", "reading_id"])
+        if batch_id:
+            before = batch.sparkSession.read.schema(STORED_IDS).parquet(f"{out}/readings").filter(F.col("batch") < batch_id)
+            fresh = fresh.join(before, ["date", "reading_id"], "left_anti")
+        fresh = fresh.persist()
+        write = lambda df, part: df.write.mode("overwrite").parquet(f"{out}/{part}/batch={batch_id}")
+        by_day = fresh.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date")
+        by_day.parquet(f"{out}/readings/batch={batch_id}")
+        write(checked.filter(~good).select("value", "problems"), "rejected")
+        alarms = threshold_alerts(fresh.drop("date"), known, limits).persist()
+        write(alarms, "alerts")
+        write(alarmed_machines(alarms), "machine_changes")
+        write(to_event_json(alarm_payload(alarms), "alert_new", "triggered_at"), "events")
+        for frame in (alarms, fresh, checked):
+            frame.unpersist()
 
     return each_batch(raw, store, checkpoint, every)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millwatch.operators import alerts, events, scoring
 from millwatch.sources.feed import event_time, read_sensor_stream
-from millwatch.streaming import alarms, ingest, runs, state
+from millwatch.streaming import alarms, ingest, newest, runs, state
 
 START = datetime(2024, 1, 1, 10, 0, 0)
 SENSOR = {"pressure": 4.0, "current": 12.0, "rpm": 1800.0, "noise_level": 60.0}
@@ -118,13 +118,33 @@ def test_ingestion_job(spark, tmp_path, machines):
     put(feed, "a", [reading(1, "M1", 0, t=90.5), reading(2, "M9", 1), bad, reading(4, "M2", 86400)])
     raw = lambda: spark.readStream.text(str(feed))
     ingest.ingest(raw(), machines, out, str(tmp_path / "cp")).awaitTermination()
-    put(feed, "b", [reading(5, "M2", 3, v=2.0)])
+    put(feed, "b", [reading(5, "M2", 3, v=2.0), reading(5, "M2", 3, v=2.0), reading(1, "M1", 0, t=90.5)])
     ingest.ingest(raw(), machines, out, str(tmp_path / "cp")).awaitTermination()
     stored = ingest.read_out(spark, out, "readings")
     assert sorted(r.reading_id for r in stored.collect()) == ["R1", "R4", "R5"]
     assert stored.filter("date = DATE '2024-01-02'").count() == 1
     assert sorted(p for r in ingest.read_out(spark, out, "rejected").collect() for p in r.problems) == ["machine_id: not found", "temperature: not double"]
     assert sorted(r.type for r in ingest.read_out(spark, out, "alerts").collect()) == ["CRITICAL_TEMP", "CRITICAL_VIBE"]
+    changed = ingest.read_out(spark, out, "machine_changes").select("machine_id", "risk_level", "status").collect()
+    assert sorted(tuple(r) for r in changed) == [("M1", "critical", "warning"), ("M2", "critical", "warning")]
+    sent = [json.loads(r.value) for r in ingest.read_out(spark, out, "events").collect()]
+    assert sorted((e["type"], e["payload"]["machine_id"]) for e in sent) == [("alert_new", "M1"), ("alert_new", "M2")]
+
+
+def test_newest_reading_is_kept_without_the_history(spark, tmp_path, machines):
+    feed, table = tmp_path / "in", str(tmp_path / "newest")
+    stream = lambda: read_sensor_stream(spark, str(feed))
+    put(feed, "a", [reading(1, "M1", 5), reading(2, "M1", 50, t=45.0), reading(3, "M2", 70, t=90.5)])
+    schema = stream().schema
+    newest.rebuild_newest(spark.createDataFrame([], schema), table)
+    for name, rows in (("b", [reading(4, "M1", 20), reading(5, "M2", 2000)]), ("c", [reading(6, "M1", 60)])):
+        newest.keep_newest(stream(), table, str(tmp_path / "cp")).awaitTermination()
+        put(feed, name, rows)
+    newest.keep_newest(stream(), table, str(tmp_path / "cp")).awaitTermination()
+    kept = newest.newest_kept(spark, table, schema)
+    assert {r.machine_id: r.reading_id for r in kept.collect()} == {"M1": "R6", "M2": "R5"}
+    plan = scoring.score_fleet(kept, machines.withColumn("status", F.lit("normal")))
+    assert all("/newest/slot=" in f for f in plan.inputFiles())
 
 
 def test_ingestion_fills_time_and_id(spark, tmp_path, machines):
