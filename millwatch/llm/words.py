@@ -93,7 +93,7 @@ def split(texts: list[bytes], lower: bool = True) -> Words:
     return Words(data, start, end, np.searchsorted(start, starts), slices(sums, inverse, start, end))
 
 
-def blocks(texts, size: int = 8 << 20):
+def blocks(texts, size: int = 2 << 20):
     """(from, to) of consecutive texts that have about ``size`` bytes together; a longer text is alone."""
     at, total = 0, 0
     for i, text in enumerate(texts):
