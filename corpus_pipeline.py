@@ -30,9 +30,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar shingle sets stays."""
+    """One document of each component stays; links are five-word shingle sets with a similarity of 0.8 or more."""
     ship_package(spark)
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, size=5, similar=(4, 5))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+
+LISTS = "sender int, owner int, n long, low int, unary binary, rest binary"
+BITMAPS = "sender int, owner int, n long, bits binary"
 
 
 def encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -39,3 +43,27 @@ def decode(n: int, low: int, unary: bytes, rest: bytes) -> np.ndarray:
         planes[:, 8 - whole :] = np.frombuffer(rest[size:], np.uint8).reshape(n, whole)
     remainder = planes.view(">u8")[:, 0].astype(np.uint64)
     return np.cumsum((quotient.astype(np.uint64) << np.uint64(low)) | remainder, dtype=np.uint64)
+
+
+def lists(sender: int, values: np.ndarray, bits: int, owner_bits: int) -> pd.DataFrame:
+    """A sender's distinct sorted values of so many bits, one coded list per owner (the top bits)."""
+    shift = np.uint64(bits - owner_bits)
+    owner = values >> shift
+    cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(values) else []
+    rows = [(sender, int(owner[a]), b - a, *encode(values[a:b] - (owner[a] << shift))) for a, b in zip(cut, [*cut[1:], len(values)])]
+    return pd.DataFrame(rows, columns=["sender", "owner", "n", "low", "unary", "rest"])
+
+
+def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An owner's reply to each list: a bitmap of the values that another list has too."""
+    found = [decode(*x) for x in zip(pdf["n"], pdf["low"], pdf["unary"], pdf["rest"])]
+    values, count = np.unique(np.concatenate(found), return_counts=True)
+    shared = values[count > 1]
+    bits = [np.packbits(np.isin(x, shared, assume_unique=True)).tobytes() for x in found]
+    return pd.DataFrame({"sender": pdf["sender"], "owner": pdf["owner"], "n": pdf["n"], "bits": bits})
+
+
+def flags(bitmaps: pd.DataFrame) -> np.ndarray:
+    """A sender's replies, owner by owner, as one flag per distinct sorted value."""
+    parts = bitmaps.sort_values("owner")
+    return np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(parts["bits"], parts["n"]))]).astype(bool)

@@ -1,12 +1,13 @@
-"""Documents whose sets of word shingles have a Jaccard similarity of 0.9 or more, and their connected components.
+"""Documents whose sets of word shingles have a Jaccard similarity of at least a threshold, and their connected components.
 
 Shingles are hashed into groups. A document's counts per group are a point; the overlap of two documents is at most the sum of
 the smaller counts, and for a box of points at most the sum with the box's upper corner. R-trees of such points find the pairs
 that can reach the threshold, and their sets are compared.
 
-Which points share a tree follows from the groups as well: two sets that differ in at most D shingles agree wholly in one of
-D + 1 groups. Every document therefore lies in one bucket per group, named by the shingles it has there, and every linked pair
-shares a bucket. Equal sets are one class from the start. The members of a bucket are first compared with its smallest member
+Which points share a tree follows from the groups as well: two sets that differ in at most D shingles agree wholly in all but D
+groups. Every document therefore lies in one bucket per group, named by the shingles it has there, and every linked pair
+shares a bucket. Most buckets have one member: senders exchange Golomb-coded lists of their buckets' names with owners and learn
+which ones others have, and only those are shuffled with their members. Equal sets are one class from the start. The members of a bucket are first compared with its smallest member
 only; what that links is one component, and trees are needed only for buckets that still hold several.
 """
 
@@ -18,17 +19,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from millwatch.llm import golomb
 from millwatch.llm.components import components
 from millwatch.llm.tables import keep_rows, packed_id, pieces, stored, unpacked
 from millwatch.llm.words import blocks, mix, split, to_bytes
 
 SHINGLE = 3
-#: Similarity of at least 9 tenths: 10 * common >= 9 * union.
+#: Similarity of at least 9 tenths: 10 * common >= 9 * union. At least two thirds, see ``bands``.
 SIMILAR = (9, 10)
 GROUPS = 64
 LEAF = 16
 BLOCK = 2048
 RESEEDS = 8
+BITS = 48
+SENDER_BUCKETS = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -58,9 +62,8 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def bands(most: int, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """Lower ends of the size bands; each is over 1 / similarity times as wide as it is low, so linked sizes are at most one
-    band apart."""
+def bands(most: int) -> np.ndarray:
+    """Lower ends of the size bands, each at least one and a half times the one before: linked sizes are at most one band apart."""
     edges = [1]
     while edges[-1] <= most:
         edges.append(max(edges[-1] + 1, -(-edges[-1] * 3 // 2)))
@@ -71,13 +74,13 @@ def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] =
     """(text, bucket) for every text, level and group.
 
     A level is the band of a pair's larger set: a text takes part in its own band's and, if a partner may lie there, in the
-    next one's. Agreement in a group that is empty on both sides tells nothing; a text with an empty group therefore takes part
-    in another dealing of the groups as well (its partner has the same empty group, and does so too), and after RESEEDS
-    dealings with an empty group each, in a bucket for empty groups.
+    next one's. There are D + 1 groups and some to spare, as agreement in a group that is empty on both sides tells nothing.
+    A text with more empty groups than there are to spare takes part in another dealing of the groups as well (so does its
+    partner, if they agree in empty groups only), and after RESEEDS such dealings in a bucket for empty groups.
     """
     near, of = similar
     size = np.diff(first)
-    edges = bands(int(size.max(initial=0)) + 1, similar)
+    edges = bands(int(size.max(initial=0)) + 1)
     band = np.searchsorted(edges, size, "right") - 1
     texts, buckets = [], []
     for step in (0, 1):
@@ -87,7 +90,10 @@ def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] =
             if not len(who):
                 break
             top = edges[np.minimum(level[who] + 1, len(edges) - 1)] - 1
-            groups = 2 * top * (of - near) // (of + near) + 1  # union less intersection of sets up to this size, and one
+            needed = 2 * top * (of - near) // (of + near) + 1  # union less intersection of sets up to this size, and one
+            low = edges[np.minimum(level[who], len(edges) - 1)] * near / of
+            spare = np.ceil(1.5 * needed * np.exp(-low / (1.2 * needed)) - 0.05).astype(np.int64)  # of the smallest sets here
+            groups = needed + np.where(needed > 1, spare, 0)
             base = np.cumsum(groups) - groups
             n = size[who]
             place = np.repeat(first[:-1][who], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -105,21 +111,49 @@ def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] =
             out = filled | last
             texts.append(who[owner[out]])
             buckets.append(label[out])
-            who = who[np.unique(owner[~filled])]
+            who = who[np.bincount(owner[~filled], minlength=len(who)) > groups - needed]
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(texts), np.concatenate(buckets)
+    return np.concatenate(texts), np.concatenate(buckets) >> np.uint64(64 - BITS)
 
 
-def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = to_bytes(pdf["text"])
-        for a, b in blocks(texts):
-            hashes, first = shingles(texts[a:b])
-            text, bucket = signatures(hashes, first)
-            order = np.argsort(text, kind="stable")
-            cut = np.searchsorted(text[order], np.arange(1, b - a))
-            yield pdf.iloc[a:b][["doc_id"]].assign(**_names(hashes, first), buckets=np.split(bucket[order].view(np.int64), cut))
+def _index(size: int, similar: tuple[int, int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = to_bytes(pdf["text"])
+            for a, b in blocks(texts):
+                hashes, first = shingles(texts[a:b], size)
+                text, bucket = signatures(hashes, first, similar)
+                order = np.argsort(text, kind="stable")
+                cut = np.searchsorted(text[order], np.arange(1, b - a))
+                yield pdf.iloc[a:b][["doc_id"]].assign(**_names(hashes, first), buckets=np.split(bucket[order].view(np.int64), cut))
+
+    return run
+
+
+def _held(pdf: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *pdf["buckets"]]).astype(np.int64).view(np.uint64)
+
+
+def _lists(owner_bits: int):
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return golomb.lists(key[0], np.unique(_held(pdf)), BITS, owner_bits)
+
+    return send
+
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    return golomb.answer(pdf)
+
+
+def _shared(pdf: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
+    """Members of the buckets that another sender has, or another member here."""
+    if not len(pdf):
+        return pd.DataFrame({"node": [], "bucket": []}, dtype=np.int64)
+    _, place, count = np.unique(_held(pdf), return_inverse=True, return_counts=True)
+    found = (golomb.flags(bitmaps) | (count > 1))[place]
+    nodes = np.repeat(pdf["node"].to_numpy(), [len(b) for b in pdf["buckets"]])
+    return pd.DataFrame({"node": nodes[found], "bucket": _held(pdf)[found].view(np.int64)})
 
 
 def _names(hashes: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
@@ -134,13 +168,16 @@ def counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(text * GROUPS + group, minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
-def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = to_bytes(pdf["text"])
-        for a, b in blocks(texts):
-            hashes, first = shingles(texts[a:b])
-            sets = [hashes[i:j].tobytes() for i, j in zip(first, first[1:])]
-            yield pd.DataFrame({**_names(hashes, first), "point": list(counts(hashes, first)), "members": sets})
+def _points(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = to_bytes(pdf["text"])
+            for a, b in blocks(texts):
+                hashes, first = shingles(texts[a:b], size)
+                sets = [hashes[i:j].tobytes() for i, j in zip(first, first[1:])]
+                yield pd.DataFrame({**_names(hashes, first), "point": list(counts(hashes, first)), "members": sets})
+
+    return run
 
 
 class RTree:
@@ -192,7 +229,7 @@ class RTree:
         return out
 
 
-def _tree_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tree_pairs(pdf: pd.DataFrame, similar: tuple[int, int]) -> pd.DataFrame:
     """Candidate pairs of the buckets of one shard, a tree for each."""
     pdf = pdf.sort_values(["bucket", "i", "j"], kind="stable")
     names = pdf[["bucket", "i", "j"]].to_numpy(np.int64)
@@ -201,56 +238,65 @@ def _tree_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     points, found = np.stack(pdf["point"].to_numpy()).astype(np.int64) if len(pdf) else None, set()
     for at, to in zip(cut, cut[1:]):
         part = slice(at, to)
-        for a, b in RTree(points[part], sizes[part], labels[part]).pairs():
+        for a, b in RTree(points[part], sizes[part], labels[part], similar).pairs():
             found.update(zip(np.minimum(rows[part][a], rows[part][b]).tolist(), np.maximum(rows[part][a], rows[part][b]).tolist()))
     return pd.DataFrame(sorted(found), columns=["u", "v"], dtype=np.int64)
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    near, of = SIMILAR
-    for pdf in batches:
-        linked = []
-        for pa, pb, a, b in zip(pdf["u_point"], pdf["v_point"], pdf["u_members"], pdf["v_members"]):
-            total = (len(a) + len(b)) // 8
-            if (near + of) * int(np.minimum(pa, pb).sum()) < near * total:
-                linked.append(False)
-                continue
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            common = int((np.diff(np.sort(np.concatenate((x, y)), kind="stable")) == 0).sum())
-            linked.append((near + of) * common >= near * total)
-        yield pdf.loc[np.array(linked, bool), ["u", "v"]]
+def _links(similar: tuple[int, int]):
+    near, of = similar
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            linked = []
+            for pa, pb, a, b in zip(pdf["u_point"], pdf["v_point"], pdf["u_members"], pdf["v_members"]):
+                total = (len(a) + len(b)) // 8
+                if (near + of) * int(np.minimum(pa, pb).sum()) < near * total:
+                    linked.append(False)
+                    continue
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = int((np.diff(np.sort(np.concatenate((x, y)), kind="stable")) == 0).sum())
+                linked.append((near + of) * common >= near * total)
+            yield pdf.loc[np.array(linked, bool), ["u", "v"]]
+
+    return run
 
 
-def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, points: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """The pairs u, v whose sets are similar."""
     side = lambda c: points.select(F.col("node").alias(c), F.col("point").alias(f"{c}_point"), F.col("members").alias(f"{c}_members"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_links, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_links(similar), "u long, v long")
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
+def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id; shingles have ``size`` words.
 
     component_id is the smallest id that links reach, the own one included; a text without words is linked with nothing. Null
     ids count as no id: a component without any has null. Rows that repeat an id or a text are rows of their own; equal sets
     are linked. Shingles are compared by 64-bit hashes.
     """
     plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    rows = docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(_index, "doc_id long, n_shingles long, d1 long, d2 long, buckets array<long>")
+    rows = docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(_index(size, similar), "doc_id long, n_shingles long, d1 long, d2 long, buckets array<long>")
     rows = stored(unpacked(rows).withColumn("node", F.monotonically_increasing_id()), "jaccard-rows")
     name = ["n_shingles", "d1", "d2"]
     classes = stored(rows.filter("n_shingles > 0").groupBy(*name).agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "jaccard-classes")
     own = keep_rows(rows.select("node", "n_shingles", "buckets"), classes, "node")
-    members = own.select("node", F.explode("buckets").alias("bucket"))
+    total = own.agg(F.coalesce(F.sum(F.size("buckets")), F.lit(0))).first()[0]
+    senders, owner_bits = pieces(total, SENDER_BUCKETS, 12), (pieces(total, 4 * SENDER_BUCKETS, 16) - 1).bit_length()
+    held = own.select(F.pmod(F.xxhash64("node"), F.lit(senders)).cast("int").alias("sender"), "node", "buckets")
+    bitmaps = held.groupBy("sender").applyInPandas(_lists(owner_bits), golomb.LISTS).groupBy("owner").applyInPandas(_answer, golomb.BITMAPS)
+    members = held.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_shared, "node long, bucket long")
+    members = stored(members, "jaccard-members")
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
     members = stored(members.join(shared, "bucket"), "jaccard-members")
     pairs = stored(members.filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "jaccard-pairs")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     named = classes.join(wanted, "node").join(rows.select("node", "doc_id"), "node")
     texts = keep_rows(plain, named).select("text")
-    points = texts.mapInPandas(_points, "n_shingles long, d1 long, d2 long, point array<int>, members binary")
+    points = texts.mapInPandas(_points(size), "n_shingles long, d1 long, d2 long, point array<int>, members binary")
     points = points.join(named.select(*name, "node"), name).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "point", "members")])
     points = stored(points, "jaccard-points")
-    links = stored(_verified(pairs, points), "jaccard-links")
+    links = stored(_verified(pairs, points, similar), "jaccard-links")
     found = components(links)
     label = F.coalesce("component", "node").alias("component")
     left = members.join(found, "node", "left").select("bucket", "node", "size", label)
@@ -261,8 +307,12 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     left = left.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "n_shingles", "component", "point")
     shards = pieces(mixed.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0))).first()[0], 50_000, 12)
     left = left.withColumn("shard", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards)))
-    more = left.groupBy("shard").applyInPandas(_tree_pairs, "u long, v long").distinct()
-    more = _verified(more.join(pairs, ["u", "v"], "left_anti"), points)
+
+    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tree_pairs(pdf, similar)
+
+    more = left.groupBy("shard").applyInPandas(trees, "u long, v long").distinct()
+    more = _verified(more.join(pairs, ["u", "v"], "left_anti"), points, similar)
     found = components(links.unionByName(stored(more, "jaccard-links")))
     linked = classes.join(found, "node")
     linked = linked.select(*name, "component").join(linked.groupBy("component").agg(F.min("least").alias("lowest")), "component").drop("component")
@@ -271,10 +321,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return full.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Docs without those that have a smaller id in their component, all columns as they came; rows with a null id go if their
     component has any id."""
-    found = similar_documents(docs, key, text)
+    found = similar_documents(docs, size, similar, key, text)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     gone = stored(gone, "jaccard-gone")
     return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

@@ -417,12 +417,12 @@ def test_languages(spark, nothing):
 # 8 -------------------------------------------------------------------------------------------------------------------------
 
 
-def brute_similar(rows):
+def brute_similar(rows, size=3, similar=(9, 10)):
     sets = []
     for i, t, *_ in rows:
         own = WORD.findall((t or "").translate(LOWER))
-        sets.append((i, frozenset(tuple(own[j : j + 3]) for j in range(max(1, len(own) - 2))) if own else frozenset()))
-    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 90 * len(a | b)
+        sets.append((i, frozenset(tuple(own[j : j + size]) for j in range(max(1, len(own) - size + 1))) if own else frozenset()))
+    near = lambda a, b: bool(a) and bool(b) and similar[1] * len(a & b) >= similar[0] * len(a | b)
     label = list(range(len(sets)))
     for _ in sets:
         before = list(label)
@@ -460,19 +460,23 @@ def chains(seed=8):
     return out
 
 
-def test_similar_chains(spark):
+@pytest.mark.parametrize("size, similar", [(3, (9, 10)), (5, (4, 5))])
+def test_similar_chains(spark, size, similar):
     rows = rows_of(chains(), seed=9)
-    assert Counter(tuple(r) for r in jaccard.similar_documents(make_docs(spark, rows)).collect()) == brute_similar(rows)
+    found = jaccard.similar_documents(make_docs(spark, rows), size, similar)
+    assert Counter(tuple(r) for r in found.collect()) == brute_similar(rows, size, similar)
 
 
-def test_every_linked_pair_shares_a_bucket():
-    rng, near, of = random.Random(10), *jaccard.SIMILAR
+@pytest.mark.parametrize("near, of, reseeds", [(9, 10, 8), (4, 5, 8), (4, 5, 1)])
+def test_every_linked_pair_shares_a_bucket(monkeypatch, near, of, reseeds):
+    monkeypatch.setattr(jaccard, "RESEEDS", reseeds)
+    rng = random.Random(10)
     texts = [t.encode() for t in chains(11)]
     for size in range(9, 60):
         base = [f"v{rng.randrange(10**6)}" for _ in range(size)]
         texts += [" ".join(base).encode(), " ".join(base[: -max(1, size // 12)]).encode(), " ".join([*base, "tail"]).encode()]
     hashes, first = jaccard.shingles(texts)
-    text, bucket = jaccard.signatures(hashes, first)
+    text, bucket = jaccard.signatures(hashes, first, (near, of))
     sets = [set(hashes[a:b].tolist()) for a, b in zip(first, first[1:])]
     buckets = defaultdict(set)
     for t, b in zip(text.tolist(), bucket.tolist()):
