@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm import golomb
-from millwatch.llm.tables import pieces
+from millwatch.llm.tables import NO_ID, packed_id, pieces, unpacked
 from millwatch.llm.words import joined, prefix_hashes, slices, to_bytes
 
 LENGTH = 50
@@ -33,9 +33,9 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1  # anchors' places in a string
 KEY = 80  # right part, left part backwards, their lengths; whole 8-byte words
 BITS = 48
-SENDER_BYTES = 16 << 20
-OWNER_BYTES = 64 << 20
-CHUNK = 2 << 20
+SENDER_BYTES = 8 << 20
+OWNER_BYTES = 16 << 20
+CHUNK = 1 << 20
 SAMPLE_DOCS = 2000
 _LAST = np.iinfo(np.int64).max
 
@@ -51,7 +51,8 @@ class Slice(NamedTuple):
 def load(pdf: pd.DataFrame) -> Slice:
     texts = to_bytes(pdf["text"])
     data, starts = joined(texts)
-    return Slice(data, starts, pdf["doc_id"].fillna(_LAST).to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64))
+    ids = pdf["doc_id"].to_numpy(np.int64)
+    return Slice(data, starts, np.where(ids == NO_ID, _LAST, ids))
 
 
 def _window(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -212,7 +213,7 @@ def earlier(keys: np.ndarray, common: np.ndarray, document: np.ndarray) -> np.nd
 def _lists(owner_bits: int):
     shift = np.uint64(BITS - owner_bits)
 
-    def send(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = load(pdf)
         values = np.unique(anchors(own.data, own.starts)[1])
         owner = values >> shift
@@ -263,7 +264,7 @@ def _runs(splitters: np.ndarray):
     return send
 
 
-def _merged(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     runs = [front_decode(c, r) for c, r in zip(pdf["common"], pdf["rest"])]
     documents = [np.frombuffer(d, np.int64) for d in pdf["document"]]
     run, place, common = merge_runs(runs)
@@ -275,40 +276,46 @@ def _merged(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sender": pdf["sender"], "kind": 1, "owner": key[0], "n": np.diff(first), "bits": bits})
 
 
-def covered(own: Slice, place: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Which bytes of a slice lie in a string that a smaller document has."""
+def removed_runs(own: Slice, place: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of bytes that lie in a string that a smaller document has."""
     _, document, inverse = contexts(own, place)
     text = np.searchsorted(own.starts, place, "right") - 1
     left = np.minimum(place - own.starts[text], SPAN - 1)
     right = np.minimum(own.starts[text + 1] - 1 - place, LENGTH)
     later = own.ids[text] > document[inverse]  # the smallest document of this suffix is in this slice
-    depth = np.zeros(len(own.data) + 1, np.int32)
+    mask, found = masks[inverse], np.zeros(len(own.data), bool)
     for o in range(SPAN):
-        fits = (o <= left) & (LENGTH - o <= right)
-        start = place[fits & (later | ((masks[inverse] >> np.uint32(o)) & np.uint32(1)).astype(bool))] - o
-        depth += np.bincount(start, minlength=len(depth)).astype(np.int32)
-        depth -= np.bincount(start + LENGTH, minlength=len(depth)).astype(np.int32)
-    return np.cumsum(depth)[:-1] > 0
+        fits = (o <= left) & (LENGTH - o <= right) & (later | ((mask >> np.uint32(o)) & np.uint32(1)).astype(bool))
+        found[place[fits] - o] = True
+    start = np.flatnonzero(found)
+    new = np.flatnonzero(np.diff(start, prepend=-LENGTH - 1) > LENGTH)  # between texts lies a byte, so no run goes on there
+    return start[new], start[np.append(new[1:], len(start)) - 1] + LENGTH if len(start) else start
 
 
 def _kept(pdf: pd.DataFrame, replies: pd.DataFrame, whole: bool) -> pd.DataFrame:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     if not len(pdf):
-        return pd.DataFrame(columns=names)
+        return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
     own = load(pdf)
     place = _candidates(own, replies[replies["kind"] == -1])
     answers = replies[replies["kind"] == 1].sort_values("owner")
-    gone = np.zeros(len(own.data), bool)
+    start = end = np.zeros(0, np.int64)
     if len(place):
-        gone = covered(own, place, np.frombuffer(b"".join(answers["bits"]), np.uint32))
-    removed = np.concatenate(([0], np.cumsum(gone)))
-    rises = np.concatenate(([0], np.cumsum(np.diff(gone.astype(np.int8), prepend=0) == 1)))
-    start, end = own.starts[:-1], own.starts[1:] - 1
-    left = [own.data[a:b][~gone[a:b]].tobytes() if removed[b] > removed[a] else own.data[a:b].tobytes() for a, b in zip(start, end)]
-    out = pdf[["doc_id"]].reset_index(drop=True)
-    out["n_bytes"], out["n_removed"], out["n_spans"] = end - start, removed[end] - removed[start], rises[end] - rises[start]
-    out["kept"] = left if whole else [hashlib.sha256(x).hexdigest() for x in left]
-    return out
+        start, end = removed_runs(own, place, np.frombuffer(b"".join(answers["bits"]), np.uint32))
+    n, size = len(pdf), np.diff(own.starts) - 1
+    text = np.searchsorted(own.starts, start, "right") - 1
+    first = np.searchsorted(text, np.arange(n + 1))
+    kept = []
+    for i, (at, to) in enumerate(zip(own.starts, own.starts[1:] - 1)):
+        parts = []
+        for a, b in zip(start[first[i] : first[i + 1]], end[first[i] : first[i + 1]]):
+            parts.append(own.data[at:a].tobytes())
+            at = b
+        rest = b"".join([*parts, own.data[at:to].tobytes()])
+        kept.append(rest if whole else hashlib.sha256(rest).hexdigest())
+    return pd.DataFrame({
+        "doc_id": pdf["doc_id"].to_numpy(), "n_bytes": size, "n_removed": np.bincount(text, end - start, n).astype(np.int64),
+        "n_spans": np.diff(first), "kept": kept,
+    })
 
 
 def _splitters(docs: DataFrame, owners: int, rows: int) -> np.ndarray:
@@ -336,7 +343,7 @@ def remove_repeats(docs: DataFrame, whole: bool = False, key: str = "doc_id", te
     share an id take nothing from each other.
     """
     body = F.coalesce(docs[text], F.lit("")).cast("binary")
-    plain = docs.select(docs[key].cast("long").alias("doc_id"), body.alias("text"))
+    plain = docs.select(packed_id(docs, key), body.alias("text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     senders, owners = pieces(total["b"], SENDER_BYTES, 12), pieces(total["b"], OWNER_BYTES, 12)
     splitters = _splitters(plain, owners, total["n"])
@@ -353,4 +360,4 @@ def remove_repeats(docs: DataFrame, whole: bool = False, key: str = "doc_id", te
         return _kept(pdf, answers, whole)
 
     out = sent.groupBy("sender").cogroup(replies.groupBy("sender")).applyInPandas(keep, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
-    return out if whole else out.withColumnRenamed("kept", "kept_sha256")
+    return unpacked(out if whole else out.withColumnRenamed("kept", "kept_sha256"))
