@@ -4,24 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from millwatch.functions import health
+
 _DRAW = "CAST(conv(substr(md5(concat(k, '|{salt}')), 1, 8), 16, 10) AS BIGINT) / 4294967295D"
-_RUL_LOW = "CASE r WHEN 'critical' THEN 5D WHEN 'high' THEN 48D WHEN 'medium' THEN 168D WHEN 'low' THEN 720D END"
-_RUL_WIDTH = "CASE r WHEN 'critical' THEN 48D - 5D WHEN 'high' THEN 168D - 48D WHEN 'medium' THEN 720D - 168D WHEN 'low' THEN 2000D - 720D END"
-_CONF_LOW = "CASE r WHEN 'critical' THEN 0.85D WHEN 'high' THEN 0.75D WHEN 'medium' THEN 0.65D WHEN 'low' THEN 0.9D END"
-_CONF_WIDTH = "CASE r WHEN 'critical' THEN 0.98D - 0.85D WHEN 'high' THEN 0.85D - 0.75D WHEN 'medium' THEN 0.75D - 0.65D WHEN 'low' THEN 0.99D - 0.9D END"
+
+
+def _case(position: int, text: str) -> str:
+    """A CASE over the risks, with one band's low and high end in the text."""
+    rows = " ".join(f"WHEN '{b[0]}' THEN {text.format(low=b[position][0], high=b[position][1])}" for b in health.RISK_BANDS)
+    return f"CASE r {rows} END"
+
+
+def _drawn(position: int, salt: str, scale: str) -> str:
+    """A draw from the risk's band by the key, rounded to 1 / scale."""
+    width = _case(position, "{high}D - {low}D")
+    return f"floor(({_case(position, '{low}D')} + ({width}) * ({_DRAW.format(salt=salt)})) * {scale} + 0.5D) / {scale}"
+
+
+_LEVELS = " ".join(f"WHEN h < {below} THEN '{risk}'" for risk, below, _, _ in health.RISK_BANDS[:-1])
 
 FUNCTIONS = [
-    """health_score(t DOUBLE, v DOUBLE) RETURNS DOUBLE RETURN
-       greatest(0D, least(100D, 100D - greatest(0D, t - 45D) * 1.5D - greatest(0D, v - 2D) * 10D))""",
-    """risk_level(h DOUBLE) RETURNS STRING RETURN
-       CASE WHEN h < 30 THEN 'critical' WHEN h < 60 THEN 'high' WHEN h < 80 THEN 'medium'
-            WHEN h IS NOT NULL THEN 'low' END""",
-    f"""rul_hours(r STRING, k STRING) RETURNS DOUBLE RETURN
-       floor(({_RUL_LOW} + {_RUL_WIDTH} * ({_DRAW.format(salt='rul')})) * 10D + 0.5D) / 10D""",
-    f"""prediction_confidence(r STRING, k STRING) RETURNS DOUBLE RETURN
-       floor(({_CONF_LOW} + ({_CONF_WIDTH}) * ({_DRAW.format(salt='confidence')})) * 100D + 0.5D) / 100D""",
-    """failure_type(r STRING, v DOUBLE) RETURNS STRING RETURN
-       CASE r WHEN 'critical' THEN CASE WHEN v > 5 THEN 'Bearing Failure' ELSE 'Overheating' END
+    f"""health_score(t DOUBLE, v DOUBLE) RETURNS DOUBLE RETURN
+       greatest(0D, least(100D, 100D - greatest(0D, t - {health.NORMAL_TEMPERATURE}D) * {health.TEMPERATURE_COST}D
+         - greatest(0D, v - {health.NORMAL_VIBRATION}D) * {health.VIBRATION_COST}D))""",
+    f"""risk_level(h DOUBLE) RETURNS STRING RETURN
+       CASE {_LEVELS} WHEN h IS NOT NULL THEN '{health.RISK_BANDS[-1][0]}' END""",
+    f"rul_hours(r STRING, k STRING) RETURNS DOUBLE RETURN {_drawn(2, 'rul', '10D')}",
+    f"prediction_confidence(r STRING, k STRING) RETURNS DOUBLE RETURN {_drawn(3, 'confidence', '100D')}",
+    f"""failure_type(r STRING, v DOUBLE) RETURNS STRING RETURN
+       CASE r WHEN 'critical' THEN CASE WHEN v > {health.BEARING_VIBRATION} THEN 'Bearing Failure' ELSE 'Overheating' END
               WHEN 'high' THEN 'Impending Component Wear' WHEN 'medium' THEN 'Minor Degradation'
               WHEN 'low' THEN 'None' END""",
     """machine_status(r STRING) RETURNS STRING RETURN

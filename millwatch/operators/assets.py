@@ -204,7 +204,7 @@ def recommendations(risk: DataFrame) -> DataFrame:
 def uptime_rule(machines: DataFrame) -> DataFrame:
     """Fixed uptime figure by mean health."""
     mean = F.coalesce(exact_mean(F.col("health_score")), F.lit(0.0))
-    return machines.agg(F.when(mean > 50, 94.7).otherwise(78.2).alias("overall_uptime_percent"))
+    return machines.agg(health.uptime(mean).alias("overall_uptime_percent"))
 
 
 def operator_kpis(machines: DataFrame, alerts: DataFrame, users: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millwatch.functions.health import uptime
 from millwatch.functions.numbers import exact_mean, exact_sum, round_to
 from millwatch.functions.texts import month_period
 from millwatch.operators.tickets import open_tickets
@@ -98,7 +99,7 @@ def factory_stats(machines: DataFrame, alerts: DataFrame, tickets: DataFrame, co
             F.count_if(status == "warning").alias("machines_warning"),
             F.count_if(status == "critical").alias("machines_critical"),
             round_to(health, 1).alias("avg_health_score"),
-            F.when(health > 50, 94.7).otherwise(78.2).alias("overall_uptime_percent"),
+            uptime(health).alias("overall_uptime_percent"),
         )
         .withColumn("total_alerts", alerts.agg(F.count("*")).scalar())
         .withColumn("open_tickets", open_tickets(tickets).agg(F.count("*")).scalar())
