@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm import golomb
 from millwatch.llm.components import components
-from millwatch.llm.tables import keep_rows, packed_id, pieces, stored, unpacked
+from millwatch.llm.tables import discard, keep_rows, packed_id, pieces, stored, unpacked
 from millwatch.llm.words import blocks, mix, split, to_bytes
 
 SHINGLE = 3
@@ -263,7 +263,12 @@ def _links(similar: tuple[int, int]):
 
 
 def _verified(pairs: DataFrame, points: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs u, v whose sets are similar."""
+    """The pairs u, v whose sets are similar; only those that the points allow get their sets."""
+    near, of = similar
+    point = lambda c: points.select(F.col("node").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("point").alias(f"{c}_point"))
+    least = F.zip_with("u_point", "v_point", lambda a, b: F.least(a, b))
+    overlap = F.aggregate(least, F.lit(0).cast("long"), lambda total, x: total + x)
+    pairs = pairs.join(point("u"), "u").join(point("v"), "v").filter((near + of) * overlap >= near * (F.col("u_n") + F.col("v_n"))).select("u", "v")
     side = lambda c: points.select(F.col("node").alias(c), F.col("point").alias(f"{c}_point"), F.col("members").alias(f"{c}_members"))
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_links(similar), "u long, v long")
 
@@ -277,16 +282,18 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     """
     plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(_index(size, similar), "doc_id long, n_shingles long, d1 long, d2 long, buckets array<long>")
-    rows = stored(unpacked(rows).withColumn("node", F.monotonically_increasing_id()), "jaccard-rows")
+    named_buckets = stored(unpacked(rows).withColumn("node", F.monotonically_increasing_id()), "jaccard-buckets")
+    rows = stored(named_buckets.drop("buckets"), "jaccard-rows")
     name = ["n_shingles", "d1", "d2"]
     classes = stored(rows.filter("n_shingles > 0").groupBy(*name).agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "jaccard-classes")
-    own = keep_rows(rows.select("node", "n_shingles", "buckets"), classes, "node")
+    own = keep_rows(named_buckets.select("node", "buckets"), classes, "node")
     total = own.agg(F.coalesce(F.sum(F.size("buckets")), F.lit(0))).first()[0]
     senders, owner_bits = pieces(total, SENDER_BUCKETS, 12), (pieces(total, 4 * SENDER_BUCKETS, 16) - 1).bit_length()
     held = own.select(F.pmod(F.xxhash64("node"), F.lit(senders)).cast("int").alias("sender"), "node", "buckets")
     bitmaps = held.groupBy("sender").applyInPandas(_lists(owner_bits), golomb.LISTS).groupBy("owner").applyInPandas(_answer, golomb.BITMAPS)
     members = held.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_shared, "node long, bucket long")
     members = stored(members, "jaccard-members")
+    discard(named_buckets)
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
     members = stored(members.join(shared, "bucket"), "jaccard-members")
     pairs = stored(members.filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "jaccard-pairs")
