@@ -70,6 +70,10 @@ def bands(most: int) -> np.ndarray:
     return np.array(edges)
 
 
+#: The bands of all sizes; one list for all, since both sides of a pair must find the same groups wherever they are read.
+EDGES = bands(1 << 62)
+
+
 def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) for every text, level and group.
 
@@ -80,18 +84,17 @@ def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] =
     """
     near, of = similar
     size = np.diff(first)
-    edges = bands(int(size.max(initial=0)) + 1)
-    band = np.searchsorted(edges, size, "right") - 1
+    band = np.searchsorted(EDGES, size, "right") - 1
     texts, buckets = [], []
     for step in (0, 1):
         level = band + step
-        who = np.flatnonzero((size > 0) & ((step == 0) | (edges[np.minimum(level, len(edges) - 1)] * near <= size * of)))
+        who = np.flatnonzero((size > 0) & ((step == 0) | (EDGES[level] * near <= size * of)))
         for seed in range(RESEEDS):
             if not len(who):
                 break
-            top = edges[np.minimum(level[who] + 1, len(edges) - 1)] - 1
+            top = EDGES[level[who] + 1] - 1
             needed = 2 * top * (of - near) // (of + near) + 1  # union less intersection of sets up to this size, and one
-            low = edges[np.minimum(level[who], len(edges) - 1)] * near / of
+            low = EDGES[level[who]] * near / of
             spare = np.ceil(1.5 * needed * np.exp(-low / (1.2 * needed)) - 0.05).astype(np.int64)  # of the smallest sets here
             groups = needed + np.where(needed > 1, spare, 0)
             base = np.cumsum(groups) - groups

@@ -485,6 +485,15 @@ def test_every_linked_pair_shares_a_bucket(monkeypatch, near, of, reseeds):
     assert len(linked) > 60 and all(buckets[x] & buckets[y] for x, y in linked)
 
 
+@pytest.mark.parametrize("near, of, small, large", [(9, 10, 130, 142), (9, 10, 84, 93), (9, 10, 200, 212), (4, 5, 130, 150), (4, 5, 1200, 1300)])
+def test_linked_pair_of_two_blocks_shares_a_bucket(near, of, small, large):
+    rng = np.random.default_rng(small)
+    for _ in range(5):
+        sets = rng.integers(0, 1 << 63, large).astype(np.uint64)
+        one, two = (set(jaccard.signatures(np.sort(sets[:n]), np.array([0, n]), (near, of))[1].tolist()) for n in (small, large))
+        assert one & two
+
+
 def test_tree_finds_what_brute_force_finds():
     rng = np.random.default_rng(12)
     points = rng.integers(0, 6, (300, 8))
