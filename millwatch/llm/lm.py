@@ -1,17 +1,21 @@
 """Scoring texts by a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-The model predicts the class of the next token: one of the most frequent words, any rarer word, or the end of the text. A
-context's vector is the sum of one vector for each of the two tokens before; its product with a class's vector, plus the
-class's bias, is the class's score. Training compares each token with noise drawn from the class frequencies, so it needs no
-normaliser; scoring normalises over all classes: with exp of the products of each table with the class vectors, the
-normalisers of all pairs of tokens before are one matrix product. A rarer word has the rarer class's probability times its
-share (count + 1) among the rarer words.
+The model predicts the class of the next token: one of the most frequent words, a class of rarer words, or the end of the text.
+A context's vector is the sum of one vector for each of the two tokens before (a rarer word has its class's); its product with a
+class's vector, plus the class's bias, is the class's score. Training compares each token with noise drawn from the class
+frequencies, so it needs no normaliser; scoring normalises over all classes: with exp of the products of each table with the
+class vectors, the normalisers of all pairs of tokens before are one matrix product.
+
+Rarer words are dealt by hash to a class and to a slot, as many of each as the square root of their number. Within its class a
+word weighs (count + 1) times exp of the context's product with its slot's vector, which is learned the same way; the normaliser
+is the sum over the class's slots. Every slot of a class keeps one more for an unknown word. All sizes follow the distinct words.
 
 Every task trains on all training tokens it reads, from the same start; the tasks' parameters are averaged by their tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,8 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millwatch.llm.tables import packed_id, stored, unpacked
-from millwatch.llm.words import Words, blocks, split, to_bytes
+from millwatch.llm.words import Words, blocks, mix, split, to_bytes
 
+#: Words with a class of their own: so many, or the square root of the distinct words if that is more.
 CLASSES = 1000
 WIDTH = 24
 NOISE = 32
@@ -29,6 +34,7 @@ RATE = 0.05
 #: Counts of this many words at most go to every task (16 bytes each); rarer words are joined.
 HEAD = 262_144
 _UNIT = 1024.0
+_PART = 4096
 
 
 class Vocabulary(NamedTuple):
@@ -39,29 +45,47 @@ class Vocabulary(NamedTuple):
     tokens: int
     distinct: int
     texts: int
+    cells: np.ndarray | None = None  # sums of count + 1 of the rarer words by class and slot; without, there is one of each
 
     @property
     def rare(self) -> int:
+        """The first class of rarer words."""
         return len(self.top)
 
     @property
     def end(self) -> int:
-        return len(self.top) + 1
+        return len(self.top) + self.side
+
+    @property
+    def side(self) -> int:
+        return 1 if self.cells is None else len(self.cells)
+
+    def weights(self) -> np.ndarray:
+        """``cells`` with an unknown word in each."""
+        if self.cells is None:
+            return np.array([[max(0, self.rare_tokens()) + self.rare_words() + 1.0]])
+        return self.cells + 1.0
+
+    def rare_tokens(self) -> int:
+        return self.tokens - self.texts - self.top_counts.sum()
 
     def class_counts(self) -> np.ndarray:
-        return np.concatenate((self.top_counts, [self.tokens - self.texts - self.top_counts.sum(), self.texts])).astype(np.float64)
+        weights = self.weights().sum(axis=1)
+        return np.concatenate((self.top_counts, self.rare_tokens() * weights / weights.sum(), [self.texts])).astype(np.float64)
 
     def rare_words(self) -> int:
         return max(0, self.distinct - (self.texts > 0)) - len(self.top)
 
 
 class Model(NamedTuple):
-    """Vectors of the token before, of the one before that (a last row stands for the text's start), of classes; biases."""
+    """Vectors of the token before, of the one before that (a last row stands for the text's start), of classes; biases;
+    vectors of slots."""
 
     one: np.ndarray
     two: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    slot: np.ndarray
 
 
 def held_out(key: Column) -> Column:
@@ -76,6 +100,31 @@ def _find(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
     return at, sorted_values[at] == values
 
 
+def cell(hashes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class, slot) of rarer words."""
+    value, half = mix(hashes + np.uint64(0x9E3779B97F4A7C15)), np.uint64(32)
+    low = value & np.uint64(0xFFFFFFFF)
+    return (((value >> half) * np.uint64(side)) >> half).astype(np.int64), ((low * np.uint64(side)) >> half).astype(np.int64)
+
+
+def _cells(counts: DataFrame, top: np.ndarray, side: int) -> np.ndarray:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = pdf["word"].to_numpy(np.int64).view(np.uint64)
+            rare = ~_find(top, words)[1]
+            at, slot = cell(words[rare], side)
+            yield pd.DataFrame({"class": at, "slot": slot, "n": pdf["c"].to_numpy(np.int64)[rare] + 1})
+
+    def row(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"class": [key[0]], "sums": [np.bincount(pdf["slot"], pdf["n"], side).astype(np.float32).tobytes()]})
+
+    out = np.zeros((side, side), np.float32)
+    placed = counts.mapInPandas(place, "class long, slot long, n long")
+    for x in placed.groupBy("class").applyInPandas(row, "class long, sums binary").collect():
+        out[x["class"]] = np.frombuffer(x["sums"], np.float32)
+    return out
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = to_bytes(pdf["text"])
@@ -102,45 +151,48 @@ def _most(counts: DataFrame, rows: int) -> tuple[int, pd.DataFrame]:
 
 
 def vocabulary(counts: DataFrame, texts: int, classes: int = CLASSES, head: int = HEAD) -> tuple[Vocabulary, int]:
-    """The bounded tables that every task gets, and the least count of a word in them."""
+    """The tables that every task gets, and the least count of a word in the head."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least, words = _most(counts, head)
     words["word"] = words["word"].to_numpy().astype(np.int64).view(np.uint64)
     words = words.sort_values(["c", "word"], ascending=[False, True])
-    top, whole = words.head(classes).sort_values("word"), words.sort_values("word")
+    top, whole = words.head(max(classes, math.isqrt(total["v"]))).sort_values("word"), words.sort_values("word")
     arrays = [x.to_numpy() for x in (top["word"], top["c"], whole["word"], whole["c"])]
-    return Vocabulary(*arrays, total["n"] + texts, total["v"] + (texts > 0), texts), least
+    side = math.isqrt(max(0, total["v"] - len(top) - 1)) + 1
+    return Vocabulary(*arrays, total["n"] + texts, total["v"] + (texts > 0), texts, _cells(counts, arrays[0], side)), least
 
 
-def sequences(words: Words, texts: int, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, the token before, the one before that, text of each token), every text closed by an end."""
+def sequences(words: Words, texts: int, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each token, the token before, the one before that, text of each token, its slot), every text closed by an end."""
     at, found = _find(voc.top, words.hashes)
-    classes = np.where(found, at, voc.rare)
+    group, slots = cell(words.hashes, voc.side)
+    classes = np.where(found, at, voc.rare + group)
     counts = np.diff(words.first)
     first = np.concatenate(([0], np.cumsum(counts + 1)))
     token = np.full(first[-1], voc.end, np.int64)
     text = np.repeat(np.arange(texts), counts + 1)
-    token[np.arange(len(classes)) + np.repeat(np.arange(texts), counts)] = classes
+    slot, place = np.zeros(first[-1], np.int64), np.arange(len(classes)) + np.repeat(np.arange(texts), counts)
+    token[place], slot[place] = classes, slots
     start = voc.end + 1
     one, two = np.concatenate(([start], token[:-1])), np.concatenate(([start, start], token[:-2]))
     one[first[:-1]] = two[first[:-1]] = start
     two[np.minimum(first[:-1] + 1, len(two) - 1)[counts > 0]] = start
-    return token, one, two[: len(token)], text
+    return token, one, two[: len(token)], text, slot
 
 
 def start_model(voc: Vocabulary, width: int = WIDTH, seed: int = 3) -> Model:
     rng, k = np.random.default_rng(seed), voc.end + 1
     share = (voc.class_counts() + 1) / (voc.class_counts().sum() + k)
     small = lambda n: rng.normal(0, 0.1, (n, width)).astype(np.float32)
-    return Model(small(k + 1), small(k + 1), small(k), np.log(share).astype(np.float32))
+    return Model(small(k + 1), small(k + 1), small(k), np.log(share).astype(np.float32), np.zeros((voc.side, width), np.float32))
 
 
-def _sum_rows(place: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-    """out[place] += rows, places repeating."""
+def _sum_rows(place: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different places, sum of the rows of each)."""
     order = np.argsort(place, kind="stable")
     ordered = place[order]
     cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    out[ordered[cut]] += np.add.reduceat(rows[order], cut, axis=0)
+    return ordered[cut], np.add.reduceat(rows[order], cut, axis=0)
 
 
 class Trainer:
@@ -152,40 +204,53 @@ class Trainer:
         self.cumulative = np.cumsum(share / share.sum())
         self.offset = (np.log(noise) + np.log(share / share.sum())).astype(np.float32)
         self.squares = [np.full(len(x), 1e-2, np.float32) for x in model]
-        self.seen = 0
-
-    def step(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        self.seen, self.rare = 0, voc.rare
+        weights = voc.weights()
+        of_slot = weights.sum(axis=0) / weights.sum()
+        self.slots = np.cumsum(of_slot)
+        self.inside = np.log(weights / (weights.sum(axis=1, keepdims=True) * of_slot * noise)).astype(np.float32)
+
+    def _compare(self, h: np.ndarray, vectors: np.ndarray, target: np.ndarray, drawn: np.ndarray, true: np.ndarray, false: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(what goes back to h, places, their gradients, of true and of false scores), given the scores without the products."""
+        right, wrong = vectors[target], vectors[drawn]
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, right) + true, -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(h @ wrong.T + false, -30, 30)))
+        places, rows = np.concatenate((target, drawn)), np.concatenate((up[:, None] * h, down.T @ h))
+        return up[:, None] * right + down @ wrong, places, rows, up, down
+
+    def _move(self, table: int, places: np.ndarray, rows: np.ndarray) -> None:
+        """An Adagrad step of the rows that have a gradient; a row's steps follow how often it occurs."""
+        value, square = self.model[table], self.squares[table]
+        at, gradient = _sum_rows(places, rows)
+        square[at] += (gradient**2).mean(axis=1) if gradient.ndim == 2 else gradient**2
+        rate = RATE / np.sqrt(square[at])
+        value[at] += gradient * (rate[:, None] if gradient.ndim == 2 else rate)
+
+    def step(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, slot: np.ndarray | None = None) -> None:
         m = self.model
         drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(m.bias) - 1)
-        h, target, false = m.one[one] + m.two[two], m.out[token], m.out[drawn]
-        true_score = np.einsum("ij,ij->i", h, target) + m.bias[token] - self.offset[token]
-        false_score = h @ false.T + (m.bias[drawn] - self.offset[drawn])
-        up = 1 / (1 + np.exp(np.clip(true_score, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false_score, -30, 30)))
-        size = np.float32(1 / len(token))
-        up, down = up * size, down * size
-        back = up[:, None] * target + down @ false
-        gradients = [np.zeros_like(x) for x in m]
-        _sum_rows(one, back, gradients[0])
-        _sum_rows(two, back, gradients[1])
-        _sum_rows(token, up[:, None] * h, gradients[2])
-        np.add.at(gradients[2], drawn, down.T @ h)
-        gradients[3] += np.bincount(token, up, len(m.bias)).astype(np.float32)
-        np.add.at(gradients[3], drawn, down.sum(axis=0))
-        scale = np.float32(len(token))  # a row's steps follow how often it occurs
-        for value, gradient, square in zip(m, gradients, self.squares):
-            gradient *= scale
-            square += (gradient**2).mean(axis=1) if gradient.ndim == 2 else gradient**2
-            rate = RATE / np.sqrt(square)
-            value += gradient * (rate[:, None] if gradient.ndim == 2 else rate)
-
-    def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        h, score = m.one[one] + m.two[two], m.bias - self.offset
+        back, places, rows, up, down = self._compare(h, m.out, token, drawn, score[token], score[drawn])
+        if slot is not None and len(self.slots) > 1:
+            rare = np.flatnonzero((token >= self.rare) & (token < self.rare + len(self.slots)))
+            if len(rare):
+                group, own = token[rare] - self.rare, slot[rare]
+                other = np.minimum(np.searchsorted(self.slots, self.rng.random(self.noise)), len(self.slots) - 1)
+                more, to, gradient, _, _ = self._compare(h[rare], m.slot, own, other, self.inside[group, own], self.inside[group[:, None], other[None, :]])
+                back[rare] += more
+                self._move(4, to, gradient)
+        self._move(0, one, back)
+        self._move(1, two, back)
+        self._move(2, places, rows)
+        self._move(3, places, np.concatenate((up, down.sum(axis=0))))
+
+    def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, slot: np.ndarray | None = None) -> None:
         """One pass over the tokens in random order, in small steps at first."""
         order, at = self.rng.permutation(len(token)), 0
         while at < len(order):
             size = 256 if self.seen < 200_000 else 2048
             part = order[at : at + size]
-            self.step(token[part], one[part], two[part])
+            self.step(token[part], one[part], two[part], None if slot is None else slot[part])
             at, self.seen = at + size, self.seen + len(part)
 
 
@@ -198,7 +263,8 @@ def train(texts: DataFrame, voc: Vocabulary) -> Model:
         for pdf in batches:
             rows = to_bytes(pdf["text"])
             for a, b in blocks(rows):
-                trainer.learn(*sequences(split(rows[a:b]), b - a, voc)[:3])
+                token, one, two, _, slot = sequences(split(rows[a:b]), b - a, voc)
+                trainer.learn(token, one, two, slot)
         if trainer.seen:
             flat = np.concatenate([x.ravel() for x in trainer.model]).astype(np.float64)
             yield pd.DataFrame({"i": np.arange(-1, len(flat)), "v": np.concatenate(([trainer.seen], np.round(flat * trainer.seen * _UNIT))).astype(np.int64)})
@@ -217,12 +283,25 @@ class Scorer:
     """Log10 probabilities of tokens; tables for all pairs of tokens before are made once."""
 
     def __init__(self, model: Model, voc: Vocabulary):
-        self.voc = voc
+        self.voc, model = voc, Model(*(x.astype(np.float32) for x in model))
         self.first, self.second = model.one @ model.out.T + model.bias, model.two @ model.out.T
         high, high2 = self.first.max(axis=1), self.second.max(axis=1)
         total = np.exp(self.first - high[:, None]) @ np.exp(self.second - high2[:, None]).T
         self.normal = np.log(total) + high[:, None] + high2[None, :]
-        self.rare_share = np.log10(max(0.0, voc.class_counts()[voc.rare]) + voc.rare_words() + 1)
+        self.rare_share = np.log10(max(0, voc.rare_tokens()) + voc.rare_words() + 1)
+        self.weights = voc.weights().astype(np.float32)
+        self.slot_first, self.slot_second = model.one @ model.slot.T, model.two @ model.slot.T
+        self.slot_high = self.slot_first.max(axis=1), self.slot_second.max(axis=1)
+        self.slot_exp = tuple(np.exp(x - high[:, None]) for x, high in zip((self.slot_first, self.slot_second), self.slot_high))
+
+    def inside(self, group: np.ndarray, slot: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 of what a rarer word of count 0 has of its class; every other one has (count + 1) times that."""
+        total = np.empty(len(group))
+        for at in range(0, len(group), _PART):
+            part = slice(at, at + _PART)
+            total[part] = np.einsum("ij,ij->i", self.weights[group[part]] * self.slot_exp[0][one[part]], self.slot_exp[1][two[part]])
+        log = self.slot_first[one, slot] - self.slot_high[0][one] + self.slot_second[two, slot] - self.slot_high[1][two]
+        return (log - np.log(total)) / np.log(10)
 
     def texts(self, texts: list[bytes]) -> dict[str, np.ndarray | list]:
         """Per text: tokens, known tokens, base and score as far as the head's counts go, and its words outside the head.
@@ -230,16 +309,18 @@ class Scorer:
         A word outside the head adds log10(count + 1) to both scores, and one known token if its count is not 0.
         """
         voc, words, n = self.voc, split(texts), len(texts)
-        token, one, two, text = sequences(words, n, voc)
+        token, one, two, text, slot = sequences(words, n, voc)
         log = (self.first[one, token] + self.second[two, token] - self.normal[one, two]) / np.log(10)
         at, found = _find(voc.head, words.hashes)
         owner = np.repeat(np.arange(n), np.diff(words.first))
         counts = np.where(found, voc.head_counts[at] if len(voc.head) else 0, 0)
-        rare = ~_find(voc.top, words.hashes)[1]
+        rare = np.flatnonzero((token >= voc.rare) & (token < voc.end))
+        inside = self.inside(token[rare] - voc.rare, slot[rare], one[rare], two[rare])
+        outside_top = ~_find(voc.top, words.hashes)[1]
         own = np.log10(counts + 1.0)
         tokens = np.diff(words.first) + 1
         base = np.bincount(owner, own, n) + np.log10(voc.texts + 1) - tokens * np.log10(voc.tokens + voc.distinct + 1)
-        score = np.bincount(text, log, n) + np.bincount(owner[rare], own[rare] - self.rare_share, n)
+        score = np.bincount(text, log, n) + np.bincount(owner[outside_top], own[outside_top] + inside, n)
         key = np.stack((owner[~found].astype(np.uint64), words.hashes[~found]), axis=1)
         order = np.lexsort((key[:, 1], key[:, 0]))
         key = key[order]

@@ -195,6 +195,36 @@ def test_lm_learns_order():
     assert after > before / 4
 
 
+def test_lm_rarer_words_are_predicted_and_context():
+    rng = np.random.default_rng(3)
+    pairs = [(f"first{i}", f"second{i}") for i in range(40)]
+    texts = [" ".join(w for i in rng.integers(0, 40, 60) for w in ("the", *pairs[i])).encode() for _ in range(60)]
+    word, n = np.unique(words.split(texts).hashes, return_counts=True)
+    top = np.sort(word[np.argsort(-n)[:1]])
+    rare = ~np.isin(word, top)
+    side = math.isqrt(int(rare.sum()) - 1) + 1
+    cells = np.zeros((side, side), np.float32)
+    np.add.at(cells, lm.cell(word[rare], side), n[rare] + 1)
+    voc = lm.Vocabulary(top, n[~rare], word, n, int(n.sum()) + 60, len(word) + 1, 60, cells)
+    trainer = lm.Trainer(voc, lm.start_model(voc), 1)
+    token, one, two, _, slot = lm.sequences(words.split(texts), 60, voc)
+    for _ in range(8):
+        trainer.learn(token, one, two, slot)
+    scorer = lm.Scorer(trainer.model, voc)
+    group, at = lm.cell(word[rare], side)
+    context = [np.full(len(group), voc.rare + 1), np.full(len(group), voc.rare)]
+    log = scorer.first[context[0], voc.rare + group] + scorer.second[context[1], voc.rare + group] - scorer.normal[context[0], context[1]]
+    known = (np.exp(log) * (n[rare] + 1) * 10 ** scorer.inside(group, at, *context)).sum()
+    every = [x.ravel() for x in np.indices((side, side))]
+    context = [np.full(side * side, voc.rare + 1), np.full(side * side, voc.rare)]
+    log = scorer.first[context[0], voc.rare + every[0]] + scorer.second[context[1], voc.rare + every[0]] - scorer.normal[context[0], context[1]]
+    unknown = (np.exp(log) * 10 ** scorer.inside(every[0], every[1], *context)).sum()
+    others = np.exp(scorer.first[voc.rare + 1] + scorer.second[voc.rare] - scorer.normal[voc.rare + 1, voc.rare])[[0, voc.end]].sum()
+    assert known + unknown + others == pytest.approx(1, abs=1e-3)
+    right, wrong = (scorer.texts([" ".join(("the", pairs[i][0], pairs[(i + k) % 40][1])).encode() for i in range(40)])["score"].sum() for k in (0, 1))
+    assert right > wrong + 5
+
+
 def test_lm_odd_rows(odd, nothing):
     assert lm.score_texts(nothing).count() == 0
     got = lm.score_texts(odd).collect()
