@@ -12,7 +12,9 @@ documents, text shuffled once) and owners:
    The answer has a bit per suffix and string: whether some document smaller than the sender's smallest has it.
 3. Senders mark the strings, remove the bytes they cover and hash what is left.
 
-A passage in very many documents reaches an owner once per sender and different surrounding.
+A passage in very many documents would reach an owner once per sender and different surrounding. Suffixes whose first bytes are
+that frequent (by a sample) are not merged: senders send 128-bit hashes of their strings instead, each once with its smallest
+document, to owners that are dealt by hash, and get a bit for each. So a string reaches an owner once per sender at most.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from millwatch.llm import golomb
 from millwatch.llm.tables import NO_ID, packed_id, pieces, unpacked
-from millwatch.llm.words import joined, prefix_hashes, slices, to_bytes
+from millwatch.llm.words import joined, mix, prefix_hashes, slices, to_bytes
 
 LENGTH = 50
 GRAM = 24
@@ -37,6 +39,8 @@ SENDER_BYTES = 8 << 20
 OWNER_BYTES = 16 << 20
 CHUNK = 1 << 20
 SAMPLE_DOCS = 2000
+#: First bytes are frequent if they occur so often in the sample, and in so large a share of an owner's part of its anchors.
+FREQUENT = (8, 0.25)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -248,14 +252,71 @@ def _owners(keys: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     return np.searchsorted(splitters, np.ascontiguousarray(keys[:, :GRAM]).view(f"S{GRAM}")[:, 0], "right")
 
 
-def _runs(splitters: np.ndarray):
+def _frequent(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each key starts with one of the frequent first bytes."""
+    if not len(hot) or not len(keys):
+        return np.zeros(len(keys), bool)
+    first = np.ascontiguousarray(keys[:, :GRAM]).view(f"S{GRAM}")[:, 0]
+    return hot[np.minimum(np.searchsorted(hot, first), len(hot) - 1)] == first
+
+
+def strings(keys: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, smallest document of each) of the different strings of some suffixes, and of every string its suffix, start and number."""
+    names, rows, starts = [], [], []
+    for o in range(SPAN):
+        valid = np.flatnonzero((keys[:, KEY - 2] >= LENGTH - o) & (keys[:, KEY - 1] >= o))
+        part = np.zeros((len(valid), -(-LENGTH // 8) * 8), np.uint8)
+        part[:, :o] = keys[valid, LENGTH : LENGTH + o][:, ::-1]
+        part[:, o:LENGTH] = keys[valid, : LENGTH - o]
+        name = np.zeros((len(valid), 2), np.uint64)
+        for i, seed in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
+            value = mix(np.full(len(valid), seed + o, np.uint64))  # scrambled, else a start and a first byte can cancel out
+            for column in part.view(np.uint64).T:
+                value = mix((value ^ column) + np.uint64(seed))
+            name[:, i] = value
+        names.append(name)
+        rows.append(valid)
+        starts.append(np.full(len(valid), o))
+    name, row, start = np.concatenate(names), np.concatenate(rows), np.concatenate(starts)
+    order = np.lexsort((name[:, 1], name[:, 0]))
+    ordered = name[order]
+    new = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1)))[: len(order)]
+    cut = np.flatnonzero(new)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(document[row][order], cut) if len(cut) else np.zeros(0, np.int64)
+    return ordered[cut], least, row, start, number
+
+
+def _dealt(names: np.ndarray, owners: int) -> np.ndarray:
+    """The owner of each string; names ascend, and so do owners."""
+    return (((names[:, 0] >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int64)
+
+
+def string_masks(keys: np.ndarray, document: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """As ``earlier``, from the owners' bits: whether some document has the string that is smaller than the smallest here."""
+    _, least, row, start, number = strings(keys, document)
+    mask = np.zeros(len(keys), np.uint32)
+    found = bits[number] | (least[number] < document[row])
+    np.bitwise_or.at(mask, row[found], np.uint32(1) << start[found].astype(np.uint32))
+    return mask
+
+
+def _runs(splitters: np.ndarray, hot: np.ndarray, string_owners: int):
     def send(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(pdf):
             own = load(pdf)
             keys, document, _ = contexts(own, _candidates(own, replies))
+            sender, frequent = int(pdf["sender"].iloc[0]), _frequent(keys, hot)
+            if frequent.any():
+                names, least, *_ = strings(keys[frequent], document[frequent])
+                bounds = np.searchsorted(_dealt(names, string_owners), np.arange(string_owners + 1))
+                for owner, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    if a < b:
+                        rows.append((sender, -1 - owner, names[a:b, 0].tobytes(), names[a:b, 1].tobytes(), least[a:b].tobytes()))
+                keys, document = keys[~frequent], document[~frequent]
             bounds = np.searchsorted(_owners(keys, splitters), np.arange(len(splitters) + 2))
-            sender = int(pdf["sender"].iloc[0])
             for owner, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 if a < b:
                     rows.append((sender, owner, *front_code(keys[a:b]), document[a:b].tobytes()))
@@ -264,7 +325,21 @@ def _runs(splitters: np.ndarray):
     return send
 
 
+def _compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """An owner's reply on strings: a bit for each that some smaller document has."""
+    name = np.stack([np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("common", "rest")], axis=1)
+    document, sizes = np.frombuffer(b"".join(pdf["document"]), np.int64), np.array([len(d) // 8 for d in pdf["document"]])
+    order = np.lexsort((name[:, 1], name[:, 0]))
+    cut = np.flatnonzero(np.concatenate(([True], (name[order][1:] != name[order][:-1]).any(axis=1))))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(document[order], cut), np.diff(np.append(cut, len(order))))
+    bits = [np.packbits(x).tobytes() for x in np.split(least < document, np.cumsum(sizes)[:-1])]
+    return pd.DataFrame({"sender": pdf["sender"], "kind": 2, "owner": -1 - key[0], "n": sizes, "bits": bits})
+
+
 def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    if key[0] < 0:
+        return _compared(key, pdf)
     runs = [front_decode(c, r) for c, r in zip(pdf["common"], pdf["rest"])]
     documents = [np.frombuffer(d, np.int64) for d in pdf["document"]]
     run, place, common = merge_runs(runs)
@@ -292,15 +367,27 @@ def removed_runs(own: Slice, place: np.ndarray, masks: np.ndarray) -> tuple[np.n
     return start[new], start[np.append(new[1:], len(start)) - 1] + LENGTH if len(start) else start
 
 
-def _kept(pdf: pd.DataFrame, replies: pd.DataFrame, whole: bool) -> pd.DataFrame:
+def _masks(own: Slice, place: np.ndarray, replies: pd.DataFrame, hot: np.ndarray) -> np.ndarray:
+    """The owners' masks of all different suffixes here."""
+    merged, compared = (replies[replies["kind"] == k].sort_values("owner") for k in (1, 2))
+    masks = np.frombuffer(b"".join(merged["bits"]), np.uint32)
+    if not len(compared):
+        return masks
+    keys, document, _ = contexts(own, place)
+    frequent, out = _frequent(keys, hot), np.empty(len(keys), np.uint32)
+    bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(compared["bits"], compared["n"])]).astype(bool)
+    out[~frequent], out[frequent] = masks, string_masks(keys[frequent], document[frequent], bits)
+    return out
+
+
+def _kept(pdf: pd.DataFrame, replies: pd.DataFrame, whole: bool, hot: np.ndarray) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
     own = load(pdf)
     place = _candidates(own, replies[replies["kind"] == -1])
-    answers = replies[replies["kind"] == 1].sort_values("owner")
     start = end = np.zeros(0, np.int64)
     if len(place):
-        start, end = removed_runs(own, place, np.frombuffer(b"".join(answers["bits"]), np.uint32))
+        start, end = removed_runs(own, place, _masks(own, place, replies, hot))
     n, size = len(pdf), np.diff(own.starts) - 1
     text = np.searchsorted(own.starts, start, "right") - 1
     first = np.searchsorted(text, np.arange(n + 1))
@@ -318,21 +405,27 @@ def _kept(pdf: pd.DataFrame, replies: pd.DataFrame, whole: bool) -> pd.DataFrame
     })
 
 
-def _splitters(docs: DataFrame, owners: int, rows: int) -> np.ndarray:
-    """Bounds of the owners' ranges from the anchors of about SAMPLE_DOCS documents; they decide where work is done only."""
+def _splitters(docs: DataFrame, owners: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the owners' ranges and frequent first bytes, from the anchors of about SAMPLE_DOCS documents; they decide where work is done only."""
     part = int(min(1, SAMPLE_DOCS / max(1, rows)) * (1 << 30)) + 1
 
     def prefixes(batches):
         for pdf in batches:
             own = load(pdf)
             place, value = anchors(own.data, own.starts)
-            place = place[value % np.uint64(16) == 0]
-            yield pd.DataFrame({"prefix": [own.data[p : p + GRAM].tobytes() for p in place]})
+            _, at, n = np.unique(value, return_index=True, return_counts=True)
+            yield pd.DataFrame({"value": value[at].view(np.int64), "prefix": [own.data[p : p + GRAM].tobytes() for p in place[at]], "n": n})
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part)
-    found = sorted(r["prefix"] for r in some.mapInPandas(prefixes, "prefix binary").collect())
+    counted = some.mapInPandas(prefixes, "value long, prefix binary, n long").groupBy("value", "prefix").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    least, share = FREQUENT
+    counted = counted.withColumn("hot", (F.col("n") >= least) & (F.col("n") >= total * share / owners))
+    picked = counted.filter("hot OR value % 16 = 0").collect()
+    found = sorted(bytes(r["prefix"]) for r in picked if not r["hot"] and r["value"] % 16 == 0 for _ in range(r["n"]))
+    hot = np.array(sorted(bytes(r["prefix"]) for r in picked if r["hot"]), f"S{GRAM}")
     cuts = sorted({bytes(found[len(found) * i // owners]) for i in range(1, owners)}) if found else []
-    return np.array(cuts, f"S{GRAM}")
+    return np.array(cuts, f"S{GRAM}"), hot
 
 
 def remove_repeats(docs: DataFrame, whole: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,18 +439,18 @@ def remove_repeats(docs: DataFrame, whole: bool = False, key: str = "doc_id", te
     plain = docs.select(packed_id(docs, key), body.alias("text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     senders, owners = pieces(total["b"], SENDER_BYTES, 12), pieces(total["b"], OWNER_BYTES, 12)
-    splitters = _splitters(plain, owners, total["n"])
+    splitters, hot = _splitters(plain, owners, total["n"])
     sent = plain.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(senders)).cast("int").alias("sender"), "doc_id", "text")
     lists = sent.groupBy("sender").applyInPandas(_lists((owners - 1).bit_length()), "sender int, owner int, n long, low int, unary binary, rest binary")
     reply = "sender int, kind int, owner int, n long, bits binary"
     bitmaps = lists.groupBy("owner").applyInPandas(_answer, reply)
-    runs = sent.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_runs(splitters), "sender int, owner int, common binary, rest binary, document binary")
+    runs = sent.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_runs(splitters, hot, owners), "sender int, owner int, common binary, rest binary, document binary")
     masks = runs.groupBy("owner").applyInPandas(_merged, reply)
     replies = bitmaps.unionByName(masks)
     kind = "binary" if whole else "string"
 
     def keep(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return _kept(pdf, answers, whole)
+        return _kept(pdf, answers, whole, hot)
 
     out = sent.groupBy("sender").cogroup(replies.groupBy("sender")).applyInPandas(keep, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
     return unpacked(out if whole else out.withColumnRenamed("kept", "kept_sha256"))

@@ -385,6 +385,23 @@ def test_repeats(spark, docs, rows, monkeypatch, chunk):
     assert got == brute_repeats(rows)
 
 
+def test_suffixes_of_one_frequent_string_meet_in_many_tasks(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix, "FREQUENT", (2, 0.0))
+    assert len(suffix._splitters(docs.selectExpr("coalesce(doc_id, 0) doc_id", "cast(coalesce(text, '') as binary) text"), 12, len(rows))[1]) > 20
+    assert Counter(tuple(r) for r in suffix.remove_repeats(docs).collect()) == brute_repeats(rows)
+    line = np.frombuffer(b"a line that is in very many documents and goes on and on", np.uint8)
+    keys = np.zeros((500, suffix.KEY), np.uint8)
+    keys[:, :40], keys[:, 40:50] = line[:40], np.random.default_rng(4).integers(97, 123, (500, 10))
+    keys[:, 50:76], keys[:, 78], keys[:, 79] = line[:26], 50, 26
+    keys = np.unique(keys, axis=0)
+    document = np.arange(len(keys))[::-1].copy()
+    assert len(set(suffix._owners(keys, keys[::50, :24].copy().view("S24")[:, 0]).tolist())) == 1
+    names, least, row, start, number = suffix.strings(keys, document)
+    assert np.bincount(suffix._dealt(names, 12), minlength=12).max() < len(names) / 8
+    common = np.frombuffer(suffix.front_code(keys)[0], np.uint8).astype(np.int64)
+    assert (suffix.string_masks(keys, document, np.zeros(len(names), bool)) == suffix.earlier(keys, common, document)).all()
+
+
 def test_repeats_odd_rows(spark, odd, nothing):
     assert suffix.remove_repeats(nothing).count() == 0
     assert suffix.remove_repeats(odd).count() == 6
