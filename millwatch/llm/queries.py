@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import bpe, exact, jaccard, langid, linkgraph, lm, mixing, suffix, toxicity, vptree
+from millwatch.llm import bpe, exact, jaccard, langid, linkgraph, lm, mixing, periods, resharding, suffix, toxicity, variants, vptree
 from millwatch.llm.tables import table
 from millwatch.session import ship_package
 
@@ -33,5 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": _over("documents", jaccard.similar_documents),
     "op9_url_filter": _over("pages", linkgraph.judge_pages),
     "op10_mixing": _over("documents", mixing.mixed_sizes),
+    "op11_periodic_runs": _over("documents", periods.run_digests),
+    "op12_reshard": _over("documents", resharding.even_shards),
+    "op13_spelling_variants": _over("documents", variants.document_variants),
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact.SQL, "op4_nearest": vptree.SQL, "op9_url_filter": linkgraph.sql()}
