@@ -92,7 +92,7 @@ def scan(word: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LE
         # within a run of a smaller period, lag would not be the smallest: both hold over two lags, so their divisor does
         at = at[reach[at] < at + 2 * lag]
         step = 1
-        while len(at) > 8 and step < 2 * lag:
+        while len(at) > 8 and step <= (times - 2) * lag:
             at, step = at[part[at + step] == part[at + lag + step]], step + 1 + step // 8
         i = 0
         while i < len(at):
