@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from millwatch.functions import gauges
 from millwatch.functions.numbers import hours_between
 from millwatch.operators.changes import SET, apply_changes
 from millwatch.operators.paging import names_of_page
-from millwatch.operators.times import carry_forward, moment, running_sum
+from millwatch.operators.times import LEVELS, carry_forward, moment, running_sum
 from millwatch.schemas import ACTIVE_ALERT, ESCALATION_MINUTES, INGEST_LIMITS
 
 
@@ -184,6 +186,16 @@ def escalate(alerts: DataFrame, as_of: str, minutes: int = ESCALATION_MINUTES) -
     )
 
 
+def first_of_epochs(
+    line: DataFrame, key: str, time: str, answered: str, candidate: str, levels: Sequence[str] = LEVELS
+) -> DataFrame:
+    """key, _epoch and the time of its first candidate; ``answered`` (0 or 1) of a key's instants number its epochs from 0."""
+    return (
+        running_sum(line, key, time, answered, candidate, levels).withColumnRenamed(answered, "_epoch")
+        .groupBy(key, "_epoch").agg(F.min(time).alias(time))
+    )
+
+
 def dedupe_alerts(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """One active alert per machine: a candidate opens only if none has since the last response.
 
@@ -198,11 +210,7 @@ def dedupe_alerts(candidates: DataFrame, responses: DataFrame) -> DataFrame:
         )
         .groupBy("machine_id", "_time").agg(F.max("_epoch").alias("_epoch"), F.max("_candidate").alias("_candidate"))
     )
-    opened = (
-        running_sum(line, "machine_id", "_time", "_epoch", "_candidate")
-        .groupBy("machine_id", "_epoch").agg(F.min("_time").alias("triggered_at"))
-        .select("machine_id", "triggered_at")
-    )
+    opened = first_of_epochs(line, "machine_id", "_time", "_epoch", "_candidate").select("machine_id", F.col("_time").alias("triggered_at"))
     return (
         candidates.join(opened, ["machine_id", "triggered_at"], "left_semi")
         .groupBy("machine_id", "triggered_at")

@@ -13,7 +13,7 @@ from millwatch.plans.registry import query
 from millwatch.session import new_folder
 from millwatch.sources.demo import READING_COLUMNS, STORED
 from millwatch.sources.feed import event_time
-from millwatch.streaming import alarms, newest, runs, state
+from millwatch.streaming import alarms, closing, newest, runs, state
 
 MARK = "(SELECT date_trunc('milliseconds', max({time})) - INTERVAL 10 MINUTE FROM {rows})"
 
@@ -96,15 +96,20 @@ LINE = """alert_line AS (SELECT alert_id, machine_id, triggered_at, status = 'ac
 )
 def t3_stream(d):
     """Acknowledged alerts were answered some minutes after they opened; the others never."""
-    runs.use_rocksdb(d.spark)
-    lines = event_files(d).selectExpr(*READING_COLUMNS).filter("temperature > 60").selectExpr(
+    folder = new_folder(d.spark, "escalation")
+    alarms.escalate_stream(alert_lines(event_files(d)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return closing.results(d.spark, f"{folder}/out", "escalated")
+
+
+def alert_lines(events: DataFrame) -> DataFrame:
+    lines = events.selectExpr(*READING_COLUMNS).filter("temperature > 60").selectExpr(
         "reading_id AS alert_id", "machine_id",
         """inline(CASE WHEN reading_id % 4 = 1
              THEN array(struct('opened' AS kind, timestamp AS event_time),
                         struct('answered' AS kind, timestamp + make_dt_interval(0, 0, reading_id % 10) AS event_time))
              ELSE array(struct('opened' AS kind, timestamp AS event_time)) END)""",
     )
-    return results(d, alarms.stream_escalations(event_time(lines, "event_time")))
+    return event_time(lines, "event_time")
 
 
 @query(
@@ -119,15 +124,61 @@ def t3_stream(d):
        WHERE date_trunc('minute', triggered_at) + INTERVAL 1 MINUTE <= {MARK.format(time='t', rows='line')}""",
 )
 def t4_stream(d):
-    runs.use_rocksdb(d.spark)
-    candidates = scoring.alert_candidates(scoring.score_readings(event_files(d).selectExpr(*READING_COLUMNS))).select(
+    folder = new_folder(d.spark, "dedupe")
+    alarms.dedupe_stream(dedupe_lines(event_files(d)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return closing.results(d.spark, f"{folder}/out", "opened")
+
+
+def dedupe_lines(events: DataFrame) -> DataFrame:
+    candidates = scoring.alert_candidates(scoring.score_readings(events.selectExpr(*READING_COLUMNS))).select(
         "machine_id", F.lit(1).alias("side"), "alert_id", "severity", F.col("triggered_at").alias("event_time")
     )
-    answers = event_files(d).filter("event_type = 'signup'").select(
+    answers = events.filter("event_type = 'signup'").select(
         F.col("user_id").alias("machine_id"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("alert_id"),
         F.lit(None).cast("string").alias("severity"), F.col("ts").alias("event_time"),
     )
-    return results(d, alarms.stream_dedupe_alerts(event_time(candidates.unionByName(answers), "event_time")))
+    return event_time(candidates.unionByName(answers), "event_time")
+
+
+def in_two_parts(d, start) -> str:
+    """Feed a job every event but one in seven, then the missing ones, which by then are late but for those of the last minutes."""
+    folder = new_folder(d.spark, "parts")
+    for part, rows in enumerate(("event_id % 7 <> 3", "event_id % 7 = 3")):
+        d.stored("events").filter(rows).write.mode("append").parquet(f"{folder}/in")
+        stream = d.spark.readStream.schema(STORED["events"]).parquet(f"{folder}/in")
+        start(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/out"
+
+
+LATE_MARK = "(SELECT max(t) - INTERVAL 10 MINUTE FROM {rows} WHERE event_id % 7 <> 3)"
+
+
+@query(
+    "t3_late_answers",
+    f"""WITH line AS (SELECT event_id, alert_id, machine_id, triggered_at AS t, triggered_at + to_minutes(alert_id % 10) AS answered_at, status = 'acknowledged' AS answered
+          FROM fx_alerts JOIN events ON event_id = alert_id),
+        times AS (SELECT event_id, t FROM line UNION ALL SELECT event_id, answered_at FROM line WHERE answered)
+        SELECT alert_id, machine_id, answered_at AS event_time FROM line
+        WHERE answered AND event_id % 7 = 3 AND answered_at <= {LATE_MARK.format(rows='times')}""",
+)
+def t3_late(d):
+    """Answers that came after the mark had passed them: stored, not dropped."""
+    out = in_two_parts(d, lambda stream, *at: alarms.escalate_stream(alert_lines(stream), *at))
+    return closing.late_rows(d.spark, out).filter("kind = 'answered'").select("alert_id", "machine_id", "event_time")
+
+
+@query(
+    "t4_late_rows",
+    f"""WITH line AS (SELECT event_id, user_id AS machine_id, ts AS t, 0 AS side, NULL AS alert_id FROM events WHERE event_type = 'signup'
+          UNION ALL SELECT event_id, p.machine_id, p.ts, 1, md5(CAST(prediction_id AS VARCHAR) || '|alert') FROM fx_predictions p
+            JOIN events ON event_id = prediction_id WHERE risk_level IN ('high', 'critical'))
+        SELECT machine_id, side, alert_id, t AS event_time FROM line
+        WHERE event_id % 7 = 3 AND date_trunc('minute', t) + INTERVAL 1 MINUTE <= {LATE_MARK.format(rows='line')}""",
+)
+def t4_late(d):
+    """Answers and candidates whose minute was closed when they came."""
+    out = in_two_parts(d, lambda stream, *at: alarms.dedupe_stream(dedupe_lines(stream), *at))
+    return closing.late_rows(d.spark, out).selectExpr("machine_id", "CAST(side AS INT) AS side", "alert_id", "event_time")
 
 
 @query("t5_dedupe_events", "SELECT alert_id, machine_id, triggered_at FROM fx_alerts")

@@ -1,18 +1,18 @@
 """Scoring, escalation and de-duplication on streams.
 
-``operators.alerts.threshold_alerts`` is stateless and runs on a stream as it is.
+``operators.alerts.threshold_alerts`` is stateless and runs on a stream as it is. Escalation and de-duplication are jobs over batches
+(``closing``): their rules are plain DataFrame functions over closed rows, and what comes too late is stored beside the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import batched
-
-from pyspark.sql import DataFrame, Row, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from millwatch.operators.alerts import first_of_epochs
 from millwatch.operators.scoring import score_readings
 from millwatch.schemas import ESCALATION_MINUTES
+from millwatch.streaming.closing import Batch, Rule, close_in_time
 
 
 def stream_scores(readings: DataFrame, every: str = "1 minute") -> DataFrame:
@@ -30,136 +30,105 @@ def dedupe_events(alerts: DataFrame, key: str = "alert_id") -> DataFrame:
     return alerts.dropDuplicatesWithinWatermark([key])
 
 
-def late_rows(batch: DataFrame, watermark: str, time: str = "event_time") -> DataFrame:
-    """Rows of a batch older than the watermark that the query had when the batch came, which stateful operators drop."""
-    return batch.filter(F.col(time) < F.lit(watermark).cast(batch.schema[time].dataType))
-
-
-class _Escalation(StatefulProcessor):
-    """Per alert: when it is due, and the first answer."""
-
-    def __init__(self, minutes: int, machine_type: str):
-        self.minutes, self.machine_type = minutes, machine_type
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.alert = handle.getValueState("alert", f"machine_id {self.machine_type}, opened bigint, due bigint, answered bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        machine, opened, due, answered = self.alert.get() if self.alert.exists() else (None, None, None, None)
-        for row in rows:
-            at = row.event_micros
-            if row.kind == "opened" and opened is None:
-                machine, opened = row.machine_id, at
-                due = -(-(at + self.minutes * 60_000_000) // 60_000_000) * 60_000_000
-                self.handle.registerTimer(due // 1000)
-            elif row.kind == "answered":
-                answered = at if answered is None else min(at, answered)
-                if opened is None:
-                    # An answer ahead of its alert is kept as long as the alert could still be due.
-                    self.handle.registerTimer((at + (self.minutes + 1) * 60_000_000) // 1000)
-        self.alert.update((machine, opened, due, answered))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.alert.exists():
-            return
-        machine, opened, due, answered = self.alert.get()
-        if due is not None and due // 1000 > expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.alert.clear()
-        if due is not None and (answered is None or answered > due):
-            yield Row(alert_id=key[0], machine_id=machine, triggered_micros=opened, escalated_micros=due)
-
-
-def stream_escalations(events: DataFrame, minutes: int = ESCALATION_MINUTES) -> DataFrame:
-    """Escalations of ``events(alert_id, machine_id, kind, event_time)`` with kind ``opened`` or
-    ``answered``: an alert without an answer by its tick is escalated when the watermark gets there.
-
-    Ids keep the types they come with. An answer that is later than the watermark is dropped by Spark, so its alert stays
-    escalated; ``late_rows`` finds such rows in a batch.
-    """
-    alert_type, machine_type = (events.schema[c].dataType.simpleString() for c in ("alert_id", "machine_id"))
-    found = (
-        events.withColumn("event_micros", F.unix_micros("event_time"))
-        .groupBy("alert_id")
-        .transformWithState(
-            statefulProcessor=_Escalation(minutes, machine_type),
-            outputStructType=f"alert_id {alert_type}, machine_id {machine_type}, triggered_micros bigint, escalated_micros bigint",
-            outputMode="append", timeMode="eventTime",
-        )
+def _minutes(n: int) -> int:
+    return n * 60_000_000
+
+
+def escalation_rule(minutes: int = ESCALATION_MINUTES) -> Rule:
+    """An opened alert is judged at its tick, the first whole minute at which it is due. Both kinds of rows are kept as long as an
+    alert can need them: an answer counts for alerts that open up to ``minutes + 1`` minutes after it."""
+    at, opened = F.unix_micros("event_time"), F.col("kind") == "opened"
+    tick = F.ceil((at + _minutes(minutes)) / _minutes(1)).cast("long") * _minutes(1)
+    return Rule(
+        due=F.when(opened, tick), until=F.when(opened, tick + _minutes(minutes + 1)).otherwise(at + _minutes(2 * minutes + 2)),
+        closes=F.when(opened, tick).otherwise(at),
     )
-    return found.select(
-        "alert_id", "machine_id", F.timestamp_micros("triggered_micros").alias("triggered_at"),
-        F.lit("escalated").alias("status"), F.lit(True).alias("auto_escalated"),
-        F.timestamp_micros("escalated_micros").alias("escalated_at"),
+
+
+def escalations(batch: Batch, minutes: int = ESCALATION_MINUTES) -> DataFrame:
+    """Due alerts without an answer by their tick. An alert opened again within ``minutes + 1`` minutes is the same alert."""
+    near = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes + 1))
+    opened = batch.due.groupBy("alert_id", "event_time", "due").agg(F.min("machine_id").alias("machine_id"))
+    others = batch.live.select(F.col("alert_id").alias("_id"), F.col("event_time").alias("_at"), "kind")
+    answers, earlier = others.filter("kind = 'answered'"), others.filter("kind = 'opened'")
+    tick = F.timestamp_micros("due")
+    same, since = F.col("alert_id") == F.col("_id"), F.col("_at") >= F.col("event_time") - near
+    left = opened.join(answers, same & since & (F.col("_at") <= tick), "left_anti").join(earlier, same & since & (F.col("_at") < F.col("event_time")), "left_anti")
+    return left.select(
+        "alert_id", "machine_id", F.col("event_time").alias("triggered_at"),
+        F.lit("escalated").alias("status"), F.lit(True).alias("auto_escalated"), tick.alias("escalated_at"),
     )
 
 
-class _OneActive(StatefulProcessor):
-    """Per machine: whether an alert is open, and the rows of each minute the watermark has not passed."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "is_open boolean")
-        self.waiting = handle.getMapState(
-            "waiting", "minute bigint", "rows array<struct<micros:bigint,side:int,alert_id:string,severity:string>>"
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for some in batched(rows, 10_000):
-            arrived: dict[int, list] = {}
-            for row in some:
-                end = (row.event_micros // 60_000_000 + 1) * 60_000
-                arrived.setdefault(end, []).append((row.event_micros, row.side, row.alert_id, row.severity))
-            for end, new in arrived.items():
-                if self.waiting.containsKey((end,)):
-                    new = [tuple(old) for old in self.waiting.getValue((end,))[0]] + new
-                else:
-                    self.handle.registerTimer(end)
-                self.waiting.updateValue((end,), (new,))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """The minute is over: take its rows in order."""
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        before = self.open.get()
-        was_open = is_open = before is not None and before[0]
-        for micros, side, alert_id, severity in sorted(tuple(r) for r in self.waiting.getValue((end,))[0]):
-            if side == 0:
-                is_open = False
-            elif not is_open:
-                is_open = True
-                yield Row(alert_id=alert_id, machine_id=key[0], triggered_micros=micros, severity=severity)
-        if is_open != was_open:
-            self.open.update((is_open,))
-        self.waiting.removeKey((end,))
-
-
-def stream_dedupe_alerts(events: DataFrame) -> DataFrame:
-    """One active alert per machine over ``events(machine_id, side, alert_id, severity, event_time)``,
-    where side 0 is an answer and side 1 a candidate. Rows are taken in event-time order, minute by
-    minute as the watermark passes.
-
-    The machine id keeps the type it comes with. Rows later than the watermark are dropped by Spark: a late answer leaves its
-    machine open until the next one, so store what ``late_rows`` finds beside the result. All rows of a machine and minute are
-    kept in one state row.
+def escalate_stream(events: DataFrame, out: str, checkpoint: str, minutes: int = ESCALATION_MINUTES, every: str | None = None) -> StreamingQuery:
+    """Escalations of ``events(alert_id, machine_id, kind, event_time)`` with kind ``opened`` or ``answered``, under ``{out}/escalated``:
+    an alert without an answer by its tick is escalated when the mark gets there.
+
+    Ids keep the types they come with; a null id is no alert. An answer whose time the mark had passed when it came is in
+    ``{out}/late``, its alert stays escalated.
     """
-    machine_type = events.schema["machine_id"].dataType.simpleString()
-    opened = (
-        events.withColumns(
-            {
-                "event_micros": F.unix_micros("event_time"),
-                "alert_id": F.coalesce("alert_id", F.lit("")), "severity": F.coalesce("severity", F.lit("")),
-            }
-        )
-        .groupBy("machine_id")
-        .transformWithState(
-            statefulProcessor=_OneActive(),
-            outputStructType=f"alert_id string, machine_id {machine_type}, triggered_micros bigint, severity string",
-            outputMode="append", timeMode="eventTime",
-        )
+
+    def shrink(rows: DataFrame) -> DataFrame:
+        rows = rows.filter("alert_id IS NOT NULL AND kind IN ('opened', 'answered')")
+        return rows.groupBy("alert_id", "kind", "event_time", "due", "until").agg(F.min("machine_id").alias("machine_id"))
+
+    def judge(batch: Batch) -> None:
+        escalations(batch, minutes).write.mode("overwrite").parquet(f"{out}/escalated/batch={batch.number}")
+
+    return close_in_time(events, escalation_rule(minutes), shrink, judge, out, checkpoint, every=every)
+
+
+def minute_rule() -> Rule:
+    """Rows are taken when their minute is over."""
+    end = (F.floor(F.unix_micros("event_time") / _minutes(1)) + 1).cast("long") * _minutes(1)
+    return Rule(end, end, end)
+
+
+def instants(events: DataFrame) -> DataFrame:
+    """One row per machine and instant of ``events(machine_id, side, alert_id, severity, event_time)``: whether there was an answer, and the
+    first candidate by its id."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("alert_id", "severity")}
+    candidate = F.when(F.col("side") == 1, F.struct(text["alert_id"].alias("alert_id"), text["severity"].alias("severity")))
+    return events.filter("machine_id IS NOT NULL").groupBy("machine_id", "event_time", "due", "until").agg(
+        F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("answered"), F.min(candidate).alias("first"),
     )
-    return opened.select(
-        "alert_id", "machine_id", F.timestamp_micros("triggered_micros").alias("triggered_at"), "severity"
+
+
+def opened_alerts(line: DataFrame, still_open: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alerts that open, machines open afterwards) of closed ``instants``; several rows of an instant are one.
+
+    ``still_open(machine_id)`` are the machines whose alert was open before. The passes run in slots of a minute, so that no task
+    needs all rows of a machine.
+    """
+    line = line.groupBy("machine_id", "event_time").agg(F.max("answered").alias("answered"), F.min("first").alias("first"))
+    line = line.withColumn("candidate", F.col("first").isNotNull())
+    firsts = first_of_epochs(line, "machine_id", "event_time", "answered", "candidate", levels=("minute",))
+    busy = still_open.select("machine_id", F.lit(0).alias("_epoch"))
+    starts = firsts.join(busy, ["machine_id", "_epoch"], "left_anti").select("machine_id", "event_time")
+    opened = line.join(starts, ["machine_id", "event_time"]).select("first.alert_id", "machine_id", F.col("event_time").alias("triggered_at"), "first.severity")
+    last = line.groupBy("machine_id").agg(
+        F.max(F.when(F.col("candidate"), F.col("event_time"))).alias("_candidate"), F.max(F.when(F.col("answered") == 1, F.col("event_time"))).alias("_answer")
     )
+    now = last.filter("_candidate IS NOT NULL AND (_answer IS NULL OR _candidate >= _answer)").select("machine_id")
+    unheard = still_open.join(last.filter("_answer IS NOT NULL"), "machine_id", "left_anti")
+    return opened, now.unionByName(unheard).distinct()
+
+
+def dedupe_stream(events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """One active alert per machine over ``events(machine_id, side, alert_id, severity, event_time)``, where side 0 is an answer
+    and side 1 a candidate, under ``{out}/opened``. Rows are taken in event-time order, minute by minute as the mark passes.
+
+    The machine id keeps the type it comes with; rows without one are no alert. ``{out}/open`` holds the machines whose alert is open,
+    in two slots that batches write in turn. A row whose minute was closed when it came is in ``{out}/late``.
+    """
+    machine = events.schema["machine_id"].dataType.simpleString()
+
+    def judge(batch: Batch) -> None:
+        spark, slot = batch.due.sparkSession, batch.number % 2
+        shape = f"machine_id {machine}"
+        before = spark.read.schema(shape).parquet(f"{out}/open/slot={1 - slot}") if batch.number else spark.createDataFrame([], shape)
+        opened, still = opened_alerts(batch.due, before)
+        opened.write.mode("overwrite").parquet(f"{out}/opened/batch={batch.number}")
+        still.write.mode("overwrite").parquet(f"{out}/open/slot={slot}")
+
+    return close_in_time(events, minute_rule(), instants, judge, out, checkpoint, every=every)

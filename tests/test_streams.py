@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millwatch.operators import alerts, events, scoring
 from millwatch.sources.feed import event_time, read_sensor_stream
-from millwatch.streaming import alarms, ingest, newest, runs, state
+from millwatch.streaming import alarms, closing, ingest, newest, runs, state
 
 START = datetime(2024, 1, 1, 10, 0, 0)
 SENSOR = {"pressure": 4.0, "current": 12.0, "rpm": 1800.0, "noise_level": 60.0}
@@ -60,18 +60,27 @@ def test_scores_of_closed_windows(spark, tmp_path):
 
 @pytest.mark.parametrize("kind, name", [("bigint", int), ("string", "A{}".format)])
 def test_escalations(spark, tmp_path, kind, name):
-    feed = tmp_path / "in"
+    feed, out = tmp_path / "in", str(tmp_path / "out")
     opened = lambda a, s: {"alert_id": name(a), "machine_id": name(1), "kind": "opened", "event_time": at(s)}
     answered = lambda a, s: {"alert_id": name(a), "machine_id": name(1), "kind": "answered", "event_time": at(s)}
-    runs.use_rocksdb(spark)
     line = f"alert_id {kind}, machine_id {kind}, kind string, event_time timestamp"
-    stream = lambda: alarms.stream_escalations(event_time(spark.readStream.schema(line).json(str(feed)), "event_time"))
+
+    def run():
+        stream = event_time(spark.readStream.schema(line).json(str(feed)), "event_time")
+        alarms.escalate_stream(stream, out, str(tmp_path / "cp")).awaitTermination()
+        return {r.alert_id: (r.triggered_at, r.escalated_at) for r in closing.results(spark, out, "escalated").collect()}
+
     put(feed, "a", [opened(1, 0), opened(2, 1), answered(2, 200), answered(3, 10), opened(4, 100), opened(5, 110)])
-    assert finish(spark, stream(), tmp_path) == []
-    put(feed, "b", [opened(3, 5), answered(4, 421), answered(5, 420), opened(6, 5000)])
-    got = {r.alert_id: (r.triggered_at, r.escalated_at) for r in finish(spark, stream(), tmp_path)}
+    assert run() == {}
+    put(feed, "b", [opened(3, 5), answered(4, 421), answered(5, 420), opened(1, 20), opened(6, 5000)])
     want = {1: (0, 300), 4: (100, 420)}
-    assert got == {name(a): (START + timedelta(seconds=t), START + timedelta(seconds=e)) for a, (t, e) in want.items()}
+    assert run() == {name(a): (START + timedelta(seconds=t), START + timedelta(seconds=e)) for a, (t, e) in want.items()}
+    put(feed, "c", [answered(4, 400), opened(7, 4200), answered(6, 5100), answered(8, 6000) | {"alert_id": None}])
+    assert run().keys() == {name(1), name(4), name(7)}
+    late = closing.late_rows(spark, out).collect()
+    assert [(r.alert_id, r.kind, r.event_time, r.mark) for r in late] == [(name(4), "answered", START + timedelta(seconds=400), START + timedelta(seconds=4400))]
+    put(feed, "d", [answered(9, 9000)])
+    assert run().keys() == {name(1), name(4), name(7)}
 
 
 @pytest.mark.parametrize("kind, name", [("bigint", int), ("string", "M{}".format)])
@@ -84,22 +93,75 @@ def test_dedupe_stream_equals_batch_in_any_arrival_order(spark, tmp_path, kind,
         machine = name(0 if rng.random() < 0.34 else rng.randrange(1, 6))
         side = 0 if rng.random() < 0.3 else 1
         rows.append({"machine_id": machine, "side": side, "alert_id": f"A{i:04d}" if side else None, "severity": "high" if side else None, "event_time": at(i * 20 + rng.random())})
-    feed = tmp_path / "in"
-    runs.use_rocksdb(spark)
+    rows += [r | {"alert_id": "A9" + r["alert_id"]} for r in rows[:40] if r["side"]]  # two candidates of one instant
+    rows += [r | {"side": 0} for r in rows[40:60] if r["side"]]  # an answer and a candidate of one instant
+    rows.sort(key=lambda r: r["event_time"])
+    feed, out = tmp_path / "in", str(tmp_path / "out")
     schema = f"machine_id {kind}, side int, alert_id string, severity string, event_time timestamp"
-    stream = lambda: alarms.stream_dedupe_alerts(event_time(spark.readStream.schema(schema).json(str(feed)), "event_time"))
+
+    def run():
+        stream = event_time(spark.readStream.schema(schema).json(str(feed)), "event_time")
+        alarms.dedupe_stream(stream, out, str(tmp_path / "cp")).awaitTermination()
+
     for part in range(4):
-        some = rows[part * 100 : part * 100 + 100]
+        some = rows[part * 120 : part * 120 + 120]
         rng.shuffle(some)
         put(feed, f"p{part}", some)
-        got = finish(spark, stream(), tmp_path)
+        run()
     put(feed, "end", [{"machine_id": name(99), "side": 0, "alert_id": None, "severity": None, "event_time": at(400 * 20 + 3600)}])
-    got = {r.alert_id for r in finish(spark, stream(), tmp_path)}
+    run()
+    got = {r.alert_id for r in closing.results(spark, out, "opened").collect()}
     given = spark.createDataFrame([(r["machine_id"], r["side"], r["alert_id"], r["severity"], datetime.fromisoformat(r["event_time"])) for r in rows], schema)
     candidates = given.filter("side = 1").select("alert_id", "machine_id", F.col("event_time").alias("triggered_at"), "severity")
     answers = given.filter("side = 0").select("machine_id", F.col("event_time").alias("responded_at"))
     assert got == {r.alert_id for r in alerts.dedupe_alerts(candidates, answers).collect()}
     assert len(got) > 50
+    assert closing.late_rows(spark, out).isEmpty()
+    # a late answer does not change the result, and is found
+    put(feed, "late", [{"machine_id": name(1), "side": 0, "alert_id": None, "severity": None, "event_time": at(9)}])
+    run()
+    assert got == {r.alert_id for r in closing.results(spark, out, "opened").collect()}
+    assert [(r.machine_id, r.event_time) for r in closing.late_rows(spark, out).collect()] == [(name(1), START + timedelta(seconds=9))]
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path, monkeypatch):
+    """A batch that fails at its very end runs again and leaves the same files; waiting files go when no mark names them."""
+    feed, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "machine_id string, side int, alert_id string, severity string, event_time timestamp"
+    row = lambda i, s, side=1: {"machine_id": "M1", "side": side, "alert_id": f"A{i}", "severity": "high", "event_time": at(s)}
+
+    def run(name, *rows):
+        put(feed, name, rows)
+        alarms.dedupe_stream(event_time(spark.readStream.schema(schema).json(str(feed)), "event_time"), out, str(tmp_path / "cp")).awaitTermination()
+
+    run("a", row(0, 0), row(1, 100))
+    run("b", row(2, 700, 0), row(3, 800))
+    run("c", row(4, 2000))
+
+    def broken(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patched, pytest.raises(Exception, match="lost"):
+        patched.setattr(closing, "_remove", broken)
+        run("d", row(5, 6000, 0), row(6, 6001))
+    for name, second in (("e", 7000), ("f", 9000), ("g", 9001)):
+        run(name, row(7, second))
+    assert sorted(r.alert_id for r in closing.results(spark, out, "opened").collect()) == ["A0", "A3", "A6"]
+    assert len([p for p in (tmp_path / "out" / "waiting").iterdir()]) <= 4
+
+
+def test_a_million_rows_of_one_machine_meet_in_many_tasks(spark):
+    """One machine, one minute slot after the other: no task of the pass reads more than a slot's part."""
+    rows = spark.range(1_000_000).select(
+        F.lit("M1").alias("machine_id"), (F.col("id") % 5 == 0).cast("int").alias("_a"), F.timestamp_micros(1_700_000_000_000_000 + F.col("id") * 7_000).alias("event_time"),
+    ).selectExpr("machine_id", "1 - _a AS side", "'A' || lpad(CAST(unix_micros(event_time) AS STRING), 20, '0') AS alert_id", "'high' AS severity", "event_time")
+    rule = alarms.minute_rule()
+    line = alarms.instants(rows.withColumns({"due": rule.due, "until": rule.until}))
+    opened, still = alarms.opened_alerts(line, spark.createDataFrame([], "machine_id string"))
+    assert "Python" not in opened._jdf.queryExecution().toString() and "Arrow" not in opened._jdf.queryExecution().toString()
+    assert opened.count() == 200_000 and [r.machine_id for r in still.collect()] == ["M1"]
+    slots = line.groupBy(F.date_trunc("minute", "event_time").alias("m")).count()
+    assert slots.count() > 100 and slots.agg(F.max("count")).first()[0] < 10_000
 
 
 def test_an_event_sent_again_is_ignored(spark, tmp_path):
