@@ -14,15 +14,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``build(demo)`` under a name, with the SQL it must equal if there is one."""
+def query(name: str, sql: str | None = None, like: str | None = None):
+    """Register ``build(demo)`` under a name, with the SQL it must equal if there is one, or that of the query it is another way to."""
 
     def add(build: Callable[[Demo], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: plain(build(_demo(spark, folder)))
-        if sql:
-            ORACLES[name] = with_views(sql)
+        if sql or like:
+            ORACLES[name] = ORACLES[like] if like else with_views(sql)
         return build
 
     return add

@@ -135,7 +135,10 @@ def _as_of(shown, predictions):
        LEFT JOIN (SELECT machine_id, count(*) AS n FROM fx_active GROUP BY machine_id) a ON a.machine_id = m.machine_id""",
 )
 def j10(d):
-    detail = assets.machine_detail(d.machines(), d.readings(), d.predictions(), d.alerts())
+    return detail_columns(assets.machine_detail(d.machines(), d.readings(), d.predictions(), d.alerts()))
+
+
+def detail_columns(detail):
     ids = F.array_join(F.transform("readings", lambda r: r["reading_id"].cast("string")), ",")
     return detail.select(
         "machine_id", "status", F.when(F.col("readings").isNotNull(), F.size("readings")).alias("readings"), ids.alias("reading_ids"),
@@ -156,7 +159,10 @@ def j10_alerts(d):
        LEFT JOIN fx_latest_prediction p ON p.machine_id = m.machine_id""",
 )
 def j11(d):
-    snapshot = assets.fleet_snapshot(d.machines(), d.readings(), d.predictions())
+    return snapshot_columns(assets.fleet_snapshot(d.machines(), d.readings(), d.predictions()))
+
+
+def snapshot_columns(snapshot):
     return snapshot.select(
         "machine_id", "name", "read_at", "temperature", "vibration",
         "predicted_health_score", "predicted_risk_level", "predicted_rul_hours",

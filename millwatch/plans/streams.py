@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from millwatch.operators import alerts, events, scoring
-from millwatch.plans.alarms import FLEET, HIGH_ALARMS, HIGH_LIMITS
+from millwatch.operators import alerts, assets, scoring
+from millwatch.plans import reports
+from millwatch.plans.alarms import ALARMS, FLEET, HIGH_ALARMS, HIGH_LIMITS
 from millwatch.plans.registry import query
-from millwatch.session import new_folder
+from millwatch.session import exists, new_folder
 from millwatch.sources.demo import READING_COLUMNS, STORED
 from millwatch.sources.feed import event_time
-from millwatch.streaming import alarms, closing, newest, runs, state
+from millwatch.streaming import alarms, closing, ingest, newest, runs, state
 
 MARK = "(SELECT date_trunc('milliseconds', max({time})) - INTERVAL 10 MINUTE FROM {rows})"
 
@@ -169,8 +170,8 @@ def t3_late(d):
 
 @query(
     "t4_late_rows",
-    f"""WITH line AS (SELECT event_id, user_id AS machine_id, ts AS t, 0 AS side, NULL AS alert_id FROM events WHERE event_type = 'signup'
-          UNION ALL SELECT event_id, p.machine_id, p.ts, 1, md5(CAST(prediction_id AS VARCHAR) || '|alert') FROM fx_predictions p
+    f"""WITH line AS (SELECT event_id, user_id AS machine_id, ts AS t, CAST(0 AS BIGINT) AS side, NULL AS alert_id FROM events WHERE event_type = 'signup'
+          UNION ALL SELECT event_id, p.machine_id, p.ts, CAST(1 AS BIGINT), md5(CAST(prediction_id AS VARCHAR) || '|alert') FROM fx_predictions p
             JOIN events ON event_id = prediction_id WHERE risk_level IN ('high', 'critical'))
         SELECT machine_id, side, alert_id, t AS event_time FROM line
         WHERE event_id % 7 = 3 AND date_trunc('minute', t) + INTERVAL 1 MINUTE <= {LATE_MARK.format(rows='line')}""",
@@ -178,7 +179,7 @@ def t3_late(d):
 def t4_late(d):
     """Answers and candidates whose minute was closed when they came."""
     out = in_two_parts(d, lambda stream, *at: alarms.dedupe_stream(dedupe_lines(stream), *at))
-    return closing.late_rows(d.spark, out).selectExpr("machine_id", "CAST(side AS INT) AS side", "alert_id", "event_time")
+    return closing.late_rows(d.spark, out).select("machine_id", "side", "alert_id", "event_time")
 
 
 @query("t5_dedupe_events", "SELECT alert_id, machine_id, triggered_at FROM fx_alerts")
@@ -188,9 +189,9 @@ def t5(d):
     return results(d, alarms.dedupe_events(once.union(once)))
 
 
-def envelopes(d) -> DataFrame:
+def envelopes_of(events: DataFrame) -> DataFrame:
     """An envelope per event: work on tickets, mechanics who log in, and escalations."""
-    return event_files(d).selectExpr(
+    return events.selectExpr(
         """to_json(struct(
              CASE event_type WHEN 'view' THEN 'ticket_updated' WHEN 'click' THEN 'ticket_assigned' WHEN 'purchase' THEN 'ticket_closed'
                WHEN 'signup' THEN 'mechanic_status' ELSE 'alert_escalated' END AS type,
@@ -207,7 +208,7 @@ def envelopes(d) -> DataFrame:
 
 def _logged(d, entity: str) -> DataFrame:
     folder = new_folder(d.spark, "events")
-    state.apply_events(envelopes(d), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    state.apply_events(envelopes_of(event_files(d)), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     return state.read_log(d.spark, f"{folder}/log", entity)
 
 
@@ -252,3 +253,127 @@ def t6_mechanics(d):
 def t6_alerts(d):
     base = _texts(d.alerts().select("alert_id", "status", F.lit(False).alias("auto_escalated")), "alert_id")
     return state.current_alerts(base, _logged(d, "alerts"))
+
+
+def with_new_alerts(events: DataFrame) -> DataFrame:
+    """The envelopes, and an ``alert_new`` for every third alert (not in the base) and for some that the base has already."""
+    added = events.selectExpr(*READING_COLUMNS).filter("temperature > 60 AND (reading_id % 3 = 0 OR reading_id % 5 = 0)").selectExpr(
+        """to_json(struct('alert_new' AS type, date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") AS timestamp,
+             map('alert_id', CAST(reading_id AS STRING), 'status', 'pending') AS payload)) AS value"""
+    )
+    return envelopes_of(events).unionByName(added)
+
+
+ADDED = """SELECT CAST(alert_id AS VARCHAR) AS alert_id, CASE WHEN event_type = 'error' THEN 'escalated' WHEN alert_id % 3 = 0 THEN 'pending' ELSE status END AS status,
+  event_type = 'error' AS auto_escalated FROM fx_alerts JOIN events ON event_id = alert_id"""
+
+
+def _alerts_after(d, log: DataFrame) -> DataFrame:
+    base = d.alerts().filter("alert_id % 3 <> 0").select("alert_id", "status", F.lit(False).alias("auto_escalated"))
+    known = state.current_alerts(_texts(base, "alert_id"), log)
+    return known.withColumn("auto_escalated", F.coalesce("auto_escalated", F.lit(False)))
+
+
+@query("t6_alerts_added", ADDED)
+def t6_added(d):
+    """New alerts enter once, known ones are not added again, escalations follow."""
+    folder = new_folder(d.spark, "events")
+    state.apply_events(with_new_alerts(event_files(d)), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return _alerts_after(d, state.read_log(d.spark, f"{folder}/log", "alerts"))
+
+
+@query("t6_alerts_from_snapshot", ADDED)
+def t6_snapshot(d):
+    """The same from a snapshot that the job took after its first batch, and the batch behind it."""
+    out = in_two_parts(d, lambda stream, log, checkpoint: state.apply_events(
+        with_new_alerts(stream), log, checkpoint, snapshot_after=0 if not state.folders(d.spark, log, "batch=") else None))
+    return _alerts_after(d, state.read_log(d.spark, out, "alerts"))
+
+
+def sent_readings(events: DataFrame) -> DataFrame:
+    """Readings as the JSON that machines send."""
+    return events.selectExpr(*READING_COLUMNS).selectExpr(
+        """to_json(struct(CAST(reading_id AS STRING) AS reading_id, CAST(machine_id AS STRING) AS machine_id,
+             date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") AS timestamp, temperature, vibration, pressure, current, rpm, noise_level)) AS value"""
+    )
+
+
+def ingested(d) -> str:
+    """The whole ingestion job in two runs; the second sends one reading in ten again."""
+    folder = new_folder(d.spark, "ingest")
+    for rows in ("event_id % 7 <> 3", "event_id % 7 = 3 OR event_id % 10 = 0"):
+        d.stored("events").filter(rows).write.mode("append").parquet(f"{folder}/in")
+        raw = sent_readings(d.spark.readStream.schema(STORED["events"]).parquet(f"{folder}/in"))
+        ingest.ingest(raw, d.machines(), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/out"
+
+
+@query(
+    "s2_ingested",
+    """SELECT reading_id, r.machine_id, ts AS "timestamp", temperature, vibration, strftime(ts, '%Y-%m-%d') AS date
+       FROM fx_readings r JOIN fx_machines m ON r.machine_id = m.machine_id""",
+)
+def s2_ingested(d):
+    """Every reading of a known machine is stored once, in its day's folder, however often it is sent."""
+    return ingest.read_out(d.spark, ingested(d), "readings").select(
+        F.col("reading_id").cast("bigint"), F.col("machine_id").cast("bigint"), "timestamp", "temperature", "vibration", "date"
+    )
+
+
+@query(
+    "s2_ingest_alerts",
+    f"""SELECT alert_id, machine_id, type, triggered_at FROM {ALARMS} a""",
+)
+def s2_alerts(d):
+    """One envelope per alarm of a reading that is new."""
+    sent = state.parse_envelopes(ingest.read_out(d.spark, ingested(d), "events").select("value"))
+    part = lambda name: F.get_json_object("payload", f"$.{name}")
+    return sent.select(part("alert_id").alias("alert_id"), part("machine_id").cast("bigint").alias("machine_id"), part("type").alias("type"), F.col("event_time").alias("triggered_at"))
+
+
+@query(
+    "s2_ingest_rejected",
+    """SELECT reading_id, 'machine_id: not found' AS problem, CASE WHEN reading_id % 10 = 0 AND reading_id % 7 <> 3 THEN 2 ELSE 1 END AS times
+       FROM fx_readings WHERE machine_id NOT IN (SELECT machine_id FROM fx_machines)""".replace(" 2 ELSE 1 ", " CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) "),
+)
+def s2_rejected(d):
+    """Readings of unknown machines, each time they come."""
+    gone = ingest.read_out(d.spark, ingested(d), "rejected")
+    return gone.select(F.get_json_object("value", "$.reading_id").cast("bigint").alias("reading_id"), F.explode("problems").alias("problem")).groupBy("reading_id", "problem").agg(F.count("*").alias("times"))
+
+
+def kept(d, n: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of the n newest readings and the newest prediction per machine, as two jobs keep them over several batches."""
+    def run(stream, out, checkpoint):
+        jobs = []
+        for name, rows, many, row_id in parts(stream):
+            if not exists(d.spark, f"{out}/{name}"):
+                newest.rebuild_newest(d.spark.createDataFrame([], rows.schema), f"{out}/{name}", many, row_id)
+            jobs.append(newest.keep_newest(rows, f"{out}/{name}", f"{checkpoint}/{name}", n=many, row_id=row_id))
+        jobs[0].awaitTermination()
+        return jobs[1]
+
+    def parts(events):
+        readings = events.selectExpr(*READING_COLUMNS)
+        return ("readings", readings, n, "reading_id"), ("predictions", scoring.score_readings(readings), 1, "prediction_id")
+
+    out = in_two_parts(d, run)
+    return tuple(newest.newest_kept(d.spark, f"{out}/{name}", rows.schema, many, row_id) for name, rows, many, row_id in parts(d.stored("events")))
+
+
+@query("w3_latest_kept", like="w3_latest_per_machine")
+def w3_kept(d):
+    """The newest ten readings per machine from the kept table."""
+    return assets.latest_per_machine(kept(d, 10)[0], d.machines()).select("machine_id", "reading_id", "rank")
+
+
+@query("j10_machine_detail_kept", like="j10_machine_detail")
+def j10_kept(d):
+    """Machine detail without a look at the history."""
+    return reports.detail_columns(assets.machine_detail(d.machines(), *kept(d, 24), d.alerts()))
+
+
+@query("j11_fleet_snapshot_kept", like="j11_fleet_snapshot")
+def j11_kept(d):
+    """The snapshot that a screen polls, from one reading and one prediction per machine."""
+    return reports.snapshot_columns(assets.fleet_snapshot(d.machines(), *kept(d, 1)))

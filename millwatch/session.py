@@ -50,6 +50,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers n of the folders ``<prefix><n>`` in a folder, in order."""
+    files, at = _files(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path, 0 if there is none."""
+    files, at = _files(spark, path)
+    return files.getContentSummary(at).getLength() if files.exists(at) else 0
+
+
 _SHIPPED: set[str] = set()
 
 

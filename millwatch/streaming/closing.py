@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millwatch.schemas import WATERMARK
+from millwatch.session import remove
 from millwatch.streaming.runs import each_batch
 
 MARKS = "mark bigint, live array<struct<batch: bigint, last: bigint>>"
@@ -71,9 +72,9 @@ def close_in_time(
         older = _marks(spark, out, number - 2) if number > 1 else None
         for x in (older["live"] if older else []):
             if x["batch"] not in {y["batch"] for y in logged}:
-                _remove(spark, f"{out}/waiting/batch={x['batch']}")
+                remove(spark, f"{out}/waiting/batch={x['batch']}")
         if number > 2:
-            _remove(spark, f"{out}/marks/batch={number - 3}")
+            remove(spark, f"{out}/marks/batch={number - 3}")
         for frame in (fresh, rows):
             frame.unpersist()
 
@@ -97,7 +98,3 @@ def results(spark: SparkSession, out: str, name: str) -> DataFrame:
 def _marks(spark: SparkSession, out: str, number: int):
     return spark.read.schema(MARKS).parquet(f"{out}/marks/batch={number}").first() if number >= 0 else None
 
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

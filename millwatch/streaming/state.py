@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from millwatch.operators.changes import SET, apply_changes
 from millwatch.operators.validate import insert_if_absent
+from millwatch.session import exists, folders, remove, size_of
 from millwatch.streaming.runs import each_batch
 
 # Which table each kind of event changes.
@@ -22,7 +23,9 @@ ROUTES = {
     "ticket_closed": "tickets",
     "mechanic_status": "mechanics",
 }
-LOG_SCHEMA = "type string, event_time timestamp, payload string, batch bigint, entity string"
+PAYLOADS = "type string, event_time timestamp, payload string"
+#: The key of each table.
+KEYS = {"alerts": "alert_id", "tickets": "ticket_id", "mechanics": "mechanic_id"}
 
 
 def parse_envelopes(events: DataFrame, column: str = "value") -> DataFrame:
@@ -41,18 +44,64 @@ def parse_envelopes(events: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def apply_events(events: DataFrame, log: str, checkpoint: str, every: str | None = None):
-    """Start the query that appends envelopes to the change log."""
+def apply_events(
+    events: DataFrame, log: str, checkpoint: str, every: str | None = None, snapshot_after: int | None = None, keys: dict[str, str] = KEYS
+):
+    """Start the query that appends envelopes to the change log.
+
+    With ``snapshot_after`` the job takes a snapshot whenever the files behind the last one have more bytes than that, so that a
+    reader's cost follows the changed rows and not the age of the log.
+    """
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         parse_envelopes(batch).write.mode("overwrite").partitionBy("entity").parquet(f"{log}/batch={batch_id}")
+        if snapshot_after is not None and sum(size_of(spark, f"{log}/batch={n}") for n in _behind(spark, log, snapshot_mark(spark, log))) > snapshot_after:
+            take_snapshot(spark, log, batch_id, keys)
 
     return each_batch(events, append, checkpoint, every)
 
 
-def read_log(spark: SparkSession, log: str, entity: str) -> DataFrame:
-    """Log rows of one table; the other tables' folders are not read."""
-    return spark.read.schema(LOG_SCHEMA).option("basePath", log).parquet(log).filter(F.col("entity") == entity)
+def snapshot_mark(spark: SparkSession, log: str) -> int:
+    """The last batch that a finished snapshot holds, -1 without one."""
+    return max((n for n in folders(spark, f"{log}/_snapshot", "upto=") if exists(spark, f"{log}/_snapshot/upto={n}/_done")), default=-1)
+
+
+def _behind(spark: SparkSession, log: str, mark: int) -> list[int]:
+    return [n for n in folders(spark, log, "batch=") if n > mark]
+
+
+def read_log(spark: SparkSession, log: str, entity: str, snapshots: bool = True) -> DataFrame:
+    """Log rows of one table: the last snapshot's and those of the batches behind it; no other folder is opened."""
+    mark = snapshot_mark(spark, log) if snapshots else -1
+    paths = [f"{log}/batch={n}/entity={entity}" for n in _behind(spark, log, mark)]
+    paths += [f"{log}/_snapshot/upto={mark}/entity={entity}"] * (mark >= 0)
+    paths = [p for p in paths if exists(spark, p)]
+    rows = spark.read.schema(PAYLOADS).parquet(*paths) if paths else spark.createDataFrame([], PAYLOADS)
+    return rows.withColumn("entity", F.lit(entity))
+
+
+def still_told(log: DataFrame, key: str) -> DataFrame:
+    """The rows of a log that its state depends on: the last of a kind, and the last to state a column, for each key; of added rows
+    the first. As many rows a key as it has columns and kinds at most; told again with what follows they give the same state."""
+    told = log.select(
+        "type", "event_time", "payload", F.get_json_object("payload", f"$.{key}").alias("_key"), (F.col("type") == "alert_new").alias("_added"),
+        F.explode(F.array_append(F.json_object_keys("payload"), F.concat(F.lit("/"), "type"))).alias("_column"),
+    ).filter(F.col("_key").isNotNull())
+    told = told.withColumn("_column", F.when(F.col("_added"), F.lit("/new")).otherwise(F.col("_column")))
+    kept = told.groupBy("_key", "_column").agg(F.min(F.when(F.col("_added"), _order())).alias("_first"), F.max(F.when(~F.col("_added"), _order())).alias("_last"))
+    return kept.select(F.coalesce("_first", "_last").alias("_row")).select("_row.*").distinct().select("type", "event_time", "payload")
+
+
+def take_snapshot(spark: SparkSession, log: str, upto: int, keys: dict[str, str] = KEYS) -> None:
+    """Write what is still told up to a batch, from the last snapshot and the batches behind it. Batches stay; the snapshot before
+    the last goes. A snapshot that was not finished is written again."""
+    before = [n for n in folders(spark, f"{log}/_snapshot", "upto=") if n < upto]
+    for entity, key in keys.items():
+        still_told(read_log(spark, log, entity), key).write.mode("overwrite").parquet(f"{log}/_snapshot/upto={upto}/entity={entity}")
+    spark.range(1).write.mode("overwrite").parquet(f"{log}/_snapshot/upto={upto}/_done")
+    for n in before[:-1]:
+        remove(spark, f"{log}/_snapshot/upto={n}")
 
 
 def _order() -> Column:
@@ -85,7 +134,3 @@ def current_alerts(base: DataFrame, log: DataFrame) -> DataFrame:
     )
     return apply_changes(everything, changed, "alert_id")
 
-
-def compact(state: DataFrame, path: str) -> None:
-    """Write a snapshot from which a shorter log can start."""
-    state.write.mode("errorifexists").parquet(path)

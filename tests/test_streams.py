@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millwatch.operators import alerts, events, scoring
 from millwatch.sources.feed import event_time, read_sensor_stream
-from millwatch.streaming import alarms, closing, ingest, newest, runs, state
+from millwatch.streaming import alarms, closing, ingest, newest, runs, seen, state
 
 START = datetime(2024, 1, 1, 10, 0, 0)
 SENSOR = {"pressure": 4.0, "current": 12.0, "rpm": 1800.0, "noise_level": 60.0}
@@ -142,7 +142,7 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path, monkeypatch):
         raise OSError("lost")
 
     with monkeypatch.context() as patched, pytest.raises(Exception, match="lost"):
-        patched.setattr(closing, "_remove", broken)
+        patched.setattr(closing, "remove", broken)
         run("d", row(5, 6000, 0), row(6, 6001))
     for name, second in (("e", 7000), ("f", 9000), ("g", 9001)):
         run(name, row(7, second))
@@ -193,6 +193,56 @@ def test_ingestion_job(spark, tmp_path, machines):
     assert sorted((e["type"], e["payload"]["machine_id"]) for e in sent) == [("alert_new", "M1"), ("alert_new", "M2")]
 
 
+def test_ids_of_a_day_are_known(spark, tmp_path):
+    days = spark.range(5000).select(F.concat(F.lit("R"), "id").alias("id"), F.date_add(F.lit("2024-01-01"), (F.col("id") % 3).cast("int")).alias("date"))
+    filters = seen.SeenIds(spark, str(tmp_path / "f"), parts=8, merge_from=3)
+    names = ["2024-01-01", "2024-01-02", "2024-01-03"]
+    for n in range(4):
+        part = days.filter(F.col("id").substr(2, 9).cast("int") % 8 == n)
+        for _ in range(2):
+            filters.add(part, "id", names, n)
+    added = days.filter(F.col("id").substr(2, 9).cast("int") % 8 < 4)
+    assert filters.known(added, "id", names).count() == added.count() == 2500
+    others = days.filter(F.col("id").substr(2, 9).cast("int") % 8 >= 4)
+    assert filters.known(others, "id", names).count() < 25
+    assert filters.known(added.withColumn("date", F.date_add("date", 1)), "id", ["2024-01-02", "2024-01-03", "2024-01-04"]).count() < 25
+    assert len(list((tmp_path / "f" / "date=2024-01-01").iterdir())) < 4
+
+
+def test_a_batch_opens_only_the_files_of_its_days(spark, tmp_path, machines):
+    feed, out = tmp_path / "in", str(tmp_path / "out")
+    run = lambda: ingest.ingest(spark.readStream.text(str(feed)), machines, out, str(tmp_path / "cp")).awaitTermination()
+    for day in range(4):
+        put(feed, f"d{day}", [reading(10 * day + i, "M1", 86400 * day + i) for i in range(5)])
+        run()
+    held = seen.stored_ids(spark, f"{out}/readings", ["2024-01-02", "2024-01-04", "2030-01-01"], 3)
+    assert {f.split("/readings/")[1].split("/part")[0] for f in held.inputFiles()} == {"date=2024-01-02/batch=1", "date=2024-01-04/batch=3"}
+    assert sorted(r.reading_id for r in held.collect()) == [f"R1{i}" for i in range(5)]
+    put(feed, "again", [reading(i, "M1", i) for i in range(5)] + [reading(99, "M2", 7)])
+    run()
+    stored = ingest.read_out(spark, out, "readings")
+    assert stored.count() == 21 and stored.filter("batch = 4").select("reading_id").collect()[0][0] == "R99"
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_newest_rows_after_batches_in_any_order(spark, tmp_path, n):
+    import random
+
+    rng, feed, table = random.Random(n), tmp_path / "in", str(tmp_path / "newest")
+    rows = [reading(i, f"M{rng.randrange(4)}", rng.randrange(50)) for i in range(120)]
+    stream = lambda: read_sensor_stream(spark, str(feed))
+    feed.mkdir()
+    newest.rebuild_newest(spark.createDataFrame([], stream().schema), table, n)
+    for part in range(4):
+        put(feed, f"p{part}", rows[part * 30 : part * 30 + 30] + rows[:3])  # some come again and again
+        newest.keep_newest(stream(), table, str(tmp_path / "cp"), n=n).awaitTermination()
+    got = {(r.machine_id, r.reading_id) for r in newest.newest_kept(spark, table, stream().schema, n).collect()}
+    want = set()
+    for m in {r["machine_id"] for r in rows}:
+        want |= {(m, r["reading_id"]) for r in sorted((r for r in rows if r["machine_id"] == m), key=lambda r: (r["timestamp"], r["reading_id"]))[-n:]}
+    assert got == want
+
+
 def test_newest_reading_is_kept_without_the_history(spark, tmp_path, machines):
     feed, table = tmp_path / "in", str(tmp_path / "newest")
     stream = lambda: read_sensor_stream(spark, str(feed))
@@ -241,8 +291,47 @@ def test_event_log_is_idempotent_and_keeps_order(spark, tmp_path):
     shown = spark.createDataFrame([("A0", "pending", False)], "alert_id string, status string, auto_escalated boolean")
     now = state.current_alerts(shown, state.read_log(spark, log, "alerts"))
     assert {tuple(r) for r in now.collect()} == {("A0", "pending", False), ("A1", "escalated", True)}
-    state.compact(now, str(tmp_path / "snapshot"))
-    assert spark.read.parquet(str(tmp_path / "snapshot")).count() == 2
+
+
+def test_state_from_a_snapshot_equals_replay(spark, tmp_path):
+    """Snapshots after any batch, events out of order behind them, ties in time, a stated null, a snapshot that was not finished."""
+    import random
+
+    rng = random.Random(4)
+    base = spark.createDataFrame([(f"T{i}", "open", None) for i in range(6)], "ticket_id string, status string, mechanic_id string")
+    shown = spark.createDataFrame([("A0", "pending", False)], "alert_id string, status string, auto_escalated boolean")
+    rows = []
+    for _ in range(300):
+        kind = rng.choice(["ticket_updated", "ticket_assigned", "ticket_closed", "alert_new", "alert_escalated"])
+        if kind.startswith("alert"):
+            payload = {"alert_id": f"A{rng.randrange(5)}"} | ({"status": rng.choice(["pending", "escalated", "x"])} if rng.random() < 0.8 else {})
+        else:
+            payload = {"ticket_id": f"T{rng.randrange(8)}"} | rng.choice([{"status": rng.choice("abc")}, {"mechanic_id": rng.choice(["K1", "K2", None])}, {"status": "z", "mechanic_id": "K3"}, {}])
+        rows.append((json.dumps({"type": kind, "timestamp": at(rng.randrange(60)), "payload": payload}),))
+    rows.append(('{"type": "ticket_updated", "timestamp": "2024-01-01T10:00:00", "payload": {"status": "nobody"}}',))
+    log = str(tmp_path / "log")
+    for n in range(6):
+        state.parse_envelopes(spark.createDataFrame(rows[n * 50 : n * 50 + 50 + n // 5], "value string")).write.partitionBy("entity").parquet(f"{log}/batch={n}")
+        if n in (0, 3):
+            state.take_snapshot(spark, log, n)
+    (tmp_path / "log" / "_snapshot" / "upto=5" / "entity=tickets").mkdir(parents=True)
+    both = lambda f, b, entity: [sorted(map(tuple, f(b, state.read_log(spark, log, entity, snapshots=s)).collect()), key=str) for s in (True, False)]
+    for one, other in (both(lambda b, r: state.current_state(b, r, "ticket_id"), base, "tickets"), both(state.current_alerts, shown, "alerts")):
+        assert one == other and len(one) >= 5
+    tail = state.read_log(spark, log, "tickets")
+    assert {f.split("/log/")[1].split("/entity")[0] for f in tail.inputFiles()} == {"_snapshot/upto=3", "batch=4", "batch=5"}
+    assert tail.count() < state.read_log(spark, log, "tickets", snapshots=False).count()
+
+
+def test_the_job_takes_snapshots_by_size(spark, tmp_path):
+    feed, log = tmp_path / "in", str(tmp_path / "log")
+    for n in range(3):
+        put(feed, f"p{n}", [{"type": "ticket_updated", "timestamp": at(n), "payload": {"ticket_id": "T1", "status": f"s{n}"}}])
+        state.apply_events(spark.readStream.text(str(feed)), log, str(tmp_path / "cp"), snapshot_after=10 if n else 1 << 30).awaitTermination()
+        assert state.snapshot_mark(spark, log) == (n if n else -1)
+    base = spark.createDataFrame([("T1", "open")], "ticket_id string, status string")
+    rows = state.read_log(spark, log, "tickets")
+    assert state.current_state(base, rows, "ticket_id").first().status == "s2" and rows.count() == 1
 
 
 def test_feed_of_envelopes(spark):
