@@ -17,7 +17,9 @@ from millwatch.llm.tables import pieces, stored
 from millwatch.session import new_folder
 
 #: Rows of a block on average, and from which on a block of many equal rows is divided.
-BLOCK_ROWS, HOT_ROWS = 250_000, 1_000_000
+BLOCK_ROWS, HOT_ROWS = 500, 50_000
+#: Lots of a shelf: running sums over lots are made within shelves, then over shelves.
+SHELF = 4096
 OLD_SHARDS, SHARDS = 24, 16
 BLOCK = ["old_shard", "level", "lot", "part"]
 
@@ -89,10 +91,11 @@ def _ranges(flow: dict[tuple[int, int], int]) -> dict[int, list[tuple[int, int]]
     return out
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """rows with their block: level (large rows first), lot (by hash) and part (0, but in lots that equal rows make too large)."""
-    lots = pieces(rows.count(), BLOCK_ROWS)
-    rows = rows.withColumn("level", 64 - F.length(F.bin("size"))).withColumn("lot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(lots)).cast("int"))
+def _blocks(rows: DataFrame, held: list) -> DataFrame:
+    """rows with their block: lot (by hash, as many as the old shard's level needs) and part (0, but in lots that equal rows make
+    too large)."""
+    lots = _frame(rows.sparkSession, [(r["old_shard"], r["level"], pieces(r["rows"], BLOCK_ROWS)) for r in held], "old_shard int, level int, _lots int")
+    rows = rows.join(lots, ["old_shard", "level"]).withColumn("lot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("_lots")).cast("int")).drop("_lots")
     large = rows.groupBy("old_shard", "level", "lot").count().filter(F.col("count") > HOT_ROWS)
     if large.isEmpty():
         return rows.withColumn("part", F.lit(0))
@@ -101,6 +104,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
 
 
+def _sums_before(blocks: DataFrame, value: str, *by: str) -> DataFrame:
+    """Blocks with the sum of ``value`` over the blocks before theirs (by lot, part) of the same ``by`` columns, in its place."""
+    def before(keys: tuple[str, ...], *order: str) -> Column:
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    shelved = blocks.withColumn("shelf", F.floor(F.col("lot") / SHELF))
+    shelves = shelved.groupBy(*by, "shelf").agg(F.sum(value).alias(value)).withColumn("_start", before(by, "shelf")).drop(value)
+    inside = shelved.withColumn(value, before((*by, "shelf"), "lot", "part"))
+    return inside.join(shelves, [*by, "shelf"]).withColumn(value, F.col(value) + F.col("_start")).drop("shelf", "_start")
+
+
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of the driver's numbers, with at most a row for each pair of shards and size level."""
     return F.broadcast(spark.createDataFrame(rows, schema))
@@ -123,15 +137,15 @@ def reshard(
         docs[key].cast("long").alias("doc_id"), (F.octet_length(content) + F.lit(1)).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"), old.cast("int").alias("old_shard"),
         (F.monotonically_increasing_id() if row is None else row).alias("row"),
-    ), "reshard-rows")
-    rows = _blocks(rows)
+    ).withColumn("level", 64 - F.length(F.bin("size"))), "reshard-rows")
 
     # where each level of each old shard starts; what goes where
-    held = sorted((r["old_shard"], r["level"], r["bytes"]) for r in rows.groupBy("old_shard", "level").agg(F.sum("size").alias("bytes")).collect())
+    held = rows.groupBy("old_shard", "level").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     sizes, starts = [0] * old_shards, []
-    for i, level, n in held:
-        starts.append((i, level, sizes[i]))
-        sizes[i] += n
+    for r in sorted(held):
+        starts.append((r["old_shard"], r["level"], sizes[r["old_shard"]]))
+        sizes[r["old_shard"]] += r["bytes"]
+    rows = _blocks(rows, held)
     flow = transfers(sizes, capacities or even(sum(sizes), shards), cost)
     ranges = _frame(spark, sorted(_ranges(flow).items()), "old_shard int, ranges array<struct<end: long, shard: int>>")
     starts = _frame(spark, starts, "old_shard int, level int, level_start long")
@@ -139,23 +153,20 @@ def reshard(
     # where each block starts within its level, each row within its block
     within = Window.partitionBy(*BLOCK).orderBy(F.xxhash64("doc_id", "text_crc32"), "doc_id", "text_crc32", "row")
     placed = rows.withColumn("through", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(within))
-    blocks = rows.groupBy(*BLOCK).agg(F.sum("size").alias("bytes"))
-    before = Window.partitionBy("old_shard", "level").orderBy("lot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("block_start", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
+    blocks = _sums_before(rows.groupBy(*BLOCK).agg(F.sum("size").alias("block_start")), "block_start", "old_shard", "level")
     middle = 2 * (F.col("level_start") + F.col("block_start") + F.col("through")) - F.col("size")
     cut = F.filter("ranges", lambda r: middle < 2 * r["end"])[0]["shard"]
     chosen = placed.join(blocks, BLOCK).join(starts, ["old_shard", "level"]).join(ranges, "old_shard")
     chosen = stored(chosen.select("doc_id", "size", "text_crc32", *BLOCK, "row", "rank", cut.alias("shard")), "reshard-chosen")
 
     # slots: by old shard and level, block, rank
-    shares = chosen.groupBy("shard", *BLOCK).agg(F.count("*").alias("rows"), F.min("rank").alias("least"))
-    groups, slots, at = shares.groupBy("shard", "old_shard", "level").agg(F.sum("rows").alias("rows")).collect(), [], {}
+    shares = chosen.groupBy("shard", *BLOCK).agg(F.count("*").alias("block_slot"), F.min("rank").alias("least"))
+    groups, slots, at = shares.groupBy("shard", "old_shard", "level").agg(F.sum("block_slot").alias("rows")).collect(), [], {}
     for shard, i, level, n in sorted(tuple(r) for r in groups):
         slots.append((shard, i, level, at.get(shard, 0)))
         at[shard] = at.get(shard, 0) + n
     slots = _frame(spark, slots, "shard int, old_shard int, level int, level_slot long")
-    before = Window.partitionBy("shard", "old_shard", "level").orderBy("lot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    shares = shares.withColumn("block_slot", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+    shares = _sums_before(shares, "block_slot", "shard", "old_shard", "level")
     out = chosen.join(shares, ["shard", *BLOCK]).join(slots, ["shard", "old_shard", "level"])
     slot = F.col("level_slot") + F.col("block_slot") + F.col("rank") - F.col("least")
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", slot.cast("long").alias("slot"), "row")

@@ -141,9 +141,10 @@ def sound(out, n_shards):
     return [sum(r["size"] for r in out if r["shard"] == shard) for shard in range(n_shards)]
 
 
-@pytest.mark.parametrize("block, hot", [(2_000, 200_000), (7, 3)])
-def test_even_shards(spark, docs, rows, monkeypatch, block, hot):
+@pytest.mark.parametrize("block, hot, shelf", [(500, 50_000, 4096), (7, 3, 2)])
+def test_even_shards(spark, docs, rows, monkeypatch, block, hot, shelf):
     monkeypatch.setattr(resharding, "BLOCK_ROWS", block)
+    monkeypatch.setattr(resharding, "SHELF", shelf)
     monkeypatch.setattr(resharding, "HOT_ROWS", hot)
     many = [(i, f"{t or ''} {k}" * 3, None, s) for k in range(9) for i, t, _, s in rows] + [(1, "same", None, "a")] * 50
     out = resharding.even_shards(make_docs(spark, many)).collect()
