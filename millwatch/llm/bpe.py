@@ -28,11 +28,48 @@ SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 NOT_SPACE, OTHER_SPACE = regex.compile(f"[^{SPACE}]+"), regex.compile("[\x1c-\x1f]")  # str.split() also cuts at the latter
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
+# Letters and numbers of Unicode 17 and later, which the vocabulary's library (Unicode 16) takes for neither.
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+# Capitals (from, to) that the library lowers and Python's tables may not know yet, and the first one's small letter.
+LOWERED = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
 WORD_END = "</w>"
 MOST_CHUNKS = 300_000
 MOST_CHARS = 16_000_000
 
 
+def _characters(ranges: list[tuple[int, int]]) -> frozenset[str]:
+    return frozenset(chr(c) for low, high in ranges for c in range(low, high + 1))
+
+
+UNKNOWN, LOWER_SINCE = _characters(NEWER), {low + i: to + i for low, high, to in LOWERED for i in range(high - low + 1)}
+CHANGED = frozenset(map(chr, LOWER_SINCE))
+
+
+def words_of(chunk: str) -> list[str]:
+    """Words of a chunk by the vocabulary's pattern, with letters, numbers and lower case as its library's Unicode tables have them."""
+    if chunk.isascii():
+        return PATTERN.findall(chunk)
+    if not CHANGED.isdisjoint(chunk):
+        chunk = chunk.translate(LOWER_SINCE)
+    if UNKNOWN.isdisjoint(chunk):
+        return PATTERN.findall(chunk)
+    plain = "".join("_" if c in UNKNOWN else c for c in chunk)
+    return [chunk[m.start() : m.end()] for m in PATTERN.finditer(plain)]
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if printable, else the next one from 256 on."""
     plain = {b for low, high in PRINTABLE for b in range(low, high + 1)}
@@ -135,12 +172,12 @@ class Merges:
     def chunks(self, text: str) -> list[str]:
         """Runs without white space of a text, after NFC and lower case character by character; special tokens stand alone.
 
-        Special tokens are found in the raw text. No word of the pattern reaches across white space, so a chunk's ids depend
+        Special tokens are found in the raw text; a space before their text tells them from a chunk that lower case makes alike. No word of the pattern reaches across white space, so a chunk's ids depend
         on the chunk only.
         """
         if any(s in text for s in self.special):
             parts = regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text)
-            return [c for part in parts for c in ([part] if part in self.special else self.chunks(part))]
+            return [c for part in parts for c in ([" " + part] if part in self.special else self.chunks(part))]
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return NOT_SPACE.findall(text) if OTHER_SPACE.search(text) else text.split()
 
@@ -149,8 +186,8 @@ class Merges:
         if len(self.ids_of) > MOST_CHUNKS or self.chars > MOST_CHARS:
             self.ids_of, self.text_of, self.chars = {}, {}, 0
         for text, i in self.special.items():
-            self.ids_of[text], self.text_of[text] = str(i), self.texts[i]
-        new = [(c, PATTERN.findall(c)) for c in set().union(*chunks) if c not in self.ids_of]
+            self.ids_of[" " + text], self.text_of[" " + text] = str(i), self.texts[i]
+        new = [(c, words_of(c)) for c in set().union(*chunks) if c not in self.ids_of]
         words = list(set().union(*(w for _, w in new)))
         ids = dict(zip(words, self.encode_words(words))) if words else {}
         for chunk, own in new:

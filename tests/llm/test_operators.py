@@ -116,7 +116,7 @@ def test_bpe_equals_library(docs, rows, vocabulary_path, library):
 
 def test_bpe_of_random_texts(vocabulary_path, library):
     rng = random.Random(4)
-    alphabet = "aabbc''sStrvelmd  \t\n\x1c\x85\xa0\u2003\u200b\u0301é´1²Ⅷ٣İΣßſ!?.<|>_中文한국ʼ\U0001f600ÀÖǅ\x00\ufeff"
+    alphabet = "\u1c89\ua7dc\U00010d50\u0558\U000323b0aabbc''sStrvelmd  \t\n\x1c\x85\xa0\u2003\u200b\u0301é´1²Ⅷ٣İΣßſ!?.<|>_中文한국ʼ\U0001f600ÀÖǅ\x00\ufeff"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     texts += ["a" * 3001, "haha" * 50 + "hah", "ΑΣ ΑΣΑ", "<|endoftext|> x<|startoftext|>y<|endoftext", "don't I'LL we'vE 'S", "ééé" * 99]
     merges = bpe.Merges(vocabulary_path)
@@ -126,6 +126,25 @@ def test_bpe_of_random_texts(vocabulary_path, library):
         assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_words_of_every_code_point(vocabulary_path, library):
+    merges, alphabet = bpe.Merges(vocabulary_path), bpe.byte_alphabet()
+    every = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000)]]
+    for i in range(0, len(every), 64):
+        text = "".join(f"a{c}b1{c}{c} " for c in every[i : i + 64])
+        mine = ["".join(alphabet[b] for b in w.encode()) for c in merges.chunks(text) for w in bpe.words_of(c)]
+        assert mine == [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))], hex(i)
+
+
+def test_bpe_of_special_tokens_in_other_case(vocabulary_path, library):
+    forms = [f(t) for t in ("<|endoftext|>", "<|startoftext|>") for f in (str, str.upper, str.title, lambda t: t[:5] + t[5:].upper())]
+    rng = random.Random(6)
+    texts = [*forms, *(f"x {f} y" for f in forms), *("".join(rng.choice([*forms, " ", "a", "|>"]) for _ in range(9)) for _ in range(300))]
+    for text, (ids, decoded) in zip(texts, bpe.Merges(vocabulary_path).encode(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)), text
+        assert decoded == library.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_forgets_words_without_harm(vocabulary_path, monkeypatch):
     texts = [t or "" for t in some_texts()]
     whole = list(bpe.Merges(vocabulary_path).encode(texts))
