@@ -1,4 +1,7 @@
-"""Maintenance cost by period and machine, factory statistics and owner figures."""
+"""Maintenance cost by period and machine, factory statistics and owner figures.
+
+``cost`` may hold cost rows or sums of them by year, month and machine (``streaming.spending``).
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,15 @@ SAVED_SHARE = 0.45
 EFFICIENCY = 0.95
 
 
+#: Column of a table of sums that tells how many cost rows a row stands for.
+ROWS = "cost_rows"
+
+
+def row_count(cost: DataFrame) -> Column:
+    """Number of cost rows, also where ``cost`` holds sums of them."""
+    return F.sum(ROWS) if ROWS in cost.columns else F.count("*")
+
+
 def _grain(grain: str) -> list[str]:
     return ["year"] if grain == "year" else ["year", "month"]
 
@@ -25,13 +37,13 @@ def _period(grain: str) -> Column:
 
 def expenses(cost: DataFrame, grain: str = "month") -> DataFrame:
     """Cost and number of cost rows per period; sort by ``period`` to show."""
-    sums = cost.groupBy(*_grain(grain)).agg(F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count"))
+    sums = cost.groupBy(*_grain(grain)).agg(F.sum("amount").alias("total_cost"), row_count(cost).alias("ticket_count"))
     return sums.select(_period(grain).alias("period"), "total_cost", "ticket_count")
 
 
 def expenses_all_grains(cost: DataFrame) -> DataFrame:
     """Both grains in one pass over the data; only the months' sums are rolled up."""
-    months = cost.groupBy("year", "month").agg(F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count"))
+    months = cost.groupBy("year", "month").agg(F.sum("amount").alias("total_cost"), row_count(cost).alias("ticket_count"))
     rolled = months.rollup("year", "month").agg(
         F.sum("total_cost").cast(months.schema["total_cost"].dataType).alias("total_cost"),
         F.sum("ticket_count").alias("ticket_count"), F.grouping_id().alias("_grain"),
@@ -52,7 +64,7 @@ def expense_breakdown(cost: DataFrame, machines: DataFrame, grain: str = "month"
     twelve of them a year, which is why they are broadcast.
     """
     keys = _grain(grain)
-    parts = cost.groupBy(*keys, "machine_id").agg(F.sum("amount").alias("total_cost"), F.count("*").alias("ticket_count"))
+    parts = cost.groupBy(*keys, "machine_id").agg(F.sum("amount").alias("total_cost"), row_count(cost).alias("ticket_count"))
     totals = parts.groupBy(*keys).agg(
         F.sum("total_cost").alias("period_cost"), F.sum("ticket_count").alias("period_tickets")
     )

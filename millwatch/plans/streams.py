@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from millwatch.operators import alerts, assets, scoring
+from millwatch.operators import alerts, assets, finance, scoring
 from millwatch.plans import reports
 from millwatch.plans.alarms import ALARMS, FLEET, HIGH_ALARMS, HIGH_LIMITS
 from millwatch.plans.registry import query
 from millwatch.session import exists, new_folder
-from millwatch.sources.demo import READING_COLUMNS, STORED
+from millwatch.sources.demo import COST_COLUMNS, READING_COLUMNS, STORED
 from millwatch.sources.feed import event_time
-from millwatch.streaming import alarms, closing, ingest, newest, runs, state
+from millwatch.streaming import alarms, closing, ingest, newest, runs, spending, state
 
 MARK = "(SELECT date_trunc('milliseconds', max({time})) - INTERVAL 10 MINUTE FROM {rows})"
 
@@ -298,13 +298,13 @@ def sent_readings(events: DataFrame) -> DataFrame:
     )
 
 
-def ingested(d) -> str:
+def ingested(d, machines: DataFrame) -> str:
     """The whole ingestion job in two runs; the second sends one reading in ten again."""
     folder = new_folder(d.spark, "ingest")
     for rows in ("event_id % 7 <> 3", "event_id % 7 = 3 OR event_id % 10 = 0"):
         d.stored("events").filter(rows).write.mode("append").parquet(f"{folder}/in")
         raw = sent_readings(d.spark.readStream.schema(STORED["events"]).parquet(f"{folder}/in"))
-        ingest.ingest(raw, d.machines(), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        ingest.ingest(raw, machines, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return f"{folder}/out"
 
 
@@ -315,7 +315,7 @@ def ingested(d) -> str:
 )
 def s2_ingested(d):
     """Every reading of a known machine is stored once, in its day's folder, however often it is sent."""
-    return ingest.read_out(d.spark, ingested(d), "readings").select(
+    return ingest.read_out(d.spark, ingested(d, d.machines()), "readings").select(
         F.col("reading_id").cast("bigint"), F.col("machine_id").cast("bigint"), "timestamp", "temperature", "vibration", "date"
     )
 
@@ -326,19 +326,20 @@ def s2_ingested(d):
 )
 def s2_alerts(d):
     """One envelope per alarm of a reading that is new."""
-    sent = state.parse_envelopes(ingest.read_out(d.spark, ingested(d), "events").select("value"))
+    sent = state.parse_envelopes(ingest.read_out(d.spark, ingested(d, d.machines()), "events").select("value"))
     part = lambda name: F.get_json_object("payload", f"$.{name}")
     return sent.select(part("alert_id").alias("alert_id"), part("machine_id").cast("bigint").alias("machine_id"), part("type").alias("type"), F.col("event_time").alias("triggered_at"))
 
 
 @query(
     "s2_ingest_rejected",
-    """SELECT reading_id, 'machine_id: not found' AS problem, CASE WHEN reading_id % 10 = 0 AND reading_id % 7 <> 3 THEN 2 ELSE 1 END AS times
-       FROM fx_readings WHERE machine_id NOT IN (SELECT machine_id FROM fx_machines)""".replace(" 2 ELSE 1 ", " CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) "),
+    """SELECT reading_id, 'machine_id: not found' AS problem,
+         CAST(CASE WHEN reading_id % 10 = 0 AND reading_id % 7 <> 3 THEN 2 ELSE 1 END AS BIGINT) AS times
+       FROM fx_readings WHERE machine_id NOT IN (SELECT machine_id FROM fx_machines WHERE machine_id % 9 <> 4)""",
 )
 def s2_rejected(d):
-    """Readings of unknown machines, each time they come."""
-    gone = ingest.read_out(d.spark, ingested(d), "rejected")
+    """Readings of machines that the job does not know, each time they come."""
+    gone = ingest.read_out(d.spark, ingested(d, d.machines().filter("machine_id % 9 <> 4")), "rejected")
     return gone.select(F.get_json_object("value", "$.reading_id").cast("bigint").alias("reading_id"), F.explode("problems").alias("problem")).groupBy("reading_id", "problem").agg(F.count("*").alias("times"))
 
 
@@ -377,3 +378,39 @@ def j10_kept(d):
 def j11_kept(d):
     """The snapshot that a screen polls, from one reading and one prediction per machine."""
     return reports.snapshot_columns(assets.fleet_snapshot(d.machines(), *kept(d, 1)))
+
+
+def kept_costs(d) -> tuple[DataFrame, DataFrame]:
+    """Cost sums as the job keeps them over three batches, the first two folded."""
+    folder = new_folder(d.spark, "costs")
+    orders = d.stored("orders").select("o_orderkey", "o_custkey")
+    for part in range(3):
+        d.stored("lineitem").filter(f"l_orderkey % 3 = {part}").write.mode("append").parquet(f"{folder}/in")
+        lines = d.spark.readStream.schema(STORED["lineitem"]).parquet(f"{folder}/in")
+        cost = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*COST_COLUMNS)
+        spending.keep_costs(cost, f"{folder}/out", f"{folder}/checkpoint", fold_after=2).awaitTermination()
+    return spending.kept_costs(d.spark, f"{folder}/out")
+
+
+@query("a2_both_grains_kept", like="a2_both_grains")
+def a2_kept(d):
+    """Expenses of months and years from the kept sums."""
+    return finance.expenses_all_grains(kept_costs(d)[0])
+
+
+@query("a3_expense_breakdown_kept", like="a3_expense_breakdown")
+def a3_kept(d):
+    """Cost by period and machine, one kept row for each."""
+    return finance.expense_breakdown(kept_costs(d)[0], d.machines())
+
+
+@query("a5_avg_repair_time_kept", like="a5_avg_repair_time")
+def a5_kept(d):
+    """Mean repair time over the kept pairs of month and ticket."""
+    return finance.avg_repair_time(d.tickets(), kept_costs(d)[1])
+
+
+@query("a14_owner_kpis_kept", like="a14_owner_kpis")
+def a14_kept(d):
+    """The owner's figures from the kept sums."""
+    return finance.owner_kpis(kept_costs(d)[0], d.machines())

@@ -39,6 +39,13 @@ READING_COLUMNS = [
 ]
 
 
+COST_COLUMNS = [
+    "l_orderkey AS ticket_id", "l_linenumber AS line_no", "o_custkey AS machine_id",
+    "CAST(l_extendedprice AS DECIMAL(18,2)) AS amount",
+    "month(l_shipdate) AS month", "year(l_shipdate) AS year", "l_suppkey AS approved_by",
+]
+
+
 class Demo:
     """Entity tables of one scale-factor folder, each a lazy frame."""
 
@@ -124,11 +131,7 @@ class Demo:
 
     def cost_logs(self) -> DataFrame:
         lineitem, orders = self.stored("lineitem"), self.stored("orders")
-        return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).selectExpr(
-            "l_orderkey AS ticket_id", "l_linenumber AS line_no", "o_custkey AS machine_id",
-            "CAST(l_extendedprice AS DECIMAL(18,2)) AS amount",
-            "month(l_shipdate) AS month", "year(l_shipdate) AS year", "l_suppkey AS approved_by",
-        )
+        return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).selectExpr(*COST_COLUMNS)
 
     def audit_logs(self) -> DataFrame:
         return self.stored("events").selectExpr(

@@ -1,27 +1,17 @@
 """Which ids a day has stored already: a Bloom filter per day, kept as bitmaps, and an exact look-up of what it lets through.
 
-A filter has ``parts`` rows of 32,768 bits. An id sets ``HASHES`` bits of one part, so testing it is one equi-join with that row.
-Each batch adds its own bitmaps under its number; they are merged by OR when read, and into one file when a day has many. An id
-that the filter does not know is new; the others (repeats, and few false ones) are compared with the ids stored for their day.
+Each batch adds its own bitmaps (``operators.bitfilter``) under its number; they are merged by OR when read, and into one file when
+a day has many. An id that the filter does not know is new; the others (repeats, and few false ones) are compared with the ids
+stored for their day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millwatch.operators import bitfilter
 from millwatch.session import exists, folders, remove
 
-HASHES, PART_BITS = 3, 1 << 15
-BITMAPS = "part int, bits binary"
-
-
-def _part(key: str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)).cast("int")
-
-
-def _bit(key: str, i: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(f"bit{i}"), key), F.lit(PART_BITS)).cast("long")
-
 
 class SeenIds:
     """Filters below ``{folder}/date=<day>/batch=<n>``. ``parts`` bounds a day's size: about 2,700 ids a part give one false answer in thirty."""
@@ -31,9 +21,7 @@ class SeenIds:
 
     def add(self, ids: DataFrame, key: str, days: list[str], batch: int) -> None:
         """Note the ids of ``ids(date, key)``, all of ``days``. Adding them again changes nothing."""
-        bits = F.explode(F.array(*[_bit(key, i) for i in range(HASHES)])).alias("bit")
-        marked = ids.select("date", _part(key, self.parts).alias("part"), bits)
-        maps = marked.groupBy("date", "part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        maps = bitfilter.bitmaps(ids, key, "date", parts=self.parts)
         for_days = maps.withColumn("batch", F.lit(batch)).hint("rebalance", F.col("date"))
         for_days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(self.folder)
         for day in days:
@@ -45,27 +33,17 @@ class SeenIds:
         if len(held) < self.merge_from:
             return
         paths = [f"{self.folder}/date={day}/batch={n}" for n in held]
-        self._merged(self.spark.read.schema(BITMAPS).parquet(*paths), "part").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/date={day}/batch=-{batch + 1}")
+        bitfilter.merged(self.spark.read.schema(bitfilter.BITMAPS).parquet(*paths)).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/date={day}/batch=-{batch + 1}")
         for path in paths:
             remove(self.spark, path)
 
-    @staticmethod
-    def _merged(maps: DataFrame, *by: str) -> DataFrame:
-        return maps.groupBy(*by).agg(F.bitmap_or_agg("bits").alias("bits"))
-
     def known(self, ids: DataFrame, key: str, days: list[str]) -> DataFrame:
         """Rows of ``ids(date, key, ...)`` that the filters of ``days`` let through: all that were added, and few others."""
         paths = [p for p in (f"{self.folder}/date={day}" for day in days) if exists(self.spark, p)]
         if not paths:
             return ids.limit(0)
-        maps = self.spark.read.schema(f"{BITMAPS}, date date").option("basePath", self.folder).parquet(*paths)
-        tested = ids.withColumn("_part", _part(key, self.parts)).join(
-            self._merged(maps, "date", "part").withColumnsRenamed({"part": "_part", "bits": "_bits"}), ["date", "_part"]
-        )
-        for i in range(HASHES):
-            byte = F.conv(F.hex(F.substring("_bits", (_bit(key, i) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            tested = tested.filter(F.get(F.array(*[F.floor(byte / (1 << b)) % 2 for b in range(8)]), (_bit(key, i) % 8).cast("int")) == 1)
-        return tested.select(*ids.columns)
+        maps = self.spark.read.schema(f"{bitfilter.BITMAPS}, date date").option("basePath", self.folder).parquet(*paths)
+        return bitfilter.may_hold(ids, key, bitfilter.merged(maps, "date"), "date", parts=self.parts)
 
 
 def stored_ids(spark: SparkSession, readings: str, days: list[str], before: int) -> DataFrame:

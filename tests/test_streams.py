@@ -6,9 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.operators import alerts, events, scoring
+from millwatch.operators import alerts, events, finance, scoring
 from millwatch.sources.feed import event_time, read_sensor_stream
-from millwatch.streaming import alarms, closing, ingest, newest, runs, seen, state
+from millwatch.streaming import alarms, closing, ingest, newest, runs, seen, spending, state
 
 START = datetime(2024, 1, 1, 10, 0, 0)
 SENSOR = {"pressure": 4.0, "current": 12.0, "rpm": 1800.0, "noise_level": 60.0}
@@ -334,6 +334,32 @@ def test_the_job_takes_snapshots_by_size(spark, tmp_path):
     assert state.current_state(base, rows, "ticket_id").first().status == "s2" and rows.count() == 1
 
 
+def test_kept_costs_equal_a_full_scan(spark, tmp_path):
+    """Batches in any order, one of them twice, folds between them."""
+    import random
+
+    rng, feed, out = random.Random(2), tmp_path / "in", str(tmp_path / "out")
+    rows = [{"ticket_id": rng.randrange(40), "machine_id": rng.choice(["M1", "M2", None]), "amount": rng.randrange(10_000) / 100, "month": rng.randrange(1, 13), "year": 2023 + rng.randrange(2)} for _ in range(300)]
+    shape = "ticket_id long, machine_id string, amount decimal(18,2), month int, year int"
+    for part in range(5):
+        put(feed, f"p{part}", rows[part * 60 : part * 60 + 60])
+        spending.keep_costs(spark.readStream.schema(shape).json(str(feed)), out, str(tmp_path / "cp"), fold_after=2).awaitTermination()
+        if part == 3:  # the last batch again, as after a lost driver
+            spending.billed_tickets(spark.read.schema(shape).json(str(feed / "p3.json"))).write.mode("overwrite").parquet(f"{out}/batch=3/billed")
+    sums, billed = spending.kept_costs(spark, out)
+    cost = spark.read.schema(shape).json(str(feed))
+    machines = spark.createDataFrame([("M1", "Mill", 50.0)], "machine_id string, name string, health_score double")
+    tickets = spark.createDataFrame([(i, i / 8) for i in range(30)], "ticket_id long, time_taken_hours double")
+    for figure, kept in (
+        (lambda c: finance.expenses(c, "month"), sums), (lambda c: finance.expenses(c, "year"), sums), (finance.expenses_all_grains, sums),
+        (lambda c: finance.expense_breakdown(c, machines, "year"), sums), (lambda c: finance.owner_kpis(c, machines), sums),
+        (lambda c: finance.avg_repair_time(tickets, c), billed), (finance.expense_trend, sums),
+    ):
+        assert sorted(map(str, figure(kept).collect())) == sorted(map(str, figure(cost).collect()))
+    assert sums.count() < 75 and all("/out/_fold/" in f or "/out/batch=" in f for f in sums.inputFiles())
+    assert spending._mark(spark, out) >= 1 and len(list((tmp_path / "out").glob("batch=*"))) <= 3
+
+
 def test_feed_of_envelopes(spark):
     given = spark.createDataFrame([("A1", "2024-01-01 10:00:00", "hot")], "alert_id string, at string, text string").withColumn("at", F.col("at").cast("timestamp"))
     feed = events.notification_feed(events.notices(given, "alert_new", "at", "alert_id", "text"), events.notices(given, "alert_escalated", "at", "alert_id"))
