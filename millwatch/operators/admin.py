@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millwatch.operators import trigrams
 from millwatch.operators.changes import SET, apply_changes, with_set_mask
 from millwatch.operators.validate import insert_if_absent
 
@@ -17,6 +18,15 @@ def search_users(users: DataFrame, text: str = "", role: str | None = None) -> D
     return found.filter(F.col("role") == role) if role and role != "all" else found
 
 
+def search_users_indexed(users: DataFrame, index: str, text: str, role: str | None = None) -> DataFrame:
+    """The same by the trigram index of names and e-mails (``trigrams.index_texts``): only candidates are read from the users and
+    tested. A text of one or two letters has no trigram and is searched for as before."""
+    keys = trigrams.candidates(users.sparkSession, index, text)
+    if keys is None:
+        return search_users(users, text, role)
+    return search_users(users.join(keys.withColumnRenamed("key", "user_id"), "user_id", "left_semi"), text, role)
+
+
 def available_mechanics(mechanics: DataFrame) -> DataFrame:
     return mechanics.filter(F.col("login_status") == "available")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -38,6 +40,41 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int =
     return page_offset(df, order, (page - 1) * size, size), summary
 
 
+def index_pages(df: DataFrame, time: str, row_id: str, path: str, rows: int = 1_000_000) -> None:
+    """Write a newest-first list in ranges of about ``rows`` rows, and the number of rows of each, for ``indexed_page``."""
+    spark = df.sparkSession
+    parts = max(1, -(-df.count() // rows))
+    order = [F.col(time).desc(), F.col(row_id).desc()]
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    ranged.write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
+    if parts > 1 or not df.isEmpty():
+        counts = spark.read.parquet(f"{path}/rows").groupBy("range").agg(F.count("*").alias("n"))
+    else:
+        counts = spark.createDataFrame([], "range int, n long")
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+    spark.createDataFrame([(df.schema.json(), time, row_id)], "shape string, time string, row_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def indexed_page(spark: SparkSession, path: str, page: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``paginate`` of an indexed list at the cost of one page, however deep: the counts tell the total and which ranges hold the
+    page, and no other range is opened. Counts are a row for each range, so the driver gets total / rows of them."""
+    about = spark.read.parquet(f"{path}/about").first()
+    shape = StructType.fromJson(json.loads(about["shape"]))
+    counts = sorted(tuple(r) for r in spark.read.parquet(f"{path}/counts").collect())
+    total, first, at, wanted, skipped = sum(n for _, n in counts), (page - 1) * size, 0, [], 0
+    for number, n in counts:
+        if at + n <= first:
+            skipped = at + n
+        elif at < first + size:
+            wanted.append(f"{path}/rows/range={number}")
+        at += n
+    summary = spark.createDataFrame([(total, page, size, -(-total // size) if size else 0)], "total long, page int, size int, pages long")
+    if not wanted:
+        return spark.createDataFrame([], shape), summary
+    rows = spark.read.schema(shape).parquet(*wanted)
+    return page_offset(rows, [F.col(about["time"]).desc(), F.col(about["row_id"]).desc()], first - skipped, size), summary
+
+
 def names_of_page(page: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """The rows of ``names`` that a page needs. A page is small by its limit; whether it is broadcast is left to its size."""
     return names.join(page.select(key), key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwatch.functions import health
-from millwatch.operators import access, admin, alerts, assets, events, paging, production, tickets, validate
+from millwatch.operators import access, admin, alerts, assets, events, paging, production, tickets, trigrams, validate
 from millwatch.plans.registry import query
 from millwatch.sources.tables import conform, read_readings, write_readings
 from millwatch.session import new_folder
@@ -322,6 +322,14 @@ def p5(d):
     return admin.search_users(d.users(), "R#00000000", "operator").select("user_id", "name", "email", "role")
 
 
+@query("p5_search_users_indexed", like="p5_search_users")
+def p5_indexed(d):
+    """The same search by the trigram index of names and e-mails."""
+    path = new_folder(d.spark, "trigrams")
+    trigrams.index_texts(d.users(), "user_id", ["name", "email"], path)
+    return admin.search_users_indexed(d.users(), path, "R#00000000", "operator").select("user_id", "name", "email", "role")
+
+
 @query("p6_available_mechanics", "SELECT mechanic_id, skill_type, shift FROM fx_mechanics WHERE login_status = 'available'")
 def p6(d):
     return admin.available_mechanics(d.mechanics()).select("mechanic_id", "skill_type", "shift")
@@ -411,6 +419,20 @@ def l2(d):
     return paging.paginate(d.tickets().select("ticket_id", "created_at", "status"), tickets.ticket_order(), 3, 20)[0]
 
 
+@query(
+    "l2_deep_page",
+    """SELECT ticket_id, created_at, status FROM fx_tickets ORDER BY created_at DESC, ticket_id DESC LIMIT 20
+       OFFSET (SELECT (count(*) // 20 - 5) * 20 FROM fx_tickets)""",
+)
+def l2_deep(d):
+    """A page near the end of the list, from the one range that holds it."""
+    path = new_folder(d.spark, "pages")
+    listed = d.tickets().select("ticket_id", "created_at", "status")
+    paging.index_pages(listed, "created_at", "ticket_id", path, rows=1000)
+    total = paging.indexed_page(d.spark, path)[1].first()["total"]
+    return paging.indexed_page(d.spark, path, total // 20 - 4, 20)[0]
+
+
 @query(
     "l2_summary",
     """SELECT (SELECT count(*) FROM fx_tickets) AS total, page, size, CASE WHEN size = 0 THEN 0
