@@ -38,6 +38,21 @@ def json_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
+def json_variant(text: Column) -> Column:
+    """JSON text as a VARIANT, parsed once and stored in binary; null for null and for malformed text."""
+    return F.try_parse_json(text)
+
+
+def variant_text(value: Column, field: str) -> Column:
+    """A field of a VARIANT object as text; null if it is absent, null, or no single value."""
+    return F.try_variant_get(value, f"$.{field}", "string")
+
+
+def variant_fields(value: Column) -> Column:
+    """Names of an object's fields in order; null for anything else."""
+    return F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
+
+
 def number_text(value: Column) -> Column:
     """A double as text without a trailing ``.0``."""
     return F.regexp_replace(value.cast("string"), r"\.0$", "")

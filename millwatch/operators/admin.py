@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millwatch.functions.texts import json_variant
 from millwatch.operators import trigrams
 from millwatch.operators.changes import SET, apply_changes, with_set_mask
 from millwatch.operators.validate import insert_if_absent
@@ -42,6 +43,11 @@ def audit_trail(audit: DataFrame, users: DataFrame) -> DataFrame:
     return audit.join(names, "user_id", "left").withColumn("user_name", F.coalesce("user_name", F.lit("System")))
 
 
+def audit_values(audit: DataFrame) -> DataFrame:
+    """Audit rows with their values as VARIANT, to be stored so: a reader takes a field without parsing text again."""
+    return audit.withColumns({c: json_variant(F.col(c)) for c in ("old_value", "new_value")})
+
+
 def audit_order() -> list[Column]:
     return [F.col("timestamp").desc(), F.col("log_id").desc()]
 

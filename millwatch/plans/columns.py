@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from millwatch.functions import gauges, health, texts
 from millwatch.functions.sql import register_functions
-from millwatch.operators import assets, scoring
+from millwatch.operators import admin, assets, scoring
 from millwatch.plans.registry import query
+from millwatch.session import new_folder
 
 
 @query("f1_health_score", "SELECT reading_id, raw_score AS health_score FROM fx_scored")
@@ -164,6 +165,30 @@ def f16(d):
     )
 
 
+def stored_values(d):
+    """Audit rows as stored with VARIANT values."""
+    path = new_folder(d.spark, "audit")
+    admin.audit_values(d.audit_logs()).write.parquet(path)
+    return d.spark.read.parquet(path)
+
+
+@query("f16_json_variant", like="f16_json_values")
+def f16_variant(d):
+    value = F.col("new_value")
+    return stored_values(d).select("log_id", texts.variant_text(value, "k").alias("new_k"), F.size(texts.variant_fields(value)).alias("fields"))
+
+
+@query(
+    "j4_audit_values",
+    """SELECT log_id, coalesce(name, 'System') AS user_name, json_extract_string(new_value, '$.k') AS new_k, CAST(NULL AS VARCHAR) AS old_k
+       FROM fx_audit_logs a LEFT JOIN fx_users u ON a.user_id = u.user_id""",
+)
+def j4_values(d):
+    """The trail over the stored values; the old value is null here."""
+    trail = admin.audit_trail(stored_values(d), d.users())
+    return trail.select("log_id", "user_name", texts.variant_text(F.col("new_value"), "k").alias("new_k"), texts.variant_text(F.col("old_value"), "k").alias("old_k"))
+
+
 @query(
     "x1_sql_functions",
     """SELECT p.prediction_id, raw_score AS health_score, p.risk_level, rul_hours, confidence, failure_type,

@@ -31,3 +31,16 @@ def test_indexed_pages_equal_offset_pages(spark, tmp_path):
     paging.index_pages(df.limit(0), "at", "id", str(tmp_path / "e"))
     rows, summary = paging.indexed_page(spark, str(tmp_path / "e"))
     assert rows.collect() == [] and tuple(summary.first()) == (0, 1, 20, 0)
+
+
+def test_values_as_variant(spark, tmp_path):
+    from millwatch.functions import texts
+
+    given = ['{"k": 1, "b": "x"}', '{"k": "1"}', '{"k": null}', '{"k": {"z": 1}}', "{}", "[1]", "7", "{broken", "", None]
+    rows = spark.createDataFrame([(i, "2024-01-01", t, None) for i, t in enumerate(given)], "log_id int, timestamp string, new_value string, old_value string")
+    admin.audit_values(rows).write.parquet(str(tmp_path / "v"))
+    kept = spark.read.parquet(str(tmp_path / "v"))
+    assert kept.schema["new_value"].dataType.simpleString() == "variant"
+    got = kept.select("log_id", texts.variant_text(F.col("new_value"), "k").alias("k"), texts.variant_fields(F.col("new_value")).alias("f")).orderBy("log_id").collect()
+    assert [r["k"] for r in got[:3]] == ["1", "1", None] and [r["k"] for r in got[4:]] == [None] * 6
+    assert [r["f"] for r in got] == [["b", "k"], ["k"], ["k"], ["k"], [], None, None, None, None, None]
