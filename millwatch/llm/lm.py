@@ -3,14 +3,16 @@
 The model predicts the class of the next token: one of the most frequent words, a class of rarer words, or the end of the text.
 A context's vector is the sum of one vector for each of the two tokens before (a rarer word has its class's); its product with a
 class's vector, plus the class's bias, is the class's score. Training compares each token with noise drawn from the class
-frequencies, so it needs no normaliser; scoring normalises over all classes: with exp of the products of each table with the
-class vectors, the normalisers of all pairs of tokens before are one matrix product.
+frequencies, so it needs no normaliser; scoring normalises over all classes, for all pairs of tokens before by one matrix product
+(or, where classes are many, for the pairs of a block, slice by slice).
 
-Rarer words are dealt by hash to a class and to a slot, as many of each as the square root of their number. Within its class a
-word weighs (count + 1) times exp of the context's product with its slot's vector, which is learned the same way; the normaliser
-is the sum over the class's slots. Every slot of a class keeps one more for an unknown word. All sizes follow the distinct words.
+Rarer words are dealt by hash to a class and to one of SLOTS slots. Within its class a word weighs (count + 1) times exp of the
+context's product with its slot's vector, which is learned the same way; the normaliser is the sum over the class's slots. Every
+slot of a class keeps one more for an unknown word. Classes grow with the cube root of the distinct words, so what a worker holds grows
+far more slowly than they do; every word's count is gathered and used.
 
-Every task trains on all training tokens it reads, from the same start; the tasks' parameters are averaged by their tokens.
+Trainers, as many as the square root of the text's size calls for, each train on all training tokens they read, from the same
+start; their parameters are averaged by their tokens.
 """
 
 from __future__ import annotations
@@ -26,15 +28,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millwatch.llm.tables import packed_id, stored, unpacked
 from millwatch.llm.words import Words, blocks, mix, split, to_bytes
 
-#: Words with a class of their own: so many, or the square root of the distinct words if that is more.
-CLASSES = 1000
+#: Words with a class of their own, and classes of rarer words: so many, and GROWTH times the cube root of the distinct words more.
+CLASSES, RARE_CLASSES, GROWTH = 1000, 64, 2
+SLOTS = 32
 WIDTH = 24
+#: With so many classes at most, the normalisers of all pairs are one table (4 bytes a pair).
+PAIR_CLASSES = 3000
+#: Trainers: the square root of the text's bytes over this.
+TRAINER_BYTES = 500_000
 NOISE = 32
 RATE = 0.05
 #: Counts of this many words at most go to every task (16 bytes each); rarer words are joined.
 HEAD = 262_144
+#: Bytes of text taken together.
+TEXT_BYTES = 1 << 20
 _UNIT = 1024.0
 _PART = 4096
+#: Parameters in a row that trainers send.
+_SLICE = 65_536
 
 
 class Vocabulary(NamedTuple):
@@ -60,6 +71,10 @@ class Vocabulary(NamedTuple):
     def side(self) -> int:
         return 1 if self.cells is None else len(self.cells)
 
+    @property
+    def slots(self) -> int:
+        return 1 if self.cells is None else self.cells.shape[1]
+
     def weights(self) -> np.ndarray:
         """``cells`` with an unknown word in each."""
         if self.cells is None:
@@ -100,35 +115,34 @@ def _find(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
     return at, sorted_values[at] == values
 
 
-def cell(hashes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+def cell(hashes: np.ndarray, side: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(class, slot) of rarer words."""
     value, half = mix(hashes + np.uint64(0x9E3779B97F4A7C15)), np.uint64(32)
     low = value & np.uint64(0xFFFFFFFF)
-    return (((value >> half) * np.uint64(side)) >> half).astype(np.int64), ((low * np.uint64(side)) >> half).astype(np.int64)
+    return (((value >> half) * np.uint64(side)) >> half).astype(np.int64), ((low * np.uint64(slots)) >> half).astype(np.int64)
+
 
+def _cells(counts: DataFrame, top: np.ndarray, side: int, slots: int) -> np.ndarray:
+    """Sums of count + 1 of the rarer words by class and slot; the driver gets a number for each of these."""
 
-def _cells(counts: DataFrame, top: np.ndarray, side: int) -> np.ndarray:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = pdf["word"].to_numpy(np.int64).view(np.uint64)
             rare = ~_find(top, words)[1]
-            at, slot = cell(words[rare], side)
-            yield pd.DataFrame({"class": at, "slot": slot, "n": pdf["c"].to_numpy(np.int64)[rare] + 1})
+            at, slot = cell(words[rare], side, slots)
+            where, inverse = np.unique(at * slots + slot, return_inverse=True)
+            yield pd.DataFrame({"cell": where, "n": np.bincount(inverse, pdf["c"].to_numpy(np.int64)[rare] + 1, len(where)).astype(np.int64)})
 
-    def row(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"class": [key[0]], "sums": [np.bincount(pdf["slot"], pdf["n"], side).astype(np.float32).tobytes()]})
-
-    out = np.zeros((side, side), np.float32)
-    placed = counts.mapInPandas(place, "class long, slot long, n long")
-    for x in placed.groupBy("class").applyInPandas(row, "class long, sums binary").collect():
-        out[x["class"]] = np.frombuffer(x["sums"], np.float32)
-    return out
+    out = np.zeros(side * slots)
+    for x in counts.mapInPandas(place, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[x["cell"]] = x["n"]
+    return out.reshape(side, slots)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = to_bytes(pdf["text"])
-        for a, b in blocks(texts):
+        for a, b in blocks(texts, TEXT_BYTES):
             word, n = np.unique(split(texts[a:b]).hashes, return_counts=True)
             yield pd.DataFrame({"word": word.view(np.int64), "n": n})
 
@@ -156,16 +170,18 @@ def vocabulary(counts: DataFrame, texts: int, classes: int = CLASSES, head: int
     least, words = _most(counts, head)
     words["word"] = words["word"].to_numpy().astype(np.int64).view(np.uint64)
     words = words.sort_values(["c", "word"], ascending=[False, True])
-    top, whole = words.head(max(classes, math.isqrt(total["v"]))).sort_values("word"), words.sort_values("word")
+    more = int(GROWTH * total["v"] ** (1 / 3))
+    top, whole = words.head(classes + more).sort_values("word"), words.sort_values("word")
     arrays = [x.to_numpy() for x in (top["word"], top["c"], whole["word"], whole["c"])]
-    side = math.isqrt(max(0, total["v"] - len(top) - 1)) + 1
-    return Vocabulary(*arrays, total["n"] + texts, total["v"] + (texts > 0), texts, _cells(counts, arrays[0], side)), least
+    rare = max(0, total["v"] - len(top))
+    side, slots = min(RARE_CLASSES + more, rare // SLOTS + 1), min(SLOTS, rare + 1)
+    return Vocabulary(*arrays, total["n"] + texts, total["v"] + (texts > 0), texts, _cells(counts, arrays[0], side, slots)), least
 
 
 def sequences(words: Words, texts: int, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(class of each token, the token before, the one before that, text of each token, its slot), every text closed by an end."""
     at, found = _find(voc.top, words.hashes)
-    group, slots = cell(words.hashes, voc.side)
+    group, slots = cell(words.hashes, voc.side, voc.slots)
     classes = np.where(found, at, voc.rare + group)
     counts = np.diff(words.first)
     first = np.concatenate(([0], np.cumsum(counts + 1)))
@@ -184,12 +200,12 @@ def start_model(voc: Vocabulary, width: int = WIDTH, seed: int = 3) -> Model:
     rng, k = np.random.default_rng(seed), voc.end + 1
     share = (voc.class_counts() + 1) / (voc.class_counts().sum() + k)
     small = lambda n: rng.normal(0, 0.1, (n, width)).astype(np.float32)
-    return Model(small(k + 1), small(k + 1), small(k), np.log(share).astype(np.float32), np.zeros((voc.side, width), np.float32))
+    return Model(small(k + 1), small(k + 1), small(k), np.log(share).astype(np.float32), np.zeros((voc.slots, width), np.float32))
 
 
 def _sum_rows(place: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different places, sum of the rows of each)."""
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 65_536 else place, kind="stable")  # short numbers sort fast
     ordered = place[order]
     cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     return ordered[cut], np.add.reduceat(rows[order], cut, axis=0)
@@ -232,7 +248,7 @@ class Trainer:
         h, score = m.one[one] + m.two[two], m.bias - self.offset
         back, places, rows, up, down = self._compare(h, m.out, token, drawn, score[token], score[drawn])
         if slot is not None and len(self.slots) > 1:
-            rare = np.flatnonzero((token >= self.rare) & (token < self.rare + len(self.slots)))
+            rare = np.flatnonzero((token >= self.rare) & (token < self.rare + len(self.inside)))
             if len(rare):
                 group, own = token[rare] - self.rare, slot[rare]
                 other = np.minimum(np.searchsorted(self.slots, self.rng.random(self.noise)), len(self.slots) - 1)
@@ -254,25 +270,37 @@ class Trainer:
             at, self.seen = at + size, self.seen + len(part)
 
 
+def _added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(pdf["sums"].iloc[0]) // 8, np.int64)
+    for sums in pdf["sums"]:
+        total += np.frombuffer(sums, np.int64)
+    return pd.DataFrame({"slice": [key[0]], "sums": [total.tobytes()]})
+
+
 def train(texts: DataFrame, voc: Vocabulary) -> Model:
-    """Average of the tasks' models, weighted by their tokens; sums are taken in whole numbers, so their order is of no matter."""
+    """Average of the trainers' models, weighted by their tokens. Sums are taken in whole numbers, so their order is of no matter;
+    trainers send them in slices."""
     start = start_model(voc)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trainer = Trainer(voc, start, seed=5)
         for pdf in batches:
             rows = to_bytes(pdf["text"])
-            for a, b in blocks(rows):
+            for a, b in blocks(rows, TEXT_BYTES):
                 token, one, two, _, slot = sequences(split(rows[a:b]), b - a, voc)
                 trainer.learn(token, one, two, slot)
         if trainer.seen:
             flat = np.concatenate([x.ravel() for x in trainer.model]).astype(np.float64)
-            yield pd.DataFrame({"i": np.arange(-1, len(flat)), "v": np.concatenate(([trainer.seen], np.round(flat * trainer.seen * _UNIT))).astype(np.int64)})
-
-    sums = texts.select("text").mapInPandas(run, "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
-    if sums.empty:
+            flat = np.concatenate(([trainer.seen], np.round(flat * trainer.seen * _UNIT))).astype(np.int64)
+            for i, at in enumerate(range(0, len(flat), _SLICE)):
+                yield pd.DataFrame({"slice": [i], "sums": [flat[at : at + _SLICE].tobytes()]})
+
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    readers = texts.select("text").coalesce(max(16, math.isqrt(size // TRAINER_BYTES)))
+    sums = readers.mapInPandas(run, "slice int, sums binary").groupBy("slice").applyInPandas(_added, "slice int, sums binary").collect()
+    if not sums:
         return start
-    values, out, at = sums["v"].to_numpy(), [], 1
+    values, out, at = np.concatenate([np.frombuffer(x["sums"], np.int64) for x in sorted(sums, key=lambda x: x["slice"])]), [], 1
     for x in start:
         out.append((values[at : at + x.size] / _UNIT / values[0]).reshape(x.shape))
         at += x.size
@@ -280,28 +308,56 @@ def train(texts: DataFrame, voc: Vocabulary) -> Model:
 
 
 class Scorer:
-    """Log10 probabilities of tokens; tables for all pairs of tokens before are made once."""
+    """Log10 probabilities of tokens. The normalisers of all pairs of tokens before are a table, unless classes are too many."""
 
     def __init__(self, model: Model, voc: Vocabulary):
-        self.voc, model = voc, Model(*(x.astype(np.float32) for x in model))
-        self.first, self.second = model.one @ model.out.T + model.bias, model.two @ model.out.T
-        high, high2 = self.first.max(axis=1), self.second.max(axis=1)
-        total = np.exp(self.first - high[:, None]) @ np.exp(self.second - high2[:, None]).T
-        self.normal = np.log(total) + high[:, None] + high2[None, :]
+        self.voc, self.model = voc, Model(*(x.astype(np.float32) for x in model))
         self.rare_share = np.log10(max(0, voc.rare_tokens()) + voc.rare_words() + 1)
         self.weights = voc.weights().astype(np.float32)
-        self.slot_first, self.slot_second = model.one @ model.slot.T, model.two @ model.slot.T
-        self.slot_high = self.slot_first.max(axis=1), self.slot_second.max(axis=1)
-        self.slot_exp = tuple(np.exp(x - high[:, None]) for x, high in zip((self.slot_first, self.slot_second), self.slot_high))
+        self.normal = self._table() if len(model.bias) <= PAIR_CLASSES else None
+
+    def _table(self) -> np.ndarray:
+        m = self.model
+        second = m.two @ m.out.T
+        high2 = second.max(axis=1)
+        np.exp(np.subtract(second, high2[:, None], out=second), out=second)
+        normal = np.empty((len(m.one), len(m.two)), np.float32)
+        for at in range(0, len(m.one), 256):
+            first = m.one[at : at + 256] @ m.out.T + m.bias
+            high = first.max(axis=1)
+            np.log(np.exp(first - high[:, None]) @ second.T, out=normal[at : at + 256])
+            normal[at : at + 256] += high[:, None] + high2
+        return normal
+
+    def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the sum over all classes of exp of their scores, for each pair of tokens before."""
+        if self.normal is not None:
+            return self.normal[one, two]
+        m, (pairs, place) = self.model, np.unique(one * len(self.model.two) + two, return_inverse=True)
+        out = np.empty(len(pairs), np.float32)
+        for at in range(0, len(pairs), 1024):
+            left, right = np.divmod(pairs[at : at + 1024], len(m.two))
+            scores = (m.one[left] + m.two[right]) @ m.out.T + m.bias
+            high = scores.max(axis=1)
+            out[at : at + 1024] = np.log(np.exp(scores - high[:, None]).sum(axis=1)) + high
+        return out[place]
+
+    def classes(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token's class."""
+        m = self.model
+        score = np.einsum("ij,ij->i", m.one[one] + m.two[two], m.out[token]) + m.bias[token]
+        return (score - self.normalisers(one, two)) / np.log(10)
 
     def inside(self, group: np.ndarray, slot: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 of what a rarer word of count 0 has of its class; every other one has (count + 1) times that."""
-        total = np.empty(len(group))
+        m, out = self.model, np.empty(len(group))
         for at in range(0, len(group), _PART):
             part = slice(at, at + _PART)
-            total[part] = np.einsum("ij,ij->i", self.weights[group[part]] * self.slot_exp[0][one[part]], self.slot_exp[1][two[part]])
-        log = self.slot_first[one, slot] - self.slot_high[0][one] + self.slot_second[two, slot] - self.slot_high[1][two]
-        return (log - np.log(total)) / np.log(10)
+            scores = (m.one[one[part]] + m.two[two[part]]) @ m.slot.T
+            high = scores.max(axis=1)
+            total = np.einsum("ij,ij->i", self.weights[group[part]], np.exp(scores - high[:, None]))
+            out[part] = scores[np.arange(len(scores)), slot[part]] - high - np.log(total)
+        return out / np.log(10)
 
     def texts(self, texts: list[bytes]) -> dict[str, np.ndarray | list]:
         """Per text: tokens, known tokens, base and score as far as the head's counts go, and its words outside the head.
@@ -310,7 +366,7 @@ class Scorer:
         """
         voc, words, n = self.voc, split(texts), len(texts)
         token, one, two, text, slot = sequences(words, n, voc)
-        log = (self.first[one, token] + self.second[two, token] - self.normal[one, two]) / np.log(10)
+        log = self.classes(token, one, two)
         at, found = _find(voc.head, words.hashes)
         owner = np.repeat(np.arange(n), np.diff(words.first))
         counts = np.where(found, voc.head_counts[at] if len(voc.head) else 0, 0)
@@ -351,7 +407,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         scorer = Scorer(*shared.value)
         for pdf in batches:
             rows = to_bytes(pdf["text"])
-            for a, b in blocks(rows):
+            for a, b in blocks(rows, TEXT_BYTES):
                 yield pdf.iloc[a:b][["doc_id", "held_out"]].assign(**scorer.texts(rows[a:b]))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<long>, times array<long>"

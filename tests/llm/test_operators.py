@@ -188,7 +188,7 @@ def test_lm_counts_and_base(docs, rows, monkeypatch, head):
         assert r["base_score"] == pytest.approx(base, abs=1e-9) and math.isfinite(r["score"]) and r["score"] < 0
 
 
-def test_lm_probabilities_sum_to_one():
+def test_lm_probabilities_sum_to_one(monkeypatch):
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(list("abcdefgh"), 30)).encode() for _ in range(50)]
     word, n = np.unique(words.split(texts).hashes, return_counts=True)
@@ -197,8 +197,12 @@ def test_lm_probabilities_sum_to_one():
     trainer = lm.Trainer(voc, lm.start_model(voc), 1)
     trainer.learn(*lm.sequences(words.split(texts), 50, voc)[:3])
     scorer = lm.Scorer(trainer.model, voc)
-    total = np.exp(scorer.first[:, None, :] + scorer.second[None, :, :] - scorer.normal[:, :, None]).sum(axis=2)
-    assert np.allclose(total, 1, atol=1e-4)
+    k = voc.end + 1
+    token, one, two = (x.ravel() for x in np.meshgrid(np.arange(k), np.arange(k + 1), np.arange(k + 1), indexing="ij"))
+    assert np.allclose((10 ** scorer.classes(token, one, two)).reshape(k, -1).sum(axis=0), 1, atol=1e-4)
+    monkeypatch.setattr(lm, "PAIR_CLASSES", 0)
+    without = lm.Scorer(trainer.model, voc)
+    assert without.normal is None and np.allclose(without.classes(token, one, two), scorer.classes(token, one, two), atol=1e-5)
     rare = n[np.setdiff1d(np.arange(len(word)), pick)]
     assert (np.append(rare, 0) + 1).sum() / 10**scorer.rare_share == pytest.approx(1)  # every rarer word, and one unknown
 
@@ -221,29 +225,83 @@ def test_lm_rarer_words_are_predicted_and_context():
     word, n = np.unique(words.split(texts).hashes, return_counts=True)
     top = np.sort(word[np.argsort(-n)[:1]])
     rare = ~np.isin(word, top)
-    side = math.isqrt(int(rare.sum()) - 1) + 1
-    cells = np.zeros((side, side), np.float32)
-    np.add.at(cells, lm.cell(word[rare], side), n[rare] + 1)
+    side, slots = 9, 8
+    cells = np.zeros((side, slots))
+    np.add.at(cells, lm.cell(word[rare], side, slots), n[rare] + 1)
     voc = lm.Vocabulary(top, n[~rare], word, n, int(n.sum()) + 60, len(word) + 1, 60, cells)
     trainer = lm.Trainer(voc, lm.start_model(voc), 1)
     token, one, two, _, slot = lm.sequences(words.split(texts), 60, voc)
     for _ in range(8):
         trainer.learn(token, one, two, slot)
     scorer = lm.Scorer(trainer.model, voc)
-    group, at = lm.cell(word[rare], side)
-    context = [np.full(len(group), voc.rare + 1), np.full(len(group), voc.rare)]
-    log = scorer.first[context[0], voc.rare + group] + scorer.second[context[1], voc.rare + group] - scorer.normal[context[0], context[1]]
-    known = (np.exp(log) * (n[rare] + 1) * 10 ** scorer.inside(group, at, *context)).sum()
-    every = [x.ravel() for x in np.indices((side, side))]
-    context = [np.full(side * side, voc.rare + 1), np.full(side * side, voc.rare)]
-    log = scorer.first[context[0], voc.rare + every[0]] + scorer.second[context[1], voc.rare + every[0]] - scorer.normal[context[0], context[1]]
-    unknown = (np.exp(log) * 10 ** scorer.inside(every[0], every[1], *context)).sum()
-    others = np.exp(scorer.first[voc.rare + 1] + scorer.second[voc.rare] - scorer.normal[voc.rare + 1, voc.rare])[[0, voc.end]].sum()
-    assert known + unknown + others == pytest.approx(1, abs=1e-3)
+    group, at = lm.cell(word[rare], side, slots)
+
+    def inside(group, slot, count):
+        context = [np.full(len(group), voc.rare + 1), np.full(len(group), voc.rare)]
+        return ((count + 1) * 10 ** (scorer.classes(voc.rare + group, *context) + scorer.inside(group, slot, *context))).sum()
+
+    others = 10 ** scorer.classes(np.array([0, voc.end]), np.full(2, voc.rare + 1), np.full(2, voc.rare))
+    # every known rarer word, an unknown one in every cell, the frequent word and the end
+    assert inside(group, at, n[rare]) + inside(*(x.ravel() for x in np.indices((side, slots))), 0) + others.sum() == pytest.approx(1, abs=1e-3)
     right, wrong = (scorer.texts([" ".join(("the", pairs[i][0], pairs[(i + k) % 40][1])).encode() for i in range(40)])["score"].sum() for k in (0, 1))
     assert right > wrong + 5
 
 
+def test_lm_score_of_a_text_by_hand():
+    """Every token's probability from the model's definition, in plain sums."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the", "of", *(f"w{i}" for i in range(30))]) for _ in range(25)).encode() for _ in range(40)]
+    word, n = np.unique(words.split(texts).hashes, return_counts=True)
+    pick = np.sort(np.argsort(-n)[:3])
+    rare = np.setdiff1d(np.arange(len(word)), pick)
+    cells = np.zeros((4, 5))
+    np.add.at(cells, lm.cell(word[rare], 4, 5), n[rare] + 1)
+    voc = lm.Vocabulary(word[pick], n[pick], word, n, int(n.sum()) + 40, len(word) + 1, 40, cells)
+    trainer = lm.Trainer(voc, lm.start_model(voc), 2)
+    token, one, two, _, slot = lm.sequences(words.split(texts), 40, voc)
+    trainer.learn(token, one, two, slot)
+    m, count = trainer.model, dict(zip(word.tolist(), n.tolist()))
+
+    def probability(hashed, before, earlier):
+        h = [float(x + y) for x, y in zip(m.one[before], m.two[earlier])]
+        scores = [sum(a * float(b) for a, b in zip(h, row)) + float(bias) for row, bias in zip(m.out, m.bias)]
+        total = sum(map(math.exp, scores))
+        if hashed is None:
+            return math.exp(scores[voc.end]) / total, voc.end
+        top = [i for i, t in enumerate(voc.top.tolist()) if t == hashed]
+        if top:
+            return math.exp(scores[top[0]]) / total, top[0]
+        (group,), (place,) = lm.cell(np.array([hashed], np.uint64), 4, 5)
+        pull = [math.exp(sum(a * float(b) for a, b in zip(h, row))) for row in m.slot]
+        share = (count.get(hashed, 0) + 1) * pull[place] / sum((cells[group, t] + 1) * pull[t] for t in range(5))
+        return math.exp(scores[voc.rare + group]) / total * share, voc.rare + int(group)
+
+    for text in (texts[0], b"the unknown of w3", b"", b"w1"):
+        before = earlier = voc.end + 1
+        want = 0.0
+        for hashed in [*words.split([text]).hashes.tolist(), None]:
+            p, own = probability(hashed, before, earlier)
+            want += math.log10(p)
+            before, earlier = own, before if before != voc.end + 1 else voc.end + 1
+        assert lm.Scorer(m, voc).texts([text])["score"][0] == pytest.approx(want, abs=1e-4)
+
+
+def test_lm_worker_memory_grows_slowly_with_the_vocabulary():
+    import tracemalloc
+
+    peaks = []
+    for distinct in (400_000, 20_000_000):
+        more = int(lm.GROWTH * distinct ** (1 / 3))
+        top = np.sort(np.random.default_rng(1).integers(0, 1 << 63, lm.CLASSES + more).astype(np.uint64))
+        voc = lm.Vocabulary(top, np.full(len(top), 50), top, np.full(len(top), 50), 200_000_000, distinct, 1000, np.ones((lm.RARE_CLASSES + more, lm.SLOTS)))
+        model = lm.start_model(voc)
+        tracemalloc.start()
+        lm.Scorer(model, voc)
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[1] < 100 and peaks[1] < 4 * peaks[0]
+
+
 def test_lm_odd_rows(odd, nothing):
     assert lm.score_texts(nothing).count() == 0
     got = lm.score_texts(odd).collect()
@@ -317,6 +375,7 @@ def test_nearest(spark, monkeypatch, factor):
     frame = spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v], 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, shard int, v int")
     monkeypatch.setattr(vptree, "SHARD_ROWS", 700)
     monkeypatch.setattr(vptree, "QUERY_ROWS", 15)
+    monkeypatch.setattr(vptree, "LEAF", 50)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vptree.nearest(frame, factor=factor).collect()}
     want = brute_nearest(vectors)
     if factor == 1:
@@ -325,6 +384,18 @@ def test_nearest(spark, monkeypatch, factor):
         assert len(set(got.items()) & set(want.items())) >= 0.85 * len(want)
 
 
+def test_leaves_are_exact_where_products_are_not():
+    """Points so close that the matrix product cannot tell them apart, and so large that it has no value."""
+    rng = np.random.default_rng(9)
+    for points in (1e6 + rng.normal(0, 1e-7, (300, 5)), 1e154 + rng.normal(0, 1, (300, 5)) * 1e150, np.repeat(rng.normal(size=(60, 5)), 5, axis=0)):
+        ids = rng.permutation(300)
+        score, found = vptree.Tree(points, ids, 4, leaf=40).search(points[:50], ids[:50], 4, 1.0)
+        away = vptree.distances(points, points[:50])
+        away[np.arange(50), np.arange(50)] = np.inf
+        order = np.lexsort((np.broadcast_to(ids, away.shape), away), axis=1)[:, :4]
+        assert (found == ids[order]).all() and (score == np.take_along_axis(away, order, 1)).all()
+
+
 def test_nearest_of_few(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert vptree.nearest(frame([])).count() == 0 and vptree.nearest(frame([(100, [1.0])])).count() == 0
@@ -369,6 +440,28 @@ def test_toxicity(spark, nothing):
     assert len(unlabelled) == len(rows) and not any(r["toxic"] for r in unlabelled)
 
 
+def test_chain_by_brute_force(spark):
+    """Probabilities of a fitted chain from its definition: features of a text one by one, earlier log odds as further inputs."""
+    from millwatch.llm.words import mix
+
+    rows, labels = toxic_rows(200)
+    model = toxicity.fit(make_docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [t for _, t, *_ in rows[:25]] + ["", "ZUXXOR", "a b c d e", "é zuxxor!x"]
+    for text, got in zip(texts, toxicity.probabilities(model, [t.encode() for t in texts]).tolist()):
+        clean = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in text.encode())
+        found = {int(h * np.uint64(3)) % (1 << 64) >> 44 for h in words.split([clean], lower=False).hashes}
+        closed = clean + b" "
+        for i in range(len(closed) - 4):
+            gram = closed[i : i + 5]
+            if b" " not in gram[1:4]:
+                found.add(int(mix(np.array([(int.from_bytes(gram, "big") + 5 * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0]) >> 44)
+        odds = []
+        for w, bias in zip(model.weights, model.biases):
+            own = sum(float(w[j]) for j, bucket in enumerate(model.features.tolist()) if bucket in found)
+            odds.append(own + bias + sum(float(x) * max(-10, min(10, y)) for x, y in zip(w[len(model.features) :], odds)))
+        assert got == pytest.approx([1 / (1 + math.exp(-x)) for x in odds], abs=1e-6)
+
+
 def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(0)
     first = rng.random(2000) < 0.5
@@ -480,6 +573,56 @@ def test_languages(spark, nothing):
     assert [(r["lang_pred"], r["score"]) for r in unknown] == [("und", 0.0)]
 
 
+def test_many_languages_within_the_drivers_bound(spark, monkeypatch):
+    """200 languages, each of three letters of its own; the sample stays within its bound and no language is left out."""
+    rng, seen = random.Random(2), []
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    words = lambda k: " ".join("".join(rng.choice(letters[3 * k : 3 * k + 3]) for _ in range(4)) for _ in range(12))
+    rows = [(i, words(i % 200), f"l{i % 200:03d}", None) for i in range(6000)]
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 2000)
+    real = langid.train
+    monkeypatch.setattr(langid, "train", lambda x, y, **kw: (seen.append(x.nbytes), real(x, y, **kw | {"rounds": 60}))[1])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(make_docs(spark, rows)).collect()}
+    assert seen[0] < 1.3 * 2000 * langid.BUCKETS * 4
+    held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] == f"l{i % 200:03d}" for i in held) >= 0.9 * len(held)
+
+
+def test_decoding_by_brute_force():
+    """The language of the nearest codeword by summed logistic losses, and shares of one, in plain Python."""
+    rng = np.random.default_rng(5)
+    codes = langid.codewords(5)
+    model = langid.Model(list("abcde"), codes, None, None)
+    margins = rng.normal(0, 2, (40, codes.shape[1]))
+    best, score, second = langid.decode(model, margins)
+    for i, row in enumerate(margins.tolist()):
+        losses = [sum(math.log1p(math.exp(-m * int(c))) for m, c in zip(row, code)) for code in codes.tolist()]
+        shares = sorted((math.exp(-x) / sum(math.exp(-y) for y in losses) for x in losses), reverse=True)
+        assert best[i] == min(range(5), key=lambda j: losses[j])
+        assert score[i] == pytest.approx(shares[0]) and second[i] == pytest.approx(shares[1])
+
+
+def test_predictions_by_brute_force(spark):
+    """Grams counted text by text, margins and decoding from the definition."""
+    rows = [(i, t, lang, None) for i, (t, lang) in enumerate([("ab ba ab", "x"), ("cd dc cd cc", "y"), ("ab cd", "x"), ("ba bb aa", "x"), ("dd cc", "y"), ("dc cd dd", "y")] * 3)]
+    model = langid.fit(make_docs(spark, rows))
+    from millwatch.llm.words import mix
+
+    for text in ("ab cd ba", "c", "Dd.Cc"):
+        low = re.sub("[^a-z0-9]", " ", text.lower()).encode()
+        x = np.zeros(langid.BUCKETS)
+        for n in langid.SIZES:
+            grams = [(low + b" ")[i : i + n] for i in range(len(low) + 1 - n + 1)]
+            share = Counter(int(mix(np.array([(int.from_bytes(g, "big") + n * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0]) >> 52 for g in grams)
+            for bucket, count in share.items():
+                x[bucket] += count / max(1, len(grams)) / len(langid.SIZES)
+        margins = np.sqrt(x) @ model.weights + model.biases
+        losses = [sum(math.log1p(math.exp(-m * int(c))) for m, c in zip(margins, code)) for code in model.codes.tolist()]
+        got = langid.predict(make_docs(spark, [(1, text, None, None)]), model).first()
+        assert got["lang_pred"] == model.languages[int(np.argmin(losses))]
+        assert got["score"] == pytest.approx(math.exp(-min(losses)) / sum(math.exp(-y) for y in losses), abs=1e-4)
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -621,6 +764,15 @@ def test_trust_and_distrust_run_along_links(spark):
     assert linkgraph.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_links_without_a_scheme_and_long_chains(spark):
+    link = lambda h: f'<a href="//{h}/p?u=http://other.org/">x</a>'
+    chain = [(i, f"http://h{i}.org/", link(f"H{i + 1}.org") if i < 30 else link("bad.net")) for i in range(31)]
+    pages = [*chain, (100, "http://bad.net/es/", "x" * 200_000), (101, "http://free.org/", "//h0.org"), (None, "http://h3.org/", None)]
+    frame = spark.createDataFrame([(*p, 1, "k") for p in pages], "page_id long, url string, html string, mass int, kind string")
+    got = {r["page_id"]: r["verdict"] for r in linkgraph.judge_pages(frame).collect()}
+    assert got == {**{i: "block" for i in range(31)}, 100: "block", 101: "allow", None: "block"}
+
+
 def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", "")], "page_id long, url string, html string")
     plan = linkgraph.judge_pages(pages)._jdf.queryExecution().executedPlan().toString()
