@@ -217,21 +217,25 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def _batches(batches: Iterator[pd.DataFrame], path: str, row) -> Iterator[pd.DataFrame]:
+def _batches(batches: Iterator[pd.DataFrame], path: str, row, block: int) -> Iterator[pd.DataFrame]:
     merges = loaded(path)
     for pdf in batches:
         texts = ["" if t is None else t for t in pdf["text"]]
-        for a, b in blocks(texts, 8 << 20):
+        for a, b in blocks(texts, block):
             out = [row(ids, decoded) for ids, decoded in merges.encode(texts[a:b])]
             yield pdf.iloc[a:b][["doc_id"]].assign(**{k: [o[k] for o in out] for k in out[0]})
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Bytes of text whose new words are encoded together.
+TEXT_BYTES = 8 << 20
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", block: int = TEXT_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids (array of int). Null and empty texts have no ids."""
 
     def run(batches):
         row = lambda ids, _: {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": np.fromstring(ids, np.int32, sep=" ")}
-        return _batches(batches, path, row)
+        return _batches(batches, path, row, block)
 
     return unpacked(docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>"))
 
@@ -245,7 +249,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         row = lambda ids, decoded: {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids_sha256": _digest(ids), "decoded_sha256": _digest(decoded)}
-        return _batches(batches, path, row)
+        return _batches(batches, path, row, TEXT_BYTES)
 
     plain = docs.select(packed_id(docs, key), docs[text].alias("text"))
     return unpacked(plain.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain over hashed words and character grams.
 
-Categories are predicted one after another; each linear model also sees the probabilities of the categories before it. For
-training these come from models that have not seen the row (out of fold; equal texts share a fold), for prediction from the
+Categories are predicted one after another; each linear model also sees the probabilities of the categories before it, as
+log odds. For training these come from models that have not seen the row (out of fold; equal texts share a fold), for prediction from the
 models fitted on the whole sample.
 """
 
@@ -154,12 +154,12 @@ def chain(x: np.ndarray, folds: np.ndarray, labels: list[np.ndarray], features:
     return Model(features, weights, biases)
 
 
-def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
-    """A row per text, a column per category in chain order."""
+def probabilities(model: Model, texts: list[bytes], block: int = 2 << 20) -> np.ndarray:
+    """A row per text, a column per category in chain order; about ``block`` bytes of text are taken together."""
     wanted = np.zeros(BUCKETS, bool)
     wanted[model.features] = True
     done = [np.zeros((0, len(model.weights)))]
-    for a, b in blocks(texts):
+    for a, b in blocks(texts, block):
         row, bucket = present(texts[a:b], wanted)
         column, before = np.searchsorted(model.features, bucket), np.zeros((b - a, 0))
         out = np.zeros((b - a, len(model.weights)))
@@ -192,12 +192,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return predict(docs, fit(docs, labels))
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", block: int = 2 << 20) -> DataFrame:
     """Rows of docs whose text is not toxic, all columns as they came; each text is judged where it lies, nothing is joined."""
     model = fit(docs, labels, key=key, text=text)
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(probabilities(model, to_bytes(texts))[:, -1] >= threshold) & (texts.reset_index(drop=True) != "")
+        return pd.Series(probabilities(model, to_bytes(texts), block)[:, -1] >= threshold) & (texts.reset_index(drop=True) != "")
 
     return docs.filter(~toxic(F.coalesce(docs[text], F.lit(""))))
