@@ -55,11 +55,17 @@ def lists(sender: int, values: np.ndarray, bits: int, owner_bits: int) -> pd.Dat
 
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An owner's reply to each list: a bitmap of the values that another list has too."""
+    """An owner's reply to each list: a bitmap of the values that another list has too. All lists are sorted together, once."""
     found = [decode(*x) for x in zip(pdf["n"], pdf["low"], pdf["unary"], pdf["rest"])]
-    values, count = np.unique(np.concatenate(found), return_counts=True)
-    shared = values[count > 1]
-    bits = [np.packbits(np.isin(x, shared, assume_unique=True)).tobytes() for x in found]
+    ends = np.cumsum([len(x) for x in found])
+    values = np.concatenate([np.zeros(0, np.uint64), *found])
+    del found
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    same = np.concatenate(([False], values[1:] == values[:-1], [False]))
+    shared = np.zeros(len(order), bool)
+    shared[order] = (same[1:] | same[:-1])[: len(order)]
+    bits = [np.packbits(x).tobytes() for x in np.split(shared, ends[:-1])] if len(ends) else []
     return pd.DataFrame({"sender": pdf["sender"], "owner": pdf["owner"], "n": pdf["n"], "bits": bits})
 
 

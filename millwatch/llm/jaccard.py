@@ -21,18 +21,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm import golomb
 from millwatch.llm.components import components
-from millwatch.llm.tables import discard, keep_rows, packed_id, pieces, stored, unpacked
+from millwatch.llm.tables import discard, keep_rows, packed_id, pieces, small_batches, stored, unpacked
 from millwatch.llm.words import blocks, mix, split, to_bytes
 
 SHINGLE = 3
 #: Similarity of at least 9 tenths: 10 * common >= 9 * union. At least two thirds, see ``bands``.
 SIMILAR = (9, 10)
-GROUPS = 64
+#: Groups of a point. In fewer, unrelated long texts have counts so alike that the bound lets their pairs pass.
+GROUP_BITS = 9
+GROUPS = 1 << GROUP_BITS
 LEAF = 16
 BLOCK = 2048
 RESEEDS = 8
 BITS = 48
-SENDER_BUCKETS = 1_000_000
+#: Names of buckets that a sender holds, and an owner.
+SENDER_BUCKETS = OWNER_BUCKETS = 200_000
+#: Texts, and pairs of sets, that Python gets at once.
+TEXT_ROWS, PAIR_ROWS = 1_000, 250
+#: Points that a task has in its trees.
+TREE_ROWS = 10_000
+#: Bytes of text that are cut into shingles together.
+TEXT_BYTES = 1 << 19
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -124,7 +133,7 @@ def _index(size: int, similar: tuple[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = to_bytes(pdf["text"])
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, TEXT_BYTES):
                 hashes, first = shingles(texts[a:b], size)
                 text, bucket = signatures(hashes, first, similar)
                 order = np.argsort(text, kind="stable")
@@ -166,7 +175,7 @@ def _names(hashes: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
 
 def counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Shingles of each text per group: its point."""
-    group = (mix(hashes + _C[3]) >> np.uint64(58)).astype(np.int64)
+    group = (mix(hashes + _C[3]) >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     return np.bincount(text * GROUPS + group, minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
@@ -175,10 +184,20 @@ def _points(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = to_bytes(pdf["text"])
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, TEXT_BYTES):
                 hashes, first = shingles(texts[a:b], size)
-                sets = [hashes[i:j].tobytes() for i, j in zip(first, first[1:])]
-                yield pd.DataFrame({**_names(hashes, first), "point": list(counts(hashes, first)), "members": sets})
+                yield pd.DataFrame({**_names(hashes, first), "point": list(counts(hashes, first))})
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = to_bytes(pdf["text"])
+            for a, b in blocks(texts, TEXT_BYTES):
+                hashes, first = shingles(texts[a:b], size)
+                yield pd.DataFrame({**_names(hashes, first), "members": [hashes[i:j].tobytes() for i, j in zip(first, first[1:])]})
 
     return run
 
@@ -220,7 +239,7 @@ class RTree:
                 visit(halves[0], who)
                 visit(halves[1], who)
                 return
-            overlap = np.minimum(self.points[who][:, None, :], self.points[rows][None, :, :]).sum(axis=2)
+            overlap = np.stack([np.minimum(self.points[who], self.points[r]).sum(axis=1) for r in rows], axis=1)
             fits = self._can(overlap, self.sizes[who][:, None], self.sizes[rows][None, :])
             fits &= (who[:, None] < rows[None, :]) & (self.labels[who][:, None] != self.labels[rows][None, :])
             a, b = np.nonzero(fits)
@@ -238,7 +257,7 @@ def _tree_pairs(pdf: pd.DataFrame, similar: tuple[int, int]) -> pd.DataFrame:
     names = pdf[["bucket", "i", "j"]].to_numpy(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1), [True]))) if len(names) else [0]
     rows, sizes, labels = (pdf[c].to_numpy(np.int64) for c in ("node", "n_shingles", "component"))
-    points, found = np.stack(pdf["point"].to_numpy()).astype(np.int64) if len(pdf) else None, set()
+    points, found = np.stack(pdf["point"].to_numpy()).astype(np.int32) if len(pdf) else None, set()
     for at, to in zip(cut, cut[1:]):
         part = slice(at, to)
         for a, b in RTree(points[part], sizes[part], labels[part], similar).pairs():
@@ -252,32 +271,41 @@ def _links(similar: tuple[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             linked = []
-            for pa, pb, a, b in zip(pdf["u_point"], pdf["v_point"], pdf["u_members"], pdf["v_members"]):
-                total = (len(a) + len(b)) // 8
-                if (near + of) * int(np.minimum(pa, pb).sum()) < near * total:
-                    linked.append(False)
-                    continue
+            for a, b in zip(pdf["u_members"], pdf["v_members"]):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = int((np.diff(np.sort(np.concatenate((x, y)), kind="stable")) == 0).sum())
-                linked.append((near + of) * common >= near * total)
+                linked.append((near + of) * common >= near * (len(x) + len(y)))
             yield pdf.loc[np.array(linked, bool), ["u", "v"]]
 
     return run
 
 
-def _verified(pairs: DataFrame, points: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs u, v whose sets are similar; only those that the points allow get their sets."""
+def _verified(pairs: DataFrame, points: DataFrame, plain: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs u, v whose sets are similar. Sets are gathered only for documents in pairs that the points allow."""
     near, of = similar
     point = lambda c: points.select(F.col("node").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("point").alias(f"{c}_point"))
     least = F.zip_with("u_point", "v_point", lambda a, b: F.least(a, b))
     overlap = F.aggregate(least, F.lit(0).cast("long"), lambda total, x: total + x)
-    pairs = pairs.join(point("u"), "u").join(point("v"), "v").filter((near + of) * overlap >= near * (F.col("u_n") + F.col("v_n"))).select("u", "v")
-    side = lambda c: points.select(F.col("node").alias(c), F.col("point").alias(f"{c}_point"), F.col("members").alias(f"{c}_members"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_links(similar), "u long, v long")
-
-
-def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id; shingles have ``size`` words.
+    allowed = pairs.join(point("u"), "u").join(point("v"), "v").filter((near + of) * overlap >= near * (F.col("u_n") + F.col("v_n"))).select("u", "v")
+    allowed = stored(allowed, "jaccard-allowed")
+    wanted = allowed.select(F.col("u").alias("node")).union(allowed.select(F.col("v").alias("node"))).distinct()
+    named = points.join(wanted, "node").select("n_shingles", "d1", "d2", "node", "doc_id")
+    sets = keep_rows(plain, named).select("text").mapInPandas(_sets(size), "n_shingles long, d1 long, d2 long, members binary")
+    sets = sets.join(named.drop("doc_id"), ["n_shingles", "d1", "d2"]).groupBy("node").agg(F.first("members").alias("members"))
+    with small_batches(plain.sparkSession, TEXT_ROWS):
+        sets = stored(sets, "jaccard-sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_members"))
+    together = allowed.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_members", "v_members")
+    with small_batches(plain.sparkSession, PAIR_ROWS):
+        linked = stored(together.mapInPandas(_links(similar), "u long, v long"), "jaccard-links")
+    discard(sets)
+    discard(allowed)
+    return linked
+
+
+def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR, key: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id; shingles have ``size`` words. With ``named``, also the 128 bits
+    d1, d2 that name its set.
 
     component_id is the smallest id that links reach, the own one included; a text without words is linked with nothing. Null
     ids count as no id: a component without any has null. Rows that repeat an id or a text are rows of their own; equal sets
@@ -285,13 +313,14 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     """
     plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(_index(size, similar), "doc_id long, n_shingles long, d1 long, d2 long, buckets array<long>")
-    named_buckets = stored(unpacked(rows).withColumn("node", F.monotonically_increasing_id()), "jaccard-buckets")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        named_buckets = stored(unpacked(rows).withColumn("node", F.monotonically_increasing_id()), "jaccard-buckets")
     rows = stored(named_buckets.drop("buckets"), "jaccard-rows")
     name = ["n_shingles", "d1", "d2"]
     classes = stored(rows.filter("n_shingles > 0").groupBy(*name).agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "jaccard-classes")
     own = keep_rows(named_buckets.select("node", "buckets"), classes, "node")
     total = own.agg(F.coalesce(F.sum(F.size("buckets")), F.lit(0))).first()[0]
-    senders, owner_bits = pieces(total, SENDER_BUCKETS, 12), (pieces(total, 4 * SENDER_BUCKETS, 16) - 1).bit_length()
+    senders, owner_bits = pieces(total, SENDER_BUCKETS, 12), (pieces(total, OWNER_BUCKETS, 16) - 1).bit_length()
     held = own.select(F.pmod(F.xxhash64("node"), F.lit(senders)).cast("int").alias("sender"), "node", "buckets")
     bitmaps = held.groupBy("sender").applyInPandas(_lists(owner_bits), golomb.LISTS).groupBy("owner").applyInPandas(_answer, golomb.BITMAPS)
     members = held.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_shared, "node long, bucket long")
@@ -301,12 +330,13 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     members = stored(members.join(shared, "bucket"), "jaccard-members")
     pairs = stored(members.filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "jaccard-pairs")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    named = classes.join(wanted, "node").join(rows.select("node", "doc_id"), "node")
-    texts = keep_rows(plain, named).select("text")
-    points = texts.mapInPandas(_points(size), "n_shingles long, d1 long, d2 long, point array<int>, members binary")
-    points = points.join(named.select(*name, "node"), name).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "point", "members")])
-    points = stored(points, "jaccard-points")
-    links = stored(_verified(pairs, points, similar), "jaccard-links")
+    asked = classes.join(wanted, "node").join(rows.select("node", "doc_id"), "node")
+    texts = keep_rows(plain, asked).select("text")
+    points = texts.mapInPandas(_points(size), "n_shingles long, d1 long, d2 long, point array<int>")
+    points = points.join(asked.select(*name, "node", "doc_id"), name).groupBy("node").agg(*[F.first(c).alias(c) for c in (*name, "point", "doc_id")])
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        points = stored(points, "jaccard-points")
+    links = _verified(pairs, points, plain, size, similar)
     found = components(links)
     label = F.coalesce("component", "node").alias("component")
     left = members.join(found, "node", "left").select("bucket", "node", "size", label)
@@ -315,26 +345,56 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     left = left.withColumn("x", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
     left = left.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "n_shingles", "component", "point")
-    shards = pieces(mixed.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0))).first()[0], 50_000, 12)
+    shards = pieces(mixed.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0))).first()[0], TREE_ROWS, 12)
     left = left.withColumn("shard", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards)))
 
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
         return _tree_pairs(pdf, similar)
 
     more = left.groupBy("shard").applyInPandas(trees, "u long, v long").distinct()
-    more = _verified(more.join(pairs, ["u", "v"], "left_anti"), points, similar)
-    found = components(links.unionByName(stored(more, "jaccard-links")))
+    more = _verified(more.join(pairs, ["u", "v"], "left_anti"), points, plain, size, similar)
+    found = components(links.unionByName(more))
     linked = classes.join(found, "node")
     linked = linked.select(*name, "component").join(linked.groupBy("component").agg(F.min("least").alias("lowest")), "component").drop("component")
     answer = classes.join(linked, name, "left").select(*name, F.coalesce("lowest", "least").alias("component_id"))
-    full = rows.filter("n_shingles > 0").join(answer, name).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = rows.filter("n_shingles > 0").join(answer, name).select("doc_id", "n_shingles", "component_id", "d1", "d2")
+    full = full.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "d1", "d2"))
+    return full if named else full.drop("d1", "d2")
+
+
+def _named(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = to_bytes(pdf["text"])
+            for a, b in blocks(texts, TEXT_BYTES):
+                hashes, first = shingles(texts[a:b], size)
+                yield pdf.iloc[a:b][["doc_id", "print"]].assign(**_names(hashes, first))
+
+    return run
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Docs without those that have a smaller id in their component, all columns as they came; rows with a null id go if their
-    component has any id."""
-    found = similar_documents(docs, size, similar, key, text)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone, "jaccard-gone")
-    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """Docs without those that have a smaller id in their component, all columns as they came.
+
+    A row goes by its id and its own text: where an id repeats with two texts, the text that has no smaller id in its component
+    stays. Rows with a null id go if their component has any id.
+    """
+    found = stored(similar_documents(docs, size, similar, key, text, named=True), "jaccard-found")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "d1", "d2").distinct()
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    both = stored(gone.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"), "jaccard-both")
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    sure = stored(ids.join(both.select(F.col("doc_id").alias("_both")).distinct(), F.col("_gone").eqNullSafe(F.col("_both")), "left_anti"), "jaccard-gone")
+    own = docs[key].cast("long")
+    out = docs.join(sure, own.eqNullSafe(sure["_gone"]), "left_anti")
+    if both.isEmpty():
+        return out
+    # ids with a text that goes and one that stays: the texts that go, by their sets' names
+    rows = out.select(packed_id(out, key), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print"))
+    asked = keep_rows(unpacked(rows), both.select("doc_id").distinct())
+    rows = asked.select(packed_id(asked, "doc_id"), "text", "print")
+    rows = unpacked(rows.mapInPandas(_named(size), "doc_id long, print long, n_shingles long, d1 long, d2 long"))
+    names = ["n_shingles", "d1", "d2"]
+    same = F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.struct(*(F.col(f"r.{c}") for c in names)) == F.struct(*(F.col(f"b.{c}") for c in names)))
+    texts = stored(rows.alias("r").join(both.alias("b"), same, "left_semi").select(F.col("doc_id").alias("_gone"), F.col("print").alias("_print")).distinct(), "jaccard-texts")
+    return out.join(texts, out[key].cast("long").eqNullSafe(texts["_gone"]) & (F.xxhash64(out[text]) == texts["_print"]), "left_anti")

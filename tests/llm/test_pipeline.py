@@ -71,10 +71,22 @@ def test_stages(spark, folder):
         assert list(r["ids"]) == want and r["n_tokens"] == len(want)
 
 
+def test_near_dedup_keeps_the_other_text_of_an_id(spark):
+    from millwatch.llm import jaccard
+
+    base = " ".join(f"w{i}" for i in range(40))
+    near, other = base.replace("w39", "x39"), " ".join(f"o{i}" for i in range(30))
+    rows = [(1, base), (5, near), (5, other), (5, other), (5, None), (7, near), (7, base), (None, base), (None, "alone here in this text now"), (9, near + " "), (9, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, print string, _gone int")
+    got = jaccard.one_of_each(docs, size=5, similar=(4, 5))
+    assert got.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted([(1, base), (5, other), (5, other), (5, None), (9, ""), (None, "alone here in this text now")], key=str)
+
+
 def test_run_is_the_stages_in_order(spark, folder):
     path = folder[0]
     assert corpus_pipeline.run(spark, path).columns == ["doc_id", "n_tokens", "ids"] and corpus_pipeline.ORACLE_SQL is None
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLES) <= set(QUERIES)
