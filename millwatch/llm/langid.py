@@ -20,7 +20,8 @@ from millwatch.llm.words import blocks, to_bytes
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 4096
-PER_LANGUAGE = 1000
+#: Documents to learn from: of a language, of all together; languages to learn, the most frequent first.
+PER_LANGUAGE, SAMPLE_ROWS, LANGUAGES = 1000, 8192, 1024
 CLOSE = 0.2
 UNKNOWN = "und"
 
@@ -77,12 +78,14 @@ def _small(texts: list[bytes]):
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """Train on about ``per_language`` documents of each language, chosen by the hash of the id (a bound on what the driver
-    gets); rows without text or language are left out. None without any such row."""
+    """Train on about ``per_language`` documents of each language, chosen by the hash of the id, and SAMPLE_ROWS in all (4,096 numbers
+    each: a bound on what the driver gets, however many languages there are). The LANGUAGES most frequent are learned; rows
+    without text or language are left out. None without any such row."""
     rows = docs.select(docs[key].alias("k"), docs[text].alias("text"), docs[lang].cast("string").alias("lang")).filter("lang IS NOT NULL AND trim(text) <> ''")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
+    per_language = min(per_language, max(1, SAMPLE_ROWS // len(sizes)))
     parts = docs.sparkSession.createDataFrame([(k, int(min(1, per_language / n) * (1 << 30)) + 1) for k, n in sizes.items()], "l string, below long")
     some = rows.join(F.broadcast(parts), F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("below"))
     sample = some.select("text", "lang").mapInPandas(_features, "lang string, places binary, shares binary").collect()
