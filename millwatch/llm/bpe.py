@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from millwatch.llm.tables import packed_id, unpacked
+from millwatch.llm.tables import give_back, packed_id, unpacked
 from millwatch.llm.words import blocks
 
 # The white space of the vocabulary's pattern, and the byte alphabet's own printable ranges.
@@ -78,9 +78,11 @@ def byte_alphabet() -> list[str]:
 
 
 class Merges:
-    """A vocabulary with ranked merges, and the pair occurrence index that applies them."""
+    """A vocabulary with ranked merges, and the pair occurrence index that applies them. Without ``decoded``, decoded texts
+    are not made nor kept (they are empty)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, decoded: bool = True):
+        self.decoded = decoded
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
         vocab, merges = whole["model"]["vocab"], whole["model"]["merges"]
@@ -186,13 +188,17 @@ class Merges:
         if len(self.ids_of) > MOST_CHUNKS or self.chars > MOST_CHARS:
             self.ids_of, self.text_of, self.chars = {}, {}, 0
         for text, i in self.special.items():
-            self.ids_of[" " + text], self.text_of[" " + text] = str(i), self.texts[i]
+            self.ids_of[" " + text] = str(i)
+            if self.decoded:
+                self.text_of[" " + text] = self.texts[i]
         new = [(c, words_of(c)) for c in set().union(*chunks) if c not in self.ids_of]
         words = list(set().union(*(w for _, w in new)))
         ids = dict(zip(words, self.encode_words(words))) if words else {}
         for chunk, own in new:
             found = [i for w in own for i in ids[w]]
-            self.ids_of[chunk], self.text_of[chunk] = " ".join(map(str, found)), " ".join([self.texts[i] for i in found])
+            self.ids_of[chunk] = " ".join(map(str, found))
+            if self.decoded:
+                self.text_of[chunk] = " ".join([self.texts[i] for i in found])
             self.chars += len(chunk)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
@@ -200,30 +206,33 @@ class Merges:
         chunks = [self.chunks(t) for t in texts]
         self.learn(chunks)
         for own in chunks:
-            yield " ".join(map(self.ids_of.__getitem__, own)), " ".join(map(self.text_of.__getitem__, own))
+            yield " ".join(map(self.ids_of.__getitem__, own)), " ".join(map(self.text_of.__getitem__, own)) if self.decoded else ""
 
 
-_LOADED: dict[str, Merges] = {}
+_LOADED: dict[tuple[str, bool], Merges] = {}
 
 
-def loaded(path: str) -> Merges:
+def loaded(path: str, decoded: bool = True) -> Merges:
     """The vocabulary, read once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Merges(path)
-    return _LOADED[path]
+    if (path, decoded) not in _LOADED:
+        give_back()
+        _LOADED[path, decoded] = Merges(path, decoded)
+        give_back()
+    return _LOADED[path, decoded]
 
 
 def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def _batches(batches: Iterator[pd.DataFrame], path: str, row, block: int) -> Iterator[pd.DataFrame]:
-    merges = loaded(path)
+def _batches(batches: Iterator[pd.DataFrame], path: str, row, block: int, decoded: bool = True) -> Iterator[pd.DataFrame]:
+    merges = loaded(path, decoded)
     for pdf in batches:
         texts = ["" if t is None else t for t in pdf["text"]]
         for a, b in blocks(texts, block):
             out = [row(ids, decoded) for ids, decoded in merges.encode(texts[a:b])]
             yield pdf.iloc[a:b][["doc_id"]].assign(**{k: [o[k] for o in out] for k in out[0]})
+    give_back()
 
 
 #: Bytes of text whose new words are encoded together.
@@ -235,7 +244,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches):
         row = lambda ids, _: {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": np.fromstring(ids, np.int32, sep=" ")}
-        return _batches(batches, path, row, block)
+        return _batches(batches, path, row, block, decoded=False)
 
     return unpacked(docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm import golomb
 from millwatch.llm.components import components
-from millwatch.llm.tables import discard, keep_rows, packed_id, pieces, small_batches, stored, unpacked
+from millwatch.llm.tables import discard, give_back, keep_rows, packed_id, pieces, small_batches, stored, unpacked
 from millwatch.llm.words import blocks, mix, split, to_bytes
 
 SHINGLE = 3
@@ -40,6 +40,8 @@ SENDER_BUCKETS = OWNER_BUCKETS = 200_000
 TEXT_ROWS, PAIR_ROWS = 1_000, 250
 #: Points that a task has in its trees.
 TREE_ROWS = 10_000
+#: Pairs that a shard's trees give before repeats among them are dropped.
+PAIRS_HELD = 1 << 16
 #: Bytes of text that are cut into shingles together.
 TEXT_BYTES = 1 << 19
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB, 0xC2B2AE3D27D4EB4F)]
@@ -139,6 +141,7 @@ def _index(size: int, similar: tuple[int, int]):
                 order = np.argsort(text, kind="stable")
                 cut = np.searchsorted(text[order], np.arange(1, b - a))
                 yield pdf.iloc[a:b][["doc_id"]].assign(**_names(hashes, first), buckets=np.split(bucket[order].view(np.int64), cut))
+        give_back()
 
     return run
 
@@ -149,17 +152,20 @@ def _held(pdf: pd.DataFrame) -> np.ndarray:
 
 def _lists(owner_bits: int):
     def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         return golomb.lists(key[0], np.unique(_held(pdf)), BITS, owner_bits)
 
     return send
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    give_back()
     return golomb.answer(pdf)
 
 
 def _shared(pdf: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
     """Members of the buckets that another sender has, or another member here."""
+    give_back()
     if not len(pdf):
         return pd.DataFrame({"node": [], "bucket": []}, dtype=np.int64)
     _, place, count = np.unique(_held(pdf), return_inverse=True, return_counts=True)
@@ -187,6 +193,7 @@ def _points(size: int):
             for a, b in blocks(texts, TEXT_BYTES):
                 hashes, first = shingles(texts[a:b], size)
                 yield pd.DataFrame({**_names(hashes, first), "point": list(counts(hashes, first))})
+        give_back()
 
     return run
 
@@ -198,6 +205,7 @@ def _sets(size: int):
             for a, b in blocks(texts, TEXT_BYTES):
                 hashes, first = shingles(texts[a:b], size)
                 yield pd.DataFrame({**_names(hashes, first), "members": [hashes[i:j].tobytes() for i, j in zip(first, first[1:])]})
+        give_back()
 
     return run
 
@@ -252,17 +260,20 @@ class RTree:
 
 
 def _tree_pairs(pdf: pd.DataFrame, similar: tuple[int, int]) -> pd.DataFrame:
-    """Candidate pairs of the buckets of one shard, a tree for each."""
-    pdf = pdf.sort_values(["bucket", "i", "j"], kind="stable")
-    names = pdf[["bucket", "i", "j"]].to_numpy(np.int64)
+    """Candidate pairs of the buckets of one shard, each once, a tree for each bucket; only one tree's points are copied at a time."""
+    order = np.lexsort((pdf["j"], pdf["i"], pdf["bucket"]))
+    names = pdf[["bucket", "i", "j"]].to_numpy(np.int64)[order]
     cut = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1), [True]))) if len(names) else [0]
     rows, sizes, labels = (pdf[c].to_numpy(np.int64) for c in ("node", "n_shingles", "component"))
-    points, found = np.stack(pdf["point"].to_numpy()).astype(np.int32) if len(pdf) else None, set()
+    points, found, new = pdf["point"].to_numpy(), [np.zeros((0, 2), np.int64)], 0
     for at, to in zip(cut, cut[1:]):
-        part = slice(at, to)
-        for a, b in RTree(points[part], sizes[part], labels[part], similar).pairs():
-            found.update(zip(np.minimum(rows[part][a], rows[part][b]).tolist(), np.maximum(rows[part][a], rows[part][b]).tolist()))
-    return pd.DataFrame(sorted(found), columns=["u", "v"], dtype=np.int64)
+        part = order[at:to]
+        for a, b in RTree(np.stack(points[part]), sizes[part], labels[part], similar).pairs():
+            found.append(np.sort(np.stack((rows[part][a], rows[part][b]), axis=1), axis=1))
+            new += len(a)
+        if new > max(PAIRS_HELD, len(found[0])):
+            found, new = [np.unique(np.concatenate(found), axis=0)], 0
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
 
 
 def _links(similar: tuple[int, int]):
@@ -276,6 +287,7 @@ def _links(similar: tuple[int, int]):
                 common = int((np.diff(np.sort(np.concatenate((x, y)), kind="stable")) == 0).sum())
                 linked.append((near + of) * common >= near * (len(x) + len(y)))
             yield pdf.loc[np.array(linked, bool), ["u", "v"]]
+        give_back()
 
     return run
 
@@ -349,6 +361,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     left = left.withColumn("shard", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards)))
 
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         return _tree_pairs(pdf, similar)
 
     more = left.groupBy("shard").applyInPandas(trees, "u long, v long").distinct()

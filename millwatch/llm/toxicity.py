@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millwatch.llm.grams import grams, letters, sigmoid, train
-from millwatch.llm.tables import packed_id, stored, unpacked
+from millwatch.llm.tables import give_back, packed_id, stored, unpacked
 from millwatch.llm.words import blocks, split, to_bytes
 
 #: In the order of the chain: name, and when a label row belongs to it.
@@ -198,6 +198,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series(probabilities(model, to_bytes(texts), block)[:, -1] >= threshold) & (texts.reset_index(drop=True) != "")
 
     return docs.filter(~toxic(F.coalesce(docs[text], F.lit(""))))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from millwatch.llm import bpe, components, exact, golomb, jaccard, langid, linkgraph, lm, mixing, suffix, toxicity, vptree, words
@@ -713,6 +714,27 @@ def test_tree_finds_what_brute_force_finds():
     assert got == want and want
 
 
+def test_trees_of_a_shard_copy_one_tree_at_a_time(monkeypatch):
+    rng = np.random.default_rng(13)
+    points = rng.integers(0, 6, (3000, 16)).astype(np.int32)
+    points[1500:] = points[:1500]
+    pdf = pd.DataFrame({"bucket": rng.integers(0, 100, 3000), "i": 0, "j": 0, "node": rng.permutation(3000), "n_shingles": points.sum(axis=1), "component": np.arange(3000), "point": list(points)})
+    pdf = pd.concat([pdf, pdf.assign(bucket=1000)])
+    stacked, stack = [], np.stack
+    monkeypatch.setattr(jaccard.np, "stack", lambda a, **k: stacked.append(len(a)) or stack(a, **k))
+    monkeypatch.setattr(jaccard, "PAIRS_HELD", 50)
+    got = [tuple(r) for r in jaccard._tree_pairs(pdf, (9, 10)).to_numpy().tolist()]
+    node, size = pdf["node"].to_numpy()[:3000], points.sum(axis=1)
+    want = {(min(node[a], node[b]), max(node[a], node[b])) for a in range(3000) for b in a + 1 + np.flatnonzero(19 * np.minimum(points[a], points[a + 1 :]).sum(axis=1) >= 9 * (size[a] + size[a + 1 :]))}
+    assert sorted(want) == got and len(pdf) not in stacked
+
+
+def test_bpe_ids_alone_keep_no_decoded_texts(vocabulary_path):
+    texts = ["One two  three", "", "two <|endoftext|> ÄÖ x" * 3]
+    both, ids = bpe.Merges(vocabulary_path), bpe.Merges(vocabulary_path, decoded=False)
+    assert [(i, "") for i, _ in both.encode(texts)] == list(ids.encode(texts)) and not ids.text_of
+
+
 def test_similar_odd_rows(odd, nothing):
     assert jaccard.similar_documents(nothing).count() == 0
     got = Counter(tuple(r) for r in jaccard.similar_documents(odd).collect())
