@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -40,39 +41,54 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int =
     return page_offset(df, order, (page - 1) * size, size), summary
 
 
+#: Rows of a folder of an index, at least: one task writes it, and the driver gets a sample and a count of it.
+FOLDER_ROWS = 1_000_000
+#: Bits of monotonically_increasing_id that hold a row's place in its partition.
+PLACE_BITS = 33
+
+
 def index_pages(df: DataFrame, time: str, row_id: str, path: str, rows: int = 1_000_000) -> None:
-    """Write a newest-first list in ranges of about ``rows`` rows, and the number of rows of each, for ``indexed_page``."""
+    """Write a newest-first list in slots of ``rows`` rows, for ``indexed_page``.
+
+    Folders of about FOLDER_ROWS rows (``rows``, if that is more) hold the slots in order, so that tasks, files and counts grow
+    with the list over FOLDER_ROWS, however small the slots are.
+    """
     spark = df.sparkSession
-    parts = max(1, -(-df.count() // rows))
-    order = [F.col(time).desc(), F.col(row_id).desc()]
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
-    ranged.write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
-    if parts > 1 or not df.isEmpty():
+    total = df.count()
+    parts = max(1, -(-total // max(rows, FOLDER_ROWS)))
+    order, at = [F.col(time).desc(), F.col(row_id).desc()], F.col("_at")
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    place = at.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    placed = ranged.withColumns({"range": F.shiftright(at, PLACE_BITS).cast("int"), "_slot": F.floor(place / F.lit(rows)).cast("long")}).drop("_at")
+    placed.write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
+    if total:
         counts = spark.read.parquet(f"{path}/rows").groupBy("range").agg(F.count("*").alias("n"))
     else:
         counts = spark.createDataFrame([], "range int, n long")
     counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
-    spark.createDataFrame([(df.schema.json(), time, row_id)], "shape string, time string, row_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    about = "shape string, time string, row_id string, slot long"
+    spark.createDataFrame([(df.schema.json(), time, row_id, rows)], about).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
 def indexed_page(spark: SparkSession, path: str, page: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
-    """``paginate`` of an indexed list at the cost of one page, however deep: the counts tell the total and which ranges hold the
-    page, and no other range is opened. Counts are a row for each range, so the driver gets total / rows of them."""
+    """``paginate`` of an indexed list at the cost of one page, however deep: the counts tell the total and which slots of which
+    folders hold the page; no other folder is opened, and Parquet skips the other slots. Counts are a row for each folder."""
     about = spark.read.parquet(f"{path}/about").first()
-    shape = StructType.fromJson(json.loads(about["shape"]))
+    shape, slot = StructType.fromJson(json.loads(about["shape"])), about["slot"]
+    stored = StructType([*shape.fields, StructField("_slot", LongType())])
     counts = sorted(tuple(r) for r in spark.read.parquet(f"{path}/counts").collect())
     total, first, at, wanted, skipped = sum(n for _, n in counts), (page - 1) * size, 0, [], 0
     for number, n in counts:
-        if at + n <= first:
-            skipped = at + n
-        elif at < first + size:
-            wanted.append(f"{path}/rows/range={number}")
+        low, high = max(first - at, 0), min(first + size - at, n)
+        if low < high:
+            skipped = skipped if wanted else at + low // slot * slot
+            folder = spark.read.schema(stored).parquet(f"{path}/rows/range={number}")
+            wanted.append(folder.filter(F.col("_slot").between(low // slot, (high - 1) // slot)).drop("_slot"))
         at += n
     summary = spark.createDataFrame([(total, page, size, -(-total // size) if size else 0)], "total long, page int, size int, pages long")
     if not wanted:
         return spark.createDataFrame([], shape), summary
-    rows = spark.read.schema(shape).parquet(*wanted)
-    return page_offset(rows, [F.col(about["time"]).desc(), F.col(about["row_id"]).desc()], first - skipped, size), summary
+    return page_offset(reduce(DataFrame.union, wanted), [F.col(about["time"]).desc(), F.col(about["row_id"]).desc()], first - skipped, size), summary
 
 
 def names_of_page(page: DataFrame, names: DataFrame, key: str) -> DataFrame:

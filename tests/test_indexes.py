@@ -33,6 +33,19 @@ def test_indexed_pages_equal_offset_pages(spark, tmp_path):
     assert rows.collect() == [] and tuple(summary.first()) == (0, 1, 20, 0)
 
 
+def test_index_of_small_slots_has_few_folders(spark, tmp_path, monkeypatch):
+    df = spark.range(1003).select((F.col("id") * 7 % 1003).alias("id"), F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") % 17)).alias("at"))
+    order, path = [F.col("at").desc(), F.col("id").desc()], str(tmp_path / "p")
+    paging.index_pages(df, "at", "id", path, rows=10)
+    assert spark.read.parquet(f"{path}/counts").count() == 1  # one task, file and sample for 101 slots
+    monkeypatch.setattr(paging, "FOLDER_ROWS", 400)
+    paging.index_pages(df, "at", "id", path, rows=10)
+    assert spark.read.parquet(f"{path}/counts").count() == 3
+    for page, size in ((1, 20), (15, 20), (51, 20), (52, 20), (1, 2000), (3, 250), (2, 7)):
+        rows = [tuple(r) for r in paging.indexed_page(spark, path, page, size)[0].collect()]
+        assert rows == [tuple(r) for r in paging.paginate(df, order, page, size)[0].collect()], (page, size)
+
+
 def test_values_as_variant(spark, tmp_path):
     from millwatch.functions import texts
 
