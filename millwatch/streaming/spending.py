@@ -14,6 +14,8 @@ from millwatch.session import exists, folders, remove
 from millwatch.streaming.runs import each_batch
 
 PARTS = ("sums", "billed")
+#: Rows that a task sums, about. There are more tasks for more rows, so that what a task holds does not grow with the history.
+TASK_ROWS = 500_000
 
 
 def cost_sums(cost: DataFrame) -> DataFrame:
@@ -26,7 +28,15 @@ def billed_tickets(cost: DataFrame) -> DataFrame:
     return cost.select("year", "month", "ticket_id").distinct()
 
 
-_FOLD = {"sums": cost_sums, "billed": billed_tickets}
+_FOLD = {"sums": (cost_sums, "machine_id"), "billed": (billed_tickets, "ticket_id")}
+
+
+def _folded(rows: DataFrame, part: str) -> DataFrame:
+    """Kept rows of a part as one table, dealt by machine or ticket; later sums and joins by these find their rows together.
+
+    They are sums of batches already, so no machine or ticket has many."""
+    make, key = _FOLD[part]
+    return make(rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), key))
 
 
 def _mark(spark: SparkSession, path: str) -> int:
@@ -40,7 +50,7 @@ def _paths(spark: SparkSession, path: str, part: str) -> list[str]:
 
 def kept_costs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sums, billed tickets): the first stands for the cost rows in every expense figure, the second in mean repair times."""
-    return tuple(_FOLD[part](spark.read.parquet(*_paths(spark, path, part))) for part in PARTS)
+    return tuple(_folded(spark.read.parquet(*_paths(spark, path, part)), part) for part in PARTS)
 
 
 def fold(spark: SparkSession, path: str, upto: int) -> None:
@@ -61,7 +71,7 @@ def keep_costs(cost: DataFrame, path: str, checkpoint: str, fold_after: int = 64
     def add(batch: DataFrame, number: int) -> None:
         spark, rows = batch.sparkSession, batch.persist()
         for part in PARTS:
-            _FOLD[part](rows).write.mode("overwrite").parquet(f"{path}/batch={number}/{part}")
+            _FOLD[part][0](rows).write.mode("overwrite").parquet(f"{path}/batch={number}/{part}")
         rows.unpersist()
         mark = _mark(spark, path)
         if mark < number and len([n for n in folders(spark, path, "batch=") if n > mark]) >= fold_after:

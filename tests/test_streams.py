@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -360,6 +361,19 @@ def test_kept_costs_equal_a_full_scan(spark, tmp_path):
     assert spending._mark(spark, out) >= 1 and len(list((tmp_path / "out").glob("batch=*"))) <= 3
 
 
+def test_tasks_over_kept_costs_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    shape = "ticket_id long, machine_id string, amount decimal(18,2), month int, year int"
+    cost = spark.createDataFrame([(i, None if i % 9 == 0 else f"M{i % 40}", Decimal(i), i % 12 + 1, 2024) for i in range(900)], shape)
+    for batch in range(2):
+        for part, make in (("sums", spending.cost_sums), ("billed", spending.billed_tickets)):
+            make(cost.filter(f"ticket_id % 2 = {batch}")).write.parquet(f"{tmp_path}/batch={batch}/{part}")
+    monkeypatch.setattr(spending, "TASK_ROWS", 20)
+    sums, billed = spending.kept_costs(spark, str(tmp_path))
+    assert sums.rdd.getNumPartitions() >= 6 and billed.rdd.getNumPartitions() == 45
+    assert sorted(map(str, sums.collect())) == sorted(map(str, spending.cost_sums(cost).collect()))
+    assert sorted(map(str, billed.collect())) == sorted(map(str, spending.billed_tickets(cost).collect()))
+
+
 def test_feed_of_envelopes(spark):
     given = spark.createDataFrame([("A1", "2024-01-01 10:00:00", "hot")], "alert_id string, at string, text string").withColumn("at", F.col("at").cast("timestamp"))
     feed = events.notification_feed(events.notices(given, "alert_new", "at", "alert_id", "text"), events.notices(given, "alert_escalated", "at", "alert_id"))
