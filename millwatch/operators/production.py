@@ -29,8 +29,8 @@ def update_schedules(schedules: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _named(moves: DataFrame, machines: DataFrame) -> DataFrame:
-    """Moves with the names of both machines, null where a machine is unknown."""
-    names = machines.select("machine_id", "name")
+    """Moves with the names of both machines, null where a machine is unknown. Machines are shuffled, not sent through the driver."""
+    names = machines.select("machine_id", "name").hint("merge")
     return (
         moves.join(names.select(F.col("machine_id").alias("source"), F.col("name").alias("source_name")), "source", "left")
         .join(names.select(F.col("machine_id").alias("target"), F.col("name").alias("target_name")), "target", "left")
@@ -42,6 +42,7 @@ def _last_of_chain(moves: DataFrame) -> DataFrame:
 
     Load that a move brings to its target goes on with the first later move whose source is that target. These links are
     joined with themselves, so that their length doubles, until none gets longer; each round is written to the shared folder.
+    All sides grow with the moves and are shuffled: a broadcast would send them through the driver, two of them every round.
     """
     leaves = moves.select(F.col("source").alias("machine"), "seq", F.lit(0).alias("side"), F.col("seq").alias("leave"))
     arrives = moves.select(F.col("target").alias("machine"), "seq", F.lit(1), F.lit(None).cast(moves.schema["seq"].dataType))
@@ -50,12 +51,12 @@ def _last_of_chain(moves: DataFrame) -> DataFrame:
     links = linked.select("seq", F.coalesce("next", "seq").alias("end"))
     while True:
         links = stored(links, "move-links")
-        first, second = (links.select(F.col("seq").alias(a), F.col("end").alias(b)) for a, b in (("end", "_end"), ("_end", "_far")))
+        first, second = (links.select(F.col("seq").alias(a), F.col("end").alias(b)).hint("merge") for a, b in (("end", "_end"), ("_end", "_far")))
         longer = stored(links.join(first, "end").join(second, "_end").select("seq", F.col("_far").alias("end"), (F.col("_far") != F.col("end")).alias("grew")), "move-links")
         links = longer.select("seq", "end")
         if longer.filter("grew").isEmpty():
             break
-    ends = moves.select(F.col("seq").alias("end"), F.struct("target", "source_name").alias("last"))
+    ends = moves.select(F.col("seq").alias("end"), F.struct("target", "source_name").alias("last")).hint("merge")
     return links.join(ends, "end").select("seq", "last")
 
 
@@ -107,7 +108,7 @@ class Reallocation(Mapping):
     def schedules(self) -> DataFrame:
         valid = stored(self._valid, "moves")
         first = valid.groupBy(F.col("source").alias("machine_id")).agg(F.min("seq").alias("seq"))
-        last = first.join(_last_of_chain(valid), "seq").select("machine_id", F.col("last").alias("_move"))
+        last = first.join(_last_of_chain(valid).hint("merge"), "seq").select("machine_id", F.col("last").alias("_move")).hint("merge")
         moved = F.col("_move").isNotNull()
         changed = {
             "machine_id": F.when(moved, F.col("_move.target")).otherwise(F.col("machine_id")),

@@ -71,3 +71,17 @@ def test_only_chosen_predictions_travel(spark):
 def test_columns_are_pruned_and_filters_pushed(plans):
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_shipdate:timestamp_ntz>" in plans["a1_expenses_month"]
     assert "EqualTo(user_id,7)" in plans["w1_recent_readings"]
+
+
+def test_moves_are_not_sent_through_the_driver(spark, monkeypatch):
+    from millwatch.operators import production
+
+    plans, store = [], production.stored
+    monkeypatch.setattr(production, "stored", lambda df, label: plans.append(df) or store(df, label))
+    machines = spark.createDataFrame([(i, f"m{i}", "normal") for i in range(4)], "machine_id long, name string, status string")
+    moves = spark.createDataFrame([(i, i, i % 4, (i + 1) % 4, 1, None) for i in range(9)], "move_id long, seq long, source long, target long, user_id long, moved_at timestamp_ntz")
+    schedules = spark.createDataFrame([(1, 0, "halted", "x"), (2, 7, "halted", "y")], "schedule_id long, machine_id long, status string, delay_reason string")
+    out = production.reallocate(machines, schedules, None, moves)["schedules"]
+    joins = [p for p in (df._jdf.queryExecution().executedPlan().toString() for df in [*plans, out]) if "Join" in p]
+    assert len(joins) >= 3 and not [p for p in joins if "Broadcast" in p]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "on_track", "Reallocated from m0"), (2, 7, "halted", "y")]
