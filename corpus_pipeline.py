@@ -16,7 +16,7 @@ from millwatch.session import ship_package
 
 VOCABULARY = "word_bpe_49k.json"
 #: Whole texts that a Python worker gets at once, and bytes of text that it works on together.
-TEXTS_AT_ONCE, BLOCK, BPE_BLOCK = 1_000, 1 << 19, 3 << 20
+TEXTS_AT_ONCE, BLOCK, BPE_BLOCK = 1_000, 1 << 19, 1 << 20
 
 
 def _ready(spark: SparkSession) -> None:

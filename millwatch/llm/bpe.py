@@ -183,10 +183,13 @@ class Merges:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return NOT_SPACE.findall(text) if OTHER_SPACE.search(text) else text.split()
 
+    def forget(self) -> None:
+        self.ids_of, self.text_of, self.chars = {}, {}, 0
+
     def learn(self, chunks: list[list[str]]) -> None:
         """Encode the words of the chunks that are new, all at once."""
         if len(self.ids_of) > MOST_CHUNKS or self.chars > MOST_CHARS:
-            self.ids_of, self.text_of, self.chars = {}, {}, 0
+            self.forget()
         for text, i in self.special.items():
             self.ids_of[" " + text] = str(i)
             if self.decoded:
@@ -240,11 +243,16 @@ TEXT_BYTES = 8 << 20
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", block: int = TEXT_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids (array of int). Null and empty texts have no ids."""
+    """One row per row of docs: doc_id, n_tokens, ids (array of int). Null and empty texts have no ids.
+
+    Workers forget the chunks at the end of a task, so that they leave their memory to the stages that follow.
+    """
 
     def run(batches):
         row = lambda ids, _: {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": np.fromstring(ids, np.int32, sep=" ")}
-        return _batches(batches, path, row, block, decoded=False)
+        yield from _batches(batches, path, row, block, decoded=False)
+        loaded(path, decoded=False).forget()
+        give_back()
 
     return unpacked(docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>"))
 

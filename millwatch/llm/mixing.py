@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from millwatch.llm.tables import SPACES, pieces, stored
+from millwatch.llm.tables import SPACES, pieces, small_table, stored
 
 BLOCK_WORDS = 65_536
 SHARD_WORDS = 2_000_000
@@ -96,7 +96,7 @@ def _cut(light: DataFrame, plan: list[dict]) -> tuple[dict[int, int], list[tuple
     spark = light.sparkSession
     while any(b - a > 1 for a, b in span.values()):
         rows = [(s, a, b, max(1, -(-(b - a) // BINS))) for s, (a, b) in span.items() if b - a > 1]
-        ranges = F.broadcast(spark.createDataFrame(rows, "r_s int, low long, high long, width long"))
+        ranges = F.broadcast(small_table(spark, rows, "r_s int, low long, high long, width long"))
         inside = light.join(ranges, (F.col("s") == F.col("r_s")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         sums = defaultdict(dict)
         for r in inside.groupBy("s", F.floor((F.col("rank") - F.col("low")) / F.col("width")).alias("bin")).agg(F.sum("size").alias("w")).collect():
@@ -110,7 +110,7 @@ def _cut(light: DataFrame, plan: list[dict]) -> tuple[dict[int, int], list[tuple
                 left[s], at = left[s] - words, at + width
             span[s] = (min(at, high), min(at + width, high))  # empty if all was taken
     rows = [(s, a) for s, (a, b) in span.items() if b > a]
-    last = F.broadcast(spark.createDataFrame(rows, "r_s int, low long"))
+    last = F.broadcast(small_table(spark, rows, "r_s int, low long"))
     docs = light.filter("size > 0").join(last, (F.col("s") == F.col("r_s")) & (F.col("rank") == F.col("low")))
     some, nearest = [], {}
     for r in sorted(docs.select("s", "doc_id", "size", "h").distinct().collect(), key=lambda r: (r["s"], r["h"], r["doc_id"] or 0)) if rows else []:
@@ -123,8 +123,8 @@ def _cut(light: DataFrame, plan: list[dict]) -> tuple[dict[int, int], list[tuple
     return {s: a for s, (a, b) in span.items()}, some
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents, draws) of the mix.
+def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, int]:
+    """(documents, draws, number of shards) of the mix.
 
     documents: one row per row of docs with doc_id, size (words; a null text has 0), source_size, target, row. draws: one row
     per row taken, so a document taken twice has two: row, doc_id, pass, shard. Sources stand in code point order, null last,
@@ -143,14 +143,14 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), seed: int = 17, k
         rest = target - whole * r["size"] if whole < MOST_COPIES else 0.0
         plan.append({"s": i, "source": r["source"], "source_size": r["size"], "target": target, "whole": whole, "blocks": blocks, "rest": rest, "perm": [permutation(blocks, seed, i, e) for e in range(MOST_COPIES)]})
     schema = "p_source string, s int, source_size long, target double, whole int, blocks long, perm array<struct<a: long, c: long>>"
-    frame = spark.createDataFrame([(p["source"], p["s"], p["source_size"], p["target"], p["whole"], p["blocks"], p["perm"]) for p in plan], schema)
+    frame = small_table(spark, [(p["source"], p["s"], p["source_size"], p["target"], p["whole"], p["blocks"], [{"a": a, "c": c} for a, c in p["perm"]]) for p in plan], schema)
     known = rows.join(F.broadcast(frame), rows["source"].eqNullSafe(F.col("p_source"))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     known = known.withColumn("block", F.pmod("h", "blocks"))
     rank = lambda e: F.expr(f"pmod(perm[{e}].a * block + perm[{e}].c, blocks)")
     ranked = known.withColumn("rank", rank("least(whole, 2)"))
     cuts, some = _cut(ranked.select("s", "doc_id", "size", "rank", "h"), plan)
-    part = F.broadcast(spark.createDataFrame([(p["s"], cuts.get(p["s"], 0)) for p in plan], "c_s int, cut long"))
-    extra = spark.createDataFrame(some, "e_s int, e_id long").distinct()
+    part = F.broadcast(small_table(spark, [(p["s"], cuts.get(p["s"], 0)) for p in plan], "c_s int, cut long"))
+    extra = small_table(spark, some, "e_s int, e_id long").distinct()
     drawn = ranked.join(part, F.col("s") == F.col("c_s")).join(extra, (F.col("s") == F.col("e_s")) & F.col("doc_id").eqNullSafe(F.col("e_id")), "left")
     here = (F.col("rank") < F.col("cut")) | F.col("e_s").isNotNull()
     passes = F.filter(F.sequence(F.lit(0), F.lit(MOST_COPIES - 1)), lambda e: (e < F.col("whole")) | ((e == F.col("whole")) & here))
@@ -161,21 +161,24 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), seed: int = 17, k
     owners = spark.range(shards).mapInPandas(_shards(draws, shards, seed), "s int, shard int, at long, to long")
     owners = owners.select(F.col("s").alias("o_s"), "shard", F.explode(F.sequence("at", "to")).alias("o_draw"))
     drawn = drawn.join(owners, (F.col("s") == F.col("o_s")) & (F.col("draw") == F.col("o_draw"))).select("row", "doc_id", "pass", "shard")
-    return known.select("row", "doc_id", "size", "source_size", "target"), drawn
+    return known.select("row", "doc_id", "size", "source_size", "target"), drawn, shards
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (its words times the times it is drawn)."""
-    rows, draws = mix(docs, **options)
+    rows, draws, _ = mix(docs, **options)
     times = draws.groupBy(F.col("row").alias("t_row")).agg(F.count("*").alias("times"))
     out = rows.join(times, F.col("row") == F.col("t_row"), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: every drawn document as often as it is drawn, all columns as they came, shard by shard in random order."""
-    _, draws = mix(docs, seed=seed, key=key, **options)
+    """The mix itself: every drawn document as often as it is drawn, all columns as they came, in random order inside a shard.
+
+    Each task sorts the texts of one shard, which has about SHARD_WORDS words.
+    """
+    _, draws, shards = mix(docs, seed=seed, key=key, **options)
     times = draws.groupBy(F.col("doc_id").alias("_id"), F.col("pass").alias("_pass")).agg(F.min("shard").alias("_shard"))
     whole = docs.select(docs[key].cast("long").alias("id"), F.struct("*").alias("doc"))  # no column of docs can have another's name
     out = whole.join(times, whole["id"].eqNullSafe(times["_id"]))
-    return out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_id", "_pass")).select("doc.*")
+    return out.repartitionById(shards, "_shard").sortWithinPartitions(F.xxhash64(F.lit(seed), "_id", "_pass")).select("doc.*")

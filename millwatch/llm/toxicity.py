@@ -27,6 +27,8 @@ FEATURES = 300
 FOLDS = 4
 ROUNDS = 80
 THRESHOLD = 0.5
+#: Bytes of text that are taken together.
+TEXT_BYTES = 2 << 20
 
 
 class Model(NamedTuple):
@@ -55,11 +57,11 @@ def present(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.nd
     return both // BUCKETS, both % BUCKETS
 
 
-def _counts(names: list[str]):
+def _counts(names: list[str], block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = to_bytes(pdf["text"])
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, block):
                 text, bucket = present(texts[a:b])
                 n = np.bincount(bucket, minlength=BUCKETS)
                 some = np.flatnonzero(n)
@@ -67,29 +69,31 @@ def _counts(names: list[str]):
                 for name in names:
                     out[name] = np.bincount(bucket, pdf[name].to_numpy()[a:b][text], BUCKETS)[some].astype(np.int64)
                 yield pd.DataFrame(out)
+        give_back()
 
     return run
 
 
-def _rows(features: np.ndarray, names: list[str]):
+def _rows(features: np.ndarray, names: list[str], block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = np.zeros(BUCKETS, bool)
         wanted[features] = True
         for pdf in batches:
             texts = to_bytes(pdf["text"])
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, block):
                 text, bucket = present(texts[a:b], wanted)
                 cut = np.searchsorted(text, np.arange(1, b - a))
                 yield pdf.iloc[a:b][["fold", *names]].assign(features=[f.tobytes() for f in np.split(np.searchsorted(features, bucket).astype(np.int32), cut)])
+        give_back()
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = SAMPLE_ROWS, features: int = FEATURES, key: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = SAMPLE_ROWS, features: int = FEATURES, key: str = "doc_id", text: str = "text", block: int = TEXT_BYTES) -> Model:
     """Train the chain on labelled documents.
 
     About ``rows`` of them, chosen by the hash of the id, are the sample (a bound on what the driver gets); a document with
-    several label rows belongs to a category if one of them does. For each category the ``features`` that tell it apart best
+    several label rows belongs to a category if one of them does. About ``block`` bytes of text are taken together. For each category the ``features`` that tell it apart best
     (chi-square over the sample) are kept. Without labels, or where a category has one value only, its model is a constant.
     """
     names = [name for name, _ in categories]
@@ -102,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = S
     sample = plain.join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))
     sample = stored(sample.select("text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), *names), "toxicity-sample")
     sizes = sample.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    seen = sample.mapInPandas(_counts(names), "bucket long, n long, " + ", ".join(f"{c} long" for c in names))
+    seen = sample.mapInPandas(_counts(names, block), "bucket long, n long, " + ", ".join(f"{c} long" for c in names))
     seen = seen.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).filter("n >= 3")
     seen = stored(seen, "toxicity-counts")
     best: set[int] = set()
@@ -112,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = S
             top = seen.select("bucket", ((F.col(c) - expected) ** 2 / expected).alias("chi")).orderBy(F.desc("chi"), "bucket").limit(features)
             best |= {r["bucket"] for r in top.collect()}
     chosen = np.array(sorted(best), np.int64)
-    train_rows = sample.mapInPandas(_rows(chosen, names), "fold int, " + ", ".join(f"{c} int" for c in names) + ", features binary").collect()
+    train_rows = sample.mapInPandas(_rows(chosen, names, block), "fold int, " + ", ".join(f"{c} int" for c in names) + ", features binary").collect()
     x = np.zeros((len(train_rows), len(chosen)), np.float32)
     for row, r in zip(x, train_rows):
         row[np.frombuffer(r["features"], np.int32)] = 1
@@ -154,7 +158,7 @@ def chain(x: np.ndarray, folds: np.ndarray, labels: list[np.ndarray], features:
     return Model(features, weights, biases)
 
 
-def probabilities(model: Model, texts: list[bytes], block: int = 2 << 20) -> np.ndarray:
+def probabilities(model: Model, texts: list[bytes], block: int = TEXT_BYTES) -> np.ndarray:
     """A row per text, a column per category in chain order; about ``block`` bytes of text are taken together."""
     wanted = np.zeros(BUCKETS, bool)
     wanted[model.features] = True
@@ -192,13 +196,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return predict(docs, fit(docs, labels))
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", block: int = 2 << 20) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", block: int = TEXT_BYTES) -> DataFrame:
     """Rows of docs whose text is not toxic, all columns as they came; each text is judged where it lies, nothing is joined."""
-    model = fit(docs, labels, key=key, text=text)
+    model = fit(docs, labels, key=key, text=text, block=block)
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
+        out = pd.Series(probabilities(model, to_bytes(texts), block)[:, -1] >= threshold) & (texts.reset_index(drop=True) != "")
         give_back()
-        return pd.Series(probabilities(model, to_bytes(texts), block)[:, -1] >= threshold) & (texts.reset_index(drop=True) != "")
+        return out
 
     return docs.filter(~toxic(F.coalesce(docs[text], F.lit(""))))

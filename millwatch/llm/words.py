@@ -51,6 +51,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def forget() -> None:
+    """Free the powers that are kept: 64 MB after a block of 2 MB."""
+    _CACHE.clear()
+
+
 def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums, inverse powers): a slice's hash is ``(sums[end] - sums[start]) * inverse[start]``."""
     power, inverse = powers(len(data) + 1)

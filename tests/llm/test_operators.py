@@ -10,8 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from millwatch.llm import bpe, components, exact, golomb, jaccard, langid, linkgraph, lm, mixing, suffix, toxicity, vptree, words
+from millwatch.llm import bpe, components, exact, golomb, jaccard, langid, linkgraph, lm, mixing, suffix, tables, toxicity, vptree, words
 from millwatch.llm.tables import stored
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -735,6 +736,41 @@ def test_bpe_ids_alone_keep_no_decoded_texts(vocabulary_path):
     assert [(i, "") for i, _ in both.encode(texts)] == list(ids.encode(texts)) and not ids.text_of
 
 
+def test_bpe_workers_forget_chunks_after_a_task(spark, docs, vocabulary_path):
+    assert bpe.encode(docs, vocabulary_path).agg(F.sum("n_tokens")).first()[0] > 0
+
+    def held(batches):
+        for pdf in batches:
+            yield pdf.assign(id=max((len(m.ids_of) for (_, decoded), m in bpe._LOADED.items() if not decoded), default=0))
+
+    assert {r["id"] for r in spark.range(0, 16, 1, 16).mapInPandas(held, "id long").collect()} == {0}
+
+
+def test_workers_give_back_powers():
+    words.split([b"a " * 70_000])
+    tables.give_back()
+    assert not words._CACHE and words.split([b"a b"]).hashes.size == 2
+
+
+def test_toxicity_training_takes_texts_by_blocks(monkeypatch):
+    taken, present = [], toxicity.present
+    monkeypatch.setattr(toxicity, "present", lambda texts, wanted=None: taken.append(sum(map(len, texts))) or present(texts, wanted))
+    pdf = pd.DataFrame({"text": [f"some words of text {i}" for i in range(100)], "fold": 0, "toxic": [i % 2 for i in range(100)]})
+    sums = [pd.concat(toxicity._counts(["toxic"], size)(iter([pdf]))).groupby("bucket").sum() for size in (1 << 20, 200)]
+    assert sums[0].equals(sums[1]) and max(taken[1:]) <= 200
+    features = np.array(sorted(sums[0].index[:50]))
+    rows = [pd.concat(toxicity._rows(features, ["toxic"], size)(iter([pdf]))) for size in (1 << 20, 200)]
+    assert rows[0].equals(rows[1])
+
+
+def test_small_tables_need_no_python_workers(spark):
+    schema = "a string, b int, c double, d array<struct<x: long, y: long>>"
+    rows = [("é", 1, 2.0, [{"x": 1, "y": 2}]), (None, 2, 3.5, [])]
+    got = tables.small_table(spark, rows, schema)
+    assert got.schema == spark.createDataFrame(rows, schema).schema and [r.asDict(True) for r in got.collect()] == [dict(zip("abcd", r)) for r in rows]
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString() and tables.small_table(spark, [], schema).count() == 0
+
+
 def test_similar_odd_rows(odd, nothing):
     assert jaccard.similar_documents(nothing).count() == 0
     got = Counter(tuple(r) for r in jaccard.similar_documents(odd).collect())
@@ -846,6 +882,15 @@ def test_mix(spark, docs, rows, monkeypatch, block):
     assert Counter(r["doc_id"] for r in mixed.collect() if size[r["doc_id"]]) == Counter({i: r["taken"] // size[i] for i, r in got.items() if size[i] and r["taken"]})
 
 
+def test_mix_gives_each_shard_a_task(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * 10), f"s{i % 2}") for i in range(2000)], "doc_id long, text string, source string")
+    mixed = mixing.mixed_documents(docs)
+    words_of = [r[0] * 10 for r in mixed.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(words_of) == 20 and max(words_of) < 2000 and sum(words_of) == pytest.approx(20_000, rel=0.02)
+
+
 def test_mix_odd_rows(odd, nothing):
     assert mixing.mixed_sizes(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
     got = mixing.mixed_sizes(odd).collect()
