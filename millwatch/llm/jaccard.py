@@ -8,7 +8,8 @@ Which points share a tree follows from the groups as well: two sets that differ
 groups. Every document therefore lies in one bucket per group, named by the shingles it has there, and every linked pair
 shares a bucket. Most buckets have one member: senders exchange Golomb-coded lists of their buckets' names with owners and learn
 which ones others have, and only those are shuffled with their members. Equal sets are one class from the start. The members of a bucket are first compared with its smallest member
-only; what that links is one component, and trees are needed only for buckets that still hold several.
+only; what that links is one component, and trees are needed only for buckets that still hold several. They first give each
+member's nearest one in another component, at most one pair a member; what these links leave apart gets all its pairs.
 """
 
 from __future__ import annotations
@@ -232,9 +233,16 @@ class RTree:
         """common / union >= near / of needs (near + of) * common >= near * (sum of the sizes)."""
         return (self.near + self.of) * overlap >= self.near * (sizes + other)
 
-    def pairs(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of differing labels that the bound allows, each once."""
+    def pairs(self, nearest: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of differing labels that the bound allows, each once; with ``nearest``, only each point's with the largest share."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
+        share, partner = np.zeros(len(self.points)), np.full(len(self.points), -1)
+
+        def keep(points: np.ndarray, others: np.ndarray, shares: np.ndarray) -> None:
+            at = shares.argmax(axis=1)
+            top = shares[np.arange(len(points)), at]
+            better = top > share[points]
+            share[points[better]], partner[points[better]] = top[better], others[at[better]]
 
         def visit(node, who: np.ndarray) -> None:
             (upper, least, label), rows, halves = node
@@ -250,16 +258,24 @@ class RTree:
             overlap = np.stack([np.minimum(self.points[who], self.points[r]).sum(axis=1) for r in rows], axis=1)
             fits = self._can(overlap, self.sizes[who][:, None], self.sizes[rows][None, :])
             fits &= (who[:, None] < rows[None, :]) & (self.labels[who][:, None] != self.labels[rows][None, :])
+            if nearest:
+                shares = np.where(fits, overlap / (self.sizes[who][:, None] + self.sizes[rows][None, :]), 0)
+                keep(who, rows, shares)
+                keep(rows, who, shares.T)
+                return
             a, b = np.nonzero(fits)
             if len(a):
                 out.append((who[a], rows[b]))
 
         for at in range(0, len(self.points), BLOCK):
             visit(self.root, np.arange(at, min(at + BLOCK, len(self.points))))
+        if nearest:
+            found = np.flatnonzero(partner >= 0)
+            return [(found, partner[found])]
         return out
 
 
-def _tree_pairs(pdf: pd.DataFrame, similar: tuple[int, int]) -> pd.DataFrame:
+def _tree_pairs(pdf: pd.DataFrame, similar: tuple[int, int], nearest: bool = False) -> pd.DataFrame:
     """Candidate pairs of the buckets of one shard, each once, a tree for each bucket; only one tree's points are copied at a time."""
     order = np.lexsort((pdf["j"], pdf["i"], pdf["bucket"]))
     names = pdf[["bucket", "i", "j"]].to_numpy(np.int64)[order]
@@ -268,7 +284,7 @@ def _tree_pairs(pdf: pd.DataFrame, similar: tuple[int, int]) -> pd.DataFrame:
     points, found, new = pdf["point"].to_numpy(), [np.zeros((0, 2), np.int64)], 0
     for at, to in zip(cut, cut[1:]):
         part = order[at:to]
-        for a, b in RTree(np.stack(points[part]), sizes[part], labels[part], similar).pairs():
+        for a, b in RTree(np.stack(points[part]), sizes[part], labels[part], similar).pairs(nearest):
             found.append(np.sort(np.stack((rows[part][a], rows[part][b]), axis=1), axis=1))
             new += len(a)
         if new > max(PAIRS_HELD, len(found[0])):
@@ -315,6 +331,28 @@ def _verified(pairs: DataFrame, points: DataFrame, plain: DataFrame, size: int,
     return linked
 
 
+def _candidates(members: DataFrame, points: DataFrame, found: DataFrame, similar: tuple[int, int], nearest: bool) -> DataFrame | None:
+    """Pairs u, v of the buckets that hold several components, as their trees allow them; None if there is no such bucket."""
+    label = F.coalesce("component", "node").alias("component")
+    left = members.join(found, "node", "left").select("bucket", "node", "size", label)
+    mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    left = left.join(mixed.select("bucket", "n"), "bucket").join(points.select("node", "n_shingles", "point"), "node")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = left.withColumn("x", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
+    left = left.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "n_shingles", "component", "point")
+    total = mixed.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0))).first()[0]
+    if not total:
+        return None
+    shards = pieces(total, TREE_ROWS, 12)
+    left = left.withColumn("shard", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards)))
+
+    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        return _tree_pairs(pdf, similar, nearest)
+
+    return left.groupBy("shard").applyInPandas(trees, "u long, v long").distinct()
+
+
 def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR, key: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id; shingles have ``size`` words. With ``named``, also the 128 bits
     d1, d2 that name its set.
@@ -349,24 +387,14 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     with small_batches(docs.sparkSession, TEXT_ROWS):
         points = stored(points, "jaccard-points")
     links = _verified(pairs, points, plain, size, similar)
-    found = components(links)
-    label = F.coalesce("component", "node").alias("component")
-    left = members.join(found, "node", "left").select("bucket", "node", "size", label)
-    mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    left = left.join(mixed.select("bucket", "n"), "bucket").join(points.select("node", "n_shingles", "point"), "node")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("x", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
-    left = left.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "n_shingles", "component", "point")
-    shards = pieces(mixed.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0))).first()[0], TREE_ROWS, 12)
-    left = left.withColumn("shard", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards)))
-
-    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
-        give_back()
-        return _tree_pairs(pdf, similar)
-
-    more = left.groupBy("shard").applyInPandas(trees, "u long, v long").distinct()
-    more = _verified(more.join(pairs, ["u", "v"], "left_anti"), points, plain, size, similar)
-    found = components(links.unionByName(more))
+    found, tried = components(links), pairs
+    for nearest in (True, False):
+        more = _candidates(members, points, found, similar, nearest)
+        if more is None:
+            break
+        more = stored(more.join(tried, ["u", "v"], "left_anti"), "jaccard-more")
+        links, tried = links.unionByName(_verified(more, points, plain, size, similar)), tried.unionByName(more)
+        found = components(links)
     linked = classes.join(found, "node")
     linked = linked.select(*name, "component").join(linked.groupBy("component").agg(F.min("least").alias("lowest")), "component").drop("component")
     answer = classes.join(linked, name, "left").select(*name, F.coalesce("lowest", "least").alias("component_id"))

@@ -730,6 +730,20 @@ def test_trees_of_a_shard_copy_one_tree_at_a_time(monkeypatch):
     assert sorted(want) == got and len(pdf) not in stacked
 
 
+def test_tree_gives_each_point_its_nearest_in_another_component():
+    rng = np.random.default_rng(5)
+    points = np.repeat(rng.poisson(0.5, (1, jaccard.GROUPS)), 300, axis=0).astype(np.int32)
+    points[np.arange(300), rng.integers(0, jaccard.GROUPS, 300)] += 1
+    sizes, labels = points.sum(axis=1), rng.integers(0, 20, 300)
+    overlap = np.minimum(points[:, None], points[None]).sum(axis=2)
+    share = np.where(labels[:, None] != labels[None], overlap / (sizes[:, None] + sizes[None]), 0)
+    tree = jaccard.RTree(points, sizes, labels)
+    (a, b), every = tree.pairs(nearest=True)[0], sum(len(x) for x, _ in tree.pairs())
+    assert a.tolist() == list(range(300)) and np.allclose(share[a, b], share.max(axis=1)) and every > 30_000
+    pdf = pd.DataFrame({"bucket": 1, "i": 0, "j": 0, "node": np.arange(300), "n_shingles": sizes, "component": labels, "point": list(points)})
+    assert 150 <= len(jaccard._tree_pairs(pdf, (9, 10), nearest=True)) <= 300
+
+
 def test_bpe_ids_alone_keep_no_decoded_texts(vocabulary_path):
     texts = ["One two  three", "", "two <|endoftext|> ÄÖ x" * 3]
     both, ids = bpe.Merges(vocabulary_path), bpe.Merges(vocabulary_path, decoded=False)
