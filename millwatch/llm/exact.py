@@ -63,7 +63,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts belongs to each text's group. Other columns, whatever they are called, are not read.
     """
     spark = docs.sparkSession
-    plain = docs.select(docs[key].cast("long").alias("doc_id"), normal(docs[text]).alias("norm"))
+    raw = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    plain = raw.select("doc_id", normal(raw["text"]).alias("norm"))
     rows = stored(
         plain.select("doc_id", F.xxhash64("norm").alias("print"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")),
         "exact-rows",
@@ -75,7 +76,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     bitmaps = lists.groupBy("owner").applyInPandas(_answer, "sender int, owner int, n long, bits binary")
     suspects = held.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_suspects, "doc_id long")
     suspects = stored(unpacked(suspects), "exact-suspects")
-    texts = keep_rows(plain, suspects)
+    texts = keep_rows(raw, suspects).select("doc_id", normal(F.col("text")).alias("norm"))
     groups = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.filter("group_size > 1").select(
         F.xxhash64("norm").alias("g_print"), F.sha2("norm", 256).alias("g_sha"), F.col("keep_id").alias("g_keep"), "group_size"
@@ -92,8 +93,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Docs without the copies, all columns as they came; of rows that repeat an id and its text, one stays."""
     groups = stored(exact_groups(docs, key, text), "exact-groups")
     gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(normal(docs[text]), 256)
-    out = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")
+    # not as an equality, by which rows would be dealt: so only rows whose id matches need it
+    same = F.sha2(normal(docs[text]), 256).startswith(gone["_sha"])
+    out = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & same, "left_anti")
     repeated = groups.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not repeated.isEmpty():
         whole = out.select(F.struct("*").alias("doc"))  # so that no column of docs can have another's name

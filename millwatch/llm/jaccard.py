@@ -10,6 +10,11 @@ shares a bucket. Most buckets have one member: senders exchange Golomb-coded lis
 which ones others have, and only those are shuffled with their members. Equal sets are one class from the start. The members of a bucket are first compared with its smallest member
 only; what that links is one component, and trees are needed only for buckets that still hold several. They first give each
 member's nearest one in another component, at most one pair a member; what these links leave apart gets all its pairs.
+
+A line that many documents have gives common buckets, which grow with the corpus. A document leaves as many of its largest common
+buckets as it can do without: its differing shingles spoil only so many groups, so every set linked with its own shares others
+with it. Copies share nearly all their buckets; where one tree over all buckets of a smallest member has fewer pairs than a tree for
+each, there is one.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from millwatch.llm import golomb
 from millwatch.llm.components import components
@@ -34,7 +39,10 @@ GROUPS = 1 << GROUP_BITS
 LEAF = 16
 BLOCK = 2048
 RESEEDS = 8
+#: The two lowest bits of a bucket's name say whether its level is odd, and whether it is from a further dealing.
 BITS = 48
+#: Members from which on a bucket is common.
+COMMON = 32
 #: Names of buckets that a sender holds, and an owner.
 SENDER_BUCKETS = OWNER_BUCKETS = 200_000
 #: Texts, and pairs of sets, that Python gets at once.
@@ -62,8 +70,8 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     for i in range(size):
         inside = i < counts[text]
         value = mix(value * _C[0] + np.where(inside, words.hashes[np.minimum(start + i, max(0, len(words.hashes) - 1))] if len(words.hashes) else 0, np.uint64(i + 1)) + _C[1])
-    order = np.lexsort((value, text))
-    value, text = value[order], text[order]
+    for a, b in zip((np.cumsum(own) - own).tolist(), np.cumsum(own).tolist()):
+        value[a:b].sort()
     keep = np.concatenate(([True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])))[: len(value)]
     return value[keep], np.searchsorted(text[keep], np.arange(len(texts) + 1))
 
@@ -86,13 +94,16 @@ def bands(most: int) -> np.ndarray:
 EDGES = bands(1 << 62)
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] = SIMILAR, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) for every text, level and group.
 
     A level is the band of a pair's larger set: a text takes part in its own band's and, if a partner may lie there, in the
     next one's. There are D + 1 groups and some to spare, as agreement in a group that is empty on both sides tells nothing.
     A text with more empty groups than there are to spare takes part in another dealing of the groups as well (so does its
     partner, if they agree in empty groups only), and after RESEEDS such dealings in a bucket for empty groups.
+
+    ``room`` (a row per text, a column for levels of even and of odd number) gets the number of buckets of the first dealing that a text can do
+    without at a level: with one more left, it still shares one of them with every set that it is linked with there.
     """
     near, of = similar
     size = np.diff(first)
@@ -115,21 +126,25 @@ def signatures(hashes: np.ndarray, first: np.ndarray, similar: tuple[int, int] =
             value = mix(hashes[place] + np.uint64(seed * int(_C[2]) % (1 << 64)))
             group = ((value >> np.uint64(32)) * np.repeat(groups, n).astype(np.uint64)) >> np.uint64(32)
             key = np.repeat(base, n) + group.astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            bound = np.searchsorted(key[order], np.arange(groups.sum() + 1))
-            content = _sums(mix(value[order] + _C[3]), bound)
-            filled = np.diff(bound) > 0
+            content = np.zeros(groups.sum(), np.uint64)
+            np.add.at(content, key, mix(value + _C[3]))
+            filled = np.bincount(key, minlength=len(content)) > 0
             owner = np.repeat(np.arange(len(who)), groups)
+            empty = np.bincount(owner[~filled], minlength=len(who))
+            if room is not None and not seed:
+                differing = (n + np.minimum(top, n * of // near)) * (of - near) // (of + near)  # from the largest partner here
+                room[who, level[who] & 1] = groups - empty - differing - 1
             number = np.arange(groups.sum()) - base[owner]
             label = mix(content + mix(level[who][owner].astype(np.uint64) * _C[4] + np.uint64(seed * int(_C[0]) % (1 << 64)) + number.astype(np.uint64) * _C[1]))
             last = seed == RESEEDS - 1
             out = filled | last
             texts.append(who[owner[out]])
-            buckets.append(label[out])
-            who = who[np.bincount(owner[~filled], minlength=len(who)) > groups - needed]
+            kind = ((level[who][owner] & 1) << 1) | (seed > 0)
+            buckets.append((label >> np.uint64(64 - BITS) & ~np.uint64(3) | kind.astype(np.uint64))[out])
+            who = who[empty > groups - needed]
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(texts), np.concatenate(buckets) >> np.uint64(64 - BITS)
+    return np.concatenate(texts), np.concatenate(buckets)
 
 
 def _index(size: int, similar: tuple[int, int]):
@@ -138,10 +153,11 @@ def _index(size: int, similar: tuple[int, int]):
             texts = to_bytes(pdf["text"])
             for a, b in blocks(texts, TEXT_BYTES):
                 hashes, first = shingles(texts[a:b], size)
-                text, bucket = signatures(hashes, first, similar)
+                room = np.full((b - a, 2), -1)
+                text, bucket = signatures(hashes, first, similar, room)
                 order = np.argsort(text, kind="stable")
                 cut = np.searchsorted(text[order], np.arange(1, b - a))
-                yield pdf.iloc[a:b][["doc_id"]].assign(**_names(hashes, first), buckets=np.split(bucket[order].view(np.int64), cut))
+                yield pdf.iloc[a:b][["doc_id"]].assign(**_names(hashes, first), room_even=room[:, 0], room_odd=room[:, 1], buckets=np.split(bucket[order].view(np.int64), cut))
         give_back()
 
     return run
@@ -154,7 +170,8 @@ def _held(pdf: pd.DataFrame) -> np.ndarray:
 def _lists(owner_bits: int):
     def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        return golomb.lists(key[0], np.unique(_held(pdf)), BITS, owner_bits)
+        values = np.sort(_held(pdf))
+        return golomb.lists(key[0], values[np.concatenate(([True], values[1:] != values[:-1]))[: len(values)]], BITS, owner_bits)
 
     return send
 
@@ -331,10 +348,39 @@ def _verified(pairs: DataFrame, points: DataFrame, plain: DataFrame, size: int,
     return linked
 
 
+def _needed(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """bucket, node, first, size of buckets' members, without those that need not be in a common bucket.
+
+    By ``room``, two linked sets share at least one bucket more of the first dealing than either can do without. Each leaves its last
+    ones in order of size and name, so the first that they share in that order keeps both.
+    """
+    large = members.filter(F.col("size") > COMMON).select("bucket", "node", "size", F.expr("bucket >> 1 & 1").alias("odd"), F.expr("bucket & 1").alias("further"))
+    large = large.join(rows.select("node", "room_even", "room_odd"), "node").withColumn("room", F.expr("if(odd = 1, room_odd, room_even)"))
+    last = F.row_number().over(Window.partitionBy("node", "odd", "further").orderBy(F.desc("size"), F.desc("bucket")))
+    kept = large.withColumn("last", last).filter("room < 0 or further = 0 and last > room").select("bucket", "node")
+    return members.filter(F.col("size") <= COMMON).unionByName(_sized(kept).select(members.columns))
+
+
+def _grouped(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """bucket and node of what trees are for: members but the first, which pairs have. All buckets of one first are one
+    where that has no more pairs."""
+    others = members.filter("node <> first")
+    apart = others.groupBy("first").agg(F.sum(F.col("size") - 1).alias("apart"))
+    one = pairs.groupBy(F.col("u").alias("first")).agg(F.count("*").alias("n")).join(apart, "first").filter("n * n <= apart")
+    one = stored(one.select("first", "n"), "jaccard-firsts")  # cut off, so that a frequent first's rows can be split between tasks
+    whole = pairs.join(one.filter("n > 1"), pairs["u"] == one["first"]).select((-1 - F.col("u")).alias("bucket"), F.col("v").alias("node"))
+    return whole.unionByName(others.filter("size > 2").join(one, "first", "left_anti").select("bucket", "node"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """Members of the buckets that have several, with the smallest one and their number."""
+    return members.join(members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1"), "bucket")
+
+
 def _candidates(members: DataFrame, points: DataFrame, found: DataFrame, similar: tuple[int, int], nearest: bool) -> DataFrame | None:
     """Pairs u, v of the buckets that hold several components, as their trees allow them; None if there is no such bucket."""
     label = F.coalesce("component", "node").alias("component")
-    left = members.join(found, "node", "left").select("bucket", "node", "size", label)
+    left = members.join(found, "node", "left").select("bucket", "node", label)
     mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b")
     left = left.join(mixed.select("bucket", "n"), "bucket").join(points.select("node", "n_shingles", "point"), "node")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -362,7 +408,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     are linked. Shingles are compared by 64-bit hashes.
     """
     plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    rows = docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(_index(size, similar), "doc_id long, n_shingles long, d1 long, d2 long, buckets array<long>")
+    rows = docs.select(packed_id(docs, key), docs[text].alias("text")).mapInPandas(_index(size, similar), "doc_id long, n_shingles long, d1 long, d2 long, room_even int, room_odd int, buckets array<long>")
     with small_batches(docs.sparkSession, TEXT_ROWS):
         named_buckets = stored(unpacked(rows).withColumn("node", F.monotonically_increasing_id()), "jaccard-buckets")
     rows = stored(named_buckets.drop("buckets"), "jaccard-rows")
@@ -376,9 +422,12 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     members = held.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_shared, "node long, bucket long")
     members = stored(members, "jaccard-members")
     discard(named_buckets)
-    shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    members = stored(members.join(shared, "bucket"), "jaccard-members")
+    sized = stored(_sized(members), "jaccard-members")
+    discard(members)
+    members = stored(_needed(sized, rows), "jaccard-members")
+    discard(sized)
     pairs = stored(members.filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "jaccard-pairs")
+    grouped = stored(_grouped(members, pairs), "jaccard-groups")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     asked = classes.join(wanted, "node").join(rows.select("node", "doc_id"), "node")
     texts = keep_rows(plain, asked).select("text")
@@ -389,7 +438,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, similar: tuple[int,
     links = _verified(pairs, points, plain, size, similar)
     found, tried = components(links), pairs
     for nearest in (True, False):
-        more = _candidates(members, points, found, similar, nearest)
+        more = _candidates(grouped, points, found, similar, nearest)
         if more is None:
             break
         more = stored(more.join(tried, ["u", "v"], "left_anti"), "jaccard-more")

@@ -919,3 +919,52 @@ def test_words_of_texts():
     texts = [b"", b"A b\x0b\x0cc", "é  ñ".encode(), b"a b"]
     got = words.split(texts)
     assert np.diff(got.first).tolist() == [0, 3, 2, 2] and got.hashes[0] == got.hashes[5] and len(set(got.hashes.tolist())) == 5
+
+
+def test_common_buckets_are_left_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 1)
+    rng = random.Random(21)
+    line = " ".join(f"line{i}" for i in range(9))
+    texts = [t if i % 3 else f"{t} {line}" for i, t in enumerate(chains(22))]
+    for _ in range(25):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(12, 80))]
+        texts += [f"{line} {' '.join(own)}", f"{line} {' '.join([*own[:-1], 'other'])}", " ".join([*own[:-3], "a", "b", "c"])]
+    rows = rows_of(texts, seed=23)
+    for size, similar in ((3, (9, 10)), (5, (4, 5))):
+        found = jaccard.similar_documents(make_docs(spark, rows), size, similar)
+        assert Counter(tuple(r) for r in found.collect()) == brute_similar(rows, size, similar)
+
+
+@pytest.mark.parametrize("kind, most", [("line", 50), ("copies", 2000)])  # 319 and 3714 rows if every bucket has its tree
+def test_trees_get_few_rows_for_a_common_line_and_for_many_copies(spark, monkeypatch, kind, most):
+    rng = random.Random(24)
+    word = lambda: f"u{rng.randrange(10**7)}"
+    line, base = [f"line{i}" for i in range(12)], [word() for _ in range(150)]
+    if kind == "line":
+        texts = [" ".join([*line, *(word() for _ in range(200))]) for _ in range(400)]
+    else:
+        texts = [" ".join(word() if k in changed else w for k, w in enumerate(base)) for changed in (rng.sample(range(150), 6) for _ in range(100))]
+    rows, seen, inner = rows_of(texts, seed=25), [], jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda members, *rest: seen.append(members.count()) or inner(members, *rest))
+    found = jaccard.similar_documents(make_docs(spark, rows), 3, (4, 5))
+    assert Counter(tuple(r) for r in found.collect()) == brute_similar(rows, 3, (4, 5))
+    assert max(seen) <= most
+
+
+def test_bpe_takes_few_passes_over_words_of_many_pairs(vocabulary_path, library, monkeypatch):
+    rng = random.Random(26)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnoprstuvwyzäéß") for _ in range(rng.randint(3, 14))) for _ in range(100)) for _ in range(40)]
+    merges, passes, inner = bpe.Merges(vocabulary_path), [], bpe.Merges.ranks
+    monkeypatch.setattr(bpe.Merges, "ranks", lambda self, a, b: passes.append(len(a)) or inner(self, a, b))
+    got = list(merges.encode(texts))
+    assert [ids for ids, _ in got] == [" ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in texts]
+    assert len(passes) < 300
+
+
+def test_bpe_ids_by_arrow_keep_nulls_and_order(spark, vocabulary_path, library):
+    rows = [(None, "a null id"), (1, None), (1, "twice"), (1, "twice"), (2, ""), (3, "  "), (4, "<|endoftext|> x"), (5, "Über ßß"), (6, "é" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = bpe.encode(docs, vocabulary_path, block=20)
+    assert got.schema.simpleString() == "struct<doc_id:bigint,n_tokens:bigint,ids:array<int>>"
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+    assert [(r["doc_id"], r["n_tokens"], list(r["ids"])) for r in got.collect()] == [(i, len(ids), ids) for i, ids in want]
